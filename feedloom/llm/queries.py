@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import decontam, exact_dedup, mixing, simhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
 
 ORACLES = {
