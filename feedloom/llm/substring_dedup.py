@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     out = packed.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text binary" * with_text)
     if with_text:
-        out = out.withColumn("kept_text", F.decode("kept_text", F.lit("UTF-8")))
+        out = out.withColumn("kept_text", F.decode("kept_text", "UTF-8"))
     return out.withColumn("id", F.when(F.col("id") != -(1 << 62), F.col("id"))).withColumnRenamed("id", id_col)
 
 
