@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, exact_dedup, mixing, simhash, toxicity
+from . import decontam, exact_dedup, html_extraction, mixing, pii, simhash, substring_dedup, token_counts, toxicity, warc_archive
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_warc_archive": warc_archive.op4_warc_archive,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_html_extraction": html_extraction.op8_html_extraction,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }

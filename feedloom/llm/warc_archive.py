@@ -184,10 +184,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     hashed = checkpoint(rows.select("id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")))
     groups = hashed.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("times")).where("times > 1").select("sha1", "last")
     revisits = hashed.join(groups, "sha1").where("not id <=> last and last is not null").select(F.coalesce("id", F.lit(-(1 << 62))).alias("key"), "sha1", "last").distinct()
-    revisits = revisits.withColumnRenamed("sha1", "of_sha1")
+    revisits = revisits.withColumnsRenamed({"key": "of_key", "sha1": "of_sha1"})
     dealt = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 62)))).withColumn("own_sha1", F.sha1("payload"))
-    dealt = dealt.join(revisits, (dealt["key"] == revisits["key"]) & (dealt["own_sha1"] == revisits["of_sha1"]), "left")
-    dealt = dealt.sortWithinPartitions(dealt["key"]).select("id", "url", "payload", "last")
+    dealt = dealt.join(revisits, (F.col("key") == F.col("of_key")) & (F.col("own_sha1") == F.col("of_sha1")), "left")
+    dealt = dealt.sortWithinPartitions("key").select("id", "url", "payload", "last")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
