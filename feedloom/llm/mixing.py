@@ -122,8 +122,8 @@ def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.select(F.col(id_col).alias("__id"), F.col("topic").alias("__topic"), F.col("n_tokens").alias("__n"), F.col("probability").alias("__p"))
     clash = {c.lower() for c in docs.columns}
     name = lambda c: c if c not in clash else f"mix_{c}"
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.select(*docs.columns, F.col("__topic").alias(name("topic")), F.col("__n").alias(name("n_tokens")), F.col("__p").alias(name("sampling_probability")))
+    out = docs.join(found, docs[id_col].eqNullSafe(found["__id"]))
+    return out.select(*[docs[c] for c in docs.columns], found["__topic"].alias(name("topic")), found["__n"].alias(name("n_tokens")), found["__p"].alias(name("sampling_probability")))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

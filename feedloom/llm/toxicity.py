@@ -205,7 +205,7 @@ def toxicity_scores(
     score of the bias and the voters for clean. Labels other than 0 and 1 are ignored; repeated labels of an id count
     once (1 wins). Without labels of both kinds, only the fixed lexicon and patterns vote.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select(id_col, text_col)
     by_id = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")).where(train_row("__id"))
     part = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
     labelled = by_id.where(part < max(1, int(1e6 * min(1.0, max_labelled / max(1, by_id.count())))))

@@ -1,0 +1,107 @@
+"""WARC archives and HTML extraction."""
+
+import base64
+import hashlib
+import zipfile
+from collections import defaultdict
+
+import pytest
+
+from feedloom.llm import html_extraction, warc_archive
+
+
+def collect(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def sha(b):
+    return base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_archive_round_trip(spark, tmp_path, least):
+    rows = [(k, f"https://h{k % 3}.example.com/{k}", f"<p>{k % 7}é</p>" if k % 5 else None) for k in range(60)]
+    rows += [(100, None, ""), (101, "bad\r\nurl", "x" * 300_000), (None, "u", "<p>1é</p>"), (None, "u", "only here"), (102, "u", "dup"), (102, "u", "dup")]
+    df = spark.createDataFrame([(*r, 1, "p") for r in rows], "page_id long, url string, html string, key int, payload string")
+    manifest = warc_archive.write_archives(df, f"{tmp_path}/a", least_bytes=least)
+    got = collect(warc_archive.read_archives(manifest))
+    assert len(got) == len(rows)
+    last = defaultdict(lambda: None)
+    for i, _, h in rows:
+        if i is not None:
+            p = (h or "").encode()
+            last[p] = max(i, last[p] if last[p] is not None else i)
+    html = {}
+    for i, _, h in rows:
+        html.setdefault(i, set()).add((h or "").encode())
+    by_digest = {sha(p): p for ps in html.values() for p in ps}
+    for g in got:
+        p = by_digest[g["payload_digest"]]
+        assert p in html[g["page_id"]] and g["payload_bytes"] == len(p)
+        to = last[p] if len(p) >= least and last[p] != g["page_id"] else None
+        assert (g["record_type"], g["refers_to"]) == (("revisit", to) if to is not None else ("response", None))
+        assert g["payload"] == (None if to is not None else p)
+
+
+def test_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc_archive.read_archives(warc_archive.write_archives(df, f"{tmp_path}/e")).count() == 0
+
+
+def test_zip64_directory_and_refusals(tmp_path, monkeypatch):
+    path = tmp_path / "z.wacz"
+    a = warc_archive.Archive(str(path))
+    for k in range(5):
+        a.add(warc_archive.record(k, "u", b"x%d" % k, sha(b"x%d" % k), None, False), f"{k}", page=k)
+    a.close()
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)  # what follows writes ZIP64 extra fields and end records
+    far = tmp_path / "far.wacz"
+    with zipfile.ZipFile(path) as z, zipfile.ZipFile(far, "w", zipfile.ZIP_STORED) as out:
+        for name in z.namelist():
+            out.writestr(name, z.read(name))
+        out.comment = b"a comment of some length"
+    monkeypatch.undo()
+    for p in (path, far):
+        r = warc_archive.Reader(str(p))
+        assert [h["page-id"] for h, _ in r.records(r.index())] == [str(k) for k in range(5)]
+    with pytest.raises(ValueError):
+        broken = tmp_path / "b.zip"
+        broken.write_bytes(b"no archive at all" * 10)
+        warc_archive.Reader(str(broken))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr(warc_archive.INDEX, "x" * 100)
+    with pytest.raises(ValueError):
+        warc_archive.Reader(str(tmp_path / "c.zip")).index()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style></head><body><header><h2>Site</h2><nav><a href=/>Home</a></nav></header>
+<div id="cookie-notice">We use cookies</div><main><article class="post"><header><h1>Head {k} &amp; line</h1></header><p>One<b>two</b> three&nbsp;{k}<p>Four<br>five
+<ul><li>a<li>b</ul><blockquote>said &lt;so&gt;</blockquote><aside>rel</aside><form><input value="v"><label>name</label></form><div class="advert-box">BUY</div><script>if (a < b) document.write("<p>no</p>")</script></article>
+<section class="comments"><p>me too</p></section></main><div class="sidebar"><p>old</p></div><footer>f</footer></body></html>"""
+
+
+def test_article_pages(spark):
+    rows = [(k, f"https://a.example.com/{k}", PAGE.format(k=k)) for k in range(6)] + [(50, None, None), (51, "", ""), (52, "https://a.example.com/x", "plain text &amp; more"), (53, "x", "<p>" + "word " * 50_000 + "</p>"), (0, "https://a.example.com/0", PAGE.format(k=0))]
+    df = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, tree int")
+    got = {g["page_id"]: g for g in collect(html_extraction.extract(df))}
+    for k in range(6):
+        assert got[k]["text"] == f"Head {k} & line Onetwo three {k} Four five a b said <so>"
+        assert got[k]["n_chars"] == len(got[k]["text"])
+    assert got[50]["text"] == "" and got[51]["text"] == "" and got[52]["text"] == "plain text & more" and got[53]["n_chars"] == 249_999
+    assert html_extraction.extract(df).count() == len(rows) and html_extraction.extract(df.limit(0)).count() == 0
+
+
+def test_slots_without_article_elements(spark):
+    page = '<html><body><div class="top">Daily News</div><div class="links"><a href=/a>Alpha {k}</a> <a href=/b>Beta {k}</a></div><div class="text"><p>Story {k} begins.</p><p>It ends {k}.</p></div>{more}<div class="end">All rights reserved</div></body></html>'
+    rows = [(k, f"https://b.example.com/{k}", page.format(k=k, more='<div class="extra">Also {}</div>'.format(k) if k == 3 else "")) for k in range(8)]
+    got = {g["page_id"]: g["text"] for g in collect(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got[1] == "Story 1 begins. It ends 1." and got[3] == "Story 3 begins. It ends 3. Also 3"
+
+
+def test_simple_tree_matching():
+    a = [(-1, "html"), (0, "body"), (1, "nav"), (1, "div"), (3, "p"), (1, "footer")]
+    b = [(-1, "html"), (0, "body"), (1, "div"), (2, "h1"), (2, "p"), (1, "footer")]
+    assert html_extraction.align(a, b) == [0, 1, -1, 2, 4, 5]
+    assert html_extraction.align(a, a) == [*range(6)]
