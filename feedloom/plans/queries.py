@@ -456,3 +456,71 @@ def llm_validate(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '...and ' || (length(text) - 3000) || ' more' ELSE text END AS summary FROM documents")
 def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", I.capped_text(F.col("text"), F.length("text") - 3_000).alias("summary"))
+
+
+# ---- entry points ----
+
+
+@query(f"""SELECT o_custkey AS config_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, '/orders/' || o_orderkey AS link
+  FROM orders WHERE o_custkey % 6 < 4 AND (o_custkey % 6 <> 3 OR o_orderkey % 5 <> 0) QUALIFY ord < 100""")
+def scrape_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return _scraped(spark, d)[0].where("ord < 100").select("config_id", "ord", "title", "link")
+
+
+@query("""SELECT o_custkey AS config_id, ['rss', 'json_api', 'embedded_json', 'xpath', 'rss_bridge', 'rss'][o_custkey % 6 + 1] AS strategy, CASE WHEN o_custkey % 6 < 3 THEN count(*) WHEN o_custkey % 6 = 3 THEN count(*) FILTER (o_orderkey % 5 <> 0) ELSE 0 END AS item_count,
+  CASE o_custkey % 6 WHEN 4 THEN 'unsupported strategy: rss_bridge' WHEN 5 THEN 'HTTP 404' END AS error FROM orders GROUP BY 1""")
+def scrape_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _scraped(spark, d)[1]
+
+
+def _scraped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from ..api import scrape
+
+    k = F.col("cust") % 6
+    bodies = R.feeds_xml(spark, d, "atom").where(k.isin(0, 5)).union(R.json_payloads(spark, d).where(k == 1).select("cust", "body")).union(R.embedded_pages(spark, d).where(k == 2)).union(R.html_lists(spark, d).withColumnRenamed("page_id", "cust").where(k.isin(3, 4)).select("cust", "html"))
+    url = F.concat(F.lit("https://c"), F.col("cust").cast("string"), F.lit(".example.com/"))
+    responses = bodies.select(url.alias("url"), F.when(k == 5, 404).otherwise(200).alias("status"), "body")
+    pairs = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    strategies = F.array(*map(F.lit, ["rss", "json_api", "embedded_json", "xpath", "rss_bridge", "rss"]))
+    configs = table(spark, d, "orders").select(F.col("o_custkey").alias("cust")).distinct().select(
+        F.col("cust").alias("config_id"), url.alias("url"), F.element_at(strategies, (k + 1).cast("int")).alias("strategy"),
+        F.when(k == 1, "data.posts").when(k == 3, BLOCKS).otherwise("").alias("item"),
+        F.when(k == 3, pairs(FIELDS)).otherwise(pairs({"title": "title", "link": "url"})).alias("fields"), F.lit(5_000).alias("max_items"),
+    )
+    return scrape(configs, responses)
+
+
+@query()
+def discover_pages(spark: SparkSession, d: str) -> DataFrame:
+    from ..api import discover
+
+    pages = R.html_lists(spark, d).join(R.embedded_pages(spark, d).select(F.col("cust").alias("page_id"), F.col("html").alias("more")), "page_id")
+    return discover(pages.select("page_id", F.lit("https://c.example.com/").alias("url"), F.concat("html", "more").alias("html")), R.captures(spark, d).withColumnRenamed("cust", "page_id"))
+
+
+@query("SELECT o_custkey AS config_id, count(*) AS n_entries, true AS well_formed FROM orders WHERE o_custkey % 6 = 1 GROUP BY 1")
+def atom_documents(spark: SparkSession, d: str) -> DataFrame:
+    from ..api import export_atom
+
+    found = _scraped(spark, d)[0].where("config_id % 6 = 1")
+    docs = export_atom(found, found.select("config_id", F.concat(F.lit("Feed <"), F.col("config_id").cast("string"), F.lit(">")).alias("name")).distinct())
+    n = F.size(F.from_xml("document", "entry array<struct<id string>>")["entry"])
+    return docs.select("config_id", n.cast("long").alias("n_entries"), (n == F.regexp_count("document", F.lit("<entry>"))).alias("well_formed"))
+
+
+@query("SELECT feed_id, streak, name FROM (SELECT c_custkey AS feed_id, CASE WHEN c_custkey % 3 = 0 THEN 9 ELSE 0 END AS streak, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS name FROM customer) WHERE feed_id % 10 <> 0")
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import stores
+
+    feeds = table(spark, d, "customer").select(F.col("c_custkey").alias("feed_id"), F.lit(0).alias("streak"), F.col("c_name").alias("name"))
+    changes = feeds.where("feed_id % 3 = 0").select("feed_id", F.explode(F.array(F.lit(8), F.lit(9))).alias("streak"), F.lit("changed").alias("name")).withColumn("at", F.col("streak"))
+    return stores.delete(stores.upsert(feeds, changes, "feed_id", "at"), feeds.where("feed_id % 10 = 0").select("feed_id"), "feed_id")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN 50 ELSE 7 END AS max_pages, CASE WHEN length(c_name) <= 12 THEN '…' ELSE substr(c_name, 1, 4) || '…' END || substr(c_name, length(c_name) - 3, 4) AS masked FROM customer")
+def form_values(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import stores
+
+    k = F.col("c_custkey") % 3
+    text = F.when(k == 0, "none").when(k == 1, "900").otherwise("7")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), stores.form_number(text, 1, 50, 1).alias("max_pages"), S.mask_secret(F.col("c_name")).alias("masked"))
