@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ TOPICS = {"prose": 0.8, "table": 0.05, "shouting": 0.02, "technical": 0.08}
 SOURCES: dict[str, float] = {}
 ALPHA = 0.5
 DIMENSIONS = ("source", "lang", "topic")
+#: Pairs of language and topic whose factors the driver may hold while it rakes (a number for each, 80 KB at most).
+PAIRS = 10_000
 
 
 def topic(text: Column) -> Column:
@@ -60,6 +65,46 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50, toler
     return fitted
 
 
+def rake_rows(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """What rake() gives, in one aggregation for each sweep: for cells of few pairs of the dimensions after the first.
+
+    The weight of a cell is its tokens times a factor for each of its values. Values of the first dimension (sources)
+    may be any number: each is a row with its cells, and its factor follows within the row from those of the pairs. The
+    rows' sums for each pair, combined before the shuffle, are all that reaches the driver; they give the other factors.
+    """
+    first, *others = shares
+    listed = sorted((tuple(r) for r in cells.select(*others).distinct().collect()), key=str)
+    spark, number = cells.sparkSession, {k: n for n, k in enumerate(listed)}
+    if not listed:
+        return cells.withColumn("w", F.lit(0.0))
+    numbered = F.broadcast(spark.createDataFrame([(*k, n) for k, n in number.items()], [*others, "pair"]))
+    rows = cells.join(numbered, others).groupBy(first).agg(F.collect_list(F.struct(F.col("pair").cast("int").alias("pair"), F.col("tokens").cast("double").alias("tokens"))).alias("own"))
+    rows = checkpoint(rows.join(shares[first], first).coalesce(max(1, math.ceil(cells.count() / 50_000))))
+    goal = [{r[0]: r[1] for r in shares[d].select(d, "share").collect()} for d in others]
+    member = [np.array([[k[j] == v for k in listed] for v in goal[j]], float) for j in range(len(others))]
+
+    def summed(f: np.ndarray):
+        factors = F.lit(f)
+        return F.aggregate("own", F.lit(0.0), lambda total, x: total + x["tokens"] * F.get(factors, x["pair"]))
+
+    before = now = np.ones(len(listed))
+    for sweep in range(sweeps):
+        by = F.when(F.col("__now") > 0, F.col("share") / F.col("__now")).otherwise(0.0)
+        off = F.when(F.col("__before") > 0, F.abs(F.col("share") * F.col("__now") / F.col("__before") - F.col("share"))).otherwise(0.0)
+        held = rows.withColumns({"__now": summed(now), "__before": summed(before)}).select(by.alias("by"), off.alias("off"), F.explode("own").alias("x"))
+        got = held.groupBy("x.pair").agg(F.sum(F.col("by") * F.col("x.tokens")).alias("s"), F.max("off").alias("off")).collect()
+        if sweep and max(r.off for r in got) <= tolerance:
+            break
+        sums, before, now = np.zeros(len(listed)), now, now.copy()
+        sums[[r.pair for r in got]] = [r.s for r in got]
+        for j, m in enumerate(member):
+            marginal = m @ (now * sums)
+            now *= m.T @ np.divide([*goal[j].values()], marginal, out=np.zeros(len(marginal)), where=marginal > 0)
+    by = F.when(F.col("__now") > 0, F.col("share") / F.col("__now")).otherwise(0.0)
+    fitted = rows.withColumn("__now", summed(now)).select(first, by.alias("by"), F.explode("own").alias("x")).select(first, F.col("x.pair").alias("pair"), (F.col("by") * F.col("x.tokens") * F.get(F.lit(now), F.col("x.pair"))).alias("w"), F.col("x.tokens").cast("long").alias("tokens"))
+    return checkpoint(fitted.join(numbered, "pair").select(*shares, "tokens", "w"))
+
+
 def rate(fitted: DataFrame, budget: float) -> float:
     """The factor c for which the sum of tokens * min(1, c * w / tokens) is the budget (or all tokens, if fewer)."""
     c = None
@@ -106,7 +151,8 @@ def mixture(
     )
     rows = checkpoint(rows)
     cells = checkpoint(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = rake(cells, {d: targets(cells, d, listed[d], alpha) for d in DIMENSIONS})
+    shares = {d: targets(cells, d, listed[d], alpha) for d in DIMENSIONS}
+    fitted = (rake_rows if cells.select(*DIMENSIONS[1:]).distinct().count() <= PAIRS else rake)(cells, shares)
     budget = keep_share * (cells.agg(F.sum("tokens")).first()[0] or 0)
     c = rate(fitted, budget)
     chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("w") / F.col("tokens"))).otherwise(0.0)

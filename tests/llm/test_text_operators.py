@@ -163,8 +163,10 @@ def test_mixing(spark):
 def test_raking_meets_both_marginals(spark):
     cells = spark.createDataFrame([("a", "x", 30), ("a", "y", 10), ("b", "x", 20), ("b", "y", 40), ("c", "y", 0)], "source string, lang string, tokens long")
     shares = {"source": spark.createDataFrame([("a", 0.7), ("b", 0.3), ("c", 0.0)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "lang string, share double")}
-    got = collect(mixing.rake(cells, shares, tolerance=1e-8))
-    assert abs(sum(g["w"] for g in got if g["source"] == "a") - 0.7) < 1e-6 and abs(sum(g["w"] for g in got if g["lang"] == "x") - 0.2) < 1e-6
+    for raked in (mixing.rake, mixing.rake_rows):
+        got = collect(raked(cells, shares, tolerance=1e-8))
+        assert len(got) == 5
+        assert abs(sum(g["w"] for g in got if g["source"] == "a") - 0.7) < 1e-6 and abs(sum(g["w"] for g in got if g["lang"] == "x") - 0.2) < 1e-6
 
 
 # ---- decontamination ----
