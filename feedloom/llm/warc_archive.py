@@ -80,7 +80,8 @@ class Archive:
 
     def __init__(self, uri: str):
         self.fs, self.path = open_fs(uri)
-        self.file = self.fs.open_output_stream(self.path + ".part")
+        self.part = f"{self.path}.part-{uuid.uuid4().hex}"  # attempts of one task that run at once don't meet
+        self.file = self.fs.open_output_stream(self.part)
         self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data, self.at, self.lines = self.zip.open(DATA, "w", force_zip64=True), 0, []
 
@@ -96,7 +97,7 @@ class Archive:
         self.zip.writestr(INDEX, "".join(self.lines).encode())
         self.zip.close()
         self.file.close()
-        self.fs.move(self.path + ".part", self.path)  # a repeated task replaces the file by an equal one
+        self.fs.move(self.part, self.path)  # a repeated task replaces the file by an equal one
         return len(self.lines), self.at
 
 
