@@ -217,9 +217,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of all records of the archives (path, records).
 
     Each archive is read in slices of some thousand index entries, dealt over the cluster; a revisit has a null payload.
+    The slices are a few bytes each, so their number, not their size, sets how many tasks read (ten thousand at most).
     """
+    n = manifest.agg(F.sum(F.ceil(F.col("records") / SLICE_RECORDS))).first()[0] or 1
     slices = manifest.select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("records") - 1) / SLICE_RECORDS))).alias("slice"))
-    slices = slices.repartition("path", "slice")
+    slices = slices.repartition(min(int(n), 10_000), "path", "slice")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
