@@ -130,7 +130,7 @@ def api_url_extract(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- JSON ----
 
-PAYLOAD_SCORE = "round(CASE WHEN count(*) BETWEEN 5 AND 100 THEN 0.15 ELSE 0.05 END + 0.25 + 0.20 + 0.15 + CASE WHEN count(*) >= 3 THEN 0.07 ELSE 0 END, 3)"
+PAYLOAD_SCORE = "round(CASE WHEN count(*) BETWEEN 5 AND 100 THEN 0.15 ELSE 0.05 END + 0.25 + 0.20 + 0.15 + CASE WHEN count(*) >= 3 THEN 0.07 ELSE 0 END, 3)::DOUBLE"
 
 
 @query(f"SELECT o_custkey AS cust, {PAYLOAD_SCORE} AS score FROM orders GROUP BY 1")
@@ -211,7 +211,7 @@ def har_captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT cust, 'GET https://api.example.com/search' AS bucket, max(score) AS score, count(*) AS n_captures FROM (SELECT o_custkey AS cust, o_orderstatus,
-  round(CASE WHEN count(*) BETWEEN 5 AND 100 THEN 0.15 ELSE 0.05 END + 0.25 + 0.20 + 0.15 + CASE WHEN count(*) >= 3 THEN 0.07 ELSE 0 END, 3) AS score FROM orders GROUP BY ALL) GROUP BY 1""")
+  round(CASE WHEN count(*) BETWEEN 5 AND 100 THEN 0.15 ELSE 0.05 END + 0.25 + 0.20 + 0.15 + CASE WHEN count(*) >= 3 THEN 0.07 ELSE 0 END, 3)::DOUBLE AS score FROM orders GROUP BY ALL) GROUP BY 1""")
 def har_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return D.endpoints(D.har_captures(R.hars(spark, d), "cust"), ["cust"]).select("cust", "bucket", F.col("score").cast("double"), "n_captures")
 
