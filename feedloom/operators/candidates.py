@@ -28,7 +28,7 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
 
     Groups of three or more nodes with one tag, first class and parent kind; a tag alone only if it is article. The
     confidence grows with the count and the tag's, class's and id's weight. Two candidates of similar confidence with
-    different classes and 5 to 50 items together make a union.
+    different classes and 5 to 50 items together make a union, 0.05 below the better one.
     """
     n = _signed(nodes)
     up = n.select("page_id", F.col("pre").alias("parent"), F.concat_ws("|", "tag", "cls1").alias("parent_sig"))
@@ -43,7 +43,7 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
     a, b = (one.where("cls1 <> '' and confidence >= 0.35").select("page_id", *[F.col(c).alias(f"{x}_{c}") for c in ("selector", "cls1", "item_count", "confidence", "ord")]) for x in "ab")
     both = F.col("a_item_count") + F.col("b_item_count")
     pairs = a.join(b, "page_id").where((F.col("a_ord") < F.col("b_ord")) & (F.col("a_cls1") != F.col("b_cls1")) & (F.abs(F.col("a_confidence") - F.col("b_confidence")) <= 0.15 + 1e-9) & both.between(5, 50))
-    unions = pairs.select("page_id", F.concat_ws(" | ", "a_selector", "b_selector").alias("selector"), F.lit("").alias("tag"), F.lit("").alias("cls1"), both.alias("item_count"), F.greatest("a_confidence", "b_confidence").alias("confidence"), F.col("a_ord").alias("ord"), F.lit(True).alias("is_union"))
+    unions = pairs.select("page_id", F.concat_ws(" | ", "a_selector", "b_selector").alias("selector"), F.lit("").alias("tag"), F.lit("").alias("cls1"), both.alias("item_count"), F.greatest(F.lit(0.05), F.round(F.greatest("a_confidence", "b_confidence") - 0.05, 2)).alias("confidence"), F.col("a_ord").alias("ord"), F.lit(True).alias("is_union"))
     every = one.withColumn("is_union", F.lit(False)).unionByName(unions)
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "is_union", "ord", "selector"))
     return every.withColumn("rank", rank).where(F.col("rank") <= most)
