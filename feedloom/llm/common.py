@@ -37,11 +37,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def salted_join(rows: DataFrame, totals: DataFrame, on: list[str], n: str, how: str = "inner", hot: int = 1000, salts: int = 64) -> DataFrame:
+    """rows joined to totals, which has one row for each key and the number of its rows in column n.
+
+    A key with at least 1/hot of the rows is hot; there are at most ``hot`` of them, so their list is broadcast, whatever
+    the size of the tables. Rows of hot keys are dealt to ``salts`` tasks by a hash of the row, and the key's total is
+    sent to each of these. Adaptive execution can't split such a join by itself, as its one side is an aggregation.
+    ``totals`` is read three times: pass a written table. Null keys match nothing.
+    """
+    every = totals.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * hot >= every
+    hot_keys = F.broadcast(totals.where(is_hot).select(*on, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int")
+    dealt = rows.join(hot_keys, on, "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(totals.withColumn("__salt", F.explode(copies)), [*on, "__salt"], how).drop("__salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (src, dst); root is the smallest node of its component.
 
     Alternating large-star and small-star contraction. Each round is two min-aggregations (combined before the
-    shuffle) with the minimum joined back to the neighbours; the number of rounds grows with the logarithm of the
+    shuffle) with the minimum joined back to the neighbours, those of hot nodes salted; the number of rounds grows with the logarithm of the
     longest chain. Edges are checkpointed each round and nothing but two numbers reaches the driver.
     Nulls and self-loops are ignored; no edges give no rows.
     """
@@ -49,10 +66,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges, seen = checkpoint(edges), None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree")))
+        large = salted_join(both, low, ["u"], "degree").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+        joined = salted_join(large, low, ["u"], "degree")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
