@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, table
+from .common import SPACE, checkpoint, salted_join, table
 
 #: log2 of the bits of the survivor bitmap: 32 rows of 4 KB, 128 KB whatever the size of the corpus.
 BITMAP_LOG2 = 20
@@ -53,10 +53,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns = ["id", F.when(F.col("survives"), full).alias("full")] + [full.alias("text_sha256")] * digest
     marked = checkpoint(marked.select(*columns))
 
-    groups = marked.where("full is not null").groupBy("full").agg(F.min("id").alias("keep"), F.count("*").alias("n"))
+    groups = checkpoint(marked.where("full is not null").groupBy(F.col("full").alias("key")).agg(F.min("id").alias("keep"), F.count("*").alias("n")))
     # rows without a full hash get keys of their own, so that they don't meet in one task
     single = marked.withColumn("key", F.coalesce("full", F.concat(F.lit("#"), F.coalesce(F.col("id").cast("string"), F.uuid()))))
-    out = single.join(groups.withColumnRenamed("full", "key"), "key", "left")
+    out = salted_join(single, groups, ["key"], "n", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("keep", "id").alias("keep_id"),
