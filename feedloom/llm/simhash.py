@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, table
+from .common import checkpoint, connected_components, salted_join, table
 
 BITS, RADIUS = 64, 3
 #: Buckets of more distinct fingerprints than this are searched by neighbourhoods instead of by comparing members.
@@ -101,13 +101,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless a component has no other. Extra columns are not read; an empty table gives an empty result.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp")))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     labelled = checkpoint(labelled)
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = labelled.join(least, "root").select(F.col("fp").alias("own"), "component_id")
-    out = rows.join(of_fp, rows["fp"] == of_fp["own"])
+    least = checkpoint(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    of_fp = checkpoint(salted_join(labelled, least, ["root"], "members").select("fp", "n", "component_id"))
+    out = salted_join(rows, of_fp, ["fp"], "n")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
