@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, table
+from .common import checkpoint, salted_join, shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of compressed records after which a task starts another archive, and index bytes in one reading task's slice.
@@ -183,8 +183,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     hashed = checkpoint(rows.select("id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")))
-    groups = hashed.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("times")).where("times > 1").select("sha1", "last")
-    revisits = hashed.join(groups, "sha1").where("not id <=> last and last is not null").select(F.coalesce("id", F.lit(-(1 << 62))).alias("key"), "sha1", "last").distinct()
+    groups = checkpoint(hashed.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("last"), F.count("*").alias("times")).where("times > 1"))
+    revisits = salted_join(hashed, groups, ["sha1"], "times").where("not id <=> last and last is not null").select(F.coalesce("id", F.lit(-(1 << 62))).alias("key"), "sha1", "last").distinct()
     revisits = revisits.withColumnsRenamed({"key": "of_key", "sha1": "of_sha1"})
     dealt = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 62)))).withColumn("own_sha1", F.sha1("payload"))
     dealt = dealt.join(revisits, (F.col("key") == F.col("of_key")) & (F.col("own_sha1") == F.col("of_sha1")), "left")
@@ -248,3 +248,17 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A hexadecimal SHA-1 holds eight groups of five digits; each gives four base32 characters.
+ORACLE = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + CAST((CAST('0x' || substr(h, 1 + CAST(i // 4 AS INTEGER) * 5, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest
+    FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
