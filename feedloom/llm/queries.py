@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op4_warc_archive": warc_archive.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }

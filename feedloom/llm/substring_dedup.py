@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, salted_join, table
 
 #: Words of an anchor; the anchor of a window is the one with the smallest hash among those in it.
 ANCHOR = 16
@@ -91,13 +91,13 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
             )
 
     rows = docs.select("id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "id long, key long, at int, n int, anchor long, run long")
-    again = rows.groupBy("anchor").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1").select("anchor")
-    rows = materialise(rows.join(again, "anchor").withColumn("tag", F.xxhash64("id", "key", "at")))
-    runs = rows.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min("tag").alias("first"))
-    differ = runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("differs"))
+    again = materialise(rows.groupBy("anchor").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"))
+    rows = materialise(salted_join(rows, again, ["anchor"], "of_anchor").drop("of_anchor").withColumn("tag", F.xxhash64("id", "key", "at")))
+    runs = materialise(rows.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min("tag").alias("first")))
+    differ = materialise(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("differs", F.lit(True)))
     # runs of an anchor whose runs are all alike need no look at their windows
-    runs = runs.join(differ, "anchor", "left")
-    judged = materialise(rows.join(runs, ["anchor", "run"]).withColumn("whole", F.col("times") > 1).withColumn("open", F.coalesce("differs", F.lit(False)) & (~F.col("whole") | (F.col("tag") == F.col("first")))))
+    runs = materialise(salted_join(runs, differ, ["anchor"], "kinds", "left").drop("kinds"))
+    judged = materialise(salted_join(rows, runs, ["anchor", "run"], "times").withColumn("whole", F.col("times") > 1).withColumn("open", F.coalesce("differs", F.lit(False)) & (~F.col("whole") | (F.col("tag") == F.col("first")))))
     whole = judged.where("whole").select("id", "key", "at", "n")
 
     todo = judged.where("open").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "anchor", "whole"))).alias("todo"))
@@ -116,8 +116,8 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(anchor), pa.array(digest), pa.array(known.astype(np.bool_))], ["id", "key", "at", "anchor", "digest", "known"])
 
     single = materialise(packed.mapInArrow(windows, "id long, key long, at int, anchor long, digest long, known boolean"))
-    twice = single.groupBy("anchor", "digest").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("times")).where("times > 1").select("anchor", "digest")
-    ends = single.where("not known").join(twice, ["anchor", "digest"]).select("id", "key", "at", F.lit(1).alias("n"))
+    twice = single.groupBy("anchor", "digest").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("times")).where("times > 1")
+    ends = salted_join(single.where("not known"), materialise(twice), ["anchor", "digest"], "times").select("id", "key", "at", F.lit(1).alias("n"))
     return whole.union(ends).distinct().groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
@@ -220,3 +220,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM t),
+w AS (SELECT doc_id, i, word, CASE WHEN i + 34 <= n THEN
+          sha256(array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING), ' ')) END AS h FROM u),
+again AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, word, CASE WHEN again.h IS NULL THEN 0 ELSE 1 END AS starts FROM w LEFT JOIN again USING (h)),
+judged AS (SELECT doc_id, i, word, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS text FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
