@@ -1,4 +1,4 @@
-"""Near-duplicate detection: SimHash fingerprints, linked by covering locality-sensitive hashing."""
+"""Near-duplicate detection: SimHash fingerprints, linked by covering locality-sensitive hashing; and near copies by verified MinHash."""
 
 from __future__ import annotations
 
@@ -18,17 +18,24 @@ BUCKET = 96
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, block: int = 1 << 15) -> int:
-    """64-bit SimHash of the UTF-8 text as a signed integer; long texts are summed in blocks of bounded memory."""
+def hashed_shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``shingle`` words, in order; a shorter text is one run of all its words."""
     words = (text or b"").translate(LOWER).split()  # bytes.split() cuts at the six ASCII white-space characters
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, block: int = 1 << 15) -> int:
+    """64-bit SimHash of the UTF-8 text as a signed integer; long texts are summed in blocks of bounded memory."""
+    hashes = hashed_shingles(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), block):
         part = hashes[at : at + block].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -111,10 +118,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row, that of the smallest id, for each group of near duplicates; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped")).distinct()
+def band_keys(hashes: np.ndarray, bands: int, rows: int, block: int = 1 << 12) -> list[int]:
+    """One signed 64-bit key for each band: the hash of ``rows`` least values of the set, each under a hash function of its own."""
+    seeds = np.random.default_rng(5).integers(1, 1 << 63, (2, bands * rows, 1), np.uint64)
+    least = np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(hashes), block):
+        mixed = (hashes[None, at : at + block] ^ seeds[0]) * (seeds[1] | np.uint64(1))
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return [signed(xxhash.xxh64_intdigest(part.tobytes(), k)) for k, part in enumerate(least.reshape(bands, rows))]
+
+
+def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted arrays, have a Jaccard similarity of at least the given one."""
+    least, most = sorted((len(one), len(other)))
+    if least < similarity * most - 1e-9:
+        return False
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return common >= similarity * (least + most - common) - 1e-9
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+    """Edges (src, dst) between ids of rows whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+
+    SimHash can't collect these: at similarity 0.8, fingerprints differ in about 10 of 64 bits, for which covering masks
+    need 2^11 tables. Candidates come from ``bands`` MinHash keys of ``rows`` values each; a pair of similarity s shares a
+    key with probability 1 - (1 - s^rows)^bands (0.99993 at 0.8), and every link is verified on the whole sets.
+
+    Rows of equal sets are linked to the smallest id. The least ids of the sets meet in buckets, in the order of their
+    ids: each is compared with those before it that were linked to none, so that a bucket of near copies takes one
+    comparison for each member. Of two similar rows that meet, the later is therefore linked to a smaller id, or the
+    earlier is. Null and empty texts are equal. Rows with a null id are left out.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(hashed_shingles(t, shingle)) for t in b.column(1).to_pylist()]
+            equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), equal, pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))], ["id", "same", "keys"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, first = None, []
+        for b in batches:
+            src, dst = [], []
+            for band, key, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, key) != bucket:
+                    bucket, first = (band, key), []
+                own = np.unique(hashed_shingles(text, shingle))
+                near = [j for j, other in first if i != j and similar(own, other, similarity)]
+                src += near
+                dst += [i] * len(near)
+                if not near:
+                    first.append((i, own))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
+    sketches = checkpoint(texts.mapInArrow(sketch, "id long, same binary, keys array<long>"))
+    sets = checkpoint(sketches.groupBy("same").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("src"), F.count("*").alias("n")))
+    equal = salted_join(sketches.select("id", "same"), sets.where("n > 1").select("same", "src", "n"), ["same"], "n").select("src", F.col("id").alias("dst"))
+    keyed = sets.select(F.col("src").alias("id"), "same", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpoint(salted_join(keyed, checkpoint(sizes), ["band", "key"], "n").groupBy("id", "same").agg(F.collect_list(F.struct("band", "key")).alias("met")))
+    # an id that repeats with other texts brings each of its sets
+    wanted = met.groupBy("id").agg(F.flatten(F.collect_list("met")).alias("met"))
+    members = texts.join(wanted, "id").select("id", "text", F.explode("met").alias("m")).select("m.band", "m.key", "id", "text")
+    near = members.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(linked, "src long, dst long")
+    return equal.union(near).where("src <> dst").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs with one row, that of the smallest id, for each group that links of near copies join; all columns stay."""
+    roots = connected_components(near_copies(docs, id_col, text_col, **more))
+    dropped = roots.where("node <> root").select(F.col("node").alias("__dropped"))
     return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
 
 
