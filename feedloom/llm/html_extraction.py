@@ -183,34 +183,54 @@ def align(one: list[tuple[int, str]], other: list[tuple[int, str]]) -> list[int]
     return out
 
 
-def boilerplate(nodes: list[tuple[int, str]]) -> tuple[list[bool], list[bool]]:
-    """For each node: is it boilerplate by its own or an ancestor's name; does it stand within an article or main element."""
-    bad, inside = [], []
-    for parent, label in nodes:
+def boilerplate(nodes: list[tuple[int, str]], chars: list[int]) -> tuple[list[bool], list[bool]]:
+    """For each node: is it boilerplate by its own or an ancestor's name; does it stand within an article or main element.
+
+    chars: characters of each node's own text. Names say nothing about html, body, main and what wraps all outermost
+    article and main elements; nor do a form and parts of class names (has-sidebar) about what holds most of the text.
+    """
+    bad, inside, own_chars, articles = [], [], [*chars], [0] * len(nodes)
+    for k, (parent, label) in enumerate(nodes):
+        inside.append((parent >= 0 and inside[parent]) or label.split(".")[0] in ARTICLE_TAGS)
+        articles[k] = int(inside[k] and not (parent >= 0 and inside[parent]))
+    outermost = sum(articles)
+    for k in range(len(nodes) - 1, -1, -1):
+        if (parent := nodes[k][0]) >= 0:
+            own_chars[parent] += own_chars[k]
+            articles[parent] += articles[k]
+    for k, (parent, label) in enumerate(nodes):
         tag, *words = label.split(".")
-        names = {w for x in words for w in re.split(r"[^a-z]+", x)}
         above_bad, above_in = (bad[parent], inside[parent]) if parent >= 0 else (False, False)
-        own = tag in BOILER_TAGS or bool(names & BOILER_WORDS) or ((tag == "header" or names & HEADER_WORDS) and not above_in)
+        names = {w for x in words for w in re.split(r"[^a-z]+", x)}
+        wraps = tag in ("html", "body", "main") or (outermost > 0 and articles[k] == outermost)
+        if wraps:
+            names = set()
+        elif 2 * own_chars[k] > sum(chars):
+            names, wraps = set(words), tag == "form"
+        by_tag = tag in BOILER_TAGS and not (tag == "form" and wraps)
+        own = by_tag or bool(names & BOILER_WORDS) or ((tag == "header" or names & HEADER_WORDS) and not above_in)
         bad.append(bool(above_bad or own))
-        inside.append(above_in or tag in ARTICLE_TAGS)
     return bad, inside
 
 
-def content_nodes(nodes: list[tuple[int, str]], slots: list[int], stats: dict[int, tuple[int, bool, float]]) -> list[bool]:
+def content_nodes(nodes: list[tuple[int, str]], slots: list[int], stats: dict[int, tuple[int, bool, float]], chars: list[int]) -> list[bool]:
     """Which nodes of a page's tree hold content.
 
     stats: for each slot of the host's tree the pages that fill it, whether all fill it with the same text, and the share
-    of characters in links. Where the tree has an article or main element with text that is no boilerplate, content stands
-    within it. Elsewhere, slots that are constant over several pages, or mostly links, are template - unless nothing else
-    would be left.
+    of characters in links. chars: the characters of each node's own text. Where the tree has an article or main element
+    with text that is no boilerplate, content stands within it. Elsewhere, slots that are constant over several pages, or
+    mostly links, are template - unless nothing else would be left. Where names leave no text at all, slots decide alone.
     """
-    bad, inside = boilerplate(nodes)
-    if any(i and not b for i, b in zip(inside, bad, strict=True)):
-        return [i and not b for i, b in zip(inside, bad, strict=True)]
+    has_text = lambda keep: any(ok and n for ok, n in zip(keep, chars, strict=True))
+    bad, inside = boilerplate(nodes, chars)
+    within = [i and not b for i, b in zip(inside, bad, strict=True)]
+    if has_text(within):
+        return within
     plain = [not b for b in bad]
+    if not has_text(plain):
+        plain = [True] * len(nodes)
     strict = [ok and not (s in stats and ((stats[s][0] > 2 and stats[s][1]) or stats[s][2] > 0.6)) for ok, s in zip(plain, slots, strict=True)]
-    filled = [s for ok, s in zip(strict, slots, strict=True) if ok and s in stats]
-    return strict if filled or any(ok and s < 0 for ok, s in zip(strict, slots, strict=True)) else plain
+    return strict if has_text(strict) else plain
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -275,16 +295,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     matched = checkpoint(trees.join(reference, "host").select("host", "tree", "reference").mapInArrow(aligned, "host string, tree string, slots array<int>"))
     of_slot = slots.where("node >= 0").join(matched, ["host", "tree"]).withColumn("slot", F.expr("slots[node]")).where("slot >= 0")
     of_slot = of_slot.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("constant"), (F.sum("linked") / F.sum("chars")).alias("links"))
+    texts = slots.where("node >= 0").groupBy("host", "tree").agg(F.collect_list(F.struct("node", "chars")).alias("texts"))
     stats = of_slot.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "constant", "links")).alias("stats"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for tree, slots_, stats_ in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                keep.append(content_nodes(parse_signature(tree), slots_, {s["slot"]: (s["pages"], s["constant"], s["links"] or 0.0) for s in stats_ or ()}))
+            for tree, slots_, stats_, texts_ in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                nodes, of_node = parse_signature(tree), {x["node"]: x["chars"] for x in texts_ or ()}
+                chars = [of_node.get(k, 0) for k in range(len(nodes))]
+                keep.append(content_nodes(nodes, slots_, {s["slot"]: (s["pages"], s["constant"], s["links"] or 0.0) for s in stats_ or ()}, chars))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.list_(pa.bool_()))], ["host", "tree", "keep"])
 
-    wrappers = checkpoint(matched.join(stats, "host", "left").select("host", "tree", "slots", "stats").mapInArrow(judged, "host string, tree string, keep array<boolean>"))
+    wrappers = checkpoint(matched.join(stats, "host", "left").join(texts, ["host", "tree"], "left").select("host", "tree", "slots", "stats", "texts").mapInArrow(judged, "host string, tree string, keep array<boolean>"))
     parsed = rows.mapInArrow(parse, "id long, url string, host string, tree string, blocks array<struct<node:int,text:string,linked:int>>")
     kept = F.expr("array_join(transform(filter(blocks, b -> keep[b.node]), b -> b.text), ' ')")
     out = parsed.join(wrappers, ["host", "tree"], "left").select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.coalesce(kept, F.lit("")).alias("text"))

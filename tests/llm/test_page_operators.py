@@ -100,6 +100,21 @@ def test_slots_without_article_elements(spark):
     assert got[1] == "Story 1 begins. It ends 1." and got[3] == "Story 3 begins. It ends 3. Also 3"
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<html class="no-cookie"><body class="has-sidebar newsletter-open"><article><p>{}</p></article>', ""),
+    ('<body class="no-widget"><form action=x><div class="page-menu"><main class="has-sidebar"><article><p>{}</p></article></main></div></form>', ""),
+    ('<body><form><div id="no-promo-wrap"><p>{}</p></div></form>', ""),
+    ('<body><main><h1>{}</h1><article class="post has-sidebar"><p>{}</p><p>{}</p></article></main>', ""),
+    ('<body><div class="sidebar"><p>{}</p></div>', ""),
+    ('<body><main><p>{}</p></main>', '<div class="sidebar"><article><p>teaser</p></article></div><section class="comments"><p>me too</p></section>'),
+])
+def test_names_of_wrappers_lose_no_article(spark, start, end):
+    rows = [(k, f"https://c.example.com/{k}", start.replace("{}", f"Story {k} goes on and on for many words.") + end + "<footer>f</footer>") for k in range(4)]
+    got = {g["page_id"]: g["text"] for g in collect(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    for k in range(4):
+        assert got[k] == " ".join([f"Story {k} goes on and on for many words."] * start.count("{}"))
+
+
 def test_simple_tree_matching():
     a = [(-1, "html"), (0, "body"), (1, "nav"), (1, "div"), (3, "p"), (1, "footer")]
     b = [(-1, "html"), (0, "body"), (1, "div"), (2, "h1"), (2, "p"), (1, "footer")]
