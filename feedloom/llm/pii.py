@@ -171,7 +171,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     back to the originals.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.concat_ws("|", F.col("id").cast("string"), F.hex(F.xxhash64("id", "text"))))
-    found = rows.where(F.col("text").rlike(r"[@0-9]|\p{Lu}\p{L}*\.? \p{Lu}")).select("row", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    found = rows.select("row", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
     mentions = found.select("row", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind(F.col("raw"))).withColumn("value", canonical(F.col("kind"), F.col("raw")))
     mentions = checkpoint(mentions.distinct())
     entities = mentions.groupBy("kind", "value").agg(F.lit(1)).select("kind", "value")

@@ -128,6 +128,13 @@ def test_surrogates(spark):
     assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_an_entity_is_found_standing_alone(spark):
+    secrets = ["password: swordfish", "secret=correcthorsebattery", "key sk-abcdefghijklmnopqrstuvwxyz", "by Mr.\u00a0Smith", "это г-жа Попова", "say Dr Who", "mail ann@x.example.com", "ssn 123-45-6789", "at 10.20.30.40"]
+    got = {g["doc_id"]: g for g in collect(pii.pseudonymise(spark.createDataFrame([*enumerate(secrets)], "doc_id long, text string"), "k"))}
+    for k, text in enumerate(secrets):
+        assert got[k]["n_entities"] == 1 and got[k]["text"] != text, text
+
+
 def test_distinct_people_stay_distinct(spark):
     people = [f"Mr {a} {b}" for a in ("Aaron", "Caleb", "Dylan", "Felix", "Ivan") for b in (f"Q{chr(97 + i)}{chr(97 + j)}x" for i in range(12) for j in range(12))]
     df = spark.createDataFrame([(k, p) for k, p in enumerate(people)], "doc_id long, text string")
