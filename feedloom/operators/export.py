@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalars import parse_time, xml_escape
 
 
-def entry_id() -> Column:
-    return F.when(F.col("link") != "", F.col("link")).otherwise(F.concat(F.lit("autofeed:item:"), F.substring(F.sha2(F.col("title"), 256), 1, 16)))
+#: How ids of entries without a link begin; a parameter, so that a deployment can keep the ids that its readers know.
+ID_PREFIX = "item:"
+
+
+def entry_id(prefix: str = ID_PREFIX) -> Column:
+    """The link, or for items without one the prefix and the first 16 hex digits of the title's SHA-256."""
+    return F.when(F.col("link") != "", F.col("link")).otherwise(F.concat(F.lit(prefix), F.substring(F.sha2(F.col("title"), 256), 1, 16)))
 
 
 def atom_entries(items: DataFrame, *by: str) -> DataFrame:

@@ -423,7 +423,7 @@ def atom_entries(spark: SparkSession, d: str) -> DataFrame:
     return export.atom_entries(json_items(spark, d), "cust")
 
 
-@query("SELECT 'autofeed:item:' || substr(sha256(p_name), 1, 16) AS entry_id, p_partkey AS part FROM part")
+@query("SELECT 'item:' || substr(sha256(p_name), 1, 16) AS entry_id, p_partkey AS part FROM part")
 def entry_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.lit("").alias("link"), F.col("p_name").alias("title"), F.col("p_partkey").alias("part")).select(export.entry_id().alias("entry_id"), "part")
 

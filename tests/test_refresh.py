@@ -61,7 +61,7 @@ def test_atom(spark):
     df = spark.createDataFrame(rows, "feed string, ord int, title string, link string, content string, timestamp string, thumbnail string, author string")
     one, two = (r.entry for r in export.atom_entries(df, "feed").orderBy("ord").collect())
     assert "A &amp; &lt;b&gt;" in one and "<published>2024-01-01T10:00:00Z</published>" in one and "t.png" not in one
-    assert "(untitled)" in two and "<published>" not in two and "autofeed:item:e3b0c44298fc1c14" in two
+    assert "(untitled)" in two and "<published>" not in two and "<id>item:e3b0c44298fc1c14" in two
 
 
 def test_entry_and_queries(spark):
