@@ -1,21 +1,26 @@
 """Main-text extraction by wrapper induction.
 
 The DOM trees of same-host pages are aligned by simple tree matching against the host's most frequent tree. Aligned
-slots gather statistics over all pages of the host; constant and boilerplate slots are template, the others content.
+slots gather statistics over all pages of the host: what stays constant, or is mostly links, is template; what varies is
+content. Names of elements settle what statistics can't see (an advert that differs on every page).
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, materialise, salted_join, table
 
 #: Fixed values of HTML: elements without content, with raw text, and those that begin a block of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,27 +34,43 @@ P_CLOSERS = frozenset("address article aside blockquote center details dialog di
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 #: Elements that hold no article text.
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset search".split())
-#: Words of class, id and role names that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert newsletter subscribe "
-    "subscription signup login paywall popup modal overlay sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar "
-    "footer masthead comment comments respond replies discussion disqus social share sharing related recommended recommendations skip toc complementary contentinfo search".split()
+#: Words of class, id and role names. The first group marks adverts, menus, sidebars, notices, forms and comments wherever
+#: it stands; the second may also name parts of an article, so within one it counts only for constant or link-heavy slots.
+STRONG_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription "
+    "paywall sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond replies disqus share sharing social related recommended recommendations contentinfo".split()
 )
-HEADER_WORDS = frozenset(["header", "banner"])
+WEAK_WORDS = frozenset("banner notification alert signup login popup modal overlay aside rail widget widgets menu toolbar topbar masthead discussion skip toc complementary search header".split())
+#: Class names that tell a state of the page (has-sidebar, comments-open) name no part of it.
+STATE = re.compile(r"^(?:has|no|not|is|with|without|show|shows|hide|hides|js|can)-|-(?:open|opened|closed|enabled|disabled|active|inactive|visible|collapsed|expanded|on|off)$")
 ARTICLE_TAGS = frozenset(["article", "main"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+CODE_TAGS = frozenset(["pre", "code"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^><\"']|\"[^\"]*+\"|'[^']*+')*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 DIGITS = re.compile(r"\d+")
+SPACES = re.compile(r"\s+")
+#: A text is constant in a slot from this many distinct pages on, if they are this share of those that fill the slot.
+CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.5
+
+
+def digest(text: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Page:
-    """A page as a tree of labelled block elements (one node for each path of labels) and its blocks of text."""
+    """A page as a tree of labelled elements (one node for each path of labels) and its blocks of text.
+
+    Block elements and inline elements with a class, id or role are nodes; other inline elements are part of the element
+    around them.
+    """
 
     def __init__(self, html: str | None):
         #: (parent, label); the label is tag, class, id and role, digits cut out
         self.nodes: list[tuple[int, str]] = []
-        #: (node, text, characters within links)
-        self.blocks: list[tuple[int, str, int]] = []
+        #: (node of the block, its pieces as (node, text), characters within links)
+        self.blocks: list[tuple[int, list[tuple[int, str]], int]] = []
         self.places: dict[tuple[int, str], int] = {}
         self.parse(html or "")
 
@@ -61,17 +82,33 @@ class Page:
         return self.places[key]
 
     def parse(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, node, hidden
-        text: list[str] = []
-        link, linked = 0, 0
+        stack: list[tuple[str, int, bool]] = []  # tag, node (that around it for unnamed inline elements), hidden
+        opened: Counter = Counter()
+        pieces: list[tuple[int, str]] = []
+        unclosed: set[str] = set()
+        link, linked = False, 0
+
+        def pop_to(place: int) -> None:
+            while len(stack) > place:
+                opened[stack.pop()[0]] -= 1
+
+        def place_of(names, bounds=()) -> int:
+            """The place of the nearest open element of the names within the bounds, or -1."""
+            if not any(opened[n] > 0 for n in names):
+                return -1
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in names:
+                    return k
+                if stack[k][0] in bounds:
+                    return -1
+            return -1
 
         def flush() -> None:
-            nonlocal linked
-            joined = " ".join("".join(text).split())
-            if joined and not (stack and stack[-1][2]):
-                self.blocks.append((stack[-1][1] if stack else self.node(-1, "#"), joined, linked))
-            text.clear()
-            linked = 0
+            nonlocal linked, pieces
+            if pieces and any(not t.isspace() for _, t in pieces):
+                block = next((n for t, n, _ in reversed(stack) if t in BLOCK), -1)
+                self.blocks.append((block if block >= 0 else self.node(-1, "#"), pieces, linked))
+            pieces, linked = [], 0
 
         at, end = 0, len(html)
         while at < end:
@@ -79,49 +116,51 @@ class Page:
             tag, at = m[2], m.end()
             if tag is None:
                 got = m[0]
-                if got[0] != "<" or got == "<":
-                    got = entities.unescape(got) if "&" in got else got
-                    text.append(got)
+                if (got[0] != "<" or got == "<") and not (stack and stack[-1][2]):
+                    got = SPACES.sub(" ", entities.unescape(got) if "&" in got else got)
+                    pieces.append((stack[-1][1] if stack else -1, got))
                     linked += len(got.strip()) if link else 0
                 continue
             tag = tag.lower()
             if m[1]:
-                if tag == "a":
-                    link = max(0, link - 1)
-                elif tag in BLOCK and any(x[0] == tag for x in stack):
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                    link = 0
-                elif tag == "br":
-                    text.append(" ")
+                if tag == "br":
+                    pieces.append((-1, " "))
+                elif (k := place_of((tag,), () if tag in BLOCK else BLOCK)) >= 0:
+                    if tag in BLOCK:
+                        flush()
+                    pop_to(k)
+                if tag == "a" or tag in BLOCK:
+                    link = False
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
-                if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                    at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+                if tag not in unclosed and not (m[3].rstrip().endswith("/") and tag in ("svg", "math")):
+                    close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
+                    if close is None:
+                        unclosed.add(tag)
+                        close_at = end if tag in ("script", "style", "textarea", "title") else at
+                    at = close.end() if close else close_at
                 continue
-            if tag == "a":
-                link += 1
-            elif tag == "br":
-                text.append(" ")
+            if tag == "br":
+                pieces.append((-1, " "))
             elif tag in BLOCK:
                 flush()
-                if tag in P_CLOSERS and any(x[0] == "p" for x in stack):
-                    while stack.pop()[0] != "p":
-                        pass
-                names, bounds = CLOSES.get(tag, ((), ()))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in bounds:
-                        break
-                    if stack[k][0] in names:
-                        del stack[k:]
-                        break
-                link = 0
+                link = False
+                if tag in P_CLOSERS and (k := place_of(("p",))) >= 0:
+                    pop_to(k)
+                if tag in CLOSES and (k := place_of(*CLOSES[tag])) >= 0:
+                    pop_to(k)
                 label, hidden = self.label(tag, m[3])
                 node = self.node(stack[-1][1] if stack else -1, label)
                 if tag not in VOID:
                     stack.append((tag, node, hidden or bool(stack and stack[-1][2])))
+                    opened[tag] += 1
+            elif tag not in VOID:
+                if tag == "a":
+                    link = True
+                label, hidden = self.label(tag, m[3])
+                around = stack[-1][1] if stack else self.node(-1, "#")
+                stack.append((tag, self.node(around, label) if label != tag else around, hidden or bool(stack and stack[-1][2])))
+                opened[tag] += 1
         flush()
 
     @staticmethod
@@ -131,187 +170,249 @@ class Page:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
         marks = [DIGITS.sub("", found[k].lower()) for k in ("class", "id", "role") if found.get(k)]
         hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-        return ".".join([tag, *sorted(w for m in marks for w in m.split())]), hidden
+        return ".".join([tag, *sorted(w for m in marks for w in m.replace(".", "-").split())]), hidden
 
     def signature(self) -> str:
         return "\n".join(f"{p} {label}" for p, label in self.nodes)
 
 
-def parse_signature(signature: str) -> list[tuple[int, str]]:
+def text_of(pieces: list[tuple[int, str]], keep: list[bool] | None = None) -> str:
+    """A block's text; with keep, without the pieces of nodes that are not kept."""
+    return " ".join("".join(t for n, t in pieces if keep is None or n < 0 or keep[n]).split())
+
+
+def parse_signature(signature: str | None) -> list[tuple[int, str]]:
     return [(int(p), label) for p, label in (line.split(" ", 1) for line in signature.split("\n"))] if signature else []
 
 
+def chain(pairs: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest chain of (x, y, weight) in which x and y both grow, and its weight; pairs come by x, y falling within an x.
+
+    For each weight that a chain may reach, only chains that no lighter or equal one undercuts in their last y are kept.
+    """
+    ends: list[int] = []  # last y of the kept chains, growing with their weights
+    best: list[tuple[int, int]] = []  # (weight, pair)
+    before: list[int] = []
+    for k, (_, y, w) in enumerate(pairs):
+        at = bisect_right(ends, y - 1)
+        total, link = (best[at - 1][0] + w, best[at - 1][1]) if at else (w, -1)
+        before.append(link)
+        last = at
+        while last < len(ends) and best[last][0] <= total:
+            last += 1
+        if not (at < len(ends) and ends[at] == y and best[at][0] > total):
+            ends[at:last], best[at:last] = [y], [(total, k)]
+    out, k = [], best[-1][1] if best else -1
+    while k >= 0:
+        out.append(pairs[k][:2])
+        k = before[k]
+    return (best[-1][0] if best else 0), out[::-1]
+
+
 def align(one: list[tuple[int, str]], other: list[tuple[int, str]]) -> list[int]:
     """Simple tree matching: for each node of one, the node of other that it matches in a largest top-down matching, or -1.
 
-    Matching nodes have equal labels, matching parents, and keep the order of siblings.
+    Matching nodes have equal labels, matching parents, and keep the order of siblings. Pairs of nodes are found from the
+    roots down and solved from the leaves up, without recursion; of equal matchings the first found counts.
     """
     if one == other:
         return [*range(len(one))]
-    kids = [[[], *([] for _ in t)] for t in (one, other)]
+    kids: list[list[list[int]]] = [[[] for _ in range(len(t) + 1)] for t in (one, other)]
     for k, t in zip(kids, (one, other), strict=True):
         for i, (p, _) in enumerate(t):
             k[p + 1].append(i)
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def forest(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
-        """The size of the best matching below a and b, and the pairs of their children in it."""
-        if (a, b) not in memo:
-            xs, ys = kids[0][a + 1], kids[1][b + 1]
-            size = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, x in enumerate(xs):
-                for j, y in enumerate(ys):
-                    own = 1 + forest(x, y)[0] if one[x][1] == other[y][1] else 0
-                    size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + own)
-            pairs, i, j = [], len(xs), len(ys)
-            while i and j:
-                if size[i][j] == size[i - 1][j]:
-                    i -= 1
-                elif size[i][j] == size[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-            memo[a, b] = size[-1][-1], pairs
-        return memo[a, b]
-
+    order, todo, below = [], [(-1, -1)], {}
+    while todo:
+        a, b = todo.pop()
+        order.append((a, b))
+        places: dict[str, list[int]] = {}
+        for y in kids[1][b + 1]:
+            places.setdefault(other[y][1], []).append(y)
+        below[a, b] = [(x, y) for x in kids[0][a + 1] for y in reversed(places.get(one[x][1], ()))]
+        todo += below[a, b]
+    size: dict[tuple[int, int], int] = {}
+    for pair in reversed(order):
+        size[pair], below[pair] = chain([(x, y, 1 + size[x, y]) for x, y in below[pair]])
     out, todo = [-1] * len(one), [(-1, -1)]
     while todo:
-        for x, y in forest(*todo.pop())[1]:
+        for x, y in below[todo.pop()]:
             out[x] = y
             todo.append((x, y))
     return out
 
 
-def boilerplate(nodes: list[tuple[int, str]], chars: list[int]) -> tuple[list[bool], list[bool]]:
-    """For each node: is it boilerplate by its own or an ancestor's name; does it stand within an article or main element.
-
-    chars: characters of each node's own text. Names say nothing about html, body, main and what wraps all outermost
-    article and main elements; nor do a form and parts of class names (has-sidebar) about what holds most of the text.
-    """
-    bad, inside, own_chars, articles = [], [], [*chars], [0] * len(nodes)
-    for k, (parent, label) in enumerate(nodes):
-        inside.append((parent >= 0 and inside[parent]) or label.split(".")[0] in ARTICLE_TAGS)
-        articles[k] = int(inside[k] and not (parent >= 0 and inside[parent]))
-    outermost = sum(articles)
-    for k in range(len(nodes) - 1, -1, -1):
-        if (parent := nodes[k][0]) >= 0:
-            own_chars[parent] += own_chars[k]
-            articles[parent] += articles[k]
+def slots_of(nodes: list[tuple[int, str]], matched: list[int]) -> list[int]:
+    """The slot of each node: the reference's node, or for what the reference lacks a (negative) hash of its path of labels."""
+    paths, out = [], []
     for k, (parent, label) in enumerate(nodes):
-        tag, *words = label.split(".")
-        above_bad, above_in = (bad[parent], inside[parent]) if parent >= 0 else (False, False)
-        names = {w for x in words for w in re.split(r"[^a-z]+", x)}
-        wraps = tag in ("html", "body", "main") or (outermost > 0 and articles[k] == outermost)
-        if wraps:
-            names = set()
-        elif 2 * own_chars[k] > sum(chars):
-            names, wraps = set(words), tag == "form"
-        by_tag = tag in BOILER_TAGS and not (tag == "form" and wraps)
-        own = by_tag or bool(names & BOILER_WORDS) or ((tag == "header" or names & HEADER_WORDS) and not above_in)
-        bad.append(bool(above_bad or own))
-    return bad, inside
+        paths.append(digest(f"{paths[parent] if parent >= 0 else 0} {label}"))
+        out.append(matched[k] if matched[k] >= 0 else -1 - (paths[k] & (1 << 62) - 1))
+    return out
 
 
-def content_nodes(nodes: list[tuple[int, str]], slots: list[int], stats: dict[int, tuple[int, bool, float]], chars: list[int]) -> list[bool]:
+def content_nodes(nodes: list[tuple[int, str]], stats: list[tuple[int, int, int, int]]) -> list[bool]:
     """Which nodes of a page's tree hold content.
 
-    stats: for each slot of the host's tree the pages that fill it, whether all fill it with the same text, and the share
-    of characters in links. chars: the characters of each node's own text. Where the tree has an article or main element
-    with text that is no boilerplate, content stands within it. Elsewhere, slots that are constant over several pages, or
-    mostly links, are template - unless nothing else would be left. Where names leave no text at all, slots decide alone.
+    stats: for each node's slot, over the distinct pages of the host, the pages that fill it, its characters, those in
+    links, and those of constant blocks. The slot statistics decide first: a slot that is constant or mostly links is
+    template. Names decide where statistics can't: by elements (nav, aside, footer, form and so on) and by words of class,
+    id and role, of the node or of those around it. They say nothing about html, body and what wraps the article or main
+    elements with most text, and about code; parts of a class name (has-sidebar) say nothing about what holds most of the
+    text; words that may also name parts of an article count within one only for constant or link-heavy slots. Where article or
+    main elements hold a fifth of the text that is left or more, the content stands within them. If nothing would be left,
+    statistics are dropped, then names.
     """
-    has_text = lambda keep: any(ok and n for ok, n in zip(keep, chars, strict=True))
-    bad, inside = boilerplate(nodes, chars)
-    within = [i and not b for i, b in zip(inside, bad, strict=True)]
-    if has_text(within):
-        return within
-    plain = [not b for b in bad]
-    if not has_text(plain):
-        plain = [True] * len(nodes)
-    strict = [ok and not (s in stats and ((stats[s][0] > 2 and stats[s][1]) or stats[s][2] > 0.6)) for ok, s in zip(plain, slots, strict=True)]
-    return strict if has_text(strict) else plain
+    n = len(nodes)
+    chars, under, articles, inside = [s[1] for s in stats], [s[1] for s in stats], [0] * n, [False] * n
+    links, constant = [s[2] for s in stats], [s[3] for s in stats]
+    tags = [label.split(".", 1)[0] for _, label in nodes]
+    code = [False] * n
+    for k, (p, _) in enumerate(nodes):
+        within = p >= 0 and inside[p]
+        inside[k] = within or tags[k] in ARTICLE_TAGS
+        code[k] = (p >= 0 and code[p]) or tags[k] in CODE_TAGS
+        articles[k] = int(inside[k] and not within)
+    outermost = sum(articles)
+    for k in range(n - 1, -1, -1):
+        if (p := nodes[k][0]) >= 0:
+            for sums in (under, links, constant, articles):
+                sums[p] += sums[k]
+    total = sum(chars)
+
+    def template(k: int) -> bool:
+        """Constant, or mostly links, with all that stands below; own text for headings and paragraphs."""
+        pages, own, own_links, own_constant = stats[k]
+        if tags[k] in HEADINGS or tags[k] == "p":
+            return pages >= CONSTANT_PAGES and own > 0 and own_constant >= own
+        return under[k] > 0 and (links[k] > 0.6 * under[k] or constant[k] >= 0.9 * under[k])
+
+    bad, linked = [False] * n, [False] * n
+    for k, (p, label) in enumerate(nodes):
+        _, *words = label.split(".")
+        names = {w for x in words if not STATE.search(x) for w in (x, *re.split(r"[^a-z]+", x))}
+        wraps = tags[k] in ("html", "body", "main") or (outermost > 0 and articles[k] == outermost)
+        if wraps or code[k]:
+            names = set()
+        elif 2 * under[k] > total:
+            names, wraps = set(words), tags[k] == "form"
+        in_article = p >= 0 and inside[p]
+        named = bool(names & STRONG_WORDS) or (bool(names & WEAK_WORDS or tags[k] == "header") and (not in_article or (tags[k] != "header" and template(k))))
+        bad[k] = (p >= 0 and bad[p]) or (tags[k] in BOILER_TAGS and not (tags[k] == "form" and wraps)) or named
+        linked[k] = (p >= 0 and linked[p]) or (not wraps and not in_article and template(k)) or (in_article and tags[k] not in HEADINGS and stats[k][0] >= CONSTANT_PAGES and links[k] > 0.8 * under[k] > 0)
+    has_text = lambda keep: any(ok and c for ok, c in zip(keep, chars, strict=True))
+    for keep in ([not b and not t for b, t in zip(bad, linked, strict=True)], [not b for b in bad], [not t for t in linked]):
+        within = [ok and i for ok, i in zip(keep, inside, strict=True)]
+        held = sum(c for ok, c in zip(within, chars, strict=True) if ok)
+        if held and held >= 0.2 * sum(c for ok, c in zip(keep, chars, strict=True) if ok):
+            return within
+        if has_text(keep):
+            return keep
+    return [True] * n
+
+
+def page_text(blocks: list, keep: list[bool], constant: set[tuple[int, int]]) -> str:
+    """Kept blocks joined by one space, without those that are constant in their slot - unless little else is left (the host's pages are copies)."""
+    kept = [(node, pieces, text) for node, pieces in blocks if keep[node] and (text := text_of(pieces, keep))]
+    if constant:
+        varied = [x for x in kept if (x[0], digest(text_of(x[1]))) not in constant]
+        if sum(len(t) for *_, t in varied) >= 0.2 * sum(len(t) for *_, t in kept):
+            kept = varied
+    return " ".join(t for *_, t in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    Every page is parsed into a tree of labelled block elements; for each host the most frequent tree is the reference.
-    Each other distinct tree of the host is aligned with it, pair by pair, so no task gathers a host's pages. Slot
-    statistics are combined before they are shuffled and cover all pages. Text is decoded, white space within a block
-    becomes one space, kept blocks are joined by one space in page order.
+    Every page is parsed into a tree of labelled elements; for each host the tree of most distinct pages (of equals, that
+    with the largest hash) is the reference. Each other distinct tree of the host is aligned with it, pair by pair, so no
+    task gathers a host's pages; joins on hosts and slots are salted. Slot statistics cover all pages, copies of one page
+    counting once. Text is decoded, white space within a block becomes one space, kept blocks are joined by one space in
+    page order. Texts are shuffled once, compressed.
 
-    Null html counts as empty and gives an empty text. A null or malformed url has the host "". Pages of a host seen once
-    are judged by their own tree. Repeated rows are extracted each; extra columns are not read.
+    Null html counts as empty and gives an empty text. A null or malformed url has the host "". Pages of a host with fewer
+    than three distinct pages have no constant slots. Repeated rows are extracted each; extra columns are not read; an empty table
+    gives no rows; pages may be of any length and depth.
     """
+    seen_columns = "host string, tree long, page long, node int, text long, chars int, linked int, sig string"
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [Page(h) for h in b.column(3).to_pylist()]
-            blocks = [[{"node": n, "text": t, "linked": x} for n, t, x in p.blocks] for p in got]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([p.signature() for p in got], pa.string()), pa.array(blocks, pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("linked", pa.int32())])))],
-                ["id", "url", "host", "tree", "blocks"],
-            )
-
-    def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(host, tree, node) with the pages that fill it, the least and largest text hash, characters, those in links; node -1 counts pages."""
-        counts: dict[tuple[str, str, int], list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            keys, values = [*zip(*counts, strict=True)] or [(), (), ()], [*zip(*counts.values(), strict=True)] or [()] * 5
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int32()), *(pa.array(v, pa.int64()) for v in values)], ["host", "tree", "node", "pages", "low", "high", "chars", "linked"])
-
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each page a row with node -1 (and its tree, where the task has not yet sent it), and one for each block."""
+        sent: set[tuple[str, int]] = set()
         for b in batches:
+            rows = []
             for host, html in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 page = Page(html)
-                tree, slots = page.signature(), {-1: ["", 0, 0]}
-                for node, text, linked in page.blocks:
-                    s = slots.setdefault(node, ["", 0, 0])
-                    s[0] += text + "\n"
-                    s[1] += len(text)
-                    s[2] += linked
-                for node, (text, chars, linked) in slots.items():
-                    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                    c = counts.setdefault((host, tree, node), [0, h, h, 0, 0])
-                    c[:] = c[0] + 1, min(c[1], h), max(c[2], h), c[3] + chars, c[4] + linked
-            if len(counts) > 50_000:
-                yield out()
-        yield out()
+                sig = page.signature()
+                tree = digest(sig)
+                texts = [(node, digest(text), len(text), linked) for node, pieces, linked in page.blocks if (text := text_of(pieces))]
+                whole = digest(repr(texts))
+                rows.append((host, tree, whole, -1, 0, 0, 0, None if (host, tree) in sent else sig))
+                sent.add((host, tree))
+                rows += [(host, tree, whole, node, text, n, linked, None) for node, text, n, linked in texts]
+            if len(sent) > 100_000:
+                sent.clear()
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows, strict=True)] or [()] * 8, kinds, strict=True)], [c.split()[0] for c in seen_columns.split(", ")])
 
     host = F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.lower(host).alias("host"), F.col(html_col).cast("string").alias("html"))
-    counted = rows.mapInArrow(slot_counts, "host string, tree string, node int, pages long, low long, high long, chars long, linked long")
-    slots = checkpoint(counted.groupBy("host", "tree", "node").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
-    trees = slots.where("node = -1").select("host", "tree", "pages")
-    reference = trees.groupBy("host").agg(F.max(F.struct("pages", "tree")).alias("r")).select("host", F.col("r.tree").alias("reference"))
+    seen = materialise(rows.mapInArrow(survey, seen_columns))
+    trees = checkpoint(seen.where("node = -1").groupBy("host", "tree").agg(F.max("sig").alias("sig"), F.count_distinct("page").alias("pages"), F.count("*").alias("copies")))
+    reference = trees.groupBy("host").agg(F.max_by("sig", F.struct("pages", "tree")).alias("reference"), F.count("*").alias("n_trees"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maps = [align(parse_signature(x), parse_signature(y)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.list_(pa.int32()))], ["host", "tree", "slots"])
-
-    matched = checkpoint(trees.join(reference, "host").select("host", "tree", "reference").mapInArrow(aligned, "host string, tree string, slots array<int>"))
-    of_slot = slots.where("node >= 0").join(matched, ["host", "tree"]).withColumn("slot", F.expr("slots[node]")).where("slot >= 0")
-    of_slot = of_slot.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), (F.min("low") == F.max("high")).alias("constant"), (F.sum("linked") / F.sum("chars")).alias("links"))
-    texts = slots.where("node >= 0").groupBy("host", "tree").agg(F.collect_list(F.struct("node", "chars")).alias("texts"))
-    stats = of_slot.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "constant", "links")).alias("stats"))
+            maps = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                own = parse_signature(x)
+                maps.append(slots_of(own, align(own, parse_signature(y))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(maps, pa.list_(pa.int64()))], ["host", "tree", "sig", "copies", "slots"])
+
+    matched = salted_join(trees.select("host", "tree", "sig", "copies"), checkpoint(reference), ["host"], "n_trees").select("host", "tree", "sig", "copies", "reference")
+    matched = checkpoint(matched.mapInArrow(aligned, "host string, tree long, sig string, copies long, slots array<long>"))
+    # one row for each distinct page, slot and text; then the slots' statistics and the texts that are constant in them
+    blocks = salted_join(seen.where("node >= 0").drop("sig"), matched.select("host", "tree", "slots", "copies"), ["host", "tree"], "copies")
+    blocks = blocks.select("host", F.expr("slots[node]").alias("slot"), "page", "text", "chars", "linked").groupBy("host", "slot", "page", "text").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    blocks = materialise(blocks)
+    texts = blocks.groupBy("host", "slot", "text").agg(F.count("*").alias("of_text"), F.sum("chars").alias("of_chars")).where(F.col("of_text") >= CONSTANT_PAGES)
+    stats = checkpoint(blocks.groupBy("host", "slot", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host", "slot").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
+    constant = texts.join(stats, ["host", "slot"]).where(F.col("of_text") >= CONSTANT_SHARE * F.col("pages"))
+    constant = constant.groupBy("host", "slot").agg(F.collect_list("text").alias("constant"), F.sum("of_chars").alias("constant_chars"))
+    places = matched.select("host", "tree", F.posexplode("slots").alias("node", "slot"))
+    used = checkpoint(places.groupBy("host", "slot").agg(F.count("*").alias("n_nodes")))
+    stats = checkpoint(used.join(stats, ["host", "slot"], "left").join(constant, ["host", "slot"], "left"))
+    of_node = F.struct("node", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("constant_chars", F.lit(0)).alias("constant_chars"), "constant")
+    per_tree = salted_join(places, stats, ["host", "slot"], "n_nodes").groupBy("host", "tree").agg(F.collect_list(of_node).alias("stats"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for tree, slots_, stats_, texts_ in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
-                nodes, of_node = parse_signature(tree), {x["node"]: x["chars"] for x in texts_ or ()}
-                chars = [of_node.get(k, 0) for k in range(len(nodes))]
-                keep.append(content_nodes(nodes, slots_, {s["slot"]: (s["pages"], s["constant"], s["links"] or 0.0) for s in stats_ or ()}, chars))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.list_(pa.bool_()))], ["host", "tree", "keep"])
-
-    wrappers = checkpoint(matched.join(stats, "host", "left").join(texts, ["host", "tree"], "left").select("host", "tree", "slots", "stats", "texts").mapInArrow(judged, "host string, tree string, keep array<boolean>"))
-    parsed = rows.mapInArrow(parse, "id long, url string, host string, tree string, blocks array<struct<node:int,text:string,linked:int>>")
-    kept = F.expr("array_join(transform(filter(blocks, b -> keep[b.node]), b -> b.text), ' ')")
-    out = parsed.join(wrappers, ["host", "tree"], "left").select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.coalesce(kept, F.lit("")).alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+            keeps, constants = [], []
+            for sig, found in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                found = sorted(found or (), key=lambda s: s["node"])
+                keeps.append(content_nodes(parse_signature(sig), [(s["pages"], s["chars"], s["linked"], s["constant_chars"]) for s in found]))
+                constants.append([{"node": s["node"], "text": t} for s in found for t in s["constant"] or ()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(keeps, pa.list_(pa.bool_())), pa.array(constants, pa.list_(pa.struct([("node", pa.int32()), ("text", pa.int64())])))], ["host", "tree", "copies", "keep", "constant"])
+
+    wrappers = matched.select("host", "tree", "sig", "copies").join(per_tree, ["host", "tree"], "left")
+    wrappers = checkpoint(wrappers.mapInArrow(judged, "host string, tree long, copies long, keep array<boolean>, constant array<struct<node:int,text:long>>"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            got = [Page(h) for h in b.column(3).to_pylist()]
+            packed = [z.compress(json.dumps([(n, p) for n, p, _ in page.blocks], ensure_ascii=False).encode("utf-8", "surrogatepass")) for page in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([digest(p.signature()) for p in got], pa.int64()), pa.array(packed, pa.binary())], ["id", "url", "host", "tree", "packed"])
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for packed, keep, constant in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                out.append(page_text(json.loads(zstandard.decompress(packed)), keep or [], {(c["node"], c["text"]) for c in constant or ()}))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([*map(len, out)], pa.int64())], ["id", "url", "text", "n_chars"])
+
+    parsed = rows.mapInArrow(parse, "id long, url string, host string, tree long, packed binary")
+    out = salted_join(parsed, wrappers, ["host", "tree"], "copies", "left").select("id", "url", "packed", "keep", "constant")
+    return out.mapInArrow(render, "id long, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
