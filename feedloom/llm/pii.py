@@ -33,17 +33,18 @@ GIVEN_ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "
 MADE_UP, LONGER = 2, 6
 #: What is detected, in the order in which a place is tried. Passages that match none stay as they are.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.[\p{L}]{2,24}",
-    "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.=-]{8,}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.[\p{L}]{2,24}",
+    "secret": r"(?=[aAsStTpP])(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.=-]{8,}",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}.+-])(?:\d{4}[ -]){3}\d{4}(?![\p{L}\p{N}]|-\d)|(?<![\p{L}\p{N}.+-])\d{13,19}(?![\p{L}\p{N}]|-\d)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}-])\d{3}[-.]\d{3}[-.]\d{4}(?![\p{L}\p{N}-])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({w[0] for x in TITLES.values() for w in x.split()}))}])(?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All patterns begin where no letter or digit stands before; that is tested once, not by each of them.
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 TITLE = rf"^((?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}])"
 SECRET_HEAD = rf"^({PATTERNS['secret'].rsplit('[A-Za-z0-9', 1)[0]})"
 #: Country calling codes: of one, two or else three digits.
