@@ -1,11 +1,13 @@
-"""Helpers shared by the corpus operators: table reading, checkpoints, connected components."""
+"""Helpers shared by the corpus operators: table reading, checkpoints, joins on hot keys, dropping rows, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -13,18 +15,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows up to which a set of dropped rows is broadcast (some 40 bytes each); beyond it is joined like any other table.
+MOST_BROADCAST = 500_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; Arrow batches are bounded so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut to so many rows, so that a Python worker turns few texts at a time into objects; Spark bounds batches by bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master, a fresh one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_to.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
             set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_to.get()
@@ -54,6 +68,29 @@ def salted_join(rows: DataFrame, totals: DataFrame, on: list[str], n: str, how:
     return dealt.join(totals.withColumn("__salt", F.explode(copies)), [*on, "__salt"], how).drop("__salt")
 
 
+def text_key(text: Column) -> Column:
+    """A 128-bit key of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def act_on_rows(docs: DataFrame, acts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs by the decisions in acts (__id, __text, __keep): rows of this id and text go, or of several equal ones one stays.
+
+    ``__text`` is the text_key(); rows that acts doesn't name stay as they are. Rows are told apart by id and text together,
+    so a repeated id costs no other text, and null ids are ids like any other. Where acts is small, docs are not shuffled;
+    the size is counted first.
+    """
+    acts = checkpoint(acts)
+    sizes = {r["__keep"]: r["n"] for r in acts.groupBy("__keep").agg(F.count("*").alias("n")).collect()}
+    few = sum(sizes.values()) <= MOST_BROADCAST
+    own = docs.withColumns({"__own_id": F.col(id_col), "__own_text": text_key(F.col(text_col))})
+    joined = own.join(F.broadcast(acts) if few else acts, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_text") == F.col("__text")), "left")
+    out = joined.where("__keep is null")
+    if sizes.get(True):
+        out = out.union(joined.where("__keep").dropDuplicates(["__own_id", "__own_text"]))
+    return out.select(*docs.columns)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (src, dst); root is the smallest node of its component.
 

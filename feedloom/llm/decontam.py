@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, parts, table
 
 TOKEN = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -44,10 +47,11 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def share(part: list[str], passage: list[str], n: int = 3) -> float:
-    """The share of part's word n-grams that the passage holds; a shorter part is one gram of all its words."""
-    own = grams(part, min(n, len(part))) if part else set()
-    return len(own & grams(passage, min(n, len(part)))) / len(own) if own else 1.0
+def share(part: list[str], passage: list[str], n: int = 3, short: int = 6) -> float:
+    """The share of part's word n-grams that the passage holds; of a part with fewer than ``short`` words, the share of its words."""
+    n = n if len(part) >= short else 1
+    own = grams(part, n)
+    return len(own & grams(passage, n)) / len(own) if own else 1.0
 
 
 class Lookup(dict):
@@ -64,87 +68,81 @@ class Lookup(dict):
         return found
 
 
+class Statistics:
+    """What BM25 knows of all items of the benchmark, however they are dealt to shards: their number, mean length, and in how many each word stands."""
+
+    def __init__(self, n: int, mean: float, df: dict[str, int]):
+        self.n, self.mean, self.df = n, mean, df
+
+    @classmethod
+    def of(cls, items: list[list[str]]) -> Statistics:
+        df: Counter = Counter()
+        for words in items:
+            df.update(set(words))
+        return cls(len(items), sum(map(len, items)) / max(1, len(items)), df)
+
+
 class Index:
-    """Postings of one shard of items, with impacts as shares of the score that the item's own text gets.
+    """Postings of the items of one length class, with impacts as shares of the score that the item's own text gets.
 
-    So one threshold between 0 and 1 serves items of any length. Postings are sorted by item; blocks of ``block``
-    items keep their largest impact.
+    So one threshold between 0 and 1 serves items of any length. Postings are sorted by item; blocks of ``block`` items
+    keep their largest impact. Of each item, the rarest words that make up more than 1 - ``rest`` of its score are its
+    essential ones: a passage that reaches the threshold holds essential words for at least the threshold less the rest.
     """
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 2):
-        self.block = block
-        self.ids, self.parts = [i for i, _ in items], []
-        counts: list[dict[str, int]] = []
-        for _, text in items:
-            q, a = question_and_answer(text)
-            self.parts.append((q, a))
-            c: dict[str, int] = {}
-            for w in q + a:
-                c[w] = c.get(w, 0) + 1
-            counts.append(c)
-        n, lengths = len(items), [sum(c.values()) for c in counts]
-        mean, df = max(1.0, sum(lengths) / max(1, n)), {}
-        for c in counts:
-            for w in c:
-                df[w] = df.get(w, 0) + 1
-        self.terms = {w: k for k, w in enumerate(sorted(df))}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for item, (c, length) in enumerate(zip(counts, lengths, strict=True)):
-            raw = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)) for w, f in c.items()}
-            own = sum(raw.values())
-            for w, x in raw.items():
-                self.postings[self.terms[w]].append((item, x / own))
-        self.most = [max((x for _, x in p), default=0.0) for p in self.postings]
-        # each term's blocks with their largest impacts, as one flat list with offsets
-        self.block_most: list[dict[int, float]] = []
-        for p in self.postings:
-            best: dict[int, float] = {}
-            for item, x in p:
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], terms: dict[str, int], stats: Statistics, threshold: float, half: int, block: int = 8, rest: float = 0.35):
+        self.items, self.threshold, self.half, self.block, self.width = items, threshold, half, block, len(terms)
+        self.postings: dict[int, tuple[array, array]] = {}
+        essential: dict[int, list[tuple[int, float]]] = {}
+        self.need = np.zeros(len(items))
+        for item, (_, q, a) in enumerate(items):
+            c, length = Counter(q + a), len(q) + len(a)
+            raw = {w: math.log(1 + (stats.n - stats.df[w] + 0.5) / (stats.df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / stats.mean)) for w, f in c.items()}
+            own, left = sum(raw.values()), 1.0
+            for w in sorted(raw, key=lambda w: (stats.df[w], -raw[w], w)):
+                x, t = raw[w] / own, terms[w]
+                at, impact = self.postings.setdefault(t, (array("i"), array("d")))
+                at.append(item)
+                impact.append(x)
+                if left > min(rest, threshold / 2):
+                    essential.setdefault(t, []).append((item, x))
+                    left -= x
+            self.need[item] = threshold - left - 1e-9
+        self.most = {t: max(x) for t, (_, x) in self.postings.items()}
+        self.block_most: dict[int, dict[int, float]] = {}
+        for t, (at, impact) in self.postings.items():
+            best = self.block_most.setdefault(t, {})
+            for item, x in zip(at, impact, strict=True):
                 best[item // block] = max(best.get(item // block, 0.0), x)
-            self.block_most.append(best)
-        self.blocks = max(1, -(-n // block))
-        self.spans = np.cumsum([0, *map(len, self.block_most)])
-        #: terms that stand in many blocks have their largest impacts in rows of a matrix as well
-        self.dense = np.diff(self.spans) > max(4, self.blocks // 12)
-        self.dense_row, self.matrix = np.cumsum(self.dense) - 1, np.zeros((int(self.dense.sum()), self.blocks))
-        for row, t in enumerate(np.flatnonzero(self.dense)):
-            self.matrix[row, [*self.block_most[t]]] = [*self.block_most[t].values()]
-        self.flat_block = np.array([k for m in self.block_most for k in m], np.int64)
-        self.flat_most = np.array([x for m in self.block_most for x in m.values()])
-        self.longest, self.lookup = max(lengths, default=0), Lookup(self.terms)
-
-    def search(self, query: list[int], threshold: float, first: int, last: int) -> list[tuple[int, float]]:
-        """All (item, score) of the blocks first to last with a score of at least the threshold, by block-max WAND.
+        counts = np.zeros(self.width, np.int64)
+        counts[[*essential]] = [*map(len, essential.values())]
+        self.count, self.offset = counts, np.cumsum(counts) - counts
+        flat = [p for t in sorted(essential) for p in essential[t]]
+        self.flat_item, self.flat_share = np.array([i for i, _ in flat], np.int64), np.array([x for _, x in flat])
+
+    def search(self, query: list[int]) -> list[tuple[int, float]]:
+        """All (item, score) with a score of at least the threshold, by block-max WAND.
 
         Cursors are kept in the order of their items. The pivot is the first item at which the terms' largest impacts
         reach the threshold; nothing before it can. If the largest impacts of the pivot's block can't reach it either,
         the cursors go on to the next block; else the item is scored.
         """
-        limit, found = threshold - 1e-9, []
-        cursors, end = [], (last + 1) * self.block
-        for t in query:  # item, place, postings, largest impact, blocks
-            p = self.postings[t]
-            at = bisect_left(p, (first * self.block,))
-            if at < len(p) and p[at][0] < end:
-                cursors.append([p[at][0], at, p, self.most[t], self.block_most[t]])
+        limit, found = self.threshold - 1e-9, []
+        # item, place, items, impacts, largest impact, blocks
+        cursors = [[self.postings[t][0][0], 0, *self.postings[t], self.most[t], self.block_most[t]] for t in query if t in self.postings]
 
         def forward(c: list, item: int) -> bool:
-            p, at, step = c[2], c[1], 1
-            while at + step < len(p) and p[at + step][0] < item:
-                at, step = at + step, step * 2
-            while at < len(p) and p[at][0] < item:
-                at += 1
-            c[1] = at
-            if at < len(p):
-                c[0] = p[at][0]
-            return at < len(p) and c[0] < end
+            c[1] = bisect_left(c[2], item, c[1])
+            if c[1] < len(c[2]):
+                c[0] = c[2][c[1]]
+                return True
+            return False
 
         while cursors:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=itemgetter(0))
             total, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                total += c[3]
+                total += c[4]
                 if total >= limit:
                     pivot = k
                     break
@@ -153,65 +151,108 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            at = item // self.block
-            if sum(c[4].get(at, 0.0) for c in cursors[: pivot + 1]) < limit:
+            front, at = cursors[: pivot + 1], item // self.block
+            if sum(c[5].get(at, 0.0) for c in front) < limit:
                 after = (at + 1) * self.block
                 if pivot + 1 < len(cursors):
                     after = min(after, cursors[pivot + 1][0])
-                after = max(after, item + 1)
-                moved = cursors[: pivot + 1]
+                moved, after = front, max(after, item + 1)
             else:
-                moved, after = [c for c in cursors[: pivot + 1] if c[0] < item], item
+                moved, after = [c for c in front if c[0] < item], item
                 if not moved:
-                    score = sum(c[2][c[1]][1] for c in cursors[: pivot + 1])
+                    score = sum(c[3][c[1]] for c in front)
                     if score >= limit:
                         found.append((item, score))
-                    moved, after = cursors[: pivot + 1], item + 1
-            gone = [id(c) for c in moved if not forward(c, after)]
+                    moved, after = front, item + 1
+            gone = {id(c) for c in moved if not forward(c, after)}
             if gone:
                 cursors = [c for c in cursors if id(c) not in gone]
         return found
 
-    def matches(self, text: str | None, threshold: float, overlap: float) -> Iterator[tuple[int, float, float, float]]:
-        """(item id, score, question overlap, answer overlap): the best passage for each item that is verified.
+    def passages(self, every: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, list[int]]]:
+        """(half, distinct terms) of the passages whose essential words can reach the threshold for some item.
 
-        Passages are twice as long as the longest item and start every half passage, so any copy of an item lies whole
-        within one of them. The block-max bounds of all passages and blocks of a document are summed at once; the
-        search then runs in the blocks that can reach the threshold.
+        ``every``: a text's term numbers. Passages are two halves long and start every half, so a copy of an item, which is
+        a half long at most, lies whole within one of them. Halves are taken together up to ``most`` postings.
         """
-        half = max(16, self.longest)
-        every = np.array([*chain.from_iterable(map(self.lookup.__getitem__, (text or "").split()))], np.int64)
         place = np.flatnonzero(every >= 0)
         if not len(place):
             return
-        ids = every[place]
-        # the distinct terms of each half passage, and what they can add to each block of items at most
-        size, parts = len(self.terms), -(-len(every) // half)
-        pairs = np.unique(place // half * size + ids)
-        part, term = np.divmod(pairs, size)
-        dense = self.dense[term]
-        part_r, term_r = part[~dense], term[~dense]
-        count = self.spans[term_r + 1] - self.spans[term_r]
-        flat = np.arange(count.sum()) + np.repeat(self.spans[term_r] - np.cumsum(count) + count, count)
-        bound = np.bincount(np.repeat(part_r, count) * self.blocks + self.flat_block[flat], self.flat_most[flat], parts * self.blocks).reshape(parts, self.blocks)
-        if dense.any():
-            present, at = np.unique(part[dense], return_index=True)
-            bound = bound.astype(np.float64)
-            bound[present] += np.add.reduceat(self.matrix[self.dense_row[term[dense]]], at, axis=0)
-        if parts > 1:
-            bound = bound[:-1] + bound[1:]
-        best: dict[int, tuple[float, float, float]] = {}
-        last_k, query, words = -1, [], []
-        for k, block in zip(*(x.tolist() for x in np.nonzero(bound >= threshold - 1e-9)), strict=True):
-            if k != last_k:
-                last_k, query = k, np.unique(term[np.searchsorted(part, k) : np.searchsorted(part, k + 2)]).tolist()
-            for item, score in self.search(query, threshold, block, block):
-                words = words or tokens(text)
-                in_q, in_a = (share(x, words[k * half : (k + 2) * half]) for x in self.parts[item])
-                if in_q >= overlap and in_a >= overlap and (item not in best or (score, in_q, in_a) > best[item]):
-                    best[item] = (score, in_q, in_a)
-        for item, (score, in_q, in_a) in sorted(best.items()):
-            yield self.ids[item], score, in_q, in_a
+        part, term = np.divmod(np.unique(place // self.half * self.width + every[place]), self.width)
+        pairs = np.cumsum(self.count[term])
+        starts, lo = np.searchsorted(part, np.arange(part[-1] + 3)), 0
+        last = int(part[-1])
+        while lo <= last:
+            base, hi = pairs[starts[lo] - 1] if starts[lo] else 0, lo + 1
+            hi = max(hi, int(part[min(len(part) - 1, np.searchsorted(pairs, base + most))]))
+            hi = last if hi >= last - 1 else hi
+            a, b = starts[lo], starts[hi + 1]  # the halves lo to hi, of which the last begins the next turn, too
+            p, t = part[a:b], term[a:b]
+            n = self.count[t]
+            flat = np.arange(n.sum()) + np.repeat(self.offset[t] - np.cumsum(n) + n, n)
+            key = np.repeat(p, n) * len(self.items) + self.flat_item[flat]
+            key, weight = np.concatenate([key, key - len(self.items)]), np.tile(self.flat_share[flat], 2)
+            found, inverse = np.unique(key, return_inverse=True)
+            reach = np.bincount(inverse, weight) >= self.need[found % len(self.items)]
+            for k in np.unique(found[reach] // len(self.items)).tolist():
+                if lo <= k < hi or k == last == 0:
+                    yield k, np.unique(term[starts[max(k, 0)] : starts[k + 2]]).tolist()
+            if hi >= last:
+                break
+            lo = hi
+
+
+class Shard:
+    """The items of one part of the benchmark, in an index for each class of lengths (16 words, 32, 64 and so on at most)."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, stats: Statistics | None = None, block: int = 8):
+        parts_ = [(i, *question_and_answer(text)) for i, text in items]
+        stats = stats or Statistics.of([q + a for _, q, a in parts_])
+        terms = {w: k for k, w in enumerate(sorted({w for _, q, a in parts_ for w in q + a}))}
+        classes: dict[int, list] = {}
+        for x in parts_:
+            if n := len(x[1]) + len(x[2]):
+                classes.setdefault(16 << max(0, (n - 1).bit_length() - 4), []).append(x)
+        self.indexes = [Index(x, terms, stats, threshold, half, block) for half, x in sorted(classes.items())]
+        self.lookup = Lookup(terms)
+
+    def matches(self, text: str | None, overlap: float) -> Iterator[tuple[int, float, float, float]]:
+        """(item id, score, question overlap, answer overlap): the best passage for each item that is verified."""
+        every = np.array([*chain.from_iterable(map(self.lookup.__getitem__, (text or "").split()))], np.int64)
+        words: list[str] = []
+        for index in self.indexes:
+            best: dict[int, tuple[float, float, float]] = {}
+            for k, query in index.passages(every):
+                for item, score in index.search(query):
+                    words = words or tokens(text)
+                    passage = words[max(0, k * index.half) : (k + 2) * index.half]
+                    in_q, in_a = (share(x, passage) for x in index.items[item][1:])
+                    if in_q >= overlap and in_a >= overlap and (item not in best or (score, in_q, in_a) > best[item]):
+                        best[item] = (score, in_q, in_a)
+            for item, found in sorted(best.items()):
+                yield index.items[item][0], *found
+
+
+def shards_of(items: DataFrame, item_id_col: str, item_text_col: str, threshold: float, shard_items: int) -> Iterator[Shard]:
+    """The shards of a benchmark, one after the other; the statistics of words are those of all items."""
+    words = items.select(F.col(item_id_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").rlike(r"(?U)\w"))
+    shards = max(1, math.ceil(words.count() / shard_items))
+    placed = words.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            found = [tokens(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([*map(len, found)], pa.int64()), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))], ["shard", "n", "words"])
+
+    if shards > 1:
+        counted = checkpoint(placed.select("shard", "text").mapInArrow(split, "shard long, n long, words array<string>"))
+        n, mean = counted.agg(F.count("*"), F.avg("n")).first()
+        each = counted.select("shard", F.explode("words").alias("word"))
+        df = checkpoint(each.groupBy("word").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards")))
+    for shard in range(shards):
+        rows = sorted((r.item if r.item is not None else -1, r.text) for r in placed.where(F.col("shard") == shard).collect())
+        stats = Statistics(n, mean, {r.word: r.df for r in df.where(F.array_contains("shards", shard)).select("word", "df").collect()}) if shards > 1 else None
+        yield Shard(rows, threshold, stats)
 
 
 def contaminated(
@@ -223,28 +264,28 @@ def contaminated(
     item_text_col: str = "text",
     threshold: float = 0.6,
     overlap: float = 0.5,
-    shard_items: int = 20_000,
+    shard_items: int = 100_000,
 ) -> DataFrame:
     """(id, item_id, score, question_overlap, answer_overlap) for each item found in a document.
 
     ``threshold``: the least share of the item's own BM25 score that a passage must reach. ``overlap``: the least share
-    of the word trigrams of the question, and of the answer, that the passage must hold. Case and punctuation are
-    ignored. Items without words (null, empty) match nothing; null texts hold nothing. Repeated items and documents
-    are matched row by row. The index is split into shards of at most ``shard_items`` items, each broadcast by itself
-    and searched in a pass of its own, so that no task holds more than that many items whatever the benchmark's size.
+    of the word trigrams of the question, and of the answer, that the passage must hold (of words, where there are fewer than
+    six). Case and punctuation are ignored. Items without words (null, empty) match nothing; null and empty texts hold
+    nothing; items with a null id are shown as -1. Repeated items and documents are matched row by row; of passages that
+    score the same for one item, that with the larger overlaps is shown. Extra columns are not read; an empty table on
+    either side gives no rows. Texts of any length are searched whole, in turns of bounded memory.
+
+    The index is split into shards of at most ``shard_items`` items (about 100 MB), each broadcast by itself and searched in
+    a pass of its own, so that no task holds more than that whatever the benchmark's size. Scores don't depend on the split.
     """
-    spark = docs.sparkSession
-    words = items.select(F.col(item_id_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text rlike '(?U)\\\\w'")
-    shards = max(1, math.ceil(words.count() / shard_items))
-    placed = words.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for shard in range(shards):
-        index = spark.sparkContext.broadcast(Index(sorted((r.item if r.item is not None else -1, r.text) for r in placed.where(F.col("shard") == shard).collect())))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for m in index.value.matches(t, threshold, overlap)]
+    spark, out = docs.sparkSession, None
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    for shard in shards_of(items, item_id_col, item_text_col, threshold, shard_items):
+        sent = spark.sparkContext.broadcast(shard)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in parts(batches):
+                found = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for m in sent.value.matches(t, overlap)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -253,10 +294,22 @@ def contaminated(
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs without the rows that hold an item; all columns stay. Rows with a null id stay."""
-    found = contaminated(docs, items, id_col, text_col, **more).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, docs[id_col] == found["__found"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.5, shard_items: int = 100_000) -> DataFrame:
+    """docs without the rows that hold an item; all columns stay.
+
+    Every row is judged by its own text where it stands, so nothing is joined or shuffled, and repeated and null ids matter to no
+    other row. All shards are searched in one pass.
+    """
+    at, out = docs.columns.index(text_col), docs
+    for shard in shards_of(items, item_id_col, item_text_col, threshold, shard_items):
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in parts(batches):
+                yield b.filter(pa.array([next(sent.value.matches(t, overlap), None) is None for t in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

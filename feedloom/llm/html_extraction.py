@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, materialise, salted_join, table
+from .common import checkpoint, materialise, parts, salted_join, table
 
 #: Fixed values of HTML: elements without content, with raw text, and those that begin a block of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -338,7 +338,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each page a row with node -1 (and its tree, where the task has not yet sent it), and one for each block."""
         sent: set[tuple[str, int]] = set()
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for host, html in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 page = Page(html)
@@ -361,7 +361,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     reference = trees.groupBy("host").agg(F.max_by("sig", F.struct("pages", "tree")).alias("reference"), F.count("*").alias("n_trees"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             maps = []
             for x, y in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 own = parse_signature(x)
@@ -385,7 +385,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     per_tree = salted_join(places, stats, ["host", "slot"], "n_nodes").groupBy("host", "tree").agg(F.collect_list(of_node).alias("stats"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             keeps, constants = [], []
             for sig, found in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 found = sorted(found or (), key=lambda s: s["node"])
@@ -398,13 +398,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in parts(batches):
             got = [Page(h) for h in b.column(3).to_pylist()]
             packed = [z.compress(json.dumps([(n, p) for n, p, _ in page.blocks], ensure_ascii=False).encode("utf-8", "surrogatepass")) for page in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([digest(p.signature()) for p in got], pa.int64()), pa.array(packed, pa.binary())], ["id", "url", "host", "tree", "packed"])
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = []
             for packed, keep, constant in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 out.append(page_text(json.loads(zstandard.decompress(packed)), keep or [], {(c["node"], c["text"]) for c in constant or ()}))

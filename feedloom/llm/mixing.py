@@ -3,33 +3,53 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, table
-
+from .common import MOST_BROADCAST, WORD, checkpoint, salted_join, table
+
+#: Topics by their words, in four languages; a parameter, to be replaced by the lexicons of a corpus.
+WORDS = {
+    "technology": "api code computer data database internet key network password server software system token user website rechner netz daten passwort logiciel ordinateur réseau données contraseña red datos programa",
+    "law": "court copyright judge law lawyer legal license licensed rights terms trial gericht gesetz recht lizenz urteil cour droit loi licence juge corte derecho ley licencia juez",
+    "business": "bank business company economy invoice market money price sales shop trade wirtschaft geld markt preis firma rechnung argent entreprise marché prix banque dinero empresa mercado precio banco",
+    "health": "cancer disease doctor drug health hospital medical medicine patient arzt gesundheit krankheit krankenhaus médecin santé maladie hôpital médico salud enfermedad hospital",
+    "science": "experiment physics planet research science scientist theory university forschung wissenschaft theorie universität recherche théorie université ciencia investigación teoría universidad",
+    "politics": "election government minister parliament party policy president vote regierung wahl partei präsident gouvernement élection président gobierno elección partido presidente",
+    "sports": "champion coach football game goal league match player score team sieg spiel spieler tor équipe joueur victoire equipo jugador partido",
+}
+OTHER = "other"
 #: Target shares of tokens. Values that are not listed share what is left in proportion to their tokens to the power ALPHA.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1}
-TOPICS = {"prose": 0.8, "table": 0.05, "shouting": 0.02, "technical": 0.08}
+TOPICS = {"technology": 0.1, "law": 0.05, "science": 0.05, OTHER: 0.7}
 SOURCES: dict[str, float] = {}
 ALPHA = 0.5
 DIMENSIONS = ("source", "lang", "topic")
 #: Pairs of language and topic whose factors the driver may hold while it rakes (a number for each, 80 KB at most).
 PAIRS = 10_000
+NONE = "\x00"
+
+
+def topic(text: Column, words: dict[str, str] | None = None, least: int = 2) -> Column:
+    """The topic with the most occurrences of its words in the whole text (of equals, the first by name), if there are ``least`` of them."""
+    words = WORDS if words is None else words
+    every = sorted({w for x in words.values() for w in x.split()})
+    if not every:
+        return F.lit(OTHER)
+    starts = "".join(sorted({w[0] for w in every}))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=[{starts}])(?:{'|'.join(every)})(?![\p{{L}}\p{{N}}])"), F.lit(0))
 
+    def count(found: Column, own: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(own)))
 
-def topic(text: Column) -> Column:
-    """The kind of text, by its form: technical (keys, licences), table (cell bars), shouting (capitals), else prose."""
-    t = F.coalesce(text, F.lit(""))
-    bars = F.length(t) - F.length(F.replace(t, F.lit(" | "), F.lit("")))
-    return (
-        F.when(t.contains('token = "') | t.contains("Licensed under"), "technical")
-        .when(bars * 8 > F.length(t), "table")
-        .when((F.upper(t) == t) & (F.lower(t) != t), "shouting")
-        .otherwise("prose")
-    )
+    def best(found: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(count(found, x.split()).alias("n"), F.lit(-k).alias("place"), F.lit(t).alias("topic")) for k, (t, x) in enumerate(sorted(words.items()))]))
+
+    top = F.element_at(F.transform(F.array(found), best), 1)  # so that the words are searched once
+    return F.when(top["n"] >= least, top["topic"]).otherwise(OTHER)
 
 
 def targets(cells: DataFrame, dim: str, listed: dict[str, float], alpha: float) -> DataFrame:
@@ -43,6 +63,11 @@ def targets(cells: DataFrame, dim: str, listed: dict[str, float], alpha: float)
     return checkpoint(totals.select(dim, share.alias("share")))
 
 
+def not_settled(sweeps: int, off: float) -> None:
+    """Targets that contradict each other (a language with no cell outside one source, say) can't all be met; what is closest stands."""
+    warnings.warn(f"raking is {off:.2g} off a target share after {sweeps} sweeps: the targets can't be met together", stacklevel=3)
+
+
 def rake(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """cells (the dimensions, tokens) with a column w, whose sums over each dimension are the target shares.
 
@@ -62,6 +87,8 @@ def rake(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50, toler
         off = fitted.groupBy(first).agg(F.sum("w").alias("__sum")).join(shares[first], first).agg(F.max(F.abs(F.col("__sum") - F.col("share")))).first()[0]
         if off is None or off <= tolerance:
             break
+    else:
+        not_settled(sweeps, off)
     return fitted
 
 
@@ -95,6 +122,8 @@ def rake_rows(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50,
         got = held.groupBy("x.pair").agg(F.sum(F.col("by") * F.col("x.tokens")).alias("s"), F.max("off").alias("off")).collect()
         if sweep and max(r.off for r in got) <= tolerance:
             break
+        if sweep == sweeps - 1:
+            not_settled(sweeps, max(r.off for r in got))
         sums, before, now = np.zeros(len(listed)), now, now.copy()
         sums[[r.pair for r in got]] = [r.s for r in got]
         for j, m in enumerate(member):
@@ -120,6 +149,31 @@ def rate(fitted: DataFrame, budget: float) -> float:
     return c
 
 
+def described(docs: DataFrame, id_col: str, text_col: str, words: dict[str, str] | None, seed: int) -> DataFrame:
+    """docs with __source, __lang, __topic, __n_tokens and __uniform (in [0, 1), by a hash of the id, or of the text where there is none)."""
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col))).otherwise(F.xxhash64(F.lit(seed), F.col(text_col)))
+    return docs.withColumns({
+        "__source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
+        "__lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
+        "__topic": topic(F.col(text_col), words),
+        "__n_tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+        "__uniform": F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53)),
+    })
+
+
+def with_chances(own: DataFrame, keep_share: float, listed: dict[str, dict[str, float]], alpha: float) -> DataFrame:
+    """described() documents with __p, the chance of their cell. Few cells are broadcast, so that no text is shuffled; many are joined, hot ones salted."""
+    on = [f"__{d}" for d in DIMENSIONS]
+    cells = checkpoint(own.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__n_tokens").alias("tokens"), F.count("*").alias("n")))
+    shares = {d: targets(cells, d, listed[d], alpha) for d in DIMENSIONS}
+    fitted = (rake_rows if cells.select(*DIMENSIONS[1:]).distinct().count() <= PAIRS else rake)(cells.drop("n"), shares)
+    c = rate(fitted, keep_share * (cells.agg(F.sum("tokens")).first()[0] or 0))
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("w") / F.col("tokens"))).otherwise(0.0)
+    found = fitted.select(*DIMENSIONS, chance.alias("__p")).join(cells.select(*DIMENSIONS, F.col("n").alias("__rows")), list(DIMENSIONS))
+    found = checkpoint(found.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "__p", "__rows"))
+    return own.join(F.broadcast(found.drop("__rows")), on) if found.count() <= MOST_BROADCAST else salted_join(own, found, on, "__rows")
+
+
 def mixture(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -128,6 +182,7 @@ def mixture(
     sources: dict[str, float] | None = None,
     languages: dict[str, float] | None = None,
     topics: dict[str, float] | None = None,
+    words: dict[str, str] | None = None,
     alpha: float = ALPHA,
     seed: int = 11,
 ) -> DataFrame:
@@ -136,40 +191,31 @@ def mixture(
     Token weights are raked to the source, language and topic marginals. A document's probability is min(1, c * w /
     tokens) of its cell, with c such that the expected tokens are ``keep_share`` of all (cells that would have to be
     repeated stay at 1). It is sampled if a hash of its id, uniform in [0, 1), is below the probability: the same
-    documents for the same ids and seed, on any cluster. Null source and language are values of their own (shown as
-    null). A text without words (null, empty) has no tokens and the probability of its cell; a cell of such texts
-    alone gets probability 0. Repeated rows are sampled together; extra columns are not read.
+    documents for the same ids and seed, on any cluster. A topic is that of most words in ``words``. Null source and
+    language are values of their own (shown as null). A text without words (null, empty) has no tokens and the probability
+    of its cell; a cell of such texts alone gets probability 0. Rows of one id share the hash, rows without an id have one
+    by their text. Targets that can't be met together are approached and reported by a warning. Extra columns are not read;
+    an empty table gives no rows.
     """
-    listed = {"source": SOURCES if sources is None else sources, "lang": LANGUAGES if languages is None else languages, "topic": TOPICS if topics is None else topics}
-    null = "\x00"
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col("source").cast("string"), F.lit(null)).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit(null)).alias("lang"),
-        topic(F.col(text_col)).alias("topic"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-    )
-    rows = checkpoint(rows)
-    cells = checkpoint(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    shares = {d: targets(cells, d, listed[d], alpha) for d in DIMENSIONS}
-    fitted = (rake_rows if cells.select(*DIMENSIONS[1:]).distinct().count() <= PAIRS else rake)(cells, shares)
-    budget = keep_share * (cells.agg(F.sum("tokens")).first()[0] or 0)
-    c = rate(fitted, budget)
-    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("w") / F.col("tokens"))).otherwise(0.0)
-    chances = fitted.select(*DIMENSIONS, chance.alias("probability"))
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) / F.lit(float(1 << 53))
-    shown = [F.when(F.col(d) != null, F.col(d)).alias(d) for d in DIMENSIONS]
-    return rows.join(chances, list(DIMENSIONS)).select(F.col("id").alias(id_col), *shown, "n_tokens", "probability", (uniform < F.col("probability")).alias("sampled"))
+    rows = described(docs, id_col, text_col, words, seed).select(F.col(id_col).alias("__id"), *[f"__{d}" for d in DIMENSIONS], "__n_tokens", "__uniform")
+    rows = with_chances(checkpoint(rows), keep_share, targets_of(sources, languages, topics), alpha)
+    shown = [F.when(F.col(f"__{d}") != NONE, F.col(f"__{d}")).alias(d) for d in DIMENSIONS]
+    return rows.select(F.col("__id").alias(id_col), *shown, F.col("__n_tokens").alias("n_tokens"), F.col("__p").alias("probability"), (F.col("__uniform") < F.col("__p")).alias("sampled"))
 
 
-def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The sampled documents with all their columns, and the columns topic, n_tokens and sampling_probability."""
-    found = mixture(docs, id_col, text_col, **more).where("sampled").dropDuplicates([id_col])
-    found = found.select(F.col(id_col).alias("__id"), F.col("topic").alias("__topic"), F.col("n_tokens").alias("__n"), F.col("probability").alias("__p"))
+def targets_of(sources: dict[str, float] | None, languages: dict[str, float] | None, topics: dict[str, float] | None) -> dict[str, dict[str, float]]:
+    return {d: standard if own is None else own for d, own, standard in zip(DIMENSIONS, (sources, languages, topics), (SOURCES, LANGUAGES, TOPICS), strict=True)}
+
+
+def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float = 0.5, sources: dict | None = None, languages: dict | None = None, topics: dict | None = None, words: dict | None = None, alpha: float = ALPHA, seed: int = 11) -> DataFrame:
+    """The sampled documents with all their columns, and the columns topic, n_tokens and sampling_probability (mix_... where these names are taken).
+
+    Every row is sampled by its own cell, where it stands, as by mixture(); nothing is joined by id.
+    """
+    out = with_chances(described(docs, id_col, text_col, words, seed), keep_share, targets_of(sources, languages, topics), alpha).where("__uniform < __p")
     clash = {c.lower() for c in docs.columns}
     name = lambda c: c if c not in clash else f"mix_{c}"
-    out = docs.join(found, docs[id_col].eqNullSafe(found["__id"]))
-    return out.select(*[docs[c] for c in docs.columns], found["__topic"].alias(name("topic")), found["__n"].alias(name("n_tokens")), found["__p"].alias(name("sampling_probability")))
+    return out.select(*docs.columns, F.col("__topic").alias(name("topic")), F.col("__n_tokens").alias(name("n_tokens")), F.col("__p").alias(name("sampling_probability")))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

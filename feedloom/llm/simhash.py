@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, salted_join, table
+from .common import MOST_BROADCAST, act_on_rows, checkpoint, connected_components, materialise, parts, salted_join, table, text_key
 
 BITS, RADIUS = 64, 3
 #: Buckets of more distinct fingerprints than this are searched by neighbourhoods instead of by comparing members.
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp); null text counts as empty, whose fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             fps = [fingerprint(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
@@ -83,8 +83,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     assert radius == RADIUS, "the neighbourhood search is laid out for radius 3"
     masks = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(covering_masks())])
     rows = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(rows.join(sizes, ["t", "key"]))
+    sizes = checkpoint(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = checkpoint(salted_join(rows, sizes, ["t", "key"], "n"))
     small = met.where(F.col("n") <= bucket).groupBy("t", "key").agg(F.collect_list("fp").alias("a"))
     pairs = f"flatten(transform(a, x -> transform(filter(a, y -> y > x and bit_count(x ^ y) <= {radius}), y -> struct(x as src, y as dst))))"
     near = small.select(F.explode(F.expr(pairs)).alias("e")).select("e.src", "e.dst")
@@ -139,59 +139,109 @@ def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (least + most - common) - 1e-9
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
-    """Edges (src, dst) between ids of rows whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(id, text, same, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, and the set's MinHash keys."""
 
-    SimHash can't collect these: at similarity 0.8, fingerprints differ in about 10 of 64 bits, for which covering masks
-    need 2^11 tables. Candidates come from ``bands`` MinHash keys of ``rows`` values each; a pair of similarity s shares a
-    key with probability 1 - (1 - s^rows)^bands (0.99993 at 0.8), and every link is verified on the whole sets.
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets = [np.unique(hashed_shingles(t, shingle)) for t in b.column(2).to_pylist()]
+            equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))], ["id", "text", "same", "keys"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text"), F.col(text_col).cast("binary").alias("words"))
+    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, keys array<long>"))
+
+
+def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 5) -> DataFrame:
+    """Edges (src, dst) between sets of word shingles (by their 128-bit hashes) with a Jaccard similarity of at least ``similarity``.
 
-    Rows of equal sets are linked to the smallest id. The least ids of the sets meet in buckets, in the order of their
-    ids: each is compared with those before it that were linked to none, so that a bucket of near copies takes one
-    comparison for each member. Of two similar rows that meet, the later is therefore linked to a smaller id, or the
-    earlier is. Null and empty texts are equal. Rows with a null id are left out.
+    SimHash can't collect these: at similarity 0.8, fingerprints differ in about 10 of 64 bits, for which covering masks
+    need 2^11 tables. Candidates come from the MinHash keys in ``sketches``: a pair of similarity s shares one of b keys of
+    r values with probability 1 - (1 - s^r)^b, and every link is verified on the whole sets.
+
+    One text stands for each set. Sets meet in buckets, in the order of their smallest ids: each is compared with those
+    before it that were linked to none, its leaders. Of two similar sets that meet, the later is therefore linked to an
+    earlier one, or the earlier is. Leaders are taken in rounds, one for each bucket; as near copies share theirs in most
+    buckets, they are compared about once, by tasks that hold one pair at a time. Buckets with still more leaders are
+    finished by a task each, one comparison of a member and a leader after the other.
     """
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(hashed_shingles(t, shingle)) for t in b.column(1).to_pylist()]
-            equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), equal, pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))], ["id", "same", "keys"])
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets = [np.unique(hashed_shingles(t, shingle)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["same", "set"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            ok = [similar(*(np.frombuffer(x, np.uint64) for x in pair), similarity) for pair in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["leader", "same", "ok"])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, first = None, []
-        for b in batches:
+        for b in parts(batches):
             src, dst = [], []
-            for band, key, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for band, key, same, known, held in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4)), strict=True):
                 if (band, key) != bucket:
                     bucket, first = (band, key), []
-                own = np.unique(hashed_shingles(text, shingle))
-                near = [j for j, other in first if i != j and similar(own, other, similarity)]
+                own = np.frombuffer(held, np.uint64)
+                near = [other for other, x in first if similar(own, x, similarity)]
                 src += near
-                dst += [i] * len(near)
-                if not near:
-                    first.append((i, own))
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
-    sketches = checkpoint(texts.mapInArrow(sketch, "id long, same binary, keys array<long>"))
-    sets = checkpoint(sketches.groupBy("same").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("src"), F.count("*").alias("n")))
-    equal = salted_join(sketches.select("id", "same"), sets.where("n > 1").select("same", "src", "n"), ["same"], "n").select("src", F.col("id").alias("dst"))
-    keyed = sets.select(F.col("src").alias("id"), "same", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(salted_join(keyed, checkpoint(sizes), ["band", "key"], "n").groupBy("id", "same").agg(F.collect_list(F.struct("band", "key")).alias("met")))
-    # an id that repeats with other texts brings each of its sets
-    wanted = met.groupBy("id").agg(F.flatten(F.collect_list("met")).alias("met"))
-    members = texts.join(wanted, "id").select("id", "text", F.explode("met").alias("m")).select("m.band", "m.key", "id", "text")
-    near = members.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(linked, "src long, dst long")
-    return equal.union(near).where("src <> dst").distinct()
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with one row, that of the smallest id, for each group that links of near copies join; all columns stay."""
-    roots = connected_components(near_copies(docs, id_col, text_col, **more))
-    dropped = roots.where("node <> root").select(F.col("node").alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+                dst += [same] * len(near)
+                if not near and not known:
+                    first.append((same, own))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+    # the row that stands for a set: the smallest id, null ids last, then the smallest key of the text
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")
+    sets = checkpoint(sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min_by("keys", rank).alias("keys")))
+    keyed = sets.select("same", "rank", F.posexplode("keys").alias("band", "key"))
+    sizes = checkpoint(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    open_ = materialise(salted_join(keyed, sizes, ["band", "key"], "n").select("band", "key", "same", "rank", F.lit(False).alias("linked"), "n"))
+    met = checkpoint(open_.select("same", "rank").distinct().select("same", "rank.id", "rank.text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), text_key(F.col(text_col)).alias("own_text"), F.col(text_col).cast("binary").alias("words"))
+    few = met.count() <= MOST_BROADCAST
+    found = texts.join(F.broadcast(met) if few else met, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("text"))).select("same", "words")
+    held = materialise(found.mapInArrow(hashed, "same binary, set binary").dropDuplicates(["same"]))
+
+    edges, order = None, F.struct("rank", "same")
+    for _ in range(rounds):
+        lead = open_.where("not linked").groupBy("band", "key").agg(F.min(order).alias("leader"), F.max("n").alias("n_rows"))
+        at = salted_join(open_, checkpoint(lead), ["band", "key"], "n_rows").where(order > F.col("leader"))
+        at = materialise(at.select("band", "key", "same", "rank", "linked", "n", F.col("leader.same").alias("leader")))
+        pairs = at.select("leader", "same").distinct()
+        pairs = checkpoint(pairs)
+        led = checkpoint(pairs.groupBy("leader").agg(F.count("*").alias("n_led")))
+        own = held.withColumnsRenamed({"same": "leader", "set": "leader_set"}).join(led, "leader")
+        both = salted_join(pairs.join(held, "same").select("leader", "same", "set"), own, ["leader"], "n_led").select("leader", "same", "set", "leader_set")
+        judged = checkpoint(both.mapInArrow(verified, "leader binary, same binary, ok boolean").where("ok"))
+        new = judged.select(F.col("leader").alias("src"), F.col("same").alias("dst"))
+        edges = new if edges is None else edges.union(new)
+        open_ = at.join(judged, ["leader", "same"], "left").select("band", "key", "same", "rank", (F.col("linked") | F.coalesce("ok", F.lit(False))).alias("linked"), "n")
+        # buckets without another leader are done
+        more = checkpoint(open_.groupBy("band", "key").agg(F.count_if(~F.col("linked")).alias("free"), F.count("*").alias("n")).where("free > 0 and n > 1").select("band", "key", "n"))
+        open_ = materialise(salted_join(open_.drop("n"), more, ["band", "key"], "n"))
+        if more.isEmpty():
+            return edges.distinct()
+    rest = open_.join(held, "same").select("band", "key", "same", "linked", "set", "rank").repartition("band", "key").sortWithinPartitions("band", "key", "rank", "same")
+    return edges.union(rest.drop("rank").mapInArrow(finished, "src binary, dst binary")).distinct()
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+    """docs with one row, that of the smallest id, for each group that links of near copies join; all columns stay.
+
+    Rows of equal sets of shingles are one group, null and empty texts among them. Null ids come last; of rows with one id
+    and different texts, that with the smallest key of the text stays, of rows that repeat both, any one. With the bands
+    and rows given, a pair of similarity 0.8 meets with probability 0.99993. An empty table stays empty.
+    """
+    sketches = row_sets(docs, id_col, text_col, shingle, bands, rows)
+    roots = connected_components(near_copies(docs, sketches, id_col, text_col, shingle, similarity))
+    keys = sketches.groupBy("same", "id", "text").agg(F.count("*").alias("times"))
+    keys = checkpoint(keys.join(roots, keys["same"] == roots["node"], "left").select("id", "text", "times", F.coalesce("root", "same").alias("root")))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")
+    groups = checkpoint(keys.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n"), F.sum("times").alias("rows")).where("rows > 1"))
+    judged = salted_join(keys, groups.select("root", "first", "n"), ["root"], "n").withColumn("keep", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text") == F.col("first.text")))
+    acts = judged.where("not keep or times > 1").select(F.col("id").alias("__id"), F.col("text").alias("__text"), F.col("keep").alias("__keep"))
+    return act_on_rows(docs, acts, id_col, text_col)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_join, table
+from .common import materialise, parts, salted_join, table
 
 #: Words of an anchor; the anchor of a window is the one with the smallest hash among those in it.
 ANCHOR = 16
@@ -77,12 +77,12 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
+        for b in parts(batches):
+            pieces_ = []
             for k, text in enumerate(b.column(2).to_pylist()):
                 words = (text or b"").split()
                 if len(words) >= window:
-                    parts.append((k, *Hashed(words, window).pieces()))
+                    pieces_.append((k, *Hashed(words, window).pieces()))
             row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
             columns = [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64) for j in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
@@ -104,8 +104,8 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
     packed = pack(docs).join(todo, ["id", "key"]).select("id", "key", "packed", "todo")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
+        for b in parts(batches):
+            pieces_ = []
             for k, (z, todo) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 hashed = Hashed(zstandard.decompress(z).split(), window)
                 n = np.array([t["n"] for t in todo])
@@ -125,7 +125,7 @@ def pack(docs: DataFrame) -> DataFrame:
     """(id, key, packed): the texts compressed, as they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             z = zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], ["id", "key", "packed"])
 
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = pack(rows).join(runs, ["id", "key"], "left").select("id", "key", "packed", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = []
             for z, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 joined = b" ".join(zstandard.decompress(z).split()).decode("utf-8", "surrogateescape")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import parts, table
 
 #: A parameter: where the public vocabulary file lies.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = held[0] if held else Counter(pieces.value)
         held[:] = [counter]
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counter.of(t) for t in texts], pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())], ["id", "n_tokens", "n_chars"])
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import MOST_BROADCAST, checkpoint, parts, table
 
 WORDS = re.compile(r"\w+")
 #: Words of the insult lexicon voter.
@@ -26,9 +26,15 @@ SHOUT = -1
 #: Mined features fall into lexicons by the share of clean rows among those that hold them.
 PURITY = (0.02, 0.08, 0.5)
 TIERS = len(PURITY)
-#: Voters: the insult lexicon, shouting, exclamation, for each mined lexicon one word of it and two words of it, and two
-#: that vote clean. Their number bounds the vote patterns by 2 to its power.
-VOTERS = 3 + 2 * TIERS + 2
+#: Letters of a word masked by signs (f**k, sh!t), and words that address the reader.
+MASKED = re.compile(r"^\W*[^\W\d_]+[*@$!#][*@$!#\w]*[^\W\d_]\W*$")
+SECOND_PERSON = frozenset("you your yours yourself u ur du dein deine dich dir euch tu toi ton ta tes vous vos tú tus te vosotros usted".split())
+YOU = -100
+HIDDEN = -101
+#: Voters: the insult lexicon, shouting, exclamation, for each mined lexicon one word of it and two words of it, an insult to
+#: the reader, masked words, many insults for the length, and two that vote clean. Their number bounds the vote patterns by
+#: 2 to its power.
+VOTERS = 3 + 2 * TIERS + 3 + 2
 
 
 def stems(run: str) -> set[str]:
@@ -53,6 +59,10 @@ class Features(dict):
             found.add(SHOUT - 1 - min(self.tier[f] for f in found))
         if len(run) > 2 and run.isupper():
             found.add(SHOUT)
+        if MASKED.match(run):
+            found.add(HIDDEN)
+        if run.lower().strip(".,;:!?\"'") in SECOND_PERSON:
+            found.add(YOU)
         found = tuple(found)
         if len(self) < self.room:
             self[run] = found
@@ -64,9 +74,11 @@ class Features(dict):
         seen = Counter(chain.from_iterable(map(self.__getitem__, runs)))
         n = max(1, len(runs))
         shouting, hits = seen.pop(SHOUT, 0) / n, [seen.pop(SHOUT - 1 - k, 0) for k in range(TIERS)]
+        masked, you = seen.pop(HIDDEN, 0), seen.pop(YOU, 0)
         fired = [any(f < len(INSULTS) for f in seen), shouting > 0.3, (text or "").count("!") / n > 0.2]
         for k in range(TIERS):
             fired += [hits[k] > 0, sum(hits[: k + 1]) > 1]
+        fired += [you > 0 and sum(hits[:2]) > 0, masked > 1, sum(hits) > 0.02 * n + 1]
         fired += [not seen, not seen and shouting <= 0.3]
         return [*seen], sum(1 << k for k, x in enumerate(fired) if x)
 
@@ -75,7 +87,12 @@ def train_row(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
-def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, least: float, most: int) -> list[tuple[str, int, int]]:
+def with_labels(docs: DataFrame, labelled: DataFrame, n: int, id_col: str, how: str) -> DataFrame:
+    """docs joined to the labels (__id, toxic), which are broadcast only while they are few."""
+    return docs.join(F.broadcast(labelled) if n <= MOST_BROADCAST else labelled, docs[id_col] == labelled["__id"], how)
+
+
+def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, least: float) -> list[tuple[str, int, int]]:
     """(feature, toxic, clean rows) of the features that lean to toxic by a likelihood ratio of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +103,7 @@ def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
             counts.clear()
             return b
 
-        for b in batches:
+        for b in parts(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for s in set(chain.from_iterable(map(stems, set((text or "").split())))):
                     counts.setdefault(s, [0, 0])[toxic] += 1
@@ -94,9 +111,9 @@ def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
                     yield out()
         yield out()
 
-    rows = docs.join(F.broadcast(labelled), docs[id_col] == labelled["__id"]).select(F.col(text_col).alias("text"), "toxic")
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
+    rows = with_labels(docs, labelled, n0 + n1, id_col, "inner").select(F.col(text_col).alias("text"), "toxic")
     if not n0 or not n1:
         return []
     got = rows.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
@@ -105,7 +122,7 @@ def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
     plogp = lambda x, p, q: F.when(x > 0, x * F.log(p / q)).otherwise(0.0)
     ratio = 2 * (plogp(F.col("t"), share, F.lit(base)) + plogp(F.col("c"), 1 - share, F.lit(1 - base)))
     got = got.where((share >= 0.5) & (ratio >= least)).withColumn("g", ratio)
-    return [(r.feature, r.t, r.c) for r in got.orderBy(F.desc("g"), "feature").limit(most).collect()]
+    return [(r.feature, r.t, r.c) for r in got.orderBy(F.desc("g"), "feature").collect()]
 
 
 class LabelModel:
@@ -180,50 +197,54 @@ def logistic(rows: list[tuple[list[int], float]], width: int, l2: float = 1e-4,
     return w[:-1], float(w[-1])
 
 
-def toxicity_scores(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = 0.3,
-    max_labelled: int = 20_000,
-    max_training: int = 20_000,
-    max_features: int = 4_096,
-    least_ratio: float = 15.0,
-) -> DataFrame:
-    """One row per document: id, held_out, score (0 to 1) and predicted (1 where score reaches the threshold).
+class Scorer:
+    """A fitted classifier: toxicity between 0 and 1 of a text."""
+
+    def __init__(self, features: Features, names: int, weights: np.ndarray, bias: float):
+        self.features, self.names, self.weights, self.bias = features, names, weights, bias
+
+    def columns_of(self, text: str | None) -> tuple[list[int], int]:
+        """The active columns (features, then voters) and the vote pattern."""
+        seen, pattern = self.features.of(text)
+        return [*seen, *(self.names + k for k in range(VOTERS) if pattern >> k & 1)], pattern
 
-    1. Lexicons are mined from training labels: words and word beginnings that lean to toxic rows.
-    2. Lexicon and pattern voters vote on every document; only the counts of the vote patterns (at most 2^11) are
-       gathered, over the whole table. The label model turns a pattern into a posterior.
-    3. A logistic regression on the mined features and votes is fitted to the posteriors of a sample of training rows.
-    4. It scores every whole text. Ids, labels, language and source are no inputs of a score.
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        z = np.array([self.weights[self.columns_of(t)[0]].sum() + self.bias for t in texts])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = 20_000, least_ratio: float = 15.0) -> Scorer:
+    """The classifier, learned from the labels of training rows and the votes on all documents.
+
+    1. Lexicons are mined from all training labels: words and word beginnings that lean to toxic rows. Their number is that
+       of the features which reach the likelihood ratio; it grows with the labels.
+    2. Lexicon and pattern voters vote on every document; only the counts of the vote patterns (at most 2^VOTERS, in practice
+       some hundreds) are gathered, over the whole table. The label model turns a pattern into a posterior.
+    3. A logistic regression on the mined features and votes is fitted to the posteriors of a sample of ``max_training``
+       training rows (in expectation, by a hash of the id).
 
     Rows whose crc32(id) mod 4 is 2 are held out: neither their labels nor their texts are learned from, except as
-    unlabelled vote counts. Bounds, in expectation, by a hash of the id: ``max_labelled`` labelled rows mined,
-    ``max_training`` rows for the classifier; and ``max_features``. Null and empty texts have no features and get the
-    score of the bias and the voters for clean. Labels other than 0 and 1 are ignored; repeated labels of an id count
-    once (1 wins). Without labels of both kinds, only the fixed lexicon and patterns vote.
+    unlabelled vote counts. Labels other than 0 and 1 are ignored; repeated labels of an id count once (1 wins). Without
+    labels of both kinds, only the fixed lexicon and patterns vote.
     """
     spark, docs = docs.sparkSession, docs.select(id_col, text_col)
-    by_id = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic")).where(train_row("__id"))
-    part = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
-    labelled = by_id.where(part < max(1, int(1e6 * min(1.0, max_labelled / max(1, by_id.count())))))
-    mined = mined_features(docs, labelled, id_col, text_col, least_ratio, max_features)
+    by_id = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    labelled = checkpoint(by_id.where(train_row("__id")))
+    mined = mined_features(docs, labelled, id_col, text_col, least_ratio)
 
     names = [*[w + "$" for w in INSULTS], *[f for f, _, _ in mined if f not in {w + "$" for w in INSULTS}]]
     strength = {f: (c + 0.5) / (t + c + 1) for f, t, c in mined}
     tier = [int(np.searchsorted(PURITY[:-1], strength.get(n, 0.01))) for n in names]
-    features = spark.sparkContext.broadcast(Features(names, tier))
+    voters = spark.sparkContext.broadcast(Scorer(Features(names, tier), len(names), np.zeros(len(names) + VOTERS), 0.0))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for b in batches:
+        for b in parts(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[features.value.of(text)[1], -1 if toxic is None else toxic] += 1
+                counts[voters.value.features.of(text)[1], -1 if toxic is None else toxic] += 1
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in counts], [k[1] for k in counts], [*counts.values()])], ["pattern", "label", "n"])
 
-    known = docs.join(F.broadcast(labelled), docs[id_col] == labelled["__id"], "left").select(F.col(text_col).alias("text"), "toxic")
+    known = with_labels(docs, labelled, labelled.count(), id_col, "left").select(F.col(text_col).alias("text"), "toxic")
     rows = known.mapInArrow(vote, "pattern long, label long, n long").groupBy("pattern", "label").agg(F.sum("n").alias("n")).collect()
     patterns = np.array(sorted({r.pattern for r in rows}), np.int64)
     place, counts, by_label = {p: k for k, p in enumerate(patterns.tolist())}, np.zeros(len(patterns)), np.zeros((len(patterns), 2))
@@ -237,32 +258,47 @@ def toxicity_scores(
     total = int(counts.sum() + by_label.sum())
     sample = docs.where(train_row(id_col) & (F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, max_training / max(1, 0.75 * total))))))
 
-    def columns_of(text: str | None) -> tuple[list[int], int]:
-        seen, pattern = features.value.of(text)
-        return [*seen, *(len(names) + k for k in range(VOTERS) if pattern >> k & 1)], pattern
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [columns_of(t) for t in b.column(0).to_pylist()]
+        for b in parts(batches):
+            got = [voters.value.columns_of(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([p for _, p in got], pa.int64())], ["columns", "pattern"])
 
     rows = sample.select(F.col(text_col).alias("text")).mapInArrow(train, "columns array<int>, pattern long").collect() if model else []
     weights, bias = logistic([(r.columns, model.posterior.get(r.pattern, model.prior)) for r in rows], len(names) + VOTERS)
+    return Scorer(Features(names, tier), len(names), weights, bias)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **more) -> DataFrame:
+    """One row per document: id, held_out, score (0 to 1) and predicted (1 where score reaches the threshold).
+
+    The classifier of fit() scores every whole text; ids, labels, language and source are no inputs of a score. Null and
+    empty texts have no features and get the score of the bias and the voters for clean. Repeated rows are scored each;
+    extra columns are not read; an empty table gives no rows.
+    """
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **more))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = np.array([weights[columns_of(t)[0]].sum() + bias for t in b.column(2).to_pylist()])
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        for b in parts(batches):
+            p = scorer.value.scores(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     every = docs.select(F.col(id_col).cast("long").alias("id"), (~train_row(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return every.mapInArrow(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs without the rows predicted toxic; all columns stay. Rows with a null id stay."""
-    found = toxicity_scores(docs, labels, id_col, text_col, **more).where("predicted = 1").select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, docs[id_col] == found["__found"], "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **more) -> DataFrame:
+    """docs without the rows predicted toxic; all columns stay.
+
+    Every row is judged by its own text where it stands, so nothing is joined or shuffled, and repeated and null ids matter
+    to no other row.
+    """
+    scorer, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **more)), docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield b.filter(pa.array(scorer.value.scores(b.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

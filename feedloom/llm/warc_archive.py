@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, salted_join, shared_dir, table
+from .common import checkpoint, parts, salted_join, shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of compressed records after which a task starts another archive, and index bytes in one reading task's slice.
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         from pyspark import TaskContext
 
         part, archive, done = TaskContext.get().partitionId(), None, []
-        for b in batches:
+        for b in parts(batches):
             for page_id, url, payload, last in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if archive is None:
                     path = f"{folder}/part-{part:05d}-{len(done):04d}.wacz"
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     slices = slices.repartition(min(int(n), 10_000), "path", "slice")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for path, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 reader, rows = Reader(path), []
                 for h, payload in reader.records(reader.index()[part * SLICE_RECORDS : (part + 1) * SLICE_RECORDS]):
