@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import is_graphql
 from .operators import candidates, export, items, xpath
 from .sources import documents
-from .sources.dom import nodes
+from .sources.dom import nodes, shared
 
 ITEM = ["config_id", "ord", *items.FIELDS]
 FIELD_PATHS = "map<string,string>"
@@ -17,7 +17,7 @@ FIELD_PATHS = "map<string,string>"
 def discover(pages: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """(page_id, kind, selector, score, item_count): candidates of every kind found in pages (page_id, url, html) and in
     captures (page_id, ord, method, url, status, content_type, body, request_body)."""
-    n = nodes(pages)
+    n = shared(nodes(pages, *dict.fromkeys(candidates.PARSER_COLUMNS + candidates.DATE_COLUMNS)))
     found = [
         documents.embedded_candidates(pages, "page_id").select("page_id", F.lit("embedded_json").alias("kind"), F.concat_ws(" ", "label", "path").alias("selector"), "score", F.col("n_items").cast("long").alias("item_count")),
         candidates.merge(candidates.repeated_blocks(n), candidates.parser_candidates(n)).select("page_id", F.lit("xpath").alias("kind"), "selector", F.col("confidence").cast("double").alias("score"), F.col("item_count").cast("long").alias("item_count")),
@@ -57,7 +57,7 @@ def scrape(configs: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFra
 
     for name in items.FIELDS:
         raw = raw.withColumn(name, F.coalesce(dot_get(F.col("raw"), F.coalesce(F.col("fields")[name], F.lit("?"))), F.lit("")))
-    page = ok.where("strategy = 'xpath'").withColumn("x", xpath.extract_items(F.col("body"), F.col("item"), F.to_json("fields")))
+    page = ok.where("strategy = 'xpath'").withColumn("x", xpath.extract_items(F.col("body"), F.col("item"), F.to_json("fields"), F.col("url")))
     dom = page.select("config_id", F.explode("x.items").alias("i")).select("config_id", "i.*")
     found = atom.select(*ITEM).unionByName(rss.select(*ITEM)).unionByName(raw.select(*ITEM)).unionByName(dom.select(*ITEM))
     bad = page.where("x.error is not null").select("config_id", F.col("x.error").alias("x_error"))

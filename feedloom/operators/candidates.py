@@ -9,6 +9,13 @@ from ..functions import lexicons as L
 from ..functions.scalars import class_id_weight, clamp, is_dated, is_unlikely, meaningful_classes, tag_baseline, without_dates
 
 
+#: The columns of the node relation that each operator reads.
+BLOCK_COLUMNS = ("pre", "tag", "cls", "role", "parent_tag", "parent_cls")
+PARSER_COLUMNS = (*BLOCK_COLUMNS, "path")
+DATE_COLUMNS = ("pre", "parent", "depth", "tag", "attrs", "cls", "own_text", "tail", "text", "path")
+ANCHOR_COLUMNS = ("pre", "parent", "last", "depth", "tag", "attrs", "cls", "elem_id", "role", "text", "path")
+
+
 def _signed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("cls1", F.coalesce(F.try_element_at(meaningful_classes(F.col("cls")), F.lit(1)), F.lit("")))
 
@@ -30,9 +37,8 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
     confidence grows with the count and the tag's, class's and id's weight. Two candidates of similar confidence with
     different classes and 5 to 50 items together make a union, 0.05 below the better one.
     """
-    n = _signed(nodes)
-    up = n.select("page_id", F.col("pre").alias("parent"), F.concat_ws("|", "tag", "cls1").alias("parent_sig"))
-    g = n.where(F.col("tag").isin(L.ITEM_TAGS)).join(up, ["page_id", "parent"], "left")
+    first = lambda c: F.coalesce(F.try_element_at(meaningful_classes(F.col(c)), F.lit(1)), F.lit(""))
+    g = nodes.where(F.col("tag").isin(L.ITEM_TAGS)).withColumn("cls1", first("cls")).withColumn("parent_sig", F.when(F.col("parent_tag").isNotNull(), F.concat_ws("|", "parent_tag", first("parent_cls"))))
     g = g.groupBy("page_id", "parent_sig", "tag", "cls1", "role").agg(F.count("*").alias("item_count"), F.min("pre").alias("ord"), F.min_by("cls", "pre").alias("cls"))
     g = g.where((F.col("item_count") >= L.MIN_REPEATS) & ((F.col("cls1") != "") | (F.col("role") != "") | (F.col("tag") == "article")))
     raw = tag_baseline(F.col("tag")) + class_id_weight(F.col("cls"), F.lit(""))
@@ -40,11 +46,13 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
     g = g.withColumn("confidence", F.when(is_unlikely(F.col("cls"), F.lit(""), F.col("role")), 0.05).otherwise(hundredths(base)))
     g = g.withColumn("selector", item_predicate(F.col("tag"), F.col("cls1"), F.col("role")))
     one = g.groupBy("page_id", "selector", "tag", "cls1").agg(F.max("item_count").alias("item_count"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"))
-    a, b = (one.where("cls1 <> '' and confidence >= 0.35").select("page_id", *[F.col(c).alias(f"{x}_{c}") for c in ("selector", "cls1", "item_count", "confidence", "ord")]) for x in "ab")
-    both = F.col("a_item_count") + F.col("b_item_count")
-    pairs = a.join(b, "page_id").where((F.col("a_ord") < F.col("b_ord")) & (F.col("a_cls1") != F.col("b_cls1")) & (F.abs(F.col("a_confidence") - F.col("b_confidence")) <= 0.15 + 1e-9) & both.between(5, 50))
-    unions = pairs.select("page_id", F.concat_ws(" | ", "a_selector", "b_selector").alias("selector"), F.lit("").alias("tag"), F.lit("").alias("cls1"), both.alias("item_count"), F.greatest(F.lit(0.05), F.round(F.greatest("a_confidence", "b_confidence") - 0.05, 2)).alias("confidence"), F.col("a_ord").alias("ord"), F.lit(True).alias("is_union"))
-    every = one.withColumn("is_union", F.lit(False)).unionByName(unions)
+    # a page's candidates are few (a row for each repeated class), so their pairs are formed within its row
+    fields = ["selector", "tag", "cls1", "item_count", "confidence", "ord"]
+    page = one.groupBy("page_id").agg(F.collect_list(F.struct(*fields, F.lit(False).alias("is_union"))).alias("cs"))
+    fit = lambda x, y: (x["cls1"] != "") & (y["cls1"] != "") & (x["confidence"] >= 0.35) & (y["confidence"] >= 0.35) & (x["ord"] < y["ord"]) & (x["cls1"] != y["cls1"]) & (F.abs(x["confidence"] - y["confidence"]) <= 0.15 + 1e-9) & (x["item_count"] + y["item_count"]).between(5, 50)
+    joined = lambda x, y: F.struct(F.concat_ws(" | ", x["selector"], y["selector"]).alias("selector"), F.lit("").alias("tag"), F.lit("").alias("cls1"), (x["item_count"] + y["item_count"]).alias("item_count"), F.greatest(F.lit(0.05), F.round(F.greatest(x["confidence"], y["confidence"]) - 0.05, 2)).alias("confidence"), x["ord"].alias("ord"), F.lit(True).alias("is_union"))
+    unions = F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: fit(x, y)), lambda y: joined(x, y))))
+    every = page.select("page_id", F.explode(F.concat("cs", unions)).alias("c")).select("page_id", "c.*")
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("confidence"), "is_union", "ord", "selector"))
     return every.withColumn("rank", rank).where(F.col("rank") <= most)
 

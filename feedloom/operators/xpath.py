@@ -1,4 +1,4 @@
-"""A subset of XPath: compiled to joins over the node relation, or evaluated per row where each recipe has its own path.
+"""A subset of XPath, evaluated page by page: an item's fields lie within its page, so a scan parses once and shuffles nothing.
 
 ``//tag``, ``/tag``, ``.//tag``, ``descendant::tag``, ``*``, ``.``; predicates ``[@a='v']``, ``[contains(@a,'v')]``,
 ``[@a]``, ``[string-length(@a)>0]`` with ``and``; a last step ``/@a`` or ``/text()``; unions with ``|`` and parentheses.
@@ -6,11 +6,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_udf
@@ -34,6 +39,7 @@ class Path:
     own_text: bool = False
 
 
+@lru_cache(10_000)
 def compile_path(text: str) -> list[Path]:
     """The branches of a path; raises ValueError where it is outside the subset."""
     out = []
@@ -64,65 +70,6 @@ def compile_path(text: str) -> list[Path]:
     return out
 
 
-def _matches(step: Step, prefix: str = ""):
-    c = lambda n: F.col(prefix + n)
-    ok = F.lit(True) if step.tag == "*" else c("tag") == step.tag
-    for kind, name, value in step.tests:
-        a = c("attrs")[name]
-        ok = ok & F.coalesce({"has": a.contains(value), "some": F.length(a) > 0, "is": a == value, "set": a.isNotNull()}[kind], F.lit(False))
-    return ok
-
-
-def select(nodes: DataFrame, path: str) -> DataFrame:
-    """Nodes that a constant path selects from the document, each once; every step is a filter and, but for the first, a join."""
-    found = None
-    for p in compile_path(path):
-        branch = None
-        for step in p.steps:
-            hit = nodes.where(_matches(step))
-            if branch is None:
-                branch = hit if step.deep else hit.where("depth = 0")
-            else:
-                above = branch.select("page_id", F.col("pre").alias("up"))
-                ways = hit.withColumn("up", F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))))) if step.deep else hit.withColumn("up", F.col("parent"))
-                branch = ways.join(above, ["page_id", "up"], "left_semi").drop("up").dropDuplicates(["page_id", "pre"])
-        found = branch if found is None else found.union(branch)
-    return found.dropDuplicates(["page_id", "pre"])
-
-
-def field_of(items: DataFrame, nodes: DataFrame, path: str, name: str) -> DataFrame:
-    """(page_id, pre, name): for each item the stripped text or attribute of its first hit in document order, "" without one."""
-    hits = None
-    for p in compile_path(path):
-        inside = items.select("page_id", "pre")
-        value = F.col("attrs")[p.attr] if p.attr else F.col("own_text" if p.own_text else "text")
-        if not p.steps:
-            got = nodes.join(inside, ["page_id", "pre"], "left_semi").select("page_id", "pre", F.col("pre").alias("hit"), value.alias("v"))
-        else:
-            last = nodes.where(_matches(p.steps[-1]))
-            for k, step in enumerate(p.steps[:-1]):  # inner steps are tested on the way up
-                step_nodes = nodes.where(_matches(step)).select("page_id", F.col("pre").alias("up"))
-                last = last.withColumn("up", F.explode("path") if p.steps[k + 1].deep else F.col("parent")).where("up <> pre").join(step_nodes, ["page_id", "up"], "left_semi").drop("up").dropDuplicates(["page_id", "pre"])
-            ways = last.withColumn("item", F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))) if p.steps[0].deep else F.col("parent"))
-            got = ways.join(inside.withColumnRenamed("pre", "item"), ["page_id", "item"], "left_semi").select("page_id", F.col("item").alias("pre"), F.col("pre").alias("hit"), value.alias("v"))
-        hits = got if hits is None else hits.union(got)
-    first = hits.where("v is not null").groupBy("page_id", "pre").agg(F.min_by("v", "hit").alias(name))
-    return first.withColumn(name, F.trim(F.regexp_replace(name, r"^\s+|\s+$", "")))
-
-
-def scan(nodes: DataFrame, item: str, fields: dict[str, str], most: int = 100) -> DataFrame:
-    """One row per selected item, the first ``most`` of each page: page_id, ord, and the fields as text ("" where missing)."""
-    items = select(nodes, item).select("page_id", "pre")
-    items = items.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).where(F.col("ord") < most)
-    out = items
-    for name, path in fields.items():
-        out = out.join(field_of(items, nodes, path, name), ["page_id", "pre"], "left") if path else out.withColumn(name, F.lit(""))
-    return out.select("page_id", "ord", *[F.coalesce(F.col(n), F.lit("")).alias(n) for n in fields])
-
-
-# ---- one page and one recipe a row ----
-
-
 def _ok(row: dict, step: Step) -> bool:
     if step.tag not in ("*", row["tag"]):
         return False
@@ -130,9 +77,9 @@ def _ok(row: dict, step: Step) -> bool:
     return all(test[k](row["attrs"].get(n), v) for k, n, v in step.tests)
 
 
-def find(rows: list[dict], path: str, start: int = -1) -> list[tuple[int, str]]:
+def find(tree: Tree, path: str, start: int = -1) -> list[tuple[int, str]]:
     """(pre, value) of the hits of a path from a node (-1: the document), in document order, each once."""
-    out = {}
+    out, rows = {}, tree.rows
     for p in compile_path(path):
         at = [start]
         for step in p.steps:
@@ -143,7 +90,7 @@ def find(rows: list[dict], path: str, start: int = -1) -> list[tuple[int, str]]:
             at = sorted(hit)
         for k in at:
             if k >= 0 and (p.attr is None or p.attr in rows[k]["attrs"]):
-                out[k] = rows[k]["attrs"][p.attr] if p.attr else "".join(rows[k]["own" if p.own_text else "all"])
+                out[k] = rows[k]["attrs"][p.attr] if p.attr else "".join(rows[k]["own"]) if p.own_text else tree.text(k)
     return sorted(out.items())
 
 
@@ -151,20 +98,47 @@ ROLES = ["title", "link", "content", "timestamp", "thumbnail", "author"]
 EXTRACTED = "struct<items:array<struct<ord:int,title:string,link:string,content:string,timestamp:string,thumbnail:string,author:string>>,error:string>"
 
 
+def items_of(tree: Tree, item: str, fields: dict[str, str], base: str | None = None, most: int = 100) -> list[dict]:
+    """The first ``most`` items of a page: each field is the stripped text or attribute of its first hit, "" without one.
+
+    Relative links are joined to the page's URL where it is given.
+    """
+    out = []
+    for k, (pre, _) in enumerate(find(tree, item)[:most]):
+        got = {r: next((v for _, v in find(tree, p, pre)), "").strip() if p else "" for r, p in fields.items()}
+        if base and got.get("link"):
+            got["link"] = urljoin(base, got["link"])
+        out.append({"ord": k} | got)
+    return out
+
+
+def scan(pages: DataFrame, item: str, fields: dict[str, str], most: int = 100, id_col: str = "page_id", html_col: str = "html", url_col: str | None = None) -> DataFrame:
+    """One row per selected item, the first ``most`` of each page: page_id, ord, and the fields as text ("" where missing).
+
+    A path outside the subset is an error when the query is built, not in its tasks.
+    """
+    for p in (item, *filter(None, fields.values())):
+        compile_path(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bases = b.column(2).to_pylist() if url_col else [None] * b.num_rows
+            rows = [(i, x["ord"], *(x[f] for f in fields)) for i, h, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), bases, strict=True) for x in items_of(Tree(h), item, fields, base, most)]
+            kinds = [pa.int64(), pa.int32(), *[pa.string()] * len(fields)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows, strict=True)] or [()] * len(kinds), kinds, strict=True)], ["page_id", "ord", *fields])
+
+    read = pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string"), *[url_col] * bool(url_col))
+    return read.mapInArrow(run, "page_id long, ord int" + "".join(f", {f} string" for f in fields))
+
+
 @arrow_udf(EXTRACTED)
-def extract_items(html: pd.Series, item: pd.Series, fields: pd.Series) -> pd.DataFrame:
+def extract_items(html: pd.Series, item: pd.Series, fields: pd.Series, base: pd.Series) -> pd.DataFrame:
     """Items of a page by a recipe of its own (fields: JSON object of role and path); a bad path gives an error, not a failure."""
-    import json
-
     rows = []
-    for h, i, f in zip(html, item, fields, strict=True):
+    for h, i, f, u in zip(html, item, fields, base, strict=True):
         try:
-            tree, paths = Tree(h).rows, json.loads(f or "{}")
-            items = []
-            for k, (pre, _) in enumerate(find(tree, i)[:100]):
-                got = {r: next((v for _, v in find(tree, paths[r], pre)), "") if paths.get(r) else "" for r in ROLES}
-                items.append({"ord": k} | {r: v.strip() for r, v in got.items()})
-            rows.append((items, None))
+            paths = json.loads(f or "{}")
+            rows.append((items_of(Tree(h), i, {r: paths.get(r) or "" for r in ROLES}, u), None))
         except (ValueError, TypeError) as e:
             rows.append(([], str(e)))
     return pd.DataFrame(rows, columns=["items", "error"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import candidates as C
 from ..operators import export, prune, xpath
 from ..operators import items as I
 from ..sources import documents as D
-from ..sources.dom import nodes, tag_tokens
+from ..sources.dom import nodes, shared, tag_tokens
 from . import render as R
 from .render import table
 
@@ -83,15 +85,14 @@ def tag_depth(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT page_id, count(*) AS n_nodes, sum(CASE WHEN tag = 'li' THEN 1 ELSE 0 END)::BIGINT AS n_li FROM (SELECT page_id, lower(regexp_extract(token, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM (SELECT page_id, unnest(regexp_extract_all(replace(html, 'var t=\"</p>\"', ''), '(<[a-zA-Z][^>]*>)', 1)) AS token FROM pages)) GROUP BY 1")
 def node_counts(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("tag") == "li").alias("n_li"))
+    return nodes(table(spark, d, "pages"), "tag").groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("tag") == "li").alias("n_li"))
 
 
 @query("SELECT page_id, pos, href, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || href AS target FROM (SELECT page_id, url, unnest(range(0, len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages))")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    a = nodes(p).where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
-    a = a.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).cast("long").alias("pos"), F.col("attrs")["href"].alias("href"))
-    return a.join(p.select("page_id", "url"), "page_id").select("page_id", "pos", "href", S.join_url(F.col("url"), F.col("href")).alias("target"))
+    a = nodes(table(spark, d, "pages"), "pre", "tag", "attrs", carry="url").where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull())
+    a = a.select("page_id", "url", (F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).cast("long").alias("pos"), F.col("attrs")["href"].alias("href"))
+    return a.select("page_id", "pos", "href", S.join_url(F.col("url"), F.col("href")).alias("target"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([^:/?#]+)://', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, 'GET ' || regexp_extract(url, '^([^?#]*)', 1) AS bucket FROM pages")
@@ -118,7 +119,7 @@ def skeleton_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey AS page_id, 'article' AS tag, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3")
 def class_inventory_rendered(spark: SparkSession, d: str) -> DataFrame:
-    return prune.class_inventory(nodes(R.html_lists(spark, d))).where("tag = 'article'").select("page_id", "tag", "cls", "n")
+    return prune.class_inventory(nodes(R.html_lists(spark, d), "pre", "tag", "cls")).where("tag = 'article'").select("page_id", "tag", "cls", "n")
 
 
 @query("SELECT o_orderkey AS script_id, unnest(['/api/orders/' || o_orderkey, 'https://h.example.com/v1/items?id=' || o_orderkey]) AS url FROM orders")
@@ -266,20 +267,18 @@ PRICE_SQL = "'Priced at ' || o_totalprice || ' in all, thank youfor the order'"
 
 @query(f"SELECT o_custkey AS page_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, '/orders/' || o_orderkey AS link, {DATE_SQL} AS timestamp FROM orders WHERE o_orderkey % 5 <> 0 QUALIFY ord < 100")
 def xpath_items(spark: SparkSession, d: str) -> DataFrame:
-    return xpath.scan(nodes(R.html_lists(spark, d)), BLOCKS, {k: v for k, v in FIELDS.items() if k != "content"}).withColumn("ord", F.col("ord").cast("int"))
+    return xpath.scan(R.html_lists(spark, d), BLOCKS, {k: v for k, v in FIELDS.items() if k != "content"})
 
 
 @query(f"SELECT o_custkey AS page_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, '/orders/' || o_orderkey AS link FROM orders QUALIFY ord < 100")
 def xpath_union_items(spark: SparkSession, d: str) -> DataFrame:
-    return xpath.scan(nodes(R.html_lists(spark, d)), f"({BLOCKS}) | (//article[@class='featured'])", {k: FIELDS[k] for k in ("title", "link")}).withColumn("ord", F.col("ord").cast("int"))
+    return xpath.scan(R.html_lists(spark, d), f"({BLOCKS}) | (//article[@class='featured'])", {k: FIELDS[k] for k in ("title", "link")})
 
 
 @query(f"SELECT o_custkey AS page_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, '/orders/' || o_orderkey AS link, {DATE_SQL} AS timestamp FROM orders WHERE o_orderkey % 5 <> 0 QUALIFY ord < 100")
 def xpath_recipe_items(spark: SparkSession, d: str) -> DataFrame:
     """The same items, by a recipe that stands in the row."""
-    import json
-
-    p = R.html_lists(spark, d).withColumn("x", xpath.extract_items(F.col("html"), F.lit(BLOCKS), F.lit(json.dumps(FIELDS))))
+    p = R.html_lists(spark, d).withColumn("x", xpath.extract_items(F.col("html"), F.lit(BLOCKS), F.lit(json.dumps(FIELDS)), F.lit("")))
     return p.select("page_id", F.explode("x.items").alias("i")).select("page_id", "i.ord", "i.title", "i.link", "i.timestamp")
 
 
@@ -289,13 +288,13 @@ CONFIDENCE_SQL = "(((greatest(50, least(950, least(300 + (n - 3) * 30, 850) + 5
 
 @query("SELECT page_id, '//article[contains(@class,''' || cls || ''')]' AS selector, n AS item_count, " + CONFIDENCE_SQL.format(w="CASE WHEN cls = 'post-card' THEN 35 ELSE 10 END") + " AS confidence FROM (SELECT o_custkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3)")
 def xpath_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = C.repeated_blocks(nodes(R.html_lists(spark, d))).where("tag = 'article' and not is_union")
+    c = C.repeated_blocks(nodes(R.html_lists(spark, d), *C.BLOCK_COLUMNS)).where("tag = 'article' and not is_union")
     return c.select("page_id", "selector", "item_count", F.col("confidence").cast("double"))
 
 
 @query()
 def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(R.html_lists(spark, d))
+    n = shared(nodes(R.html_lists(spark, d), *C.PARSER_COLUMNS))
     return C.merge(C.repeated_blocks(n), C.parser_candidates(n))
 
 
@@ -304,7 +303,7 @@ def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
   WHERE greatest(cards, featured) >= 3 AND cards <> featured""")
 def date_anchor_items(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count_if(F.col("o_orderkey") % 5 == 0).alias("f"), F.count("*").alias("n")).where("2 * f <> n")
-    return C.date_anchors(nodes(R.html_lists(spark, d))).join(o, "page_id", "left_semi").select("page_id", "selector", "item_count")
+    return C.date_anchors(shared(nodes(R.html_lists(spark, d), *C.DATE_COLUMNS))).join(o, "page_id", "left_semi").select("page_id", "selector", "item_count")
 
 
 @query("SELECT o_custkey AS page_id, CASE WHEN arg_min(o_orderkey, o_orderkey) % 5 = 0 THEN '//article[contains(@class,''featured'')]' ELSE '//article[contains(@class,''post-card'')]' END AS selector, CASE WHEN min(o_orderkey) % 5 = 0 THEN count(*) FILTER (o_orderkey % 5 = 0) ELSE count(*) FILTER (o_orderkey % 5 <> 0) END AS item_count, 2::BIGINT AS n_fields FROM orders GROUP BY 1 HAVING item_count >= 2")
@@ -314,13 +313,13 @@ def lca_anchor(spark: SparkSession, d: str) -> DataFrame:
     first = first.where(F.when(F.col("key") % 5 == 0, F.col("f") >= 2).otherwise(F.col("n") - F.col("f") >= 2))
     price = F.concat(F.lit("Priced at "), F.col("i.price").cast("string"), F.lit(" in"))
     examples = first.select("page_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("i.title").alias("needle")), F.struct(F.lit("content").alias("field"), price.alias("needle")))).alias("e")).select("page_id", "e.*")
-    return C.example_anchor(nodes(R.html_lists(spark, d)), examples)
+    return C.example_anchor(shared(nodes(R.html_lists(spark, d), *C.ANCHOR_COLUMNS)), examples)
 
 
 @query()
 def fuzzy_recover(spark: SparkSession, d: str) -> DataFrame:
     """For each page the block whose heading is most like a mistyped example."""
-    n = nodes(R.html_lists(spark, d)).where("tag = 'h2'").select("page_id", "pre", "text")
+    n = nodes(R.html_lists(spark, d), "pre", "tag", "text").where("tag = 'h2'").select("page_id", "pre", "text")
     example = R.order_items(spark, d).groupBy(F.col("cust").alias("page_id")).agg(F.min_by("title", "key").alias("t")).withColumn("example", F.replace("t", F.lit("Order"), F.lit("ORDRE ")))
     hits = n.join(example, "page_id").withColumn("ratio", S.similarity(F.col("text"), F.col("example"))).where("ratio >= 0.75")
     return hits.groupBy("page_id").agg(F.max_by("text", F.struct("ratio", -F.col("pre"))).alias("text"), F.round(F.max("ratio"), 6).alias("ratio"))
@@ -461,7 +460,7 @@ def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
 # ---- entry points ----
 
 
-@query(f"""SELECT o_custkey AS config_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, '/orders/' || o_orderkey AS link
+@query(f"""SELECT o_custkey AS config_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, {TITLE_SQL} AS title, CASE WHEN o_custkey % 6 = 3 THEN 'https://c' || o_custkey || '.example.com' ELSE '' END || '/orders/' || o_orderkey AS link
   FROM orders WHERE o_custkey % 6 < 4 AND (o_custkey % 6 <> 3 OR o_orderkey % 5 <> 0) QUALIFY ord < 100""")
 def scrape_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return _scraped(spark, d)[0].where("ord < 100").select("config_id", "ord", "title", "link")

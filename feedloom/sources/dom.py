@@ -1,7 +1,8 @@
 """Pages as a relation of DOM nodes, and the cheaper relation of tag tokens.
 
 nodes: page_id, pre (place in document order), parent, last (largest pre in the subtree), depth, tag, attrs, attr_order,
-cls, elem_id, role, own_text, tail, text (of the whole subtree), path (ancestors' pre from the root, itself last).
+cls, elem_id, role, own_text, tail, text (of the whole subtree), path (ancestors' pre from the root, itself last),
+parent_tag, parent_cls. A caller names the columns that it needs; no others leave the parser.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: an element's start closes the nearest open ones of these names, within the given bounds
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SCHEMA = "page_id long, pre int, parent int, last int, depth int, tag string, attrs map<string,string>, attr_order array<string>, cls string, elem_id string, role string, own_text string, tail string, text string, path array<int>"
+COLUMNS = {
+    "pre": "int", "parent": "int", "last": "int", "depth": "int", "tag": "string", "attrs": "map<string,string>", "attr_order": "array<string>", "cls": "string", "elem_id": "string",
+    "role": "string", "own_text": "string", "tail": "string", "text": "string", "path": "array<int>", "parent_tag": "string", "parent_cls": "string",
+}
+ARROW = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
 
 
 class Tree(HTMLParser):
-    """One page; rows in document order."""
+    """One page; rows in document order. The page's text is kept once, in pieces; a node's text is a range of them."""
 
     def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}
+        self.pieces: list[str] = []
         self.after: int | None = None
         self.feed(html or "")
         self.close()
@@ -35,12 +43,27 @@ class Tree(HTMLParser):
 
     def pop(self) -> None:
         k = self.stack.pop()
-        self.rows[k]["last"] = len(self.rows) - 1
+        row = self.rows[k]
+        row["last"], row["to"] = len(self.rows) - 1, len(self.pieces)
+        self.open[row["tag"]] -= 1
         self.after = k
 
+    def text(self, k: int) -> str:
+        """The text of a node's whole subtree."""
+        return "".join(self.pieces[self.rows[k]["from"] : self.rows[k]["to"]])
+
+    def path(self, k: int) -> list[int]:
+        out = []
+        while k >= 0:
+            out.append(k)
+            k = self.rows[k]["parent"]
+        return out[::-1]
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         names, bounds = IMPLIED.get(tag, ({"p"}, {"td", "th", "li", "button"}) if tag in CLOSES_P else ((), ()))
-        for at in range(len(self.stack) - 1, -1, -1):
+        if not any(self.open.get(n) for n in names):
+            names = ()
+        for at in range(len(self.stack) - 1, -1, -1) if names else ():
             name = self.rows[self.stack[at]]["tag"]
             if name in bounds:
                 break
@@ -51,60 +74,84 @@ class Tree(HTMLParser):
         k, found = len(self.rows), {}
         for name, value in attrs:
             found.setdefault(name, value or "")
-        self.rows.append({"pre": k, "parent": self.stack[-1] if self.stack else -1, "last": k, "depth": len(self.stack), "tag": tag, "attrs": found, "own": [], "tail": [], "all": [], "path": [*self.stack, k]})
+        self.rows.append({"pre": k, "parent": self.stack[-1] if self.stack else -1, "last": k, "depth": len(self.stack), "tag": tag, "attrs": found, "own": [], "tail": [], "from": len(self.pieces), "to": len(self.pieces)})
         self.after = None
         if tag in VOID:
             self.after = k
         else:
             self.stack.append(k)
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in VOID and any(self.rows[k]["tag"] == tag for k in self.stack):
+        if tag not in VOID and self.open.get(tag):
             while self.rows[self.stack[-1]]["tag"] != tag:
                 self.pop()
             self.pop()
 
     def handle_data(self, data: str) -> None:
-        for k in self.stack:
-            self.rows[k]["all"].append(data)
+        self.pieces.append(data)
         if self.after is not None:
             self.rows[self.after]["tail"].append(data)
         elif self.stack:
             self.rows[self.stack[-1]]["own"].append(data)
 
 
-def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The nodes of all pages. Only id and html are read; pages are parsed one by one within Arrow batches."""
+def nodes(pages: DataFrame, *columns: str, id_col: str = "page_id", html_col: str = "html", carry: str | None = None) -> DataFrame:
+    """The nodes of all pages, with the columns named (else all) and one carried column of the page.
+
+    Only id, html and the carried column are read; pages are parsed one by one within Arrow batches.
+    """
+    names = columns or tuple(COLUMNS)
+
+    def value(tree: Tree, k: int, row: dict, name: str):
+        parent = tree.rows[row["parent"]] if row["parent"] >= 0 else None
+        match name:
+            case "attrs":
+                return [*row["attrs"].items()]
+            case "attr_order":
+                return [*row["attrs"]]
+            case "cls" | "elem_id" | "role":
+                return row["attrs"].get({"cls": "class", "elem_id": "id", "role": "role"}[name], "")
+            case "own_text" | "tail":
+                return "".join(row["own" if name == "own_text" else "tail"])
+            case "text":
+                return tree.text(k)
+            case "path":
+                return tree.path(k)
+            case "parent_tag":
+                return parent["tag"] if parent else None
+            case "parent_cls":
+                return parent["attrs"].get("class", "") if parent else None
+        return row[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, r) for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in Tree(h).rows]
-            for at in range(0, len(rows), 10_000):
-                part, r = rows[at : at + 10_000], [x for _, x in rows[at : at + 10_000]]
-                text = lambda k, r=r: pa.array(["".join(x[k]) for x in r], pa.string())
-                attr = lambda k, r=r: pa.array([x["attrs"].get(k, "") for x in r], pa.string())
-                ints = lambda k, r=r: pa.array([x[k] for x in r], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in part], pa.int64()), ints("pre"), ints("parent"), ints("last"), ints("depth"), pa.array([x["tag"] for x in r]), pa.array([[*x["attrs"].items()] for x in r], pa.map_(pa.string(), pa.string())), pa.array([[*x["attrs"]] for x in r], pa.list_(pa.string())), attr("class"), attr("id"), attr("role"), text("own"), text("tail"), text("all"), pa.array([x["path"] for x in r], pa.list_(pa.int32()))],
-                    [c.split()[0] for c in SCHEMA.split(", ")],
-                )
+            ids, more, held = [], [], {n: [] for n in names}
+            for at, (i, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                tree = Tree(html)
+                ids += [i] * len(tree.rows)
+                more += [at] * len(tree.rows)
+                for n in names:
+                    held[n] += [value(tree, k, row, n) for k, row in enumerate(tree.rows)]
+                if len(ids) > 20_000 or at == b.num_rows - 1:
+                    extra = [b.column(2).take(pa.array(more, pa.int32()))] if carry else []
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(held[n], ARROW[COLUMNS[n]]) for n in names), *extra], ["page_id", *names, *[carry] * bool(carry)])
+                    ids, more, held = [], [], {n: [] for n in names}
+
+    read = pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string"), *[carry] * bool(carry))
+    schema = "page_id long, " + ", ".join(f"{n} {COLUMNS[n]}" for n in names)
+    return read.mapInArrow(run, schema + (f", {carry} {read.schema[carry].dataType.simpleString()}" if carry else ""))
 
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(run, SCHEMA)
+
+def shared(nodes_: DataFrame) -> DataFrame:
+    """A node relation that several steps of one plan use: parsed once and kept on the executors' disks (recomputed where one is lost)."""
+    return nodes_.persist(StorageLevel.DISK_ONLY)
 
 
 def tag_tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, pos, tag, closing): the start and end tags of each page in order, by a regular expression alone."""
     t = pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit("(</?[a-zA-Z][^>]*>)"), F.lit(1))).alias("pos", "token"))
     return t.select(id_col, "pos", F.lower(F.regexp_extract("token", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"), F.col("token").startswith("</").alias("closing"), "token")
-
-
-def descendants(outer: DataFrame, inner: DataFrame, *columns: str) -> DataFrame:
-    """Inner nodes within the subtrees of outer nodes: an equi-join on page and ancestor, from the inner nodes' paths.
-
-    ``columns`` are those of the inner nodes to keep, as d_<name>; outer columns keep their names.
-    """
-    inside = inner.select(F.col("page_id").alias("d_page"), F.explode("path").alias("d_above"), F.col("pre").alias("d_pre"), *[F.col(c).alias(f"d_{c}") for c in columns if c != "pre"])
-    return outer.join(inside, (F.col("page_id") == F.col("d_page")) & (F.col("pre") == F.col("d_above")) & (F.col("d_pre") != F.col("d_above"))).drop("d_page", "d_above")
