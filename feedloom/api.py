@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.json_walk import best_array, dot_get
 from .functions.scalars import is_graphql
 from .operators import candidates, export, items, xpath
 from .sources import documents
@@ -49,12 +50,13 @@ def scrape(configs: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFra
     feed = ok.where("strategy = 'rss'")
     atom = documents.atom_items(feed.where(F.col("body").contains("<entry")), "config_id")
     rss = documents.rss_items(feed.where(~F.col("body").contains("<entry")), "config_id")
-    api = ok.where(F.col("strategy").isin("json_api", "json_dot_notation", "graphql")).select("config_id", "body", "item", "fields", "max_items")
-    best = documents.embedded_candidates(ok.where("strategy = 'embedded_json'"), "config_id", "body").where("rank = 1").select("config_id", F.col("value").alias("body"), "path")
-    embedded = ok.select("config_id", "item", "fields", "max_items").join(best, "config_id").select("config_id", "body", F.when(F.col("item") == "", F.col("path")).otherwise(F.col("item")).alias("item"), "fields", "max_items")
+    api = ok.where(F.col("strategy").isin("json_api", "json_dot_notation")).select("config_id", "body", "item", "fields", "max_items")
+    first = documents.first_embedded(ok.where("strategy = 'embedded_json'"), "config_id", "body").withColumnRenamed("value", "body")
+    embedded = ok.select("config_id", "item", "fields", "max_items").join(first, "config_id")
+    embedded = embedded.select("config_id", "body", F.when(F.col("item") == "", best_array(F.col("body"))["path"]).otherwise(F.col("item")).alias("item"), "fields", "max_items")
+    graphql = ok.where("strategy = 'graphql'").select("config_id", "body", documents.unwrapped(F.col("body"), F.col("item")).alias("item"), "fields", "max_items")
+    api = api.unionByName(graphql)
     raw = documents.json_items(api.unionByName(embedded), ["config_id", "fields", "max_items"], F.col("item"), most=5_000).where("ord < max_items")
-    from .functions.json_walk import dot_get
-
     for name in items.FIELDS:
         raw = raw.withColumn(name, F.coalesce(dot_get(F.col("raw"), F.coalesce(F.col("fields")[name], F.lit("?"))), F.lit("")))
     page = ok.where("strategy = 'xpath'").withColumn("x", xpath.extract_items(F.col("body"), F.col("item"), F.to_json("fields"), F.col("url")))
@@ -77,6 +79,7 @@ def refresh(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return states, items.drift_triggers(states)
 
 
-def export_atom(found: DataFrame, titles: DataFrame) -> DataFrame:
-    """(config_id, document): an Atom document for each config of titles (config_id, name)."""
-    return export.atom_documents(export.atom_entries(found, "config_id").join(titles, "config_id"), "config_id", "name")
+def export_atom(found: DataFrame, titles: DataFrame, now: Column | None = None) -> DataFrame:
+    """(config_id, document): an Atom document for each config of titles (config_id, name, url), as of ``now``."""
+    entries = export.atom_entries(found, "config_id", updated=now)
+    return export.atom_documents(entries.join(titles, "config_id"), "config_id", "name", "url", now)

@@ -84,7 +84,7 @@ def merge(first: DataFrame, fill: DataFrame, most: int = 5) -> DataFrame:
 
 
 def date_anchors(nodes: DataFrame) -> DataFrame:
-    """(page_id, selector, item_count, confidence): the siblings that dates repeat in.
+    """(page_id, selector, item_count, confidence, exemplar): the siblings that dates repeat in; the exemplar is the first of them.
 
     A node is dated by a time element or datetime attribute, or a date in its own text or the text after a child. From each
     dated node, the nearest node upward with three or more like siblings (parent, tag, first class) that hold dates is an
@@ -103,8 +103,8 @@ def date_anchors(nodes: DataFrame) -> DataFrame:
     best = kinds.groupBy("page_id").agg(F.max_by(F.struct("tag", "cls1", "parent"), F.struct("n", -F.col("first"))).alias("b")).select("page_id", "b.*")
     links = n.where((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("page_id", F.explode("path").alias("pre")).distinct()
     valid = items.join(best, ["page_id", "parent", "tag", "cls1"], "left_semi").join(links, ["page_id", "pre"], "left_semi").where(F.length(F.trim(without_dates(F.col("text")))) >= 20)
-    out = valid.groupBy("page_id", "tag", "cls1").agg(F.count("*").alias("item_count")).where("item_count >= 3")
-    return out.select("page_id", item_predicate(F.col("tag"), F.col("cls1"), F.lit("")).alias("selector"), "item_count", F.round(F.least(F.lit(0.9), 0.55 + 0.05 * F.col("item_count")), 2).alias("confidence"))
+    out = valid.groupBy("page_id", "tag", "cls1").agg(F.count("*").alias("item_count"), F.min("pre").alias("exemplar")).where("item_count >= 3")
+    return out.select("page_id", item_predicate(F.col("tag"), F.col("cls1"), F.lit("")).alias("selector"), "item_count", F.round(F.least(F.lit(0.9), 0.55 + 0.05 * F.col("item_count")), 2).alias("confidence"), "exemplar")
 
 
 def example_anchor(nodes: DataFrame, examples: DataFrame, steps: int = 8) -> DataFrame:

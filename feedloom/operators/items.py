@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.json_walk import reply_json
 
 FIELDS = ["title", "link", "content", "timestamp", "thumbnail", "author"]
 
@@ -44,19 +45,43 @@ def refresh_states(log: DataFrame, feed: str = "feed_id", order: str = "ts") ->
 
 
 def drift_triggers(states: DataFrame, feed: str = "feed_id", order: str = "ts", least: int = 3) -> DataFrame:
-    """The first successful refresh of each feed whose streak reaches ``least``: from there a recommendation is pending."""
-    return keep_first(states.where(F.col("ok") & (F.col("streak") >= least)), [feed], [order])
+    """The refreshes that trigger a new analysis: successful ones whose streak reaches ``least``, of feeds that a model suggested.
 
+    While a recommendation is pending none triggers; a row with ``dismissed`` set ends that. The columns llm_suggested and
+    dismissed are optional (true and false where they are missing).
+    """
+    suggested = F.col("llm_suggested") if "llm_suggested" in states.columns else F.lit(True)
+    dismissed = F.coalesce(F.col("dismissed"), F.lit(False)) if "dismissed" in states.columns else F.lit(False)
+    spans = states.withColumn("__span", F.sum(dismissed.cast("int")).over(Window.partitionBy(feed).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return keep_first(spans.where(F.col("ok") & (F.col("streak") >= least) & suggested), [feed, "__span"], [order]).drop("__span")
+
+
+def refresh_outcomes(feeds: DataFrame, configs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(feed_id, outcome, error, item_count) of a refresh: skipped without a config, failed where it is missing or its run failed."""
+    c = configs.select("config_id", F.lit(True).alias("__there"))
+    out = feeds.join(c, "config_id", "left").join(runs.select("config_id", "item_count", F.col("error").alias("__error")), "config_id", "left")
+    error = F.when(F.col("config_id").isNull(), "no config").when(F.col("__there").isNull(), "config not found").otherwise(F.left("__error", F.lit(500)))
+    outcome = F.when(F.col("config_id").isNull(), "skipped").when(error.isNotNull(), "failed").otherwise("ok")
+    return out.select("feed_id", outcome.alias("outcome"), error.alias("error"), F.when(outcome == "ok", F.coalesce("item_count", F.lit(0))).alias("item_count"))
+
+
+def due_feeds(feeds: DataFrame, now: Column, jitter: float = 0.0, grace_s: int | None = None) -> DataFrame:
+    """Feeds whose cadence has passed since their last refresh; unknown cadences and on_demand never are.
 
-def due_feeds(feeds: DataFrame, now: Column) -> DataFrame:
-    """Feeds whose cadence has passed since their last refresh; unknown cadences and on_demand never are."""
+    ``jitter`` spreads feeds of one cadence by up to that share of it, always the same for a feed. A refresh that is later than
+    ``grace_s`` seconds is marked as missed; it is due all the same.
+    """
     seconds = F.create_map(*[F.lit(x) for kv in L.CADENCE_SECONDS.items() for x in kv])[F.col("cadence")]
     age = F.unix_timestamp(now) - F.unix_timestamp("last_refresh_at")
-    return feeds.where(seconds.isNotNull() & (F.col("last_refresh_at").isNull() | (age >= seconds)))
+    spread = seconds * (1 + jitter * (F.pmod(F.xxhash64("feed_id"), F.lit(1_000)) / 1_000)) if jitter else seconds
+    due = feeds.where(seconds.isNotNull() & (F.col("last_refresh_at").isNull() | (age >= spread)))
+    return due if grace_s is None else due.withColumn("missed", F.coalesce(age > spread + grace_s, F.lit(False)))
 
 
 def unexpired(rows: DataFrame, at: str, now: Column, ttl_s: int) -> DataFrame:
-    return rows.where(F.unix_timestamp(now) - F.unix_timestamp(at) <= ttl_s)
+    """Rows whose time lies at most ttl_s seconds before now."""
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    return rows.where(seconds(now) - seconds(F.col(at)) <= ttl_s)
 
 
 def sliding_sessions(rows: DataFrame, by: str, at: str, ttl_s: int) -> DataFrame:
@@ -76,10 +101,13 @@ def gate(aggregates: DataFrame) -> DataFrame:
 
 
 def checked_replies(replies: DataFrame, by: str, text: str = "reply") -> DataFrame:
-    """Model replies as (by, strategy, confidence, caveats, error): unknown strategies and non-JSON are errors, numbers are clamped."""
-    r = replies.withColumn("__r", F.from_json(text, "strategy string, confidence string, caveats string"))
+    """Model replies as (by, strategy, confidence, caveats, error): unknown strategies and non-JSON are errors, numbers are clamped.
+
+    A reply with prose around it counts by its first balanced object.
+    """
+    r = replies.withColumn("__t", reply_json(F.col(text))).withColumn("__r", F.from_json("__t", "strategy string, confidence string, caveats string"))
     known = F.col("__r.strategy").isin(L.STRATEGIES)
-    error = F.when(F.try_parse_json(text).isNull(), "reply is not JSON").when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown strategy: "), F.coalesce(F.col("__r.strategy"), F.lit(""))))
+    error = F.when(F.col("__t").isNull(), "reply is not JSON").when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown strategy: "), F.coalesce(F.col("__r.strategy"), F.lit(""))))
     level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("__r.confidence").try_cast("double"), F.lit(0.0))))
     caveats = F.coalesce(F.size(F.from_json("__r.caveats", "array<string>")), F.lit(0))
     return r.select(by, F.when(error.isNull(), F.col("__r.strategy")).alias("strategy"), F.when(error.isNull(), level).alias("confidence"), F.when(error.isNull(), caveats).alias("n_caveats"), error.alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .items import keep_first
+from .items import keep_first, unexpired
 
 SAFE_ID = r"^[A-Za-z0-9_\-]{1,64}$"
 FEED_DEFAULTS = {"cadence": "1d", "last_error": "", "consecutive_empty_refreshes": 0, "llm_suggested": False, "feed_url": "", "name": ""}
@@ -56,3 +56,44 @@ def example_rows(form: DataFrame, by: str, fields: list[str]) -> DataFrame:
 def write_documents(documents: DataFrame, path: str, by: str) -> None:
     """One text file group for each feed, replaced as a whole; readers see the old or the new one (Spark's commit)."""
     documents.select(by, F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(path)
+
+
+def parsed_store(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """The documents of JSON lines; lines that are no JSON are left out."""
+    return lines.where(F.try_parse_json(line).isNotNull()).select(F.from_json(line, schema).alias("d")).select("d.*")
+
+
+def is_safe_id(c: Column, longest: int = 64) -> Column:
+    """Letters, digits, _ and - only, so that an id can stand in a path."""
+    return c.rlike(rf"^[A-Za-z0-9_\-]{{1,{longest}}}$")
+
+
+def update_settings(now: DataFrame, changes: DataFrame, known: list[str], by: list[str]) -> DataFrame:
+    """Settings (by, name, value) with changes of known names laid over them."""
+    last = changes.where(F.col("name").isin(known))
+    return now.join(last, [*by, "name"], "left_anti").unionByName(last)
+
+
+def service_url(c: Column) -> Column:
+    return F.regexp_replace(c, "/+$", "")
+
+
+def store_cache(cache: DataFrame, new: DataFrame, key: str, at: str, now: Column, ttl_s: int, order: str) -> DataFrame:
+    """The cache without expired entries, with the newest of each key."""
+    return keep_first(unexpired(cache.unionByName(new), at, now, ttl_s), [key], [F.desc(order)])
+
+
+def flat_recipe(strategy: Column, selectors: Column, method: Column) -> Column:
+    """The selectors of a config as a flat map under the names that its strategy's form uses; the item's comes first."""
+    of = lambda k: F.coalesce(selectors[k], F.lit(""))
+    named = lambda item, form: F.map_from_entries(F.array(F.struct(F.lit(item), of("item")), *[F.struct(F.lit(form.format(r)), of(f"item_{r}")) for r in ("title", "link", "content", "timestamp")]))
+    request = F.create_map(F.lit("method"), F.coalesce(F.nullif(method, F.lit("")), F.lit("GET")))
+    return F.when(strategy == "json_api", F.map_concat(named("item_path", "item_{}"), request)).when(strategy == "xpath", named("item_selector", "{}_selector")).when(strategy == "embedded_json", named("path", "item_{}"))
+
+
+def overlay(configs: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """configs with the columns of their overrides where these are neither null nor empty."""
+    o = overrides.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    out = configs.join(o, key, "left")
+    said = lambda c: F.when(F.col(f"__{c}").cast("string") != "", F.col(f"__{c}"))
+    return out.withColumns({c: F.coalesce(said(c), F.col(c)) for c in columns}).select(*configs.columns)

@@ -106,15 +106,21 @@ def set_query_param(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", S.set_query_param(F.col("url"), F.lit("page"), F.lit("7")).alias("next_url"))
 
 
-@query("SELECT page_id, regexp_replace(html_text, '\\s+', ' ', 'g') AS prose FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS html_text FROM pages WHERE html NOT LIKE '%<h1>%&%</h1>%')")
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\u00a0", "&amp;": "&"}
+H1_SQL = "regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"
+for _entity, _char in ENTITIES.items():
+    H1_SQL = f"replace({H1_SQL}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({H1_SQL}, '\\s+', ' ', 'g')) AS prose FROM pages")
 def prune_keep(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where(~F.col("html").rlike("(?s)<h1>.*&.*</h1>"))
-    return prune.kept_nodes(nodes(p)).where("tag = 'h1'").select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("prose"))
+    n = prune.kept_nodes(nodes(table(spark, d, "pages"), *prune.PRUNE_COLUMNS, "text"))
+    return n.where("tag = 'h1'").select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("prose"))
 
 
 @query()
 def skeleton_text(spark: SparkSession, d: str) -> DataFrame:
-    return prune.skeletons(nodes(table(spark, d, "pages")))
+    return prune.skeletons(nodes(table(spark, d, "pages"), *prune.PRUNE_COLUMNS))
 
 
 @query("SELECT o_custkey AS page_id, 'article' AS tag, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3")
@@ -298,12 +304,12 @@ def merged_candidates(spark: SparkSession, d: str) -> DataFrame:
     return C.merge(C.repeated_blocks(n), C.parser_candidates(n))
 
 
-@query("""SELECT page_id, CASE WHEN cards >= featured OR featured < 3 THEN '//article[contains(@class,''post-card'')]' ELSE '//article[contains(@class,''featured'')]' END AS selector,
-  CASE WHEN cards >= featured OR featured < 3 THEN cards ELSE featured END AS item_count FROM (SELECT o_custkey AS page_id, sum(CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT AS cards, sum(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS featured FROM orders GROUP BY 1)
-  WHERE greatest(cards, featured) >= 3 AND cards <> featured""")
+@query("""SELECT page_id, CASE WHEN w THEN '//article[contains(@class,''post-card'')]' ELSE '//article[contains(@class,''featured'')]' END AS selector, CASE WHEN w THEN cards ELSE featured END AS item_count FROM
+  (SELECT *, featured < 3 OR (cards >= 3 AND (cards > featured OR (cards = featured AND first_card < first_featured))) AS w FROM (SELECT o_custkey AS page_id, count(*) FILTER (o_orderkey % 5 <> 0) AS cards, count(*) FILTER (o_orderkey % 5 = 0) AS featured,
+   min(o_orderkey) FILTER (o_orderkey % 5 <> 0) AS first_card, min(o_orderkey) FILTER (o_orderkey % 5 = 0) AS first_featured FROM orders GROUP BY 1)) WHERE greatest(cards, featured) >= 3""")
 def date_anchor_items(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count_if(F.col("o_orderkey") % 5 == 0).alias("f"), F.count("*").alias("n")).where("2 * f <> n")
-    return C.date_anchors(shared(nodes(R.html_lists(spark, d), *C.DATE_COLUMNS))).join(o, "page_id", "left_semi").select("page_id", "selector", "item_count")
+    """Of two classes with equally many dated items, that which comes first in the page is shown."""
+    return C.date_anchors(shared(nodes(R.html_lists(spark, d), *C.DATE_COLUMNS))).select("page_id", "selector", "item_count")
 
 
 @query("SELECT o_custkey AS page_id, CASE WHEN arg_min(o_orderkey, o_orderkey) % 5 = 0 THEN '//article[contains(@class,''featured'')]' ELSE '//article[contains(@class,''post-card'')]' END AS selector, CASE WHEN min(o_orderkey) % 5 = 0 THEN count(*) FILTER (o_orderkey % 5 = 0) ELSE count(*) FILTER (o_orderkey % 5 <> 0) END AS item_count, 2::BIGINT AS n_fields FROM orders GROUP BY 1 HAVING item_count >= 2")
@@ -386,14 +392,14 @@ def due_feeds(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     now = e.agg(F.max("ts").alias("now"))
     f = e.groupBy(F.col("user_id").alias("feed_id")).agg(F.date_trunc("second", F.max("ts")).alias("last_refresh_at")).withColumn("cadence", F.element_at(F.array(*map(F.lit, CADENCES)), (F.col("feed_id") % 6 + 1).cast("int")))
-    return I.due_feeds(f, F.lit(now.first().now)).select("feed_id", "cadence")
+    return I.due_feeds(f.join(F.broadcast(now)), F.col("now")).select("feed_id", "cadence")
 
 
 @query("SELECT event_id FROM events WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) <= 86400")
 def ttl_sweep(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now")).first().now
-    return e.where(F.lit(now).cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double") <= 86_400).select("event_id")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return I.unexpired(e.join(F.broadcast(now)), "ts", F.col("now"), 86_400).select("event_id")
 
 
 @query("""SELECT user_id, session, min(ts) AS "start", max(ts) AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)::BIGINT AS session FROM
@@ -417,7 +423,7 @@ def trace_last60(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT o_custkey AS cust, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, '/orders/' || o_orderkey AS entry_id,
-  '<entry><id>/orders/' || o_orderkey || '</id><title>' || replace({TITLE_SQL}, '&', '&amp;') || '</title><link href="/orders/' || o_orderkey || '"/><published>' || {DATE_SQL} || 'T00:00:00Z</published></entry>' AS entry FROM orders""")
+  '<entry><id>/orders/' || o_orderkey || '</id><title>' || replace({TITLE_SQL}, '&', '&amp;') || '</title><updated>' || {DATE_SQL} || 'T00:00:00Z</updated><link href="/orders/' || o_orderkey || '"/><published>' || {DATE_SQL} || 'T00:00:00Z</published></entry>' AS entry FROM orders""")
 def atom_entries(spark: SparkSession, d: str) -> DataFrame:
     return export.atom_entries(json_items(spark, d), "cust")
 
@@ -427,20 +433,38 @@ def entry_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.lit("").alias("link"), F.col("p_name").alias("title"), F.col("p_partkey").alias("part")).select(export.entry_id().alias("entry_id"), "part")
 
 
-@query("""SELECT s_suppkey AS feed_id, '<outline text="' || s_name || ' &amp; co" title="' || s_name || ' &amp; co"' || CASE WHEN s_suppkey % 2 = 0 THEN ' type="HTML+XPath" xmlUrl="https://s.example.com/' || s_suppkey || '" frss:xPathItem="//li"/>' ELSE ' type="rss" xmlUrl="https://f.example.com/' || s_suppkey || '?a=1&amp;b=2"/>' END AS outline FROM supplier WHERE s_suppkey % 5 <> 0""")
-def opml_rows(spark: SparkSession, d: str) -> DataFrame:
+def _opml_feeds(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    f = table(spark, d, "supplier").select(k.alias("feed_id"), F.concat("s_name", F.lit(" & co")).alias("name"), F.when(k % 5 != 0, F.concat(F.lit("https://f.example.com/"), k.cast("string"), F.lit("?a=1&b=2"))).otherwise("").alias("feed_url"), F.concat(F.lit("https://s.example.com/"), k.cast("string")).alias("source_url"), F.when(k % 2 == 0, "xpath").otherwise("rss").alias("strategy"), F.lit("//li").alias("item_selector"))
-    return export.opml_outlines(f, native=True)
+    paths = F.create_map(*map(F.lit, ["item", "//li", "title", ".//b", "link", ".//a/@href"]))
+    return table(spark, d, "supplier").select(k.alias("feed_id"), F.concat("s_name", F.lit(" & co")).alias("name"), F.when(k % 5 != 0, F.concat(F.lit("https://f.example.com/"), k.cast("string"), F.lit("?a=1&b=2"))).otherwise("").alias("feed_url"), F.concat(F.lit("https://s.example.com/"), k.cast("string")).alias("source_url"), F.when(k % 2 == 0, "xpath").otherwise("rss").alias("strategy"), paths.alias("selectors"), "s_nationkey")
+
+
+OUTLINE_SQL = """'<outline text="' || s_name || ' &amp; co" title="' || s_name || ' &amp; co"' ||"""
+NATIVE_SQL = OUTLINE_SQL + """ CASE WHEN s_suppkey % 2 = 0 THEN ' type="HTML+XPath" xmlUrl="https://s.example.com/' || s_suppkey || '" htmlUrl="https://s.example.com/' || s_suppkey || '" frss:xPathItem="//li" frss:xPathItemTitle=".//b" frss:xPathItemUri=".//a/@href" frss:xPathItemUid=".//a/@href"/>' ELSE ' type="rss" xmlUrl="https://f.example.com/' || s_suppkey || '?a=1&amp;b=2" htmlUrl="https://s.example.com/' || s_suppkey || '"/>' END"""
+PLAIN_SQL = OUTLINE_SQL + """ ' type="rss" xmlUrl="https://f.example.com/' || s_suppkey || '?a=1&amp;b=2" htmlUrl="https://s.example.com/' || s_suppkey || '"/>'"""
+
 
+@query(f"SELECT s_suppkey AS feed_id, {NATIVE_SQL} AS outline FROM supplier WHERE s_suppkey % 5 <> 0 OR s_suppkey % 2 = 0")
+def opml_rows(spark: SparkSession, d: str) -> DataFrame:
+    return export.opml_outlines(_opml_feeds(spark, d), native=True)
+
+
+@query(f"""SELECT s_nationkey, '<?xml version="1.0" encoding="UTF-8"?><opml version="2.0"><head><title>Saved feeds</title><dateCreated>Wed, 01 May 2024 10:00:00 +0000</dateCreated></head><body>' || string_agg({PLAIN_SQL}, '' ORDER BY s_suppkey) || '</body></opml>' AS document, count(*) AS n_outlines
+  FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1""")
+def opml_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents, read back by an XML parser for their number of outlines."""
+    f = _opml_feeds(spark, d)
+    docs = export.opml_documents(export.opml_outlines(f).join(f.select("feed_id", "s_nationkey"), "feed_id"), ["s_nationkey"], F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    return docs.withColumn("n_outlines", F.size(F.from_xml("document", "body struct<outline array<struct<_xmlUrl string>>>")["body"]["outline"]).cast("long"))
 
-AGGREGATES = "SELECT o_custkey AS page_id, count(*) FILTER (o_orderstatus = 'F') AS n_live_rss, count(*) FILTER (o_orderpriority LIKE '1%') AS n_api, count(*) FILTER (o_orderpriority LIKE '1%' AND o_totalprice > 200000) AS n_strong_api, bool_or(o_totalprice > 450000) AS has_js FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1"
+
+AGGREGATES = "SELECT o_custkey AS page_id, count(*) FILTER (o_orderstatus = 'F') AS n_live_rss, count(*) FILTER (o_orderpriority LIKE '1%') AS n_api, count(*) FILTER (o_orderpriority LIKE '1%' AND o_totalprice > 200000) AS n_strong_api, bool_or(o_totalprice > 450000) AS has_js FROM orders GROUP BY 1"
 
 
 @query(f"SELECT page_id, n_live_rss = 0 AND (has_js OR n_api = 0) AS needs_browser, CASE WHEN n_live_rss > 0 THEN 'rss' WHEN n_api = 1 AND n_strong_api = 1 THEN 'json_api' END AS strategy FROM ({AGGREGATES})")
 def strategy_gate(spark: SparkSession, d: str) -> DataFrame:
     first = F.col("o_orderpriority").startswith("1")
-    a = table(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_live_rss"), F.count_if(first).alias("n_api"), F.count_if(first & (F.col("o_totalprice") > 200_000)).alias("n_strong_api"), F.max(F.col("o_totalprice") > 450_000).alias("has_js"))
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_live_rss"), F.count_if(first).alias("n_api"), F.count_if(first & (F.col("o_totalprice") > 200_000)).alias("n_strong_api"), F.max(F.col("o_totalprice") > 450_000).alias("has_js"))
     return I.gate(a.withColumn("forced", F.lit(False)).withColumn("anti_bot", F.lit(False))).select("page_id", "needs_browser", "strategy")
 
 
@@ -497,14 +521,18 @@ def discover_pages(spark: SparkSession, d: str) -> DataFrame:
     return discover(pages.select("page_id", F.lit("https://c.example.com/").alias("url"), F.concat("html", "more").alias("html")), R.captures(spark, d).withColumnRenamed("cust", "page_id"))
 
 
-@query("SELECT o_custkey AS config_id, count(*) AS n_entries, true AS well_formed FROM orders WHERE o_custkey % 6 = 1 GROUP BY 1")
+@query(f"""SELECT config_id, count(*) AS n_entries, count(*) AS n_complete, 'feed:' || config_id AS id, '2024-05-01T10:00:00Z' AS updated, 'https://c' || config_id || '.example.com/' AS link
+  FROM (SELECT o_custkey AS config_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey % 6 < 3 OR (o_custkey % 6 = 3 AND o_orderkey % 5 <> 0)) WHERE k <= CASE WHEN config_id % 6 IN (0, 3) THEN 100 ELSE 5000 END GROUP BY 1""")
 def atom_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Atom documents of all configs, read back by an XML parser: entries, those with all required elements, and the feed's own."""
     from ..api import export_atom
 
-    found = _scraped(spark, d)[0].where("config_id % 6 = 1")
-    docs = export_atom(found, found.select("config_id", F.concat(F.lit("Feed <"), F.col("config_id").cast("string"), F.lit(">")).alias("name")).distinct())
-    n = F.size(F.from_xml("document", "entry array<struct<id string>>")["entry"])
-    return docs.select("config_id", n.cast("long").alias("n_entries"), (n == F.regexp_count("document", F.lit("<entry>"))).alias("well_formed"))
+    found = _scraped(spark, d)[0]
+    k = F.col("config_id").cast("string")
+    docs = export_atom(found, found.select("config_id", F.concat(F.lit("Feed <"), k, F.lit(">")).alias("name"), F.concat(F.lit("https://c"), k, F.lit(".example.com/")).alias("url")).distinct(), F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    x = F.from_xml("document", "id string, updated string, link struct<_href string>, entry array<struct<id string, title string, updated string>>")
+    complete = F.filter("x.entry", lambda e: e["id"].isNotNull() & e["title"].isNotNull() & e["updated"].isNotNull())
+    return docs.select("config_id", x.alias("x")).select("config_id", F.size("x.entry").cast("long").alias("n_entries"), F.size(complete).cast("long").alias("n_complete"), "x.id", "x.updated", F.col("x.link._href").alias("link"))
 
 
 @query("SELECT feed_id, streak, name FROM (SELECT c_custkey AS feed_id, CASE WHEN c_custkey % 3 = 0 THEN 9 ELSE 0 END AS streak, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS name FROM customer) WHERE feed_id % 10 <> 0")
@@ -523,3 +551,6 @@ def form_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey") % 3
     text = F.when(k == 0, "none").when(k == 1, "900").otherwise("7")
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), stores.form_number(text, 1, 50, 1).alias("max_pages"), S.mask_secret(F.col("c_name")).alias("masked"))
+
+
+from . import more  # noqa: E402, F401  (further queries, registered by their import)

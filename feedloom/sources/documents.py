@@ -10,28 +10,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.json_walk import best_array, feed_score, items_at, loads
+from ..functions.json_walk import best_array, dot_get, feed_score, items_at, loads
 from ..functions.udf import arrow_udf
-from ..functions.scalars import bucket_key, content_type, feed_type, is_api_like, is_graphql, operation_name, operation_type
+from ..functions.scalars import bucket_key, content_type, feed_type, is_api_like, is_graphql, join_url, operation_name, operation_type
 
 ATOM = (
     "entry array<struct<title string, id string, updated string, published string, summary string, content string,"
     " author struct<name string>, link array<struct<_href string, _rel string>>>>"
 )
-RSS = "channel struct<item array<struct<title string, link string, description string, pubDate string, author string>>>"
+RSS_ITEM = "array<struct<title string, link string, description string, pubDate string, author string, `content:encoded` string, `dc:creator` string, `dc:date` string>>"
+RSS = f"channel struct<item {RSS_ITEM}>, item {RSS_ITEM}"
+
+
+def _first_text(*names: str) -> Column:
+    return F.coalesce(*[F.when(F.length(F.trim(x)) > 0, F.trim(x)) for x in map(F.col, names)], F.lit(""))
 
 
 def atom_items(responses: DataFrame, by: str, body: str = "body", most: int = 100) -> DataFrame:
-    """The first ``most`` entries of Atom bodies; content falls back to the summary, published to updated."""
+    """The first ``most`` entries of Atom bodies; content falls back to the summary, published to updated; the link is the alternate one."""
     e = responses.select(by, F.posexplode(F.slice(F.from_xml(body, ATOM)["entry"], 1, most)).alias("ord", "e"))
-    some = lambda *c: F.coalesce(*[F.when(F.length(x) > 0, x) for x in map(F.col, c)], F.lit(""))
-    return e.select(by, "ord", some("e.title").alias("title"), F.coalesce(F.col("e.link")[0]["_href"], F.lit("")).alias("link"), some("e.content", "e.summary").alias("content"), some("e.published", "e.updated").alias("timestamp"), F.lit("").alias("thumbnail"), some("e.author.name").alias("author"))
+    alternate = F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    return e.select(by, "ord", _first_text("e.title").alias("title"), F.coalesce(alternate, F.lit("")).alias("link"), _first_text("e.content", "e.summary").alias("content"), _first_text("e.published", "e.updated").alias("timestamp"), F.lit("").alias("thumbnail"), _first_text("e.author.name").alias("author"))
 
 
 def rss_items(responses: DataFrame, by: str, body: str = "body", most: int = 100) -> DataFrame:
-    e = responses.select(by, F.posexplode(F.slice(F.from_xml(body, RSS)["channel"]["item"], 1, most)).alias("ord", "e"))
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return e.select(by, "ord", text("e.title").alias("title"), text("e.link").alias("link"), text("e.description").alias("content"), text("e.pubDate").alias("timestamp"), F.lit("").alias("thumbnail"), text("e.author").alias("author"))
+    """The first ``most`` items of RSS 0.9 to 2.0 bodies (RDF items stand beside their channel), with the usual module elements."""
+    feed = F.from_xml(body, RSS)
+    e = responses.select(by, F.posexplode(F.slice(F.coalesce(feed["channel"]["item"], feed["item"]), 1, most)).alias("ord", "e"))
+    return e.select(by, "ord", _first_text("e.title").alias("title"), _first_text("e.link").alias("link"), _first_text("e.`content:encoded`", "e.description").alias("content"), _first_text("e.pubDate", "e.`dc:date`").alias("timestamp"), F.lit("").alias("thumbnail"), _first_text("e.author", "e.`dc:creator`").alias("author"))
 
 
 def json_items(responses: DataFrame, by: list[str], path: Column, body: str = "body", most: int = 250) -> DataFrame:
@@ -61,7 +67,7 @@ def paged_rows(pages: DataFrame, config: str, most_pages: int, most_items: int,
     member = lambda path: F.get_json_object(body, "$." + path)
     after = F.lit(False)
     if has_more:
-        after = after | F.coalesce(member(has_more).isin("false", "0", "", "null"), F.lit(True))
+        after = after | F.coalesce(member(has_more).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(True))
     if total_pages:
         after = after | F.coalesce(member(total_pages).try_cast("int") <= F.col("page_idx") + 1, F.lit(False))
     if kind == "cursor":
@@ -147,6 +153,12 @@ def embedded_candidates(pages: DataFrame, by: str, html: str = "html", least: fl
     return v.select(by, "label", "b.path", "b.n_items", "b.score", "value", rank.alias("rank"))
 
 
+def first_embedded(pages: DataFrame, by: str, html: str = "html") -> DataFrame:
+    """(by, value): the first script value that parses, as a scrape takes it; what a page offers best is embedded_candidates()."""
+    v = pages.where(F.lower(html).contains("<script")).select(by, F.get(embedded_json(F.col(html)), F.lit(0))["value"].alias("value"))
+    return v.where("value is not null")
+
+
 # ---- captures, HAR, GraphQL ----
 
 HAR = (
@@ -208,6 +220,26 @@ def graphql_operations(captures: DataFrame, by: str, most: int = 5, least: float
     return c.select(by, "url", "op_name", "op_type", "b.path", "b.n_items", "b.score", "rank")
 
 
+def unwrapped(body: Column, path: Column) -> Column:
+    """A GraphQL reply's array at the path; an object of one member there, which is an array, is unwrapped."""
+    inner = dot_get(body, path)
+    keys = F.json_object_keys(inner)
+    return F.when((F.size(keys) == 1) & F.ltrim(inner).startswith("{"), F.concat_ws(".", F.nullif(path, F.lit("")), keys[0])).otherwise(path)
+
+
+def probed_apis(urls: DataFrame, by: str, responses: DataFrame, least: float = L.MIN_SCORE) -> DataFrame:
+    """(by, url, path, n_items, score): found URLs (by, url) whose GET response is JSON with a feed-like array, in the order of URLs."""
+    r = responses.where((F.col("method") == "GET") & (F.col("status") == 200) & content_type(F.col("content_type")).contains("json")).select("url", "body")
+    hit = urls.join(r, "url").withColumn("b", best_array(F.col("body"))).where(F.col("b.score") >= least)
+    return hit.select(by, "url", "b.path", "b.n_items", "b.score")
+
+
+def replayed_queries(found: DataFrame, by: str, replies: DataFrame, least: float = L.MIN_SCORE) -> DataFrame:
+    """(by, field, path, n_items, score): fields found by introspection whose reply (by, field, body) holds a feed-like array."""
+    r = found.join(replies, [by, "field"]).withColumn("b", best_array(F.col("body"))).where(F.col("b.score") >= least)
+    return r.select(by, "field", "b.path", "b.n_items", "b.score")
+
+
 def introspected_queries(schemas: DataFrame, by: str, text: str = "body", most: int = 3) -> DataFrame:
     """(by, field, type, hits): list fields among the first 20 of a GraphQL schema's query type, by how many feed words they name."""
     kind = "struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string>>>>"
@@ -231,25 +263,37 @@ def api_urls(scripts: DataFrame, by: str, text: str = "js") -> DataFrame:
     return scripts.select(by, F.explode(found).alias("url")).where(is_api_like(F.col("url"))).distinct()
 
 
-def own_scripts(pages: DataFrame, by: str, origin: str, html: str = "html", most: int = 5) -> DataFrame:
-    """(by, pos, src): the first same-origin scripts of each page."""
-    s = pages.select(by, origin, F.posexplode(F.regexp_extract_all(html, F.lit("(?i)<script[^>]+src=[\"']([^\"']+)[\"']"), F.lit(1))).alias("pos", "src"))
-    same = F.when(F.col("src").rlike("^(https?:)?//"), F.regexp_extract("src", "^(?:https?:)?//([^/?#]*)", 1) == F.regexp_extract(origin, "^[^:/?#]+://([^/?#]*)", 1)).otherwise(True)
-    s = s.where(same).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("pos")))
-    return s.where(F.col("k") <= most).select(by, "pos", "src")
+def own_scripts(pages: DataFrame, by: str, origin: str, html: str = "html", responses: DataFrame | None = None, most: int = 5, longest: int = 2_000_000) -> DataFrame:
+    """(by, pos, src): the first same-origin scripts of each page, by their absolute URL.
+
+    With responses (url, status, body), those that were fetched and are not too long, with their text as js.
+    """
+    s = pages.select(by, origin, F.posexplode(F.regexp_extract_all(html, F.lit("(?i)<script[^>]+src=[\"']([^\"']+)[\"']"), F.lit(1))).alias("pos", "raw"))
+    s = s.withColumn("src", join_url(F.col(origin), F.col("raw")))
+    host = lambda c: F.regexp_extract(c, "^[^:/?#]+://([^/?#]*)", 1)
+    s = s.where(host(F.col("src")) == host(F.col(origin))).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).where(F.col("k") <= most)
+    if responses is None:
+        return s.select(by, "pos", "src")
+    r = responses.where((F.col("status") == 200) & (F.length("body") < longest)).select(F.col("url").alias("src"), F.col("body").alias("js"))
+    return s.join(r, "src").select(by, "pos", "src", "js")
 
 
 def feed_candidates(pages: DataFrame, by: str, url: str, html: str = "html") -> DataFrame:
-    """(by, feed_url, source, ord): linked feeds first, then the usual paths at the page's origin; each URL once."""
-    token = F.explode(F.regexp_extract_all(html, F.lit("(?i)(<link\\b[^>]*>)"), F.lit(1)))
-    attr = lambda n: F.regexp_extract("token", f"(?i)\\b{n}=[\"']([^\"']*)[\"']", 1)
+    """(by, feed_url, source, ord): linked feeds first, then the usual paths at the page's origin; each URL once.
+
+    Links are resolved against the page's URL. The usual paths are a constant array of each row; only linked feeds can repeat
+    them, so nothing but these is compared.
+    """
+    links = F.regexp_extract_all(html, F.lit("(?i)(<link\\b[^>]*>)"), F.lit(1))
+    attr = lambda t, n: F.regexp_extract(t, f"(?i)\\b{n}=[\"']([^\"']*)[\"']", 1)
+    feeds = F.filter(links, lambda t: F.contains(F.lower(attr(t, "rel")), F.lit("alternate")) & content_type(attr(t, "type")).isin(L.FEED_TYPES))
     origin = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
-    linked = pages.select(by, origin.alias("origin"), token.alias("token")).where((F.lower(attr("rel")).contains("alternate")) & content_type(attr("type")).isin(L.FEED_TYPES))
-    linked = linked.select(by, F.when(attr("href").startswith("/"), F.concat("origin", attr("href"))).otherwise(attr("href")).alias("feed_url"), F.lit("link").alias("source"), F.lit(0).alias("ord"))
-    paths = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("ord"), F.lit(p).alias("path")) for k, p in enumerate(L.FEED_PATHS)]))
-    probes = pages.select(by, origin.alias("origin"), paths.alias("p")).select(by, F.concat("origin", "p.path").alias("feed_url"), F.lit("path").alias("source"), F.col("p.ord").alias("ord"))
-    first = Window.partitionBy(by, "feed_url").orderBy("ord")
-    return linked.union(probes).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    own = pages.select(by, url, origin.alias("origin"), F.transform(feeds, lambda t: attr(t, "href")).alias("hrefs"))
+    linked = own.select(by, url, F.posexplode("hrefs").alias("pos", "href")).select(by, join_url(F.col(url), F.col("href")).alias("feed_url")).where("feed_url <> ''").distinct()
+    named = linked.groupBy(by).agg(F.collect_set("feed_url").alias("linked"))
+    probes = own.select(by, "origin").join(named, by, "left").select(by, "linked", F.posexplode(F.transform(F.array(*map(F.lit, L.FEED_PATHS)), lambda p: F.concat("origin", p))).alias("ord", "feed_url"))
+    probes = probes.where(F.col("linked").isNull() | ~F.array_contains("linked", F.col("feed_url")))
+    return linked.select(by, "feed_url", F.lit("link").alias("source"), F.lit(0).alias("ord")).union(probes.select(by, "feed_url", F.lit("path").alias("source"), (F.col("ord") + 1).alias("ord")))
 
 
 def probe_feeds(candidates: DataFrame, responses: DataFrame) -> DataFrame:
