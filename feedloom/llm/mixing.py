@@ -24,7 +24,7 @@ WORDS = {
 OTHER = "other"
 #: Target shares of tokens. Values that are not listed share what is left in proportion to their tokens to the power ALPHA.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1}
-TOPICS = {"technology": 0.1, "law": 0.05, "science": 0.05, OTHER: 0.7}
+TOPICS = {OTHER: 0.95}
 SOURCES: dict[str, float] = {}
 ALPHA = 0.5
 DIMENSIONS = ("source", "lang", "topic")
@@ -39,8 +39,9 @@ def topic(text: Column, words: dict[str, str] | None = None, least: int = 2) ->
     every = sorted({w for x in words.values() for w in x.split()})
     if not every:
         return F.lit(OTHER)
-    starts = "".join(sorted({w[0] for w in every}))
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=[{starts}])(?:{'|'.join(every)})(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    # words by their first letter, so that few are tried at the start of a word of the text
+    groups = "|".join(f"{c}(?:{'|'.join(w[1:] for w in every if w[0] == c)})" for c in sorted({w[0] for w in every}))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{groups})(?![\p{{L}}\p{{N}}])"), F.lit(0))
 
     def count(found: Column, own: list[str]) -> Column:
         return F.size(F.filter(found, lambda w: w.isin(own)))
@@ -115,6 +116,7 @@ def rake_rows(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50,
         return F.aggregate("own", F.lit(0.0), lambda total, x: total + x["tokens"] * F.get(factors, x["pair"]))
 
     before = now = np.ones(len(listed))
+    last = math.inf
     for sweep in range(sweeps):
         by = F.when(F.col("__now") > 0, F.col("share") / F.col("__now")).otherwise(0.0)
         off = F.when(F.col("__before") > 0, F.abs(F.col("share") * F.col("__now") / F.col("__before") - F.col("share"))).otherwise(0.0)
@@ -122,8 +124,11 @@ def rake_rows(cells: DataFrame, shares: dict[str, DataFrame], sweeps: int = 50,
         got = held.groupBy("x.pair").agg(F.sum(F.col("by") * F.col("x.tokens")).alias("s"), F.max("off").alias("off")).collect()
         if sweep and max(r.off for r in got) <= tolerance:
             break
-        if sweep == sweeps - 1:
-            not_settled(sweeps, max(r.off for r in got))
+        off = max(r.off for r in got)
+        if sweep == sweeps - 1 or (sweep > 8 and off > 0.98 * last):  # sweeps bring no more
+            not_settled(sweep, off)
+            break
+        last = off
         sums, before, now = np.zeros(len(listed)), now, now.copy()
         sums[[r.pair for r in got]] = [r.s for r in got]
         for j, m in enumerate(member):
