@@ -117,6 +117,7 @@ class Index:
         counts = np.zeros(self.width, np.int64)
         counts[[*essential]] = [*map(len, essential.values())]
         self.count, self.offset = counts, np.cumsum(counts) - counts
+        self.essential = np.append(counts > 0, False)  # the last is for words of no item (-1)
         flat = [p for t in sorted(essential) for p in essential[t]]
         self.flat_item, self.flat_share = np.array([i for i, _ in flat], np.int64), np.array([x for _, x in flat])
 
@@ -175,28 +176,33 @@ class Index:
         ``every``: a text's term numbers. Passages are two halves long and start every half, so a copy of an item, which is
         a half long at most, lies whole within one of them. Halves are taken together up to ``most`` postings.
         """
-        place = np.flatnonzero(every >= 0)
+        place = np.flatnonzero(self.essential[every])
         if not len(place):
             return
         part, term = np.divmod(np.unique(place // self.half * self.width + every[place]), self.width)
-        pairs = np.cumsum(self.count[term])
+        pairs, items = np.cumsum(self.count[term]), len(self.items)
         starts, lo = np.searchsorted(part, np.arange(part[-1] + 3)), 0
-        last = int(part[-1])
+        last, final = int(part[-1]), max(0, -(-len(every) // self.half) - 2)
         while lo <= last:
-            base, hi = pairs[starts[lo] - 1] if starts[lo] else 0, lo + 1
-            hi = max(hi, int(part[min(len(part) - 1, np.searchsorted(pairs, base + most))]))
+            base = pairs[starts[lo] - 1] if starts[lo] else 0
+            hi = max(lo + 1, int(part[min(len(part) - 1, np.searchsorted(pairs, base + most))]))
             hi = last if hi >= last - 1 else hi
             a, b = starts[lo], starts[hi + 1]  # the halves lo to hi, of which the last begins the next turn, too
-            p, t = part[a:b], term[a:b]
-            n = self.count[t]
-            flat = np.arange(n.sum()) + np.repeat(self.offset[t] - np.cumsum(n) + n, n)
-            key = np.repeat(p, n) * len(self.items) + self.flat_item[flat]
-            key, weight = np.concatenate([key, key - len(self.items)]), np.tile(self.flat_share[flat], 2)
-            found, inverse = np.unique(key, return_inverse=True)
-            reach = np.bincount(inverse, weight) >= self.need[found % len(self.items)]
-            for k in np.unique(found[reach] // len(self.items)).tolist():
-                if lo <= k < hi or k == last == 0:
-                    yield k, np.unique(term[starts[max(k, 0)] : starts[k + 2]]).tolist()
+            n = self.count[term[a:b]]
+            flat = np.arange(n.sum()) + np.repeat(self.offset[term[a:b]] - np.cumsum(n) + n, n)
+            key, weight, size = np.repeat(part[a:b] - lo, n) * items + self.flat_item[flat], self.flat_share[flat], (hi - lo + 1) * items
+            if size <= 8 * len(key) + 4_096:  # few items: sums of halves in a table, else in a sorted list
+                sums = np.bincount(key, weight, size).reshape(-1, items)
+                sums[:-1] += sums[1:]
+                found = np.flatnonzero((sums >= self.need).any(axis=1))
+            else:
+                pair, inverse = np.unique(np.concatenate([key, key - items]), return_inverse=True)
+                reach = np.bincount(inverse, np.tile(weight, 2)) >= self.need[pair % items]
+                found = np.unique(pair[reach] // items)
+            for k in (found + lo).tolist():
+                if (lo <= k < hi or k == hi == last) and k <= final:
+                    query = np.unique(every[k * self.half : (k + 2) * self.half])
+                    yield k, query[query >= 0].tolist()
             if hi >= last:
                 break
             lo = hi
