@@ -83,8 +83,8 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
                 words = (text or b"").split()
                 if len(words) >= window:
                     pieces_.append((k, *Hashed(words, window).pieces()))
-            row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
-            columns = [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, np.int64) for j in (1, 2, 3, 4)]
+            row = np.repeat([p[0] for p in pieces_], [len(p[1]) for p in pieces_]).astype(np.int64)
+            columns = [np.concatenate([p[j] for p in pieces_]) if pieces_ else np.zeros(0, np.int64) for j in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *(pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int64, np.int64), strict=True))],
                 ["id", "key", "at", "n", "anchor", "run"],
@@ -111,8 +111,8 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
                 n = np.array([t["n"] for t in todo])
                 at = np.repeat(np.array([t["at"] for t in todo]) - np.cumsum(n) + n, n) + np.arange(n.sum())
                 anchor, known = (np.repeat(np.array([t[c] for t in todo]), n) for c in ("anchor", "whole"))
-                parts.append((np.full(len(at), k), at, anchor, hashed.of(at, at + window).view(np.int64), known))
-            row, at, anchor, digest, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+                pieces_.append((np.full(len(at), k), at, anchor, hashed.of(at, at + window).view(np.int64), known))
+            row, at, anchor, digest, known = (np.concatenate(c) for c in zip(*pieces_, strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(anchor), pa.array(digest), pa.array(known.astype(np.bool_))], ["id", "key", "at", "anchor", "digest", "known"])
 
     single = materialise(packed.mapInArrow(windows, "id long, key long, at int, anchor long, digest long, known boolean"))
