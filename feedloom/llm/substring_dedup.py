@@ -1,7 +1,8 @@
 """Substring deduplication by repeated-phrase automata.
 
-Recurring passages are confirmed over the whole corpus by hashes of content-defined pieces, compiled into sharded
-Aho-Corasick automata, and all documents stream through the automaton of their shard, which locates every occurrence.
+Recurring passages are confirmed over the whole corpus by counting hashes, which keeps one copy of each distinct passage.
+These are compiled into Aho-Corasick automata, sharded by passage, and every document streams its stretches that hold an
+anchor of a passage through the automata of these passages, which locate every occurrence.
 """
 
 from __future__ import annotations
@@ -22,8 +23,14 @@ from .common import materialise, parts, salted_join, table
 
 #: Words of an anchor; the anchor of a window is the one with the smallest hash among those in it.
 ANCHOR = 16
-#: Characters of passages in one automaton, at most (a single longer passage has one of its own).
-SHARD_CHARS = 1_000_000
+#: Words of passages in one automaton, on average.
+SHARD_WORDS = 200_000
+#: Words of a block that owns the anchors in it.
+OWNER_WORDS = 2_048
+#: A shard is hot if it has a thousandth of all stretches, and so many at least.
+HOT_ROWS = 1_000
+#: Tasks that the stretches of a hot shard are dealt to.
+SALTS = 64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -67,13 +74,16 @@ class Hashed:
         return starts, ends - starts, anchors[own[starts]].view(np.int64), self.of(starts, ends + self.window - 1).view(np.int64)
 
 
-def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
-    """(id, key, runs): the runs (first window, number) of windows whose words also start anywhere else, for documents that have any.
+def confirmed_passages(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct passages of which every window also starts anywhere else, and the stretches of all documents that can hold one.
 
-    ``docs`` has (id, key, text). A window recurs only where its anchor does, and content decides on the anchor, so
-    first the anchors are counted, about one for every ten words. Runs of windows whose anchor recurs are compared as
-    wholes; only where runs with one anchor differ (at the ends of passages) are single windows counted, one of each
-    distinct run. Every count is combined before its shuffle.
+    ``docs`` has (id, key, text). Passages are (id, key, at, n, owner): the place of one copy, first window and number of
+    windows. Stretches are the same for every document. A window recurs only where its anchor does, and content decides
+    on the anchor, so first the anchors are counted, about one for every ten words. A run of windows whose anchor recurs
+    is a passage if it recurs as a whole; only where runs with one anchor differ (at the ends of what documents share) are
+    single windows counted, one of each distinct run, and those that recur are passages too. Whatever holds a passage
+    holds its anchor, and an anchor is owned by the block of OWNER_WORDS words with the smallest hash among those it stands
+    in, so what documents share with a block has one owner. Every count is combined before its shuffle.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +101,15 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
             )
 
     rows = docs.select("id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "id long, key long, at int, n int, anchor long, run long")
-    again = materialise(rows.groupBy("anchor").agg(F.count("*").alias("of_anchor")).where("of_anchor > 1"))
-    rows = materialise(salted_join(rows, again, ["anchor"], "of_anchor").drop("of_anchor").withColumn("tag", F.xxhash64("id", "key", "at")))
-    runs = materialise(rows.groupBy("anchor", "run").agg(F.count("*").alias("times"), F.min("tag").alias("first")))
-    differ = materialise(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("differs", F.lit(True)))
+    block = F.xxhash64("id", "key", F.floor(F.col("at") / OWNER_WORDS))
+    again = materialise(rows.groupBy("anchor").agg(F.count("*").alias("of_anchor"), F.min(block).alias("owner")).where("of_anchor > 1"))
+    rows = materialise(salted_join(rows, again, ["anchor"], "of_anchor").drop("of_anchor"))
+    one = F.min(F.struct(F.xxhash64("id", "key", "at").alias("tag"), "id", "key", "at", "n", "owner")).alias("one")
+    runs = materialise(rows.groupBy("anchor", "run").agg(F.count("*").alias("times"), one).select("anchor", "times", "one.*"))
+    differ = materialise(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # runs of an anchor whose runs are all alike need no look at their windows
-    runs = materialise(salted_join(runs, differ, ["anchor"], "kinds", "left").drop("kinds"))
-    judged = materialise(salted_join(rows, runs, ["anchor", "run"], "times").withColumn("whole", F.col("times") > 1).withColumn("open", F.coalesce("differs", F.lit(False)) & (~F.col("whole") | (F.col("tag") == F.col("first")))))
-    whole = judged.where("whole").select("id", "key", "at", "n")
-
-    todo = judged.where("open").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "anchor", "whole"))).alias("todo"))
-    packed = pack(docs).join(todo, ["id", "key"]).select("id", "key", "packed", "todo")
+    todo = salted_join(runs, differ, ["anchor"], "kinds").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "anchor", "owner", (F.col("times") > 1).alias("whole")))).alias("todo"))
+    packed = once(pack(docs)).join(todo, ["id", "key"]).select("id", "key", "packed", "todo")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -110,15 +118,18 @@ def recurring_starts(docs: DataFrame, window: int) -> DataFrame:
                 hashed = Hashed(zstandard.decompress(z).split(), window)
                 n = np.array([t["n"] for t in todo])
                 at = np.repeat(np.array([t["at"] for t in todo]) - np.cumsum(n) + n, n) + np.arange(n.sum())
-                anchor, known = (np.repeat(np.array([t[c] for t in todo]), n) for c in ("anchor", "whole"))
-                pieces_.append((np.full(len(at), k), at, anchor, hashed.of(at, at + window).view(np.int64), known))
-            row, at, anchor, digest, known = (np.concatenate(c) for c in zip(*pieces_, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(anchor), pa.array(digest), pa.array(known.astype(np.bool_))], ["id", "key", "at", "anchor", "digest", "known"])
+                anchor, owner, whole = (np.repeat(np.array([t[c] for t in todo]), n) for c in ("anchor", "owner", "whole"))
+                pieces_.append((np.full(len(at), k), at.astype(np.int32), anchor, owner, hashed.of(at, at + window).view(np.int64), whole))
+            row, *columns = (np.concatenate(c) for c in zip(*pieces_, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *map(pa.array, columns)], ["id", "key", "at", "anchor", "owner", "digest", "whole"])
 
-    single = materialise(packed.mapInArrow(windows, "id long, key long, at int, anchor long, digest long, known boolean"))
-    twice = single.groupBy("anchor", "digest").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("times")).where("times > 1")
-    ends = salted_join(single.where("not known"), materialise(twice), ["anchor", "digest"], "times").select("id", "key", "at", F.lit(1).alias("n"))
-    return whole.union(ends).distinct().groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    single = packed.mapInArrow(windows, "id long, key long, at int, anchor long, owner long, digest long, whole boolean")
+    one = F.min(F.struct("id", "key", "at", F.lit(1).alias("n"), "owner")).alias("one")
+    ends = single.groupBy("anchor", "digest").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("times"), F.every("whole").alias("known"), one)
+    columns = ["id", "key", "at", "n", "owner"]
+    found = materialise(runs.where("times > 1").select("anchor", *columns).union(ends.where("times > 1 and not known").select("anchor", "one.*")))
+    live = materialise(found.select("anchor").distinct().join(again, "anchor").select("anchor", "of_anchor"))
+    return found.select(columns), salted_join(rows, live, ["anchor"], "of_anchor").select(columns)
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -132,54 +143,103 @@ def pack(docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, key long, packed binary")
 
 
-def passages(words: list[str], runs: list[dict] | None, window: int) -> list[str]:
-    """The longest stretches of words that recurring windows cover without a gap between their starts."""
-    mark = np.zeros(len(words) + 2, np.int32)
-    for r in runs or ():
-        mark[r["at"] + 1] += 1
-        mark[r["at"] + r["n"] + 1] -= 1
-    edges = np.flatnonzero(np.diff(np.cumsum(mark) > 0)).tolist()
-    return [" " + " ".join(words[a : b + window - 1]) + " " for a, b in zip(edges[::2], edges[1::2], strict=True)]
-
-
-def shards(texts: list[tuple[list[str], list[str]]]) -> Iterator[list[int]]:
-    """Consecutive documents whose distinct passages come to SHARD_CHARS at most."""
-    group: list[int] = []
-    seen: set[str] = set()
-    size = 0
-    for k, (_, own) in enumerate(texts):
-        new = sum(len(p) for p in set(own) - seen)
-        if group and size + new > SHARD_CHARS:
-            yield group
-            group, seen, size, new = [], set(), 0, sum(map(len, set(own)))
-        group.append(k)
-        seen.update(own)
-        size += new
-    if group:
-        yield group
-
-
-def located(texts: list[tuple[list[str], list[str]]]) -> Iterator[np.ndarray]:
-    """For each (words, own passages): which words any passage of the shard covers, by the shard's automaton."""
-    for group in shards(texts):
-        patterns = {p: p.count(" ") - 1 for k in group for p in texts[k][1]}
-        automaton = ahocorasick.Automaton()
-        for p, n in patterns.items():
-            automaton.add_word(p, n)
-        if patterns:
-            automaton.make_automaton()
-        for k in group:
-            words = texts[k][0]
-            cover = np.zeros(len(words) + 1, np.int32)
-            if patterns:
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # of the space after each word
-                hits = [*automaton.iter(" " + " ".join(words) + " ")]
-                if hits:
-                    end, n = np.array(hits, np.int64).T
-                    last = np.searchsorted(ends, end) + 1
-                    np.add.at(cover, last - n, 1)
-                    np.add.at(cover, last, -1)
-            yield np.cumsum(cover)[:-1] > 0
+def once(packed: DataFrame) -> DataFrame:
+    """One row for each id and key."""
+    return packed.groupBy("id", "key").agg(F.first("packed").alias("packed"))
+
+
+def dealt(docs: DataFrame, passages: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
+    """(shard, salt, what, id, key, at, words): passages (what 0) and stretches of documents (1), by the shard of their owner.
+
+    There are as many shards as the passages take at SHARD_WORDS words each. Stretches of hot shards (a thousand at most)
+    are dealt to SALTS tasks, and the passages of these shards are sent to each.
+    Consecutive stretches of a document that go to one shard are sent as one.
+    """
+    total = passages.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
+    shard = F.pmod("owner", F.lit(total // SHARD_WORDS + 1))
+    both = passages.withColumn("what", F.lit(0)).union(stretches.withColumn("what", F.lit(1))).withColumn("shard", shard).drop("owner").distinct()
+    both = materialise(both)
+    sizes = materialise(both.where("what = 1").groupBy("shard").count())
+    every = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("count") >= max(every / 1000, HOT_ROWS)).select("shard", F.lit(True).alias("hot")))
+    lists = both.join(hot, "shard", "left").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("what", "at", "n", "shard", "hot"))).alias("places"))
+    packed = once(pack(docs)).join(lists, ["id", "key"]).select("id", "key", "packed", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, 200):
+            row, out = [], []
+            for k, (key, z, places) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                words = zstandard.decompress(z).split()
+                sent: list[list] = []
+                for p in places:
+                    if p["what"] and sent and sent[-1][0] == p["what"] and sent[-1][3] == p["shard"] and sent[-1][2] == p["at"]:
+                        sent[-1][2] += p["n"]
+                    else:
+                        sent.append([p["what"], p["at"], p["at"] + p["n"], p["shard"], p["hot"]])
+                for what, at, end, shard, hot in sent:
+                    salts = (range(SALTS) if what == 0 else (key % SALTS,)) if hot else (0,)
+                    text = b" ".join(words[at : end + window - 1])
+                    out += [(shard, salt, what, at, text) for salt in salts]
+                    row += [k] * len(salts)
+            if out:
+                shard, salt, what, at, text = zip(*out, strict=True)
+                took = [b.column(j).take(pa.array(row)) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(salt, pa.int32()), pa.array(what, pa.int32()), *took, pa.array(at, pa.int32()), pa.array(text, pa.binary())], ["shard", "salt", "what", "id", "key", "at", "words"])
+
+    return packed.mapInArrow(run, "shard long, salt int, what int, id long, key long, at int, words binary")
+
+
+class Phrases:
+    """An Aho-Corasick automaton over the words of passages; words are numbered, any other word is 0."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.made = False
+
+    def add(self, passage: bytes) -> None:
+        numbers = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in passage.split())
+        self.automaton.add_word(numbers, len(numbers))
+
+    def covered(self, text: bytes) -> list[tuple[int, int]]:
+        """The first word and the number of words of each stretch that occurrences of passages cover."""
+        if not self.made:
+            self.automaton.make_automaton()
+            self.made = True
+        out: list[tuple[int, int]] = []
+        numbers = tuple([self.numbers.get(w, 0) for w in text.split()])
+        for first, end in sorted((end - n + 1, end + 1) for end, n in self.automaton.iter(numbers)):
+            if out and first <= sum(out[-1]):
+                out[-1] = (out[-1][0], max(end, sum(out[-1])) - out[-1][0])
+            else:
+                out.append((first, end - first))
+        return out
+
+
+def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, at, n): the words of documents that passages cover, from rows of dealt() in the order of shard, salt and what."""
+    at_shard, phrases = None, Phrases()
+    for b in parts(batches):
+        row, starts, counts = [], [], []
+        for k, (shard, salt, what, at, words) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "what", "at", "words")), strict=True)):
+            if (shard, salt) != at_shard:
+                at_shard, phrases = (shard, salt), Phrases()
+            if what == 0:
+                phrases.add(words)
+                continue
+            for first, n in phrases.covered(words):
+                row.append(k)
+                starts.append(at + first)
+                counts.append(n)
+        took = [b.column(c).take(pa.array(row, pa.int64())) for c in ("id", "key")]
+        yield pa.RecordBatch.from_arrays([*took, pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["id", "key", "at", "n"])
+
+
+def occurrences(docs: DataFrame, window: int) -> DataFrame:
+    """(id, key, runs): the stretches (first word, number of words) that passages cover, for documents that hold any."""
+    sent = dealt(docs, *confirmed_passages(docs, window), window)
+    found = sent.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "what").mapInArrow(located, "id long, key long, at int, n int")
+    return found.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
@@ -192,21 +252,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id0"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("id0", F.lit(-(1 << 62))).alias("id"), F.xxhash64("id0", "text").alias("key"), "text")
-    runs = recurring_starts(rows, window)
-    packed = pack(rows).join(runs, ["id", "key"], "left").select("id", "key", "packed", "runs")
+    packed = pack(rows).join(occurrences(rows, window), ["id", "key"], "left").select("id", "key", "packed", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            texts = []
-            for z, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                joined = b" ".join(zstandard.decompress(z).split()).decode("utf-8", "surrogateescape")
-                words = joined.split(" ") if joined else []
-                texts.append((words, passages(words, runs, window)))
             counts, removed, digests, kept_texts = [], [], [], []
-            for (words, _), gone in zip(texts, located(texts), strict=True):
+            for z, runs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words = zstandard.decompress(z).split()
+                stays = np.ones(len(words), np.bool_)
+                for r in runs or ():
+                    stays[r["at"] : r["at"] + r["n"]] = False
                 counts.append(len(words))
-                removed.append(int(gone.sum()))
-                kept = " ".join(words if not removed[-1] else [words[k] for k in np.flatnonzero(~gone).tolist()]).encode("utf-8", "surrogateescape")
+                removed.append(len(words) - int(stays.sum()))
+                kept = b" ".join([words[k] for k in np.flatnonzero(stays).tolist()] if removed[-1] else words)
                 digests.append(hashlib.sha256(kept).hexdigest())
                 kept_texts += [kept] * with_text
             columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]

@@ -131,8 +131,11 @@ def test_links_connect_what_brute_force_connects_however_small_the_buckets(spark
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("window", [35, 5])
-def test_substrings(docs, window):
+@pytest.mark.parametrize(("window", "small"), [(35, False), (5, False), (5, True)])
+def test_substrings(docs, window, small, monkeypatch):
+    if small:  # many owners and shards, all of them hot
+        for name, value in (("SHARD_WORDS", 20), ("OWNER_WORDS", 8), ("HOT_ROWS", 1), ("SALTS", 3)):
+            monkeypatch.setattr(substring_dedup, name, value)
     source, seen = collect(docs), Counter()
     words = [WORD.findall(r["text"] or "") for r in source]
     for w in words:
@@ -150,9 +153,23 @@ def test_substrings(docs, window):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_shards_bound_the_automata(monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_CHARS", 50)
-    texts = [(["a", "b", "c", "d"], [" b c "]), ("x " * 60).split() and (("x " * 60).strip().split(" "), [" " + "x " * 40]), (["b", "c"], []), (["b", "c", "e"], [" b c "])]
-    got = [g.tolist() for g in substring_dedup.located(texts)]
-    assert got[0] == [False, True, True, False] and all(got[1]) and got[3] == [True, True, False]
-    assert len([*substring_dedup.shards(texts)]) > 1
+def test_phrases_are_found_in_other_documents():
+    phrases = substring_dedup.Phrases()
+    for p in (b"b c", b"c d e", b"x y"):
+        phrases.add(p)
+    assert phrases.covered(b"a b c d e f x y x") == [(1, 4), (6, 2)]
+    assert phrases.covered(b"b c b c") == [(0, 4)]
+    assert phrases.covered(b"c d x") == []
+
+
+def test_passages_and_stretches_meet_in_their_shard(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 10)
+    shared = [" ".join(f"{p}{i}" for i in range(30)) for p in "abcd"]
+    texts = [f"start{k} {shared[k % 4]} middle{k} {shared[(k + 1) % 4]} end{k}" for k in range(12)]
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "id long, key long, text string")
+    rows = substring_dedup.dealt(docs, *substring_dedup.confirmed_passages(docs, 5), 5).collect()
+    passages = {(r["shard"], bytes(r["words"])) for r in rows if r["what"] == 0}
+    assert len({s for s, _ in passages}) > 1
+    # a passage is compiled once for the corpus, not once for each document that holds it
+    assert len(passages) == sum(r["what"] == 0 for r in rows)
+    assert any(r["id"] != p["id"] and bytes(p["words"]) in bytes(r["words"]) for p in rows if p["what"] == 0 for r in rows if r["what"] == 1 and r["shard"] == p["shard"])
