@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, parts, salted_join, table
@@ -27,10 +27,8 @@ ANCHOR = 16
 SHARD_WORDS = 200_000
 #: Words of a block that owns the anchors in it.
 OWNER_WORDS = 2_048
-#: A shard is hot if it has a thousandth of all stretches, and so many at least.
-HOT_ROWS = 1_000
-#: Tasks that the stretches of a hot shard are dealt to.
-SALTS = 64
+#: Stretches of one shard that one task streams, on average, where a shard has more.
+SLICE_ROWS = 20_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -81,7 +79,8 @@ def confirmed_passages(docs: DataFrame, window: int) -> tuple[DataFrame, DataFra
     windows. Stretches are the same for every document. A window recurs only where its anchor does, and content decides
     on the anchor, so first the anchors are counted, about one for every ten words. A run of windows whose anchor recurs
     is a passage if it recurs as a whole; only where runs with one anchor differ (at the ends of what documents share) are
-    single windows counted, one of each distinct run, and those that recur are passages too. Whatever holds a passage
+    single windows counted, one of each distinct run. Of those that recur, neighbours that stand in the same distinct runs
+    form a passage, as whatever holds one of them holds them all. Whatever holds a passage
     holds its anchor, and an anchor is owned by the block of OWNER_WORDS words with the smallest hash among those it stands
     in, so what documents share with a block has one owner. Every count is combined before its shuffle.
     """
@@ -109,7 +108,7 @@ def confirmed_passages(docs: DataFrame, window: int) -> tuple[DataFrame, DataFra
     differ = materialise(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # runs of an anchor whose runs are all alike need no look at their windows
     todo = salted_join(runs, differ, ["anchor"], "kinds").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "anchor", "owner", (F.col("times") > 1).alias("whole")))).alias("todo"))
-    packed = once(pack(docs)).join(todo, ["id", "key"]).select("id", "key", "packed", "todo")
+    packed = pack(docs).join(todo, ["id", "key"]).select("id", "key", "packed", "todo")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -119,15 +118,21 @@ def confirmed_passages(docs: DataFrame, window: int) -> tuple[DataFrame, DataFra
                 n = np.array([t["n"] for t in todo])
                 at = np.repeat(np.array([t["at"] for t in todo]) - np.cumsum(n) + n, n) + np.arange(n.sum())
                 anchor, owner, whole = (np.repeat(np.array([t[c] for t in todo]), n) for c in ("anchor", "owner", "whole"))
-                pieces_.append((np.full(len(at), k), at.astype(np.int32), anchor, owner, hashed.of(at, at + window).view(np.int64), whole))
+                first = np.repeat(np.array([t["at"] for t in todo]), n)
+                pieces_.append((np.full(len(at), k), at.astype(np.int32), first.astype(np.int32), anchor, owner, hashed.of(at, at + window).view(np.int64), whole))
             row, *columns = (np.concatenate(c) for c in zip(*pieces_, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *map(pa.array, columns)], ["id", "key", "at", "anchor", "owner", "digest", "whole"])
-
-    single = packed.mapInArrow(windows, "id long, key long, at int, anchor long, owner long, digest long, whole boolean")
-    one = F.min(F.struct("id", "key", "at", F.lit(1).alias("n"), "owner")).alias("one")
-    ends = single.groupBy("anchor", "digest").agg(F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("times"), F.every("whole").alias("known"), one)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *map(pa.array, columns)], ["id", "key", "at", "first", "anchor", "owner", "digest", "whole"])
+
+    single = packed.mapInArrow(windows, "id long, key long, at int, first int, anchor long, owner long, digest long, whole boolean")
+    one = F.min(F.struct("id", "key", "at", "first", "owner")).alias("one")
+    ends = single.groupBy("anchor", "digest").agg(
+        F.sum(F.when(F.col("whole"), 2).otherwise(1)).alias("times"), F.every("whole").alias("known"), F.bit_xor(F.xxhash64("id", "key", "first")).alias("held_by"), one
+    )
+    ends = ends.where("times > 1 and not known").select("anchor", "times", "held_by", "one.*")
+    alike = ["anchor", "times", "held_by", "id", "key", "first", "owner"]
+    ends = ends.withColumn("gap", F.col("at") - F.row_number().over(Window.partitionBy(*alike).orderBy("at"))).groupBy(*alike, "gap").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("n"))
     columns = ["id", "key", "at", "n", "owner"]
-    found = materialise(runs.where("times > 1").select("anchor", *columns).union(ends.where("times > 1 and not known").select("anchor", "one.*")))
+    found = materialise(runs.where("times > 1").select("anchor", *columns).union(ends.select("anchor", *columns)))
     live = materialise(found.select("anchor").distinct().join(again, "anchor").select("anchor", "of_anchor"))
     return found.select(columns), salted_join(rows, live, ["anchor"], "of_anchor").select(columns)
 
@@ -143,27 +148,20 @@ def pack(docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, key long, packed binary")
 
 
-def once(packed: DataFrame) -> DataFrame:
-    """One row for each id and key."""
-    return packed.groupBy("id", "key").agg(F.first("packed").alias("packed"))
-
-
 def dealt(docs: DataFrame, passages: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
     """(shard, salt, what, id, key, at, words): passages (what 0) and stretches of documents (1), by the shard of their owner.
 
-    There are as many shards as the passages take at SHARD_WORDS words each. Stretches of hot shards (a thousand at most)
-    are dealt to SALTS tasks, and the passages of these shards are sent to each.
+    There are as many shards as the passages take at SHARD_WORDS words each. The stretches of a shard are dealt to salts,
+    one for every SLICE_ROWS of them, and its passages are sent to each, so no task gets a shard that many documents share.
     Consecutive stretches of a document that go to one shard are sent as one.
     """
     total = passages.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shard = F.pmod("owner", F.lit(total // SHARD_WORDS + 1))
-    both = passages.withColumn("what", F.lit(0)).union(stretches.withColumn("what", F.lit(1))).withColumn("shard", shard).drop("owner").distinct()
-    both = materialise(both)
-    sizes = materialise(both.where("what = 1").groupBy("shard").count())
-    every = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = F.broadcast(sizes.where(F.col("count") >= max(every / 1000, HOT_ROWS)).select("shard", F.lit(True).alias("hot")))
-    lists = both.join(hot, "shard", "left").groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("what", "at", "n", "shard", "hot"))).alias("places"))
-    packed = once(pack(docs)).join(lists, ["id", "key"]).select("id", "key", "packed", "places")
+    both = materialise(passages.withColumn("what", F.lit(0)).union(stretches.withColumn("what", F.lit(1))).withColumn("shard", shard).drop("owner").distinct())
+    sizes = materialise(both.groupBy("shard").agg(F.count("*").alias("rows"), F.ceil(F.sum("what") / SLICE_ROWS).cast("int").alias("salts")))
+    places = F.sort_array(F.collect_list(F.struct("what", "at", "n", "shard", "salts"))).alias("places")
+    lists = salted_join(both, sizes, ["shard"], "rows").groupBy("id", "key").agg(places)
+    packed = pack(docs).join(lists, ["id", "key"]).select("id", "key", "packed", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 200):
@@ -175,9 +173,9 @@ def dealt(docs: DataFrame, passages: DataFrame, stretches: DataFrame, window: in
                     if p["what"] and sent and sent[-1][0] == p["what"] and sent[-1][3] == p["shard"] and sent[-1][2] == p["at"]:
                         sent[-1][2] += p["n"]
                     else:
-                        sent.append([p["what"], p["at"], p["at"] + p["n"], p["shard"], p["hot"]])
-                for what, at, end, shard, hot in sent:
-                    salts = (range(SALTS) if what == 0 else (key % SALTS,)) if hot else (0,)
+                        sent.append([p["what"], p["at"], p["at"] + p["n"], p["shard"], p["salts"]])
+                for what, at, end, shard, of in sent:
+                    salts = (key % of,) if what else range(of)
                     text = b" ".join(words[at : end + window - 1])
                     out += [(shard, salt, what, at, text) for salt in salts]
                     row += [k] * len(salts)
@@ -239,7 +237,7 @@ def occurrences(docs: DataFrame, window: int) -> DataFrame:
     """(id, key, runs): the stretches (first word, number of words) that passages cover, for documents that hold any."""
     sent = dealt(docs, *confirmed_passages(docs, window), window)
     found = sent.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "what").mapInArrow(located, "id long, key long, at int, n int")
-    return found.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return found.distinct().groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:

@@ -133,8 +133,8 @@ def test_links_connect_what_brute_force_connects_however_small_the_buckets(spark
 
 @pytest.mark.parametrize(("window", "small"), [(35, False), (5, False), (5, True)])
 def test_substrings(docs, window, small, monkeypatch):
-    if small:  # many owners and shards, all of them hot
-        for name, value in (("SHARD_WORDS", 20), ("OWNER_WORDS", 8), ("HOT_ROWS", 1), ("SALTS", 3)):
+    if small:  # many owners and shards, each of many slices
+        for name, value in (("SHARD_WORDS", 20), ("OWNER_WORDS", 8), ("SLICE_ROWS", 2)):
             monkeypatch.setattr(substring_dedup, name, value)
     source, seen = collect(docs), Counter()
     words = [WORD.findall(r["text"] or "") for r in source]
