@@ -1,9 +1,9 @@
 """Spelling variants: words one edit apart, found by a positional q-gram inverted index with a count filter.
 
-The vocabulary is sharded by its words' rarest q-grams: of two words one edit apart, the rarest q + 1 grams of each share
-one. Within a shard and a length the postings (gram, position) are lists of word numbers in order. A word merges the lists
-of its own grams with a heap that skips what can't reach the bound, under the limits of length and position, and what
-reaches it is verified.
+The vocabulary is sharded by its words' rarest q-grams, with their places and the words' length: each word takes so many of
+them that no single edit can touch all, so two words one edit apart share one. Within a shard the postings (place, pair
+of letters) are lists of word numbers in order. A word merges the shorter of its own lists with a heap, under the limits of
+length and place, looks up what that brings in the longest ones, and verifies what reaches the bound.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heapreplace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, materialise, parts, table
 
 #: Length of a gram, and words that one task indexes at a time; a shard with more is indexed in blocks.
-Q, BLOCK = 2, 20_000
-#: Letters of a word; with Q = 2 there are at most 90^2 grams of lower-cased words, so their counts fit the driver.
+Q, BLOCK = 3, 20_000
+#: Letters of a word; lower-cased words have at most 90^3 grams, so their counts fit the driver and each task.
 RUN = r"[A-Za-zÀ-ÿ]"
 
 
@@ -35,6 +35,17 @@ def grams_of(word: str) -> list[str]:
     return [word[i : i + Q] for i in range(len(word) - Q + 1)]
 
 
+def rarest(word: str, counts: dict[str, int]) -> list[tuple[int, str]]:
+    """The places and grams of word, rarest first, all places of a gram together, until no one edit can touch them all: two lie Q or more apart."""
+    out, last = [], None
+    for n, g, i in sorted((counts[g], g, i) for i, g in enumerate(grams_of(word))):
+        if g != last and out and max(out)[0] - min(out)[0] >= Q:
+            break
+        out.append((i, g))
+        last = g
+    return out
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether b, as long as a or one longer, differs by exactly one replaced or inserted code point."""
     if len(a) == len(b):
@@ -43,58 +54,86 @@ def one_edit(a: str, b: str) -> bool:
     return len(b) == len(a) + 1 and a[i:] == b[i + 1 :]
 
 
-def reaching(lists: list[list[int]], bound: int) -> Iterator[int]:
-    """The numbers in at least ``bound`` of the ascending lists, by a heap merge: where fewer agree, bound - 1 lists skip to the next one's head."""
-    heap, at = [(x[0], k) for k, x in enumerate(lists)], [0] * len(lists)
+def merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """The numbers of ascending lists in order, each with how many lists hold it, by a heap of the lists' heads."""
+    if len(lists) == 1:
+        yield from ((x, 1) for x in lists[0])
+        return
+    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
     heapify(heap)
-    while len(heap) >= bound:
-        low, agreed = heap[0][0], []
-        while heap and heap[0][0] == low:
-            agreed.append(heappop(heap)[1])
-        if len(agreed) >= bound:
-            yield low
-            target = low + 1
+    number, times = heap[0][0], 0
+    while heap:
+        low, k, at = heap[0]
+        if low != number:
+            yield number, times
+            number, times = low, 0
+        times += 1
+        if at + 1 < len(lists[k]):
+            heapreplace(heap, (lists[k][at + 1], k, at + 1))
         else:
-            while len(agreed) < bound - 1:
-                agreed.append(heappop(heap)[1])
-            if not heap:
-                return
-            target = heap[0][0]
-        for k in agreed:
-            at[k] = bisect_left(lists[k], target, at[k])
-            if at[k] < len(lists[k]):
-                heappush(heap, (lists[k][at[k]], k))
+            heappop(heap)
+    yield number, times
+
+
+def reaching(lists: list[list[int]], bound: int) -> Iterator[int]:
+    """The numbers in at least ``bound`` of the ascending lists.
+
+    What is in none of the shorter lists is in bound - 1 lists at most: so only the shorter ones are merged, and the
+    bound - 1 longest are searched for what that brings.
+    """
+    if len(lists) < bound:
+        return
+    lists.sort(key=len, reverse=True)
+    longer = lists[: bound - 1]
+    for number, times in merged(lists[bound - 1 :]):
+        left = len(longer)
+        for x in longer:
+            if times >= bound or times + left < bound:
+                break
+            left -= 1
+            at = bisect_left(x, number)
+            times += at < len(x) and x[at] == number
+        if times >= bound:
+            yield number
 
 
 class Shard:
-    """The index of one shard's words of one length."""
+    """The index of one shard: words of one length that have one gram in one place."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.words, self.postings = length, [], {}
+    def __init__(self, length: int, place: int) -> None:
+        self.length, self.words, self.postings = length, [], None
+        self.open = [i for i in range(length - 1) if not place <= i < place + Q - 1]
 
     def add(self, word: str, n: int) -> None:
-        number = len(self.words)
         self.words.append((word, n))
-        for place in enumerate(grams_of(word)):
-            self.postings.setdefault(place, []).append(number)
+        if self.postings is not None:
+            self.post(len(self.words) - 1, word)
+
+    def post(self, number: int, word: str) -> None:
+        for i, at in self.postings:
+            at.setdefault(word[i : i + 2], []).append(number)
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
+    def near(self, word: str) -> list[tuple[str, int]]:
         """Indexed words one edit from word, which has their length or one more.
 
-        One edit leaves all grams of the longer word but Q; a replaced letter moves none, an inserted one moves those
-        behind it by one place.
+        One edit leaves all pairs of letters of the longer word but two; a replaced letter moves none, an inserted one
+        moves those behind it by one place. The pairs within the shard's gram are shared by all and count without lists.
         """
-        longer = len(word) - self.length
-        shifts = (0, 1) if longer else (0,)
-        found = [x for i, g in enumerate(grams_of(word)) for s in shifts if (x := self.postings.get((i - s, g)))]
-        bound = len(word) - Q + 1 - Q
-        for number in reaching(found, max(bound, 1)):
-            if one_edit(self.words[number][0], word):
-                yield self.words[number]
+        if not self.words:
+            return []
+        if self.postings is None:  # a shard of one word needs no index
+            self.postings = [(i, {}) for i in self.open]
+            for number, (w, _) in enumerate(self.words):
+                self.post(number, w)
+        found = [x for i, at in self.postings if (x := at.get(word[i : i + 2]))]
+        if len(word) > self.length:
+            found += [x for i, at in self.postings if (x := at.get(word[i + 1 : i + 3]))]
+        bound = len(word) - 3 - (Q - 1)
+        return [self.words[k] for k in reaching(found, bound) if one_edit(self.words[k][0], word)]
 
 
 def gram_counts(vocabulary: DataFrame) -> dict[str, int]:
-    """How many words hold each gram: 90^2 rows at most for the letters of RUN."""
+    """How many words hold each gram: 90^3 rows at most for the letters of RUN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
@@ -108,45 +147,49 @@ def gram_counts(vocabulary: DataFrame) -> dict[str, int]:
 
 
 def shard_rows(vocabulary: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """(gram, length, probe, word, n): each word under its rarest grams, to be indexed at its own length and to probe the length below."""
+    """(gram, place, length, probe, word, n): each word under its rarest grams, to be indexed at its own length and to probe the length below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, 10_000):
-            grams, lengths, probes, at = [], [], [], []
+            rows, of = [], []
             for k, w in enumerate(b.column(0).to_pylist()):
-                for g in dict.fromkeys(sorted(grams_of(w), key=lambda g: (counts[g], g))[: Q + 1]):
-                    grams += [g, g]
-                    lengths += [len(w), len(w) - 1]
-                    probes += [False, True]
-                    at += [k, k]
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(lengths, pa.int32()), pa.array(probes, pa.bool_()), b.column(0).take(at), b.column(1).take(at)], names=["gram", "length", "probe", "word", "n"])
+                for i, g in rarest(w, counts):
+                    rows += [(g, i, len(w), False), *((g, j, len(w) - 1, True) for j in (i - 1, i) if 0 <= j < len(w) - Q)]
+                of += [k] * (len(rows) - len(of))
+            grams, places, lengths, probes = zip(*rows)
+            of = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams, pa.string()), pa.array(places, pa.int32()), pa.array(lengths, pa.int32()), pa.array(probes, pa.bool_()), b.column(0).take(of), b.column(1).take(of)],
+                names=["gram", "place", "length", "probe", "word", "n"],
+            )
 
-    return vocabulary.select("word", "n").mapInArrow(run, "gram string, length int, probe boolean, word string, n long")
+    return vocabulary.select("word", "n").mapInArrow(run, "gram string, place int, length int, probe boolean, word string, n long")
 
 
 def near_pairs(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, na, b, nb), once for each pair of distinct words exactly one edit apart; words have at least 2 Q letters and are distinct.
 
-    A shard with more than ``block`` words of a length is indexed in blocks, each in a task of its own, to which all
-    words of the shard are sent as probes: no word of a crowded shard is left out, and no task holds more than one block.
+    A shard with more than ``block`` words is indexed in blocks, each in a task of its own, to which all words of the shard
+    are sent as probes: no word of a crowded shard is left out, and no task holds more than one block.
     """
+    shard = ["gram", "place", "length"]
     rows = materialise(shard_rows(vocabulary, gram_counts(vocabulary)))
-    sizes = rows.groupBy("gram", "length").agg(F.count_if(~F.col("probe")).alias("indexed"), F.count("*").alias("all")).where("indexed > 0 and all > 1")
-    dealt = rows.join(sizes.select("gram", "length", F.ceil(F.col("indexed") / block).cast("int").alias("blocks")), ["gram", "length"])
+    crowded = rows.where("not probe").groupBy(*shard).agg(F.count("*").alias("indexed")).where(F.col("indexed") > block)
+    blocks = checkpoint(crowded.select(*shard, F.ceil(F.col("indexed") / block).cast("int").alias("blocks")))
     home = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, shard, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.col("probe") | (F.col("block") != home))
-    ready = dealt.select("gram", "length", "block", "probe", "word", "n").repartition("gram", "length", "block").sortWithinPartitions("gram", "length", "block", "probe")
+    ready = dealt.select(*shard, "block", "probe", "word", "n").repartition(*shard, "block").sortWithinPartitions(*shard, "block", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, shard, out = None, None, []
+        key, index, out = None, None, []
         for b in parts(batches, 10_000):
-            for gram, length, place, probe, word, n in zip(*(c.to_pylist() for c in b.columns)):
-                if (gram, length, place) != key:
-                    key, shard = (gram, length, place), Shard(length)
-                out += [(*x, word, n) for x in shard.near(word)]
+            for gram, place, length, part, probe, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                if (gram, place, length, part) != key:
+                    key, index = (gram, place, length, part), Shard(length, place)
+                out += [(*x, word, n) for x in index.near(word)]
                 if not probe:
-                    shard.add(word, n)
+                    index.add(word, n)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["a", "na", "b", "nb"])
                 out = []
