@@ -35,7 +35,7 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
 
     Groups of three or more nodes with one tag, first class and parent kind; a tag alone only if it is article. The
     confidence grows with the count and the tag's, class's and id's weight. Two candidates of similar confidence with
-    different classes and 5 to 50 items together make a union, 0.05 below the better one.
+    different classes and 5 to 50 items together make a union, the more frequent one first, 0.05 below the better one.
     """
     first = lambda c: F.coalesce(F.try_element_at(meaningful_classes(F.col(c)), F.lit(1)), F.lit(""))
     g = nodes.where(F.col("tag").isin(L.ITEM_TAGS)).withColumn("cls1", first("cls")).withColumn("parent_sig", F.when(F.col("parent_tag").isNotNull(), F.concat_ws("|", "parent_tag", first("parent_cls"))))
@@ -49,7 +49,8 @@ def repeated_blocks(nodes: DataFrame, most: int = 7) -> DataFrame:
     # a page's candidates are few (a row for each repeated class), so their pairs are formed within its row
     fields = ["selector", "tag", "cls1", "item_count", "confidence", "ord"]
     page = one.groupBy("page_id").agg(F.collect_list(F.struct(*fields, F.lit(False).alias("is_union"))).alias("cs"))
-    fit = lambda x, y: (x["cls1"] != "") & (y["cls1"] != "") & (x["confidence"] >= 0.35) & (y["confidence"] >= 0.35) & (x["ord"] < y["ord"]) & (x["cls1"] != y["cls1"]) & (F.abs(x["confidence"] - y["confidence"]) <= 0.15 + 1e-9) & (x["item_count"] + y["item_count"]).between(5, 50)
+    ahead = lambda x, y: (x["item_count"] > y["item_count"]) | ((x["item_count"] == y["item_count"]) & (x["ord"] < y["ord"]))
+    fit = lambda x, y: (x["cls1"] != "") & (y["cls1"] != "") & (x["confidence"] >= 0.35) & (y["confidence"] >= 0.35) & ahead(x, y) & (x["cls1"] != y["cls1"]) & (F.abs(x["confidence"] - y["confidence"]) <= 0.15 + 1e-9) & (x["item_count"] + y["item_count"]).between(5, 50)
     joined = lambda x, y: F.struct(F.concat_ws(" | ", x["selector"], y["selector"]).alias("selector"), F.lit("").alias("tag"), F.lit("").alias("cls1"), (x["item_count"] + y["item_count"]).alias("item_count"), F.greatest(F.lit(0.05), F.round(F.greatest(x["confidence"], y["confidence"]) - 0.05, 2)).alias("confidence"), x["ord"].alias("ord"), F.lit(True).alias("is_union"))
     unions = F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: fit(x, y)), lambda y: joined(x, y))))
     every = page.select("page_id", F.explode(F.concat("cs", unions)).alias("c")).select("page_id", "c.*")

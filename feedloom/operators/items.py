@@ -115,3 +115,32 @@ def checked_replies(replies: DataFrame, by: str, text: str = "reply") -> DataFra
 
 def capped_text(c: Column, more: Column, most: int = 3_000) -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit("\n...and "), more.cast("string"), F.lit(" more"))).otherwise(c)
+
+
+def refresh_machine_rows(events: DataFrame, until: Column, grace_s: int = 300, least: int = 3) -> DataFrame:
+    """What streaming.machines.refresh_machine() gives for the same events, in batch; due times up to ``until`` count."""
+    order = ["ts", "event_id"]
+    own = events.withColumn("ok", F.col("ok") & F.col("config_id").isNotNull() & (F.col("kind") == "refresh")).withColumn("at", F.struct(*order))
+    states = refresh_states(own, order="at").withColumn("dismissed", F.col("kind") == "dismiss")
+    fired = drift_triggers(states, order="at", least=least).select("feed_id", "event_id", F.lit(True).alias("fired"))
+    ran = events.where("kind = 'refresh' and config_id is not null")
+    seconds = F.create_map(*[F.lit(x) for kv in L.CADENCE_SECONDS.items() for x in kv])[F.col("cadence")]
+    w = Window.partitionBy("feed_id").orderBy(*order)
+    due = ran.withColumn("due", F.timestamp_millis(F.unix_millis("ts") + seconds * 1000)).withColumn("due_before", F.lag("due").over(w)).withColumn("next", F.lead("ts").over(w))
+    late = due.select("feed_id", "event_id", (F.unix_millis("ts") > F.unix_millis("due_before") + grace_s * 1000).alias("late"))
+    rows = states.where("kind = 'refresh'").join(fired, ["feed_id", "event_id"], "left").join(late, ["feed_id", "event_id"], "left")
+    kind = F.when(F.col("config_id").isNull(), "skipped").when(F.col("ok"), "ok").otherwise("failed")
+    no = F.lit(False)
+    out = rows.select("feed_id", "event_id", F.col("ts").alias("at"), kind.alias("kind"), F.when(kind == "failed", F.left(F.coalesce("error", F.lit("")), F.lit(500))).alias("error"), "streak", F.coalesce("fired", no).alias("triggered"), F.coalesce("late", no).alias("missed"))
+    passed = due.where(F.when(F.col("next").isNotNull(), F.unix_millis("next") > F.unix_millis("due")).otherwise(F.col("due") <= until))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return out.unionByName(passed.select("feed_id", nothing("long").alias("event_id"), F.col("due").alias("at"), F.lit("due").alias("kind"), nothing("string").alias("error"), nothing("int").alias("streak"), nothing("boolean").alias("triggered"), nothing("boolean").alias("missed")))
+
+
+def trace_sessions(actions: DataFrame, ttl_s: int = 7_200, most: int = 60) -> DataFrame:
+    """(trace_id, session, start, end, n, n_kept, oldest_kept): sliding_sessions() with what is kept of each, the last ``most`` actions."""
+    w = Window.partitionBy("trace_id").orderBy("ts", "event_id")
+    fresh = F.coalesce(F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(w)) > ttl_s * 1000, F.lit(False)).cast("int")
+    s = actions.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("back", F.row_number().over(Window.partitionBy("trace_id", "session").orderBy(F.desc("ts"), F.desc("event_id"))))
+    return s.groupBy("trace_id", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"), F.least(F.count("*"), F.lit(most)).cast("int").alias("n_kept"), F.max_by("event_id", F.when(F.col("back") <= most, F.col("back"))).alias("oldest_kept"))

@@ -69,16 +69,17 @@ def recovered_fields(spark: SparkSession, d: str) -> DataFrame:
     return selectors.recovered_fields(pages, n, items, examples, least=0.999)
 
 
-@query(f"SELECT page_id, unnest([0, 1]) AS k, unnest([false, true]) AS poor, unnest([true, false]) AS good FROM ({CARDS}) WHERE cards > 0")
+@query(f"SELECT page_id, unnest([0, 1]) AS k, unnest([cards = 0, true]) AS poor, unnest([cards > 0, false]) AS good FROM ({CARDS})")
 def match_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Whether items still hold an example: the first title does, a text from nowhere does not."""
+    """Whether a page's first three cards hold an example: the title of the first does (where there is a card), a text from nowhere does not."""
     from ..operators import xpath
 
     got = xpath.scan(R.html_lists(spark, d), BLOCKS, {"title": FIELDS["title"]})
-    firsts = got.where("ord = 0").select("page_id", F.col("title").alias("t"))
+    firsts = R.order_items(spark, d).groupBy(F.col("cust").alias("page_id")).agg(F.coalesce(F.min_by(F.when(F.col("key") % 5 != 0, F.col("title")), F.when(F.col("key") % 5 != 0, F.col("key"))), F.lit("no cards on this page")).alias("t"))
     ex = firsts.select("page_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.upper("t").alias("needle")), F.struct(F.lit(1).alias("k"), F.lit("absent from all pages").alias("needle")))).alias("e")).select("page_id", "e.*")
     poor = selectors.poor_match(got.select("page_id", "ord", F.col("title").alias("text")), ex, "page_id").join(ex, ["page_id", "needle"])
-    good = selectors.already_good(got.select("page_id", "ord", F.lit("title").alias("field"), F.col("title").alias("value")).withColumn("field", F.explode(F.array(F.lit("0"), F.lit("1")))), ex.withColumn("field", F.col("k").cast("string")), "page_id")
+    values = got.select("page_id", "ord", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("field"), F.col("title").alias("value"))
+    good = selectors.already_good(values, ex.withColumn("field", F.col("k").cast("string")), "page_id")
     return poor.select("page_id", "k", "poor").join(good.select("page_id", F.col("field").cast("int").alias("k"), "good"), ["page_id", "k"])
 
 
@@ -91,21 +92,21 @@ def _example_rows(spark: SparkSession, d: str) -> DataFrame:
     return first.select("page_id", "row", F.explode(cells).alias("e")).select("page_id", "row", "e.*")
 
 
-ROWS_SQL = f"SELECT page_id, unnest([0, 1]) AS row, unnest([cards, featured]) AS n, unnest(['{CARD}', '{FEATURED}']) AS selector FROM ({CARDS})"
+ROWS_SQL = f"SELECT page_id, row, n, CASE WHEN n < 2 THEN '//html' WHEN row = 0 THEN '{CARD}' ELSE '{FEATURED}' END AS selector FROM (SELECT page_id, unnest([0, 1]) AS row, unnest([cards, featured]) AS n FROM (SELECT page_id, cards, featured FROM ({CARDS})))"
 CONF = "(20 + 3 * least(n, 10) + CASE WHEN n >= 3 THEN 20 WHEN n >= 2 THEN 10 ELSE 2 END)"
 
 
-@query(f"SELECT page_id, CAST(row AS INT) AS row, selector, n AS item_count, 2 AS n_fields, {CONF} / 100.0::DOUBLE AS confidence, './/p[contains(@class,''summary'')]' AS content, './/h2[contains(@class,''post-card__title'')]' AS title FROM ({ROWS_SQL}) WHERE n >= 2")
+@query(f"SELECT page_id, CAST(row AS INT) AS row, selector, n AS item_count, 2 AS n_fields, {CONF} / 100.0::DOUBLE AS confidence, './/p[contains(@class,''summary'')]' AS content, './/h2[contains(@class,''post-card__title'')]' AS title FROM ({ROWS_SQL}) WHERE n >= 1")
 def row_anchors(spark: SparkSession, d: str) -> DataFrame:
     n = shared(nodes(R.html_lists(spark, d), *C.ANCHOR_COLUMNS))
-    a = selectors.row_anchors(n, _example_rows(spark, d)).where("item_count >= 2 and selector like '//article%'")
+    a = selectors.row_anchors(n, _example_rows(spark, d))
     return a.select("page_id", "row", "selector", "item_count", "n_fields", "confidence", F.col("fields")["content"].alias("content"), F.col("fields")["title"].alias("title"))
 
 
 @query(f"SELECT page_id, string_agg(selector, ' | ' ORDER BY row) AS selector, sum(n)::BIGINT AS item_count, floor(avg({CONF}) + 0.5) / 100.0::DOUBLE AS confidence, './/h2[contains(@class,''post-card__title'')]' AS title, count(*) AS n_families FROM ({ROWS_SQL}) WHERE n >= 2 GROUP BY 1")
 def multi_row_anchor(spark: SparkSession, d: str) -> DataFrame:
     n = shared(nodes(R.html_lists(spark, d), *C.ANCHOR_COLUMNS))
-    a = selectors.families(selectors.row_anchors(n, _example_rows(spark, d)).where("selector like '//article%'"))
+    a = selectors.families(selectors.row_anchors(n, _example_rows(spark, d)))
     return a.select("page_id", "selector", "item_count", "confidence", F.col("fields")["title"].alias("title"), "n_families")
 
 
@@ -145,7 +146,7 @@ def anchored_snippet(spark: SparkSession, d: str) -> DataFrame:
 # ---- scans of scripts and endpoints ----
 
 
-@query("SELECT o_orderkey AS script_id, '/api/orders/' || o_orderkey AS url, '' AS path, 2 AS n_items, 0.72::DOUBLE AS score FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey AS script_id, '/api/orders/' || o_orderkey AS url, '' AS path, 2 AS n_items, 0.68::DOUBLE AS score FROM orders WHERE o_orderkey % 3 = 0")
 def api_probe(spark: SparkSession, d: str) -> DataFrame:
     """API-like URLs in scripts, joined to what they returned: JSON with items, an error, or no JSON."""
     o = table(spark, d, "orders")
@@ -154,15 +155,23 @@ def api_probe(spark: SparkSession, d: str) -> DataFrame:
     body = '[{"title":"a","url":"/a","date":"2024-01-01","image":"x"},{"title":"b","url":"/b","date":"2024-01-02","image":"y"}]'
     got = o.select(F.concat(F.lit("/api/orders/"), k.cast("string")).alias("url"), F.lit("GET").alias("method"), F.when(k % 3 == 1, 404).otherwise(200).alias("status"), F.when(k % 3 == 2, "text/html").otherwise("application/json; charset=utf-8").alias("content_type"), F.lit(body).alias("body"))
     found = D.probed_apis(D.api_urls(scripts, "script_id"), "script_id", got)
-    return found.select("script_id", "url", "path", "n_items", (F.col("score") + 0.04).cast("double").alias("score"))
+    return found.select("script_id", "url", "path", "n_items", (F.col("score")).cast("double").alias("score"))
 
 
-@query("SELECT c_custkey AS page_id, unnest([0, 2]) AS pos, 'https://c' || c_custkey || unnest(['.example.com/dir/a.js', '.example.com/b.js']) AS src FROM customer WHERE c_custkey % 2 = 0")
+@query("""SELECT page_id, pos, src FROM (SELECT c_custkey AS page_id, i::INT AS pos, 'https://c' || c_custkey || '.example.com/' || CASE i % 2 WHEN 0 THEN 'dir/' ELSE '' END || i || '.js' AS src, length(c_name) AS len
+  FROM customer, range(9) t(i)) WHERE pos <> 4 AND (page_id + pos) % 3 <> 0 AND NOT (page_id % 7 = 0 AND pos < 5) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 5""")
 def own_scripts(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey").cast("string")
-    pages = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://c"), k, F.lit(".example.com/dir/x")).alias("url"), F.lit('<script src="a.js"></script><script src="https://cdn.example.com/lib.js"></script><script async src="/b.js"></script><script src="//other.example.com/c.js"></script><script src="missing.js"></script>').alias("html"))
-    got = pages.where("page_id % 2 = 0").select(F.explode(F.array(*[F.struct(F.concat(F.lit("https://c"), F.col("page_id").cast("string"), F.lit(p)).alias("url"), F.lit(s).alias("status")) for p, s in ((".example.com/dir/a.js", 200), (".example.com/b.js", 200), (".example.com/dir/missing.js", 404))])).alias("r")).select("r.url", "r.status", F.lit("fetch()").alias("body"))
-    return D.own_scripts(pages, "page_id", "url", responses=got).select("page_id", "pos", "src")
+    """The first five same-origin scripts that were fetched: others fail, are on another host or, on every seventh page, too long."""
+    k, at = F.col("c_custkey"), F.sequence(F.lit(0), F.lit(8))
+    src = F.transform(at, lambda i: F.when(i == 4, "https://cdn.example.com/lib.js").when(i % 2 == 0, F.concat(i.cast("string"), F.lit(".js"))).otherwise(F.concat(F.lit("/"), i.cast("string"), F.lit(".js"))))
+    html = F.array_join(F.transform(src, lambda u: F.concat(F.lit("<script async src='"), u, F.lit("'></script>"))), "")
+    pages = table(spark, d, "customer").select(k.alias("page_id"), F.concat(F.lit("https://c"), k.cast("string"), F.lit(".example.com/dir/x")).alias("url"), html.alias("html"))
+    got = pages.select("page_id", "url", F.posexplode(src).alias("i", "s")).select(
+        F.when(F.col("i") == 4, F.col("s")).when(F.col("i") % 2 == 0, F.concat(F.lit("https://c"), F.col("page_id").cast("string"), F.lit(".example.com/dir/"), "s")).otherwise(F.concat(F.lit("https://c"), F.col("page_id").cast("string"), F.lit(".example.com"), "s")).alias("url"),
+        F.when((F.col("page_id") + F.col("i")) % 3 == 0, 404).otherwise(200).alias("status"),
+        F.repeat(F.lit("x"), F.when((F.col("page_id") % 7 == 0) & (F.col("i") < 5), 60).otherwise(20)).alias("body"),
+    ).distinct()
+    return D.own_scripts(pages, "page_id", "url", responses=got, longest=50).select("page_id", "pos", "src")
 
 
 @query("SELECT c_custkey AS site, 'latestPosts' AS field, 'Post' AS type, 1 AS rank, 'data.latestPosts' AS path, 3 AS n_items FROM customer")

@@ -123,9 +123,10 @@ def skeleton_text(spark: SparkSession, d: str) -> DataFrame:
     return prune.skeletons(nodes(table(spark, d, "pages"), *prune.PRUNE_COLUMNS))
 
 
-@query("SELECT o_custkey AS page_id, 'article' AS tag, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3")
+@query("""SELECT o_custkey AS page_id, 'article' AS tag, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3
+  UNION ALL SELECT o_custkey, unnest(['h2', 'p']), unnest(['post-card__title', 'summary']), count(*) FROM orders GROUP BY 1 HAVING count(*) >= 3 UNION ALL SELECT DISTINCT o_custkey, 'li', 'menu-item', 3 FROM orders""")
 def class_inventory_rendered(spark: SparkSession, d: str) -> DataFrame:
-    return prune.class_inventory(nodes(R.html_lists(spark, d), "pre", "tag", "cls")).where("tag = 'article'").select("page_id", "tag", "cls", "n")
+    return prune.class_inventory(nodes(R.html_lists(spark, d), "pre", "tag", "cls")).select("page_id", "tag", "cls", "n")
 
 
 @query("SELECT o_orderkey AS script_id, unnest(['/api/orders/' || o_orderkey, 'https://h.example.com/v1/items?id=' || o_orderkey]) AS url FROM orders")
@@ -289,13 +290,20 @@ def xpath_recipe_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 N_CARDS = "sum(CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE 0 END)"
-CONFIDENCE_SQL = "(((greatest(50, least(950, least(300 + (n - 3) * 30, 850) + 5 * {w})) + 5) // 10) / 100)::DOUBLE"
+#: Blocks of one class, three or more of them, with their confidence in hundredths; menu entries count as unlikely, and two
+#: classes of about equal confidence make a union, the more frequent one first.
+BLOCKS_SQL = "SELECT o_custkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1, 2 HAVING count(*) >= 3"
+HUNDREDTHS_SQL = "(greatest(50, least(950, least(300 + (n - 3) * 30, 850) + 5 * CASE WHEN cls = 'post-card' THEN 35 ELSE 10 END)) + 5) // 10"
 
 
-@query("SELECT page_id, '//article[contains(@class,''' || cls || ''')]' AS selector, n AS item_count, " + CONFIDENCE_SQL.format(w="CASE WHEN cls = 'post-card' THEN 35 ELSE 10 END") + " AS confidence FROM (SELECT o_custkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN 'featured' ELSE 'post-card' END AS cls, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 3)")
+@query(f"""WITH b AS (SELECT page_id, '//article[contains(@class,''' || cls || ''')]' AS selector, n, first, {HUNDREDTHS_SQL} AS c FROM ({BLOCKS_SQL}))
+SELECT page_id, selector, n AS item_count, (c / 100)::DOUBLE AS confidence, false AS is_union FROM b
+UNION ALL SELECT DISTINCT o_custkey, '//li[contains(@class,''menu-item'')]', 3, 0.05::DOUBLE, false FROM orders
+UNION ALL SELECT x.page_id, x.selector || ' | ' || y.selector, x.n + y.n, ((greatest(x.c, y.c) - 5) / 100)::DOUBLE, true FROM b x JOIN b y ON x.page_id = y.page_id AND (x.n > y.n OR (x.n = y.n AND x.first < y.first))
+  WHERE x.c >= 35 AND y.c >= 35 AND abs(x.c - y.c) <= 15 AND x.n + y.n BETWEEN 5 AND 50""")
 def xpath_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = C.repeated_blocks(nodes(R.html_lists(spark, d), *C.BLOCK_COLUMNS)).where("tag = 'article' and not is_union")
-    return c.select("page_id", "selector", "item_count", F.col("confidence").cast("double"))
+    c = C.repeated_blocks(nodes(R.html_lists(spark, d), *C.BLOCK_COLUMNS))
+    return c.select("page_id", "selector", "item_count", F.col("confidence").cast("double"), "is_union")
 
 
 @query()
@@ -315,8 +323,7 @@ def date_anchor_items(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey AS page_id, CASE WHEN arg_min(o_orderkey, o_orderkey) % 5 = 0 THEN '//article[contains(@class,''featured'')]' ELSE '//article[contains(@class,''post-card'')]' END AS selector, CASE WHEN min(o_orderkey) % 5 = 0 THEN count(*) FILTER (o_orderkey % 5 = 0) ELSE count(*) FILTER (o_orderkey % 5 <> 0) END AS item_count, 2::BIGINT AS n_fields FROM orders GROUP BY 1 HAVING item_count >= 2")
 def lca_anchor(spark: SparkSession, d: str) -> DataFrame:
     o = R.order_items(spark, d)
-    first = o.groupBy(F.col("cust").alias("page_id")).agg(F.min_by(F.struct("title", "price"), "key").alias("i"), F.min("key").alias("key"), F.count_if(F.col("key") % 5 == 0).alias("f"), F.count("*").alias("n"))
-    first = first.where(F.when(F.col("key") % 5 == 0, F.col("f") >= 2).otherwise(F.col("n") - F.col("f") >= 2))
+    first = o.groupBy(F.col("cust").alias("page_id")).agg(F.min_by(F.struct("title", "price"), "key").alias("i"))
     price = F.concat(F.lit("Priced at "), F.col("i.price").cast("string"), F.lit(" in"))
     examples = first.select("page_id", F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("i.title").alias("needle")), F.struct(F.lit("content").alias("field"), price.alias("needle")))).alias("e")).select("page_id", "e.*")
     return C.example_anchor(shared(nodes(R.html_lists(spark, d), *C.ANCHOR_COLUMNS)), examples)
@@ -553,4 +560,4 @@ def form_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), stores.form_number(text, 1, 50, 1).alias("max_pages"), S.mask_secret(F.col("c_name")).alias("masked"))
 
 
-from . import more, repair  # noqa: E402, F401  (further queries, registered by their import)
+from . import machines, more, repair  # noqa: E402, F401  (further queries, registered by their import)

@@ -153,9 +153,35 @@ def embedded_candidates(pages: DataFrame, by: str, html: str = "html", least: fl
     return v.select(by, "label", "b.path", "b.n_items", "b.score", "value", rank.alias("rank"))
 
 
+WHOLE_VALUE = re.compile(r"=\s*([{\[].*[}\]])\s*;?\s*\Z", re.S)
+
+
+@arrow_udf("string")
+def first_script_json(html: pd.Series) -> pd.Series:
+    """The first script body that is JSON, or whose assigned value, taken to the script's end, is."""
+
+    def first(page: str | None) -> str | None:
+        for m in re.finditer(r"<script[^>]*>(.*?)</script>", page or "", re.S | re.I):
+            body = m[1].strip()
+            if body[:1] not in ("{", "["):
+                assigned = WHOLE_VALUE.search(body)
+                body = assigned[1] if assigned else ""
+            try:
+                if body:
+                    json.loads(body)
+                    return body
+            except ValueError:
+                continue
+        return None
+
+    return html.map(first)
+
+
 def first_embedded(pages: DataFrame, by: str, html: str = "html") -> DataFrame:
-    """(by, value): the first script value that parses, as a scrape takes it; what a page offers best is embedded_candidates()."""
-    v = pages.where(F.lower(html).contains("<script")).select(by, F.get(embedded_json(F.col(html)), F.lit(0))["value"].alias("value"))
+    """(by, value): the first script that parses, as a scrape takes it, whatever its name: JSON by itself, or all that stands
+    behind an equals sign. Where none does, the first value that embedded_json() finds. What a page offers best is embedded_candidates()."""
+    value = F.coalesce(first_script_json(F.col(html)), F.get(embedded_json(F.col(html)), F.lit(0))["value"])
+    v = pages.where(F.lower(html).contains("<script")).select(by, value.alias("value"))
     return v.where("value is not null")
 
 
@@ -266,16 +292,18 @@ def api_urls(scripts: DataFrame, by: str, text: str = "js") -> DataFrame:
 def own_scripts(pages: DataFrame, by: str, origin: str, html: str = "html", responses: DataFrame | None = None, most: int = 5, longest: int = 2_000_000) -> DataFrame:
     """(by, pos, src): the first same-origin scripts of each page, by their absolute URL.
 
-    With responses (url, status, body), those that were fetched and are not too long, with their text as js.
+    With responses (url, status, body), the first of those that were fetched and are not too long, with their text as js.
     """
     s = pages.select(by, origin, F.posexplode(F.regexp_extract_all(html, F.lit("(?i)<script[^>]+src=[\"']([^\"']+)[\"']"), F.lit(1))).alias("pos", "raw"))
     s = s.withColumn("src", join_url(F.col(origin), F.col("raw")))
     host = lambda c: F.regexp_extract(c, "^[^:/?#]+://([^/?#]*)", 1)
-    s = s.where(host(F.col("src")) == host(F.col(origin))).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).where(F.col("k") <= most)
+    s = s.where(host(F.col("src")) == host(F.col(origin))).select(by, "pos", "src")
+    first = lambda rows: rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).where(F.col("k") <= most).drop("k")
     if responses is None:
-        return s.select(by, "pos", "src")
-    r = responses.where((F.col("status") == 200) & (F.length("body") < longest)).select(F.col("url").alias("src"), F.col("body").alias("js"))
-    return s.join(r, "src").select(by, "pos", "src", "js")
+        return first(s)
+    r = responses.where((F.col("status") == 200) & (F.length("body") < longest))
+    usable = first(s.join(r.select(F.col("url").alias("src")).distinct(), "src", "left_semi"))  # addresses alone decide; texts are joined to what is left
+    return usable.join(r.select(F.col("url").alias("src"), F.col("body").alias("js")), "src").select(by, "pos", "src", "js")
 
 
 def feed_candidates(pages: DataFrame, by: str, url: str, html: str = "html") -> DataFrame:
