@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from .items import keep_first, unexpired
 
 SAFE_ID = r"^[A-Za-z0-9_\-]{1,64}$"
-FEED_DEFAULTS = {"cadence": "1d", "last_error": "", "consecutive_empty_refreshes": 0, "llm_suggested": False, "feed_url": "", "name": ""}
+#: What a saved feed has where it says nothing, by type; source_url falls back to feed_url.
+FEED_DEFAULTS = {
+    "cadence": ("string", "1d"), "fetch_backend_override": ("string", ""), "stealth": ("boolean", False), "solve_cloudflare": ("boolean", False), "llm_suggested": ("boolean", False),
+    "last_refresh_at": ("string", None), "last_refresh_ok": ("boolean", None), "last_error": ("string", ""), "cached_atom_path": ("string", ""), "consecutive_empty_refreshes": ("int", 0),
+    "pending_llm_update": ("string", None), "feed_url": ("string", ""), "strategy": ("string", "rss"), "name": ("string", "Untitled Feed"),
+}
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,11 +24,12 @@ def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def migrate_feeds(feeds: DataFrame) -> DataFrame:
-    """Defaults for missing values, old strategy names replaced; rows without a valid id go."""
-    out = feeds
-    for name, value in FEED_DEFAULTS.items():
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in out.columns else F.lit(value))
-    return out.withColumn("strategy", F.when(F.col("strategy").isin("json", "json-api"), "json_api").otherwise(F.col("strategy"))).where(F.col("feed_id").cast("string").rlike(SAFE_ID))
+    """Defaults for missing values, old strategy names replaced; rows without a valid id, strategy or cadence go."""
+    have = lambda n, kind: F.col(n) if n in feeds.columns else F.lit(None).cast(kind)
+    filled = {n: F.coalesce(have(n, kind), F.lit(v).cast(kind)) for n, (kind, v) in FEED_DEFAULTS.items()}
+    filled["source_url"] = F.coalesce(have("source_url", "string"), filled["feed_url"])
+    out = feeds.withColumns(filled).withColumn("strategy", F.when(F.col("strategy").isin("json", "json-api"), "json_api").otherwise(F.col("strategy")))
+    return out.where(F.col("feed_id").cast("string").rlike(SAFE_ID) & F.col("strategy").isin(L.STRATEGIES) & F.col("cadence").isin("on_demand", *L.CADENCE_SECONDS))
 
 
 def upsert(store: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
@@ -53,11 +60,6 @@ def example_rows(form: DataFrame, by: str, fields: list[str]) -> DataFrame:
     return rows.select(by, "row", cells.alias("c")).select(by, "row", "c.field", "c.value").where("value is not null and value <> ''")
 
 
-def write_documents(documents: DataFrame, path: str, by: str) -> None:
-    """One text file group for each feed, replaced as a whole; readers see the old or the new one (Spark's commit)."""
-    documents.select(by, F.col("document").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(path)
-
-
 def parsed_store(lines: DataFrame, line: str, schema: str) -> DataFrame:
     """The documents of JSON lines; lines that are no JSON are left out."""
     return lines.where(F.try_parse_json(line).isNotNull()).select(F.from_json(line, schema).alias("d")).select("d.*")
