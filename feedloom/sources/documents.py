@@ -195,7 +195,16 @@ HAR = (
 
 def har_captures(hars: DataFrame, by: str, text: str = "har") -> DataFrame:
     """The JSON exchanges of HAR documents: (by, ord, method, url, status, content_type, body, request_body, headers)."""
-    e = hars.select(by, F.posexplode(F.from_json(text, HAR)["log"]["entries"]).alias("ord", "e"))
+    return _captured(hars.select(by, F.posexplode(F.from_json(text, HAR)["log"]["entries"]).alias("ord", "e")), by)
+
+
+def entry_captures(entries: DataFrame, by: str = "file", ord_: str = "entry", raw: str = "raw") -> DataFrame:
+    """What har_captures() gives, from single entries (by, ord_, raw) as readers.HarFiles has them."""
+    entry = HAR.partition("entries: array<")[2].removesuffix(">>")
+    return _captured(entries.where(F.col(raw).isNotNull()).select(by, F.col(ord_).alias("ord"), F.from_json(raw, entry).alias("e")), by)
+
+
+def _captured(e: DataFrame, by: str) -> DataFrame:
     body, mime = F.col("e.response.content.text"), content_type(F.col("e.response.content.mimeType"))
     named = F.filter("e.request.headers", lambda h: F.trim(h["name"]) != "")
     last = F.filter(named, lambda h: F.lit(True))
