@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_dated, match_form, meaningful_classes, similarity
+from ..functions.scalars import form_ratio, is_dated, match_form, meaningful_classes, profile, ratio_bound, similarity
 from ..functions.udf import arrow_udf
 from ..sources.dom import Tree
 from .xpath import find
@@ -122,14 +122,30 @@ def stacks(nodes: DataFrame, leaves: DataFrame, by: list[str]) -> DataFrame:
     return frames.groupBy(*by, "leaf").agg(F.concat(F.lit("//"), joined).alias("xpath"))
 
 
+def candidate_pairs(rows: DataFrame, text: str, examples: DataFrame, on: list[str], least: float) -> DataFrame:
+    """rows joined to the examples (on, needle) that their text may be like, by a bound on the ratio that needs no Python.
+
+    Each text and needle is brought to its compared form once; pairs whose lengths or characters rule out ``least`` go.
+    """
+    some = rows.join(examples.select(*on).distinct(), on, "left_semi").withColumn("__form", match_form(F.col(text))).withColumn("__profile", profile(F.col("__form")))
+    wanted = examples.withColumn("__needle", match_form(F.coalesce("needle", F.lit("")))).withColumn("__wanted", profile(F.col("__needle")))
+    return some.join(wanted, on).where(ratio_bound(F.col("__profile"), F.col("__wanted")) >= least - 1e-9)
+
+
+def similar_pairs(rows: DataFrame, text: str, examples: DataFrame, on: list[str], least: float) -> DataFrame:
+    """rows joined to the examples (on, needle) that their text is like, with their ratio: filtered by its bound, then verified."""
+    verified = candidate_pairs(rows, text, examples, on, least).withColumn("ratio", form_ratio(F.col("__form"), F.col("__needle")))
+    return verified.where(F.col("ratio") >= least).drop("__form", "__profile", "__needle", "__wanted")
+
+
 def recovered_selectors(pages: DataFrame, nodes: DataFrame, examples: DataFrame, least: float = 0.9, most: int = 10, longest: int = 500) -> DataFrame:
     """(page_id, selector, sibling_count): the best selector of the element whose text is like the example's (page_id, needle).
 
     Innermost elements of at most ``longest`` characters that match by ``least`` are candidates, the first ``most`` of a
     page; the selector that hits most nodes wins, the shorter of equals.
     """
-    short = nodes.where(F.length(F.trim("text")).between(1, longest)).join(examples, "page_id")
-    like = short.withColumn("ratio", similarity(F.col("text"), F.col("needle"))).where(F.col("ratio") >= least)
+    short = nodes.where(F.length(F.trim("text")).between(1, longest))
+    like = similar_pairs(short, "text", examples, ["page_id"], least)
     inner = like.select("page_id", F.col("parent").alias("pre")).distinct().withColumn("inner", F.lit(True))
     leaves = like.join(inner, ["page_id", "pre"], "left").where("inner is null")
     leaves = leaves.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("k") <= most)
@@ -149,7 +165,7 @@ def recovered_fields(pages: DataFrame, nodes: DataFrame, items: DataFrame, examp
     inside = nodes.join(items.select("page_id", "item", F.col("pre").alias("top"), F.col("last").alias("bottom")), "page_id").where("pre > top and pre <= bottom")
     own = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (F.col("text"), F.col("attrs")["href"], F.col("attrs")["src"], F.col("attrs")["datetime"], F.col("attrs")["content"])])
     inside = inside.withColumn("own", own).withColumn("same_tag", F.count("*").over(Window.partitionBy("page_id", "tag")))
-    like = inside.join(examples, "page_id").where("own is not null").withColumn("ratio", similarity(F.col("own"), F.col("needle"))).where(F.col("ratio") >= least)
+    like = similar_pairs(inside.where("own is not null"), "own", examples, ["page_id"], least)
     like = like.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "field", "needle").orderBy("pre"))).where(F.col("k") <= most)
     level = F.concat("tag", F.when(F.col("cls") != "", F.concat(F.lit("[contains(@class,'"), F.split(F.trim("cls"), r"\s+")[0], F.lit("')]"))).otherwise(""))
     up = like.select("page_id", "field", "needle", "pre", "top", F.posexplode("path").alias("depth", "above")).where("above > top")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import xml_escape
-from ..operators import recovery
+from ..operators import recovery, selectors
 from . import render as R
 from .queries import TITLE_SQL, query
 
@@ -66,3 +66,15 @@ def repaired_items(spark: SparkSession, d: str) -> DataFrame:
     items, updated = recovery.repairing_scan(recipes, now, recovery.fingerprints(before, recipes), examples)
     got = items.groupBy("page_id").agg(F.min_by("title", "ord").alias("first_title"), F.min_by("content", "ord").alias("first_content"), F.count("*").alias("item_count"))
     return got.join(updated.select("page_id", F.col("fields")["content"].alias("content_path")), "page_id")
+
+
+@query("""SELECT o_custkey AS page_id, count(*) AS n_texts, count(*) FILTER (length(o_orderkey::VARCHAR) = (SELECT length(min(i.o_orderkey)::VARCHAR) FROM orders i WHERE i.o_custkey = o.o_custkey)) AS n_like
+  FROM orders o GROUP BY o_custkey""")
+def similar_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts like that of a page's first order at 0.9: 40 letters by the length of the order's number, and its last digit."""
+    o = R.order_items(spark, d)
+    text = lambda key: F.concat(F.repeat(F.element_at(F.array(*map(F.lit, "abcdefghijkl")), F.length(key.cast("string"))), F.lit(40)), F.substring(key.cast("string"), -1, 1))
+    rows = o.select(F.col("cust").alias("page_id"), text(F.col("key")).alias("text"))
+    examples = o.groupBy(F.col("cust").alias("page_id")).agg(F.min("key").alias("key")).select("page_id", text(F.col("key")).alias("needle"))
+    like = selectors.similar_pairs(rows, "text", examples, ["page_id"], 0.9).groupBy("page_id").agg(F.count("*").alias("n_like"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_texts")).join(like, "page_id")

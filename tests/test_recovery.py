@@ -1,9 +1,13 @@
 """Relocation by fingerprint and the chain of fallbacks, one page for each way to end."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import recovery
+from feedloom.functions.scalars import match_form_of
+from feedloom.operators import recovery, selectors
 
 BLOCK = '<article class="{c}"><h3><a href="/{i}">{t} number {i}</a></h3><p class="s">text</p></article>'
 
@@ -57,3 +61,21 @@ def test_empty_tables(tables):
     none = recipes.limit(0)
     assert recovery.settled(none, now, recovery.fingerprints(before, none)).count() == 0
     assert recovery.settled(recipes, now.limit(0), recovery.fingerprints(before.limit(0), recipes)).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.75, 0.85, 0.9])
+def test_similar_pairs_against_brute_force(spark, least):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcdefgh ’é&") for _ in range(rnd.choice([0, 3, 12, 40, 260]))) for _ in range(40)]
+    noisy = lambda t: "".join(c if rnd.random() > 0.08 else rnd.choice(["", "x", c + c]) for c in t)
+    rows = [(k % 4, k, noisy(t)) for k, t in enumerate(base * 3)] + [(0, 900, None), (1, 901, "  ")]
+    examples = [(p, t) for p in range(4) for t in base[p::4][:6]] + [(1, ""), (2, None), (7, "abc")]
+    texts = spark.createDataFrame(rows, "page_id int, k int, text string")
+    needles = spark.createDataFrame(examples, "page_id int, needle string")
+    form = lambda t: match_form_of(t or "")
+    ratio = lambda a, b: 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    want = sorted((k, str(n)) for p, k, t in rows for q, n in examples if p == q and t is not None and ratio(form(t), form(n)) >= least)
+    got = selectors.similar_pairs(texts, "text", needles, ["page_id"], least)
+    assert sorted((r["k"], str(r["needle"])) for r in got.collect()) == want and want
+    pairs = sum(p == q for p, _, _ in rows for q, _ in examples)
+    assert selectors.candidate_pairs(texts, "text", needles, ["page_id"], least).count() < 0.6 * pairs  # the rest never reaches difflib
