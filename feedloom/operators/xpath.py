@@ -83,10 +83,13 @@ def find(tree: Tree, path: str, start: int = -1) -> list[tuple[int, str]]:
     for p in compile_path(path):
         at = [start]
         for step in p.steps:
-            hit = set()
+            hit, reached = [], -1
             for k in at:
-                span = range(k + 1, rows[k]["last"] + 1) if k >= 0 else range(len(rows))
-                hit.update(j for j in span if (step.deep or rows[j]["parent"] == k) and _ok(rows[j], step))
+                if not step.deep:
+                    hit += [j for j in tree.children(k) if _ok(rows[j], step)]
+                elif k < 0 or k > reached:  # what lies within a context that was searched is found already
+                    reached = rows[k]["last"] if k >= 0 else len(rows)
+                    hit += [j for j in tree.within(step.tag, k + 1, reached) if _ok(rows[j], step)]
             at = sorted(hit)
         for k in at:
             if k >= 0 and (p.attr is None or p.attr in rows[k]["attrs"]):

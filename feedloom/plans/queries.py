@@ -560,4 +560,4 @@ def form_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), stores.form_number(text, 1, 50, 1).alias("max_pages"), S.mask_secret(F.col("c_name")).alias("masked"))
 
 
-from . import machines, more, readers, repair, stores  # noqa: E402, F401  (further queries, registered by their import)
+from . import machines, more, proposals, readers, repair, stores  # noqa: E402, F401  (further queries, registered by their import)

@@ -7,7 +7,9 @@ parent_tag, parent_cls. A caller names the columns that it needs; no others leav
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -52,6 +54,31 @@ class Tree(HTMLParser):
         """The text of a node's whole subtree."""
         return "".join(self.pieces[self.rows[k]["from"] : self.rows[k]["to"]])
 
+    @cached_property
+    def by_tag(self) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for k, row in enumerate(self.rows):
+            out.setdefault(row["tag"], []).append(k)
+        return out
+
+    @cached_property
+    def by_parent(self) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for k, row in enumerate(self.rows):
+            out.setdefault(row["parent"], []).append(k)
+        return out
+
+    def within(self, tag: str, first: int, last: int) -> Sequence[int]:
+        """The nodes of a tag (* for any) from first to last, in document order."""
+        if tag == "*":
+            return range(first, min(last + 1, len(self.rows)))
+        places = self.by_tag.get(tag, [])
+        return places[bisect_left(places, first) : bisect_right(places, last)]
+
+    def children(self, k: int) -> Sequence[int]:
+        """The children of a node (-1: the document), in document order."""
+        return self.by_parent.get(k, ())
+
     def path(self, k: int) -> list[int]:
         out = []
         while k >= 0:
