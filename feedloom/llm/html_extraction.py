@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,7 +25,9 @@ from .common import checkpoint, materialise, parts, salted_join, table
 
 #: Fixed values of HTML: elements without content, with raw text, and those that begin a block of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg math".split())
+RAW = frozenset("script style textarea title noembed noframes iframe noscript template desc metadata annotation annotation-xml".split())
+#: Elements of pictures and formulas, which may close themselves; their text is text.
+FOREIGN = frozenset(["svg", "math"])
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul button".split()
@@ -34,12 +37,15 @@ P_CLOSERS = frozenset("address article aside blockquote center details dialog di
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 #: Elements that hold no article text.
 BOILER_TAGS = frozenset("nav aside footer form button select dialog menu head fieldset search".split())
-#: Words of class, id and role names. The first group marks adverts, menus, sidebars, notices, forms and comments wherever
-#: it stands; the second may also name parts of an article, so within one it counts only for constant or link-heavy slots.
-STRONG_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription "
-    "paywall sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond replies disqus share sharing social related recommended recommendations contentinfo".split()
+#: Class, id and role names, as whole names or of parts that are all of these and of PARTS (comment-list, but not
+#: related-work). The first group marks adverts and comments wherever they stand, the second menus, sidebars, notices and forms
+#: outside of articles; the third may also name parts of an article. Within one, the last two only confirm statistics.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond replies disqus".split())
+STRONG_WORDS = ADVERT_WORDS | frozenset(
+    "cookie cookies consent gdpr notice notices newsletter subscribe subscription "
+    "paywall sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager footer share sharing social related recommended recommendations contentinfo".split()
 )
+PARTS = frozenset("site page global main left right top bottom upper lower primary secondary list form area section box block container wrapper wrap inner outer bar banner slot unit links link posts post items item buttons button icons menu widget panel row col reply thread".split())
 WEAK_WORDS = frozenset("banner notification alert signup login popup modal overlay aside rail widget widgets menu toolbar topbar masthead discussion skip toc complementary search header".split())
 #: Class names that tell a state of the page (has-sidebar, comments-open) name no part of it.
 STATE = re.compile(r"^(?:has|no|not|is|with|without|show|shows|hide|hides|js|can)-|-(?:open|opened|closed|enabled|disabled|active|inactive|visible|collapsed|expanded|on|off)$")
@@ -132,15 +138,27 @@ class Page:
                 if tag == "a" or tag in BLOCK:
                     link = False
                 continue
-            if tag in RAW:
-                if tag not in unclosed and not (m[3].rstrip().endswith("/") and tag in ("svg", "math")):
+            closed = m[3].rstrip().endswith("/") and (tag in FOREIGN or any(opened[f] for f in FOREIGN))
+            if tag == "xmp" and tag not in unclosed:
+                close = re.compile(r"</xmp\s*(?:>|\Z)", re.I).search(html, at)
+                if close is None:
+                    unclosed.add(tag)
+                    continue
+                flush()
+                if not (stack and stack[-1][2]):
+                    pieces.append((stack[-1][1] if stack else -1, SPACES.sub(" ", html[at : close.start()])))
+                flush()
+                at = close.end()
+            elif closed:
+                continue
+            elif tag in RAW:
+                if tag not in unclosed:
                     close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(html, at)
                     if close is None:
                         unclosed.add(tag)
                         close_at = end if tag in ("script", "style", "textarea", "title") else at
                     at = close.end() if close else close_at
-                continue
-            if tag == "br":
+            elif tag == "br":
                 pieces.append((-1, " "))
             elif tag in BLOCK:
                 flush()
@@ -250,6 +268,15 @@ def slots_of(nodes: list[tuple[int, str]], matched: list[int]) -> list[int]:
     return out
 
 
+@lru_cache(100_000)
+def says(name: str, words: frozenset[str]) -> bool:
+    """Whether a name is one of the words, or one or more of them with parts that say where or what for."""
+    if name in words:
+        return True
+    split = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in words for w in split) and all(w in words or w in STRONG_WORDS or w in WEAK_WORDS or w in PARTS for w in split)
+
+
 def content_nodes(nodes: list[tuple[int, str]], stats: list[tuple[int, int, int, int]]) -> list[bool]:
     """Which nodes of a page's tree hold content.
 
@@ -257,9 +284,10 @@ def content_nodes(nodes: list[tuple[int, str]], stats: list[tuple[int, int, int,
     links, and those of constant blocks. The slot statistics decide first: a slot that is constant or mostly links is
     template. Names decide where statistics can't: by elements (nav, aside, footer, form and so on) and by words of class,
     id and role, of the node or of those around it. They say nothing about html, body and what wraps the article or main
-    elements with most text, and about code; parts of a class name (has-sidebar) say nothing about what holds most of the
-    text; words that may also name parts of an article count within one only for constant or link-heavy slots. Where article or
-    main elements hold a fifth of the text that is left or more, the content stands within them. If nothing would be left,
+    elements with most text, and about code; names of several parts (page-sidebar) say nothing about what holds most of the
+    text. Within an article only names of adverts and comments decide; the others count for constant or link-heavy slots.
+    Where article or main elements hold half of the text that is left or more, the content stands within them; else what
+    stands outside is content too. If nothing would be left,
     statistics are dropped, then names.
     """
     n = len(nodes)
@@ -289,21 +317,25 @@ def content_nodes(nodes: list[tuple[int, str]], stats: list[tuple[int, int, int,
     bad, linked = [False] * n, [False] * n
     for k, (p, label) in enumerate(nodes):
         _, *words = label.split(".")
-        names = {w for x in words if not STATE.search(x) for w in (x, *re.split(r"[^a-z]+", x))}
+        names = [w for w in words if not STATE.search(w)]
         wraps = tags[k] in ("html", "body", "main") or (outermost > 0 and articles[k] == outermost)
         if wraps or code[k]:
-            names = set()
+            names = []
         elif 2 * under[k] > total:
-            names, wraps = set(words), tags[k] == "form"
+            names, wraps = [w for w in words if not re.search("[^a-z]", w)], tags[k] == "form"
         in_article = p >= 0 and inside[p]
-        named = bool(names & STRONG_WORDS) or (bool(names & WEAK_WORDS or tags[k] == "header") and (not in_article or (tags[k] != "header" and template(k))))
+        weak = any(says(w, WEAK_WORDS) for w in names) or tags[k] == "header"
+        if in_article:
+            named = any(says(w, ADVERT_WORDS) for w in names) or (tags[k] != "header" and (weak or any(says(w, STRONG_WORDS) for w in names)) and template(k))
+        else:
+            named = weak or any(says(w, STRONG_WORDS) for w in names)
         bad[k] = (p >= 0 and bad[p]) or (tags[k] in BOILER_TAGS and not (tags[k] == "form" and wraps)) or named
         linked[k] = (p >= 0 and linked[p]) or (not wraps and not in_article and template(k)) or (in_article and tags[k] not in HEADINGS and stats[k][0] >= CONSTANT_PAGES and links[k] > 0.8 * under[k] > 0)
     has_text = lambda keep: any(ok and c for ok, c in zip(keep, chars, strict=True))
     for keep in ([not b and not t for b, t in zip(bad, linked, strict=True)], [not b for b in bad], [not t for t in linked]):
         within = [ok and i for ok, i in zip(keep, inside, strict=True)]
         held = sum(c for ok, c in zip(within, chars, strict=True) if ok)
-        if held and held >= 0.2 * sum(c for ok, c in zip(keep, chars, strict=True) if ok):
+        if held and 2 * held >= sum(c for ok, c in zip(keep, chars, strict=True) if ok):
             return within
         if has_text(keep):
             return keep

@@ -140,6 +140,11 @@ CASES = [
     ('<article>{}<pre><code><span class="comment"># note {k}</span> x</code></pre><div class="comments"><p>me too {k}</p></div>', "{} # note {k} x"),
     ('<div class="story">{}</div><article class="teaser"><p>{k}</p></article>', "{} {k}"),
     ('<article><h1><a href=/x>Head {k}</a></h1>{}<ul class="x"><li><a href=/1>One {k}</a><li><a href=/2>Two {k}</a></ul></article>', "Head {k} {}"),
+    ('<article>{}<p class="related-work">Others {k}.</p><p class="market-share">Half {k}.</p><div class="notice-board-history">Once {k}.</div></article>', "{} Others {k}. Half {k}. Once {k}."),
+    ('<article>{}<p>Let <math><mi>x</mi> <mo>=</mo> <mn>{k}</mn><annotation>x{k}</annotation></math> be.</p><svg><title>t</title><path d="m"/><text>label {k}</text></svg></article>', "{} Let x = {k} be. label {k}"),
+    ('<article>{}<xmp>if a < b: &amp; {k}</xmp><p>so {k}</p></article>', "{} if a < b: &amp; {k} so {k}"),
+    ('<article>{}<div class="comment-list"><p>me too {k}</p></div><div class="ad-slot-right">Buy {k}</div><p>end {k}</p></article>', "{} end {k}"),
+    ('<div class="lead">{}{}{}</div><article>{}</article>', "{} {} {} {}"),
     ('<article>{}<div><p>Subscribe to all our many letters.</p></div></article><div>Made {k} by hand</div>', "{}"),
 ]
 
