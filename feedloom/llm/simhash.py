@@ -231,7 +231,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows of equal sets of shingles are one group, null and empty texts among them. Null ids come last; of rows with one id
     and different texts, that with the smallest key of the text stays, of rows that repeat both, any one. With the bands
-    and rows given, a pair of similarity 0.8 meets with probability 0.99993. An empty table stays empty.
+    and rows given, a pair of similarity 0.8 meets with probability 0.99993. Members of a bucket are compared with its
+    leaders, and one linked to a leader with no other member, so a link of a chain may be missed: what holds is that no two rows
+    stay that are similar and met. An empty table stays empty.
     """
     sketches = row_sets(docs, id_col, text_col, shingle, bands, rows)
     roots = connected_components(near_copies(docs, sketches, id_col, text_col, shingle, similarity))
