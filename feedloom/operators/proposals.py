@@ -99,9 +99,9 @@ def judged(pages: DataFrame, present: DataFrame, replies: DataFrame, examples: D
     distinct items, filled fields an item (both over the first 20), hits; of equals the smaller proposal. One that gives fewer of
     the examples than the present recipe, or ranks no higher, is rejected. ``reason`` is null for what beats it; ``chosen``
     marks the best of these. Replies with a null page_id or proposal give no row; an unknown page, a null html, an empty reply each
-    give a reason. Measures are written once to the checkpoint folder.
+    give a reason. Parsed replies and measures are written to the checkpoint folder.
     """
-    p = parsed(replies)
+    p = written(parsed(replies))
     known = present.where("page_id is not null").select("page_id", F.col("item").alias("old_item"), F.col("fields").alias("old_fields"))
     needles = None
     if examples is not None:
