@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MOST_BROADCAST, act_on_rows, checkpoint, connected_components, materialise, parts, salted_join, table, text_key
@@ -140,30 +140,35 @@ def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
 
 
 def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, text, same, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, and the set's MinHash keys."""
+    """(id, text, same, size, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, the set's size and MinHash keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             sets = [np.unique(hashed_shingles(t, shingle)) for t in b.column(2).to_pylist()]
             equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))], ["id", "text", "same", "keys"])
+            sizes, keys = pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, sizes, keys], ["id", "text", "same", "size", "keys"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text"), F.col(text_col).cast("binary").alias("words"))
-    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, keys array<long>"))
+    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, keys array<long>"))
 
 
-def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 5, block: int = 64) -> DataFrame:
     """Edges (src, dst) between sets of word shingles (by their 128-bit hashes) with a Jaccard similarity of at least ``similarity``.
 
     SimHash can't collect these: at similarity 0.8, fingerprints differ in about 10 of 64 bits, for which covering masks
     need 2^11 tables. Candidates come from the MinHash keys in ``sketches``: a pair of similarity s shares one of b keys of
     r values with probability 1 - (1 - s^r)^b, and every link is verified on the whole sets.
 
-    One text stands for each set. Sets meet in buckets, in the order of their smallest ids: each is compared with those
-    before it that were linked to none, its leaders. Of two similar sets that meet, the later is therefore linked to an
-    earlier one, or the earlier is. Leaders are taken in rounds, one for each bucket; as near copies share theirs in most
-    buckets, they are compared about once, by tasks that hold one pair at a time. Buckets with still more leaders are
-    finished by a task each, one comparison of a member and a leader after the other.
+    One text stands for each set. Sets meet in buckets. In the order of their smallest ids, those of a bucket that are similar
+    to none of its leaders so far become leaders, and every member is compared with every leader, those after it
+    included. So a link that joins a member to any leader of a common bucket is found: the second link of a chain a, b, c, too.
+    What is not compared are two members that aren't leaders in any bucket they share.
+
+    Leaders are taken in rounds until none is left: one for each bucket in the first ``rounds``, as near copies share theirs in
+    most buckets and are then compared about once; up to ``block`` beyond, of which those similar to an earlier one of the
+    block don't count. Tasks hold one pair at a time, pairs whose sizes differ too much are never formed, and
+    the edges are the same for any ``rounds`` and ``block``.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,54 +181,53 @@ def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", te
             ok = [similar(*(np.frombuffer(x, np.uint64) for x in pair), similarity) for pair in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["leader", "same", "ok"])
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, first = None, []
-        for b in parts(batches):
-            src, dst = [], []
-            for band, key, same, known, held in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4)), strict=True):
-                if (band, key) != bucket:
-                    bucket, first = (band, key), []
-                own = np.frombuffer(held, np.uint64)
-                near = [other for other, x in first if similar(own, x, similarity)]
-                src += near
-                dst += [same] * len(near)
-                if not near and not known:
-                    first.append((same, own))
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
-
     # the row that stands for a set: the smallest id, null ids last, then the smallest key of the text
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")
-    sets = checkpoint(sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min_by("keys", rank).alias("keys")))
-    keyed = sets.select("same", "rank", F.posexplode("keys").alias("band", "key"))
+    sets = checkpoint(sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min("size").alias("size"), F.min_by("keys", rank).alias("keys")))
+    keyed = sets.select("same", "size", "rank", F.posexplode("keys").alias("band", "key"))
     sizes = checkpoint(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    open_ = materialise(salted_join(keyed, sizes, ["band", "key"], "n").select("band", "key", "same", "rank", F.lit(False).alias("linked"), "n"))
+    open_ = materialise(salted_join(keyed, sizes, ["band", "key"], "n").select("band", "key", "same", "size", "rank", F.lit(False).alias("linked"), "n"))
     met = checkpoint(open_.select("same", "rank").distinct().select("same", "rank.id", "rank.text"))
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), text_key(F.col(text_col)).alias("own_text"), F.col(text_col).cast("binary").alias("words"))
     few = met.count() <= MOST_BROADCAST
     found = texts.join(F.broadcast(met) if few else met, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_text") == F.col("text"))).select("same", "words")
     held = materialise(found.mapInArrow(hashed, "same binary, set binary").dropDuplicates(["same"]))
 
-    edges, order = None, F.struct("rank", "same")
-    for _ in range(rounds):
-        lead = open_.where("not linked").groupBy("band", "key").agg(F.min(order).alias("leader"), F.max("n").alias("n_rows"))
-        at = salted_join(open_, checkpoint(lead), ["band", "key"], "n_rows").where(order > F.col("leader"))
-        at = materialise(at.select("band", "key", "same", "rank", "linked", "n", F.col("leader.same").alias("leader")))
-        pairs = at.select("leader", "same").distinct()
-        pairs = checkpoint(pairs)
+    edges, taken, order = None, 0, Window.partitionBy("band", "key").orderBy("rank", "same")
+    fits = F.least("size", "leader.size") >= similarity * F.greatest("size", "leader.size") - 1e-9
+    own_rank = F.array_position("leaders.same", F.col("same"))
+    while True:
+        many = 1 if taken < rounds else block
+        first = open_.where("not linked").withColumn("place", F.row_number().over(order)).where(F.col("place") <= many)  # cut before the shuffle, too
+        listed = F.sort_array(F.collect_list(F.struct("rank", "same", "size")))
+        lead = checkpoint(first.groupBy("band", "key").agg(F.transform(listed, lambda x: F.struct(x["same"].alias("same"), x["size"].alias("size"))).alias("leaders"), F.max("n").alias("n_rows")))
+        at = materialise(salted_join(open_, lead, ["band", "key"], "n_rows").drop("n_rows"))
+        met = at.withColumn("leader", F.explode("leaders")).where(fits & (F.col("leader.same") != F.col("same"))).withColumn("leader", F.col("leader.same"))
+        pairs = checkpoint(met.select("leader", "same").distinct())
         led = checkpoint(pairs.groupBy("leader").agg(F.count("*").alias("n_led")))
         own = held.withColumnsRenamed({"same": "leader", "set": "leader_set"}).join(led, "leader")
         both = salted_join(pairs.join(held, "same").select("leader", "same", "set"), own, ["leader"], "n_led").select("leader", "same", "set", "leader_set")
         judged = checkpoint(both.mapInArrow(verified, "leader binary, same binary, ok boolean").where("ok"))
-        new = judged.select(F.col("leader").alias("src"), F.col("same").alias("dst"))
-        edges = new if edges is None else edges.union(new)
-        open_ = at.join(judged, ["leader", "same"], "left").select("band", "key", "same", "rank", (F.col("linked") | F.coalesce("ok", F.lit(False))).alias("linked"), "n")
+        linked = met.select("band", "key", "leader", "same", "leaders", own_rank.alias("later")).join(judged, ["leader", "same"])
+        if many > 1:
+            linked = checkpoint(linked)
+            among = linked.select("band", "key", F.array_position("leaders.same", F.col("leader")).alias("sooner"), "later").where("sooner < later")
+            among = among.groupBy("band", "key").agg(F.collect_list(F.struct("sooner", "later")).alias("among"))
+            count_ = lambda a, j: F.when(F.exists("among", lambda e: (e["later"] == j) & F.array_contains(a, e["sooner"])), a).otherwise(F.concat(a, F.array(j)))
+            counted = F.aggregate(F.sequence(F.lit(1), F.size("leaders")).cast("array<long>"), F.array().cast("array<long>"), count_)
+            lead = checkpoint(lead.join(among, ["band", "key"], "left").select("band", "key", F.transform(counted, lambda j: F.element_at("leaders", j.cast("int"))).alias("leaders"), "n_rows"))
+            linked = linked.join(lead.select("band", "key", F.explode("leaders.same").alias("leader")), ["band", "key", "leader"])
+            at = salted_join(at.drop("leaders"), lead, ["band", "key"], "n_rows").drop("n_rows")
+        new = checkpoint(linked.select("band", "key", "leader", "same"))
+        edges = edges.union(new.select("leader", "same")) if edges is not None else new.select("leader", "same")
+        now = new.select("band", "key", "same", F.lit(True).alias("now")).distinct()
+        rest = at.where(own_rank == 0).drop("leaders").join(now, ["band", "key", "same"], "left")
+        open_ = materialise(rest.withColumn("linked", F.col("linked") | F.coalesce("now", F.lit(False))).drop("now"))
         # buckets without another leader are done
         more = checkpoint(open_.groupBy("band", "key").agg(F.count_if(~F.col("linked")).alias("free"), F.count("*").alias("n")).where("free > 0 and n > 1").select("band", "key", "n"))
-        open_ = materialise(salted_join(open_.drop("n"), more, ["band", "key"], "n"))
         if more.isEmpty():
-            return edges.distinct()
-    rest = open_.join(held, "same").select("band", "key", "same", "linked", "set", "rank").repartition("band", "key").sortWithinPartitions("band", "key", "rank", "same")
-    return edges.union(rest.drop("rank").mapInArrow(finished, "src binary, dst binary")).distinct()
+            return edges.select(F.col("leader").alias("src"), F.col("same").alias("dst")).distinct()
+        open_, taken = salted_join(open_.drop("n"), more, ["band", "key"], "n"), taken + 1
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
@@ -231,9 +235,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows of equal sets of shingles are one group, null and empty texts among them. Null ids come last; of rows with one id
     and different texts, that with the smallest key of the text stays, of rows that repeat both, any one. With the bands
-    and rows given, a pair of similarity 0.8 meets with probability 0.99993. Members of a bucket are compared with its
-    leaders, and one linked to a leader with no other member, so a link of a chain may be missed: what holds is that no two rows
-    stay that are similar and met. An empty table stays empty.
+    and rows given, a pair of similarity 0.8 meets with probability 0.99993. Members of a bucket are compared with all its
+    leaders: no two rows stay that are similar and met, and chains of three that met are whole; a link between two members that lead in
+    no bucket they share may be missed. An empty table stays empty.
     """
     sketches = row_sets(docs, id_col, text_col, shingle, bands, rows)
     roots = connected_components(near_copies(docs, sketches, id_col, text_col, shingle, similarity))

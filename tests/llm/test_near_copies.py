@@ -66,3 +66,35 @@ def test_band_keys_reach_the_similarity():
         a, b = x[:400], np.concatenate([x[:356], x[400:444]])  # similarity 356 / 444
         met += any(p == q for p, q in zip(simhash.band_keys(a, 24, 5), simhash.band_keys(b, 24, 5), strict=True))
     assert met == 200
+
+
+def test_one_bucket_of_chains(spark):
+    """All texts in one bucket, chains a, b, c with a unlike c among them: the edges are those of leaders in order, whatever the rounds."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = []
+    for _ in range(30):
+        a = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(120)]
+        b, c = list(a), list(a)
+        b[20] = b[60] = "changed"
+        c[20] = c[60] = "changed"
+        c[90] = c[105] = "again"
+        chain = [a, b, c]
+        r.shuffle(chain)
+        rows += chain
+    texts = [(k, " ".join(t)) for k, t in enumerate(rows)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sketches = simhash.row_sets(docs, "doc_id", "text", 5, 24, 5).withColumn("keys", F.array(F.lit(7).cast("long")))
+    of = {bytes(x.same): x.id for x in sketches.select("same", "id").collect()}
+    sets = {k: shingles(t) for k, t in texts}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    leaders = []
+    for k in sorted(sets):
+        if not any(alike(x, k) for x in leaders):
+            leaders.append(k)
+    want = {(x, k) for x in leaders for k in sets if k != x and alike(x, k)}
+    for rounds, block in ((0, 64), (0, 7), (2, 16)):
+        got = simhash.near_copies(docs, sketches, rounds=rounds, block=block).collect()
+        assert {(of[bytes(e.src)], of[bytes(e.dst)]) for e in got} == want and len(got) == len(want) >= 60
+    assert any(a > b for a, b in want)  # links of a leader to a member before it, which led to another
