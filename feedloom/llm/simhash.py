@@ -153,7 +153,7 @@ def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, keys array<long>"))
 
 
-def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 5, block: int = 64) -> DataFrame:
+def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2, block: int = 64) -> DataFrame:
     """Edges (src, dst) between sets of word shingles (by their 128-bit hashes) with a Jaccard similarity of at least ``similarity``.
 
     SimHash can't collect these: at similarity 0.8, fingerprints differ in about 10 of 64 bits, for which covering masks
