@@ -16,6 +16,9 @@ TITLES = {
     "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme Mlle Madam г-жа Госпожа",
     "n": "Dr Prof Professor Doctor",
 }
+#: What may follow a title as its part, and words that stand within names and stay in them.
+DEGREES = "med phil rer nat jur ing habil h c"
+PARTICLES = "van von der den de del della di da dos du la le ten ter zu zur af bin ibn"
 NAMES = {
     ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Kevin Brian George Edward Peter Henry Carl Hans Karl Jürgen Klaus Stefan Pierre Jean Louis Michel Jacques Carlos José Luis Miguel Antonio Pedro",
     ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Helen Laura Anna Emma Julia Ursula Monika Sabine Petra Marie Sophie Camille Chloé Isabelle Carmen María Lucía Elena Rosa Pilar",
@@ -31,21 +34,24 @@ FAMILY_ENDINGS = {"latin": "n ler son man ner ston ford well dez rin", "cyrillic
 GIVEN_ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("greek", "m"): "ς", ("greek", "f"): "νη"}
 #: From these attempts on, given names are made up, and digits or letters are added where a format has no room left.
 MADE_UP, LONGER = 2, 6
+#: One title or several, with degrees; titles of one person follow each other.
+ONE_TITLE = rf"(?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}](?:(?:{'|'.join(DEGREES.split())})\.[ \x{{A0}}]?)*"
+TITLED = rf"(?:{ONE_TITLE}){{1,3}}"
 #: What is detected, in the order in which a place is tried. Passages that match none stay as they are.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)*\.[\p{L}]{2,24}",
     "secret": r"(?=[aAsStTpP])(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.=-]{8,}",
-    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64})(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?|[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}.+-])(?:\d{4}[ -]){3}\d{4}(?![\p{L}\p{N}]|-\d)|(?<![\p{L}\p{N}.+-])\d{13,19}(?![\p{L}\p{N}]|-\d)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}-])\d{3}[-.]\d{3}[-.]\d{4}(?![\p{L}\p{N}-])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({w[0] for x in TITLES.values() for w in x.split()}))}])(?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}]\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.+-])00[1-9]\d{0,2}(?:[ .-]\d{2,4}){2,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}-])\d{3}[-.]\d{3}[-.]\d{4}(?![\p{L}\p{N}-])",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?=[{''.join(sorted({w[0] for x in TITLES.values() for w in x.split()}))}]){TITLED}(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES.split())}|\p{{Lu}}[\p{{L}}'’-]+) ){{0,4}}\p{{Lu}}[\p{{L}}'’-]+",
 }
 #: All patterns begin where no letter or digit stands before; that is tested once, not by each of them.
 PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-TITLE = rf"^((?:{'|'.join(w.replace('-', '[-]') for x in TITLES.values() for w in x.split())})\.?[ \x{{A0}}])"
+TITLE = rf"^({TITLED})"
 SECRET_HEAD = rf"^({PATTERNS['secret'].rsplit('[A-Za-z0-9', 1)[0]})"
 #: Country calling codes: of one, two or else three digits.
 CALLING_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -136,7 +142,7 @@ def surrogate(key: str, kind_: Column, value: Column, gender: Column, attempt: i
     user, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     stem, dot = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
     email = F.concat(same_format(user, source), letters, F.lit("@"), same_format(stem, stream(key, F.lit("domain"), domain, 0)), dot)
-    fixed = F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-)?", 1)
+    fixed = F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|eyJ)?", 1)
     secret = F.concat(fixed, hex_or_same(F.substring(value, F.length(fixed) + 1, F.length(value)), source), letters)
     octets = F.concat_ws(".", (number(source, 1) % 223 + 1).cast("string"), *[(number(source, 5 * k) % 256).cast("string") for k in (1, 2, 3)])
     code = F.when(value.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(F.substring(value, F.lit(2), F.length(value)), CALLING_CODE, 1))).otherwise("")
@@ -174,29 +180,37 @@ def parts_of(kind_: Column, raw: Column) -> dict[str, Column]:
     """The canonical forms of a mention (value, and given for persons with two names), its head and tail that stay, and gender.
 
     Mail addresses lose their case, digits their separators, secrets what introduces them, names title, case and a
-    genitive ending; so all mentions of one entity meet, whatever their form.
+    genitive ending; so all mentions of one entity meet, whatever their form. The last part is the family name, particles
+    before it stay, and all else, initials too, is the given name.
     """
+    plain = lambda x: F.lower(F.replace(x, F.lit("’"), F.lit("'")))
     person = kind_ == "person"
     title = F.when(person, F.regexp_extract(raw, TITLE, 1)).otherwise("")
-    tail = F.when(person, F.regexp_extract(raw, "('s|['-]+)$", 1)).otherwise("")
+    tail = F.when(person, F.regexp_extract(raw, "(['’]s|['’-]+)$", 1)).otherwise("")
     name = F.split(F.substring(raw, F.length(title) + 1, F.length(raw) - F.length(title) - F.length(tail)), " ")
-    family, given = F.element_at(name, -1), F.when(F.size(name) > 1, F.element_at(name, 1))
-    bare = F.regexp_replace(title, r"[. \x{A0}]+$", "")
-    known = lambda g: bare.isin(TITLES[g].split()) | F.coalesce(given.isin([n for (_, h), names in NAMES.items() if h == g for n in names.split()]), F.lit(False))
+    family, before = F.element_at(name, -1), F.slice(name, 1, F.size(name) - 1)
+    particle = lambda x: x.isin(PARTICLES.split())
+    between = F.array_join(F.transform(F.filter(before, particle), lambda x: F.concat(x, F.lit(" "))), "")
+    before = F.filter(before, lambda x: ~particle(x))
+    given = F.when(F.size(before) > 0, F.array_join(before, " "))
+    titled = F.transform(F.split(title, r"[ \x{A0}]"), lambda x: F.regexp_replace(x, r"\.$", ""))
+    has = lambda g: F.arrays_overlap(titled, F.array(*map(F.lit, TITLES[g].split())))
+    first = F.when(F.size(before) > 0, F.element_at(before, 1))
+    known = lambda g: F.coalesce(first.isin([n for (_, h), names in NAMES.items() if h == g for n in names.split()]), F.lit(False))
     secret_head = F.regexp_extract(raw, SECRET_HEAD, 1)
     digits = F.regexp_replace(raw, "[^0-9]", "")
     value = (
         F.when(kind_ == "email", F.lower(raw))
         .when(kind_ == "secret", F.substring(raw, F.length(secret_head) + 1, F.length(raw)))
-        .when(kind_ == "phone", F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits))
+        .when(kind_ == "phone", F.when(raw.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits)))).otherwise(F.concat(F.when(raw.startswith("+"), "+").otherwise(""), digits)))
         .when(kind_.isin("card", "ssn"), digits)
         .when(kind_ == "iban", F.replace(raw, F.lit(" "), F.lit("")))
-        .when(person, F.lower(family))
+        .when(person, plain(family))
         .otherwise(raw)
     )
-    gender = F.when(bare.isin(TITLES["m"].split()), "m").when(bare.isin(TITLES["f"].split()), "f").when(known("m"), "m").when(known("f"), "f")
+    gender = F.when(has("m"), "m").when(has("f"), "f").when(known("m"), "m").when(known("f"), "f")
     head = F.when(kind_ == "secret", secret_head).otherwise(title)
-    return {"value": value, "given": F.when(person, F.lower(F.concat_ws(" ", given, F.when(given.isNotNull(), family)))), "head": head, "tail": tail, "gender": F.when(person, gender)}
+    return {"value": value, "given": F.when(person, plain(F.concat_ws(" ", given, F.when(given.isNotNull(), family)))), "between": F.when(person, between), "head": head, "tail": tail, "gender": F.when(person, gender)}
 
 
 def placed_in(raw: Column, digits: Column) -> Column:
@@ -207,12 +221,13 @@ def placed_in(raw: Column, digits: Column) -> Column:
     return F.concat(done["text"], F.substring(digits, done["at"], F.length(digits)))
 
 
-def rendered(kind_: Column, raw: Column, head: Column, tail: Column, named: Column, given: Column) -> Column:
+def rendered(kind_: Column, raw: Column, head: Column, tail: Column, named: Column, given: Column, between: Column) -> Column:
     """The mention in its own form: title or introduction, separators and capitals stay."""
-    name = F.concat(F.coalesce(F.concat(given, F.lit(" ")), F.lit("")), named)
+    name = F.concat(F.coalesce(F.concat(given, F.lit(" ")), F.lit("")), F.coalesce(between, F.lit("")), named)
     shouted = F.substring(raw, F.length(head) + 1, F.length(raw))
     name = F.when(F.upper(shouted) == shouted, F.upper(name)).otherwise(name)
     bare = F.when(named.startswith("+"), F.substring(named, F.lit(2), F.length(named))).otherwise(named)
+    bare = F.when(raw.startswith("00") & named.startswith("+"), F.concat(F.lit("00"), bare)).otherwise(bare)
     return F.when(kind_ == "person", F.concat(head, name, tail)).when(kind_.isin("phone", "card", "ssn", "iban"), placed_in(raw, bare)).otherwise(F.concat(head, named, tail))
 
 
@@ -249,6 +264,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     left for another value, surrogates get longer. The same key gives the same surrogates for the same corpus; without
     it they don't lead back to the originals.
 
+    A name is up to five parts after its titles: initials, particles, names. It is replaced whole: given names and initials
+    together by one given name, the last part by a family name; particles stay.
+
     Text around entities is unchanged. Null text stays null with no entities; an empty text stays empty. Rows that repeat
     an id and text share their result; null ids are handled like any other. Of titles of both genders for one name the
     more frequent counts. Extra columns are not read; an empty table gives no rows.
@@ -256,16 +274,16 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.concat_ws("|", F.col("id").cast("string"), F.hex(F.xxhash64("id", "text"))))
     found = rows.select("row", "text", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    names = F.transform(F.filter("found", lambda x: x.rlike(f"^(?:{PATTERNS['person']})$")), lambda x: F.regexp_replace(F.regexp_replace(x, TITLE, ""), "(?:'s|['-]+)$", ""))
+    names = F.transform(F.filter("found", lambda x: x.rlike(f"^(?:{PATTERNS['person']})$")), lambda x: F.regexp_replace(F.regexp_replace(x, TITLE, ""), "(?:['’]s|['’-]+)$", ""))
     both = F.array_distinct(F.concat(names, F.transform(names, lambda x: F.element_at(F.split(x, " "), -1))))
-    longest_first = F.array_join(F.transform(F.sort_array(F.transform(both, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False), lambda x: x["x"]), "|")
+    longest_first = F.array_join(F.transform(F.sort_array(F.transform(both, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False), lambda x: F.regexp_replace(F.replace(x["x"], F.lit("."), F.lit("[.]")), "['’]", "['’]")), "|")
     again = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:"), longest_first, F.lit(r")(?![\p{L}\p{N}])"))
     found = found.withColumn("pattern", F.when(F.size(names) > 0, again))
     found = found.select("row", "pattern", F.when(F.col("pattern").isNull(), F.col("found")).otherwise(F.regexp_extract_all(text, F.col("pattern"), F.lit(0))).alias("found"))
     mentions = found.select("row", "pattern", F.posexplode("found").alias("at", "raw")).withColumn("kind", kind(F.col("raw")))
     mentions = mentions.select("*", *[c.alias(n) for n, c in parts_of(F.col("kind"), F.col("raw")).items()])
     # rows with equal id and text share a key, so their mentions are one
-    mentions = materialise(mentions.groupBy("row", "at").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("pattern", "raw", "kind", "value", "given", "head", "tail", "gender")]))
+    mentions = materialise(mentions.groupBy("row", "at").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("pattern", "raw", "kind", "value", "given", "between", "head", "tail", "gender")]))
 
     names_of = [F.struct(F.lit(0).alias("part"), F.when(F.col("kind") == "person", "family").otherwise(F.col("kind")).alias("kind"), F.col("value").alias("value"))]
     names_of.append(F.struct(F.lit(1).alias("part"), F.lit("given").alias("kind"), F.col("given").alias("value")))
@@ -274,7 +292,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     entities = wanted.groupBy("kind", "value").agg(F.when(men > women, "m").when(women > 0, "f").alias("gender"), F.count("*").alias("n"))
     named = assign(checkpoint(entities), key)
     got = salted_join(wanted.select("row", "at", "part", "kind", "value"), checkpoint(named), ["kind", "value"], "n").groupBy("row", "at").agg(F.max(F.when(F.col("part") == 0, F.col("surrogate"))).alias("named"), F.max(F.when(F.col("part") == 1, F.col("surrogate"))).alias("given_named"))
-    shown = mentions.join(got, ["row", "at"]).withColumn("surrogate", rendered(F.col("kind"), F.col("raw"), F.col("head"), F.col("tail"), F.col("named"), F.col("given_named")))
+    shown = mentions.join(got, ["row", "at"]).withColumn("surrogate", rendered(F.col("kind"), F.col("raw"), F.col("head"), F.col("tail"), F.col("named"), F.col("given_named"), F.col("between")))
     placed = checkpoint(shown.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate", "kind"))).alias("s"), F.max("pattern").alias("pattern"), F.max("copies").alias("copies")))
     out = salted_join(rows, placed, ["row"], "copies", "left")
     parts = F.split(text, F.coalesce("pattern", F.lit(PATTERN)), -1)

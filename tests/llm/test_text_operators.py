@@ -207,6 +207,24 @@ def test_mentions_of_one_entity_meet(spark):
     assert out[8] != texts[8] and len({*out[9].split()}) == 2 and "名" not in out[10] and out[11].endswith("-") and len(out[12]) == 10
 
 
+def test_whole_names_go(spark):
+    """Names of several parts, initials, particles, degrees and curly apostrophes; numbers with 00; web tokens."""
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmN"
+    texts = [
+        "Mr John Paul Smith called", "Mr J. Smith called", "Mr O’Brien and O'Brien called", "Dr. med. Anna Müller rief an", "Mrs. van der Berg und Berg", "Prof. Dr. Karl von Zabel schrieb",
+        "Mr John Adam Smith called", "tel 0044 20 7946 0958 now", "tel +44 20 7946 0958 now", f"Authorization: Bearer {token}", "Mr K. Smith called", "Mr J. R. Smith, not Jx Smith",
+    ]
+    out = {g["doc_id"]: g["text"] for g in collect(pii.pseudonymise(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "k"))}
+    gone = ["John", "Paul", "Smith", "J.", "Brien", "Anna", "Müller", "Berg", "Karl von", "Zabel", "Adam", "7946", "eyJhbGciOiJIUzI1NiJ9", "K."]
+    assert not [(w, x) for w in gone for x in out.values() if w in x]
+    shape = lambda k: out[k].split()
+    assert [len(shape(k)) for k in (0, 1, 3, 4)] == [4, 4, 6, 6] and shape(3)[:2] == ["Dr.", "med."] and shape(3)[4:] == ["rief", "an"]
+    assert shape(2)[1] == shape(2)[3] and shape(4)[:3] == ["Mrs.", "van", "der"] and shape(4)[3] == shape(4)[5]
+    assert shape(5)[:2] == ["Prof.", "Dr."] and shape(5)[3] == "von" and shape(5)[5] == "schrieb"
+    assert len({shape(k)[2] for k in (0, 1, 6, 10)}) == 1 and len({out[k] for k in (0, 1, 6, 10)}) == 4
+    assert out[7][4:].split()[0] == "0044" and out[7].replace("0044", "+44") == out[8] and len(out[9]) == len(texts[9]) and out[9].startswith("Authorization: Bearer eyJ")
+
+
 def test_many_people_settle_and_stay_distinct(spark, monkeypatch):
     """Brute force over detected mentions: one surrogate for each entity, no two alike, none an original, all else as it was."""
     import regex
