@@ -24,6 +24,13 @@ def test_trees():
     assert Tree(None).rows == [] and Tree("<script>a<b</script>").rows[0]["own"] == ["a<b"]
 
 
+def test_bare_references_stay_text():
+    """A named reference counts with its semicolon only, in text and attributes; scripts and the marks' own characters are untouched."""
+    tree = Tree('<h1>a &amp b &lt;c &ampd &amp</h1><a href="/x?a=1&copy=2&amp;b=3">&\ue000amp &#38; &amp;amp</a><script>a&&lt b</script>')
+    assert tree.text(0) == "a &amp b <c &ampd &amp" and tree.rows[1]["attrs"] == {"href": "/x?a=1&copy=2&b=3"}
+    assert tree.text(1) == "&\ue000amp & &amp" and tree.text(2) == "a&&lt b"
+
+
 @pytest.fixture(scope="module")
 def raw(spark):
     return lambda *htmls: spark.createDataFrame([(k, h, f"https://x.example.com/dir/{k}") for k, h in enumerate(htmls)], "page_id long, html string, url string")
