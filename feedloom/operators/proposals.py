@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.json_walk import reply_json
 from ..functions.scalars import match_form_of
 from ..sources.dom import Tree
-from ..sources.written import written
+from ..sources.written import large, written
 from .items import FIELDS
 from .xpath import compile_path, find
 
@@ -86,7 +86,7 @@ def measured(pages: DataFrame, recipes: DataFrame, html_col: str = "html") -> Da
     count = recipes.groupBy("page_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = recipes.join(count, "page_id").withColumn("block", F.expr("pmod(xxhash64(proposal), blocks)"))
     blocks = dealt.groupBy("page_id", "block").agg(F.collect_list(F.struct("proposal", "kind", "item", "fields", "present", "examples").cast(RECIPE)).alias("recipes"))
-    with_html = blocks.join(pages.select("page_id", F.col(html_col).cast("string").alias("html")), "page_id", "left")
+    with_html = blocks.join(large(pages.select("page_id", F.col(html_col).cast("string").alias("html"))), "page_id", "left")
     return with_html.select(F.col("page_id").cast("long"), "html", "recipes").mapInArrow(run, MEASURES)
 
 

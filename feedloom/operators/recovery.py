@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import match_form, meaningful_classes
 from ..functions.udf import arrow_udf
 from ..sources.dom import Tree, nodes
-from ..sources.written import written
+from ..sources.written import large, written
 from . import selectors
 from .items import FIELDS
 from .xpath import extract_items, find
@@ -51,12 +51,12 @@ def features(n: DataFrame) -> DataFrame:
     ))
     attrs = F.filter(F.map_keys("attrs"), lambda a: ~a.isin("class", "id", "role", "href", "src", "style"))
     tokens = F.array_distinct(F.concat(single, listed("class", meaningful_classes(F.col("cls"))), listed("parent", meaningful_classes(F.col("parent_cls"))), listed("kid", F.col("kids")), listed("attr", attrs)))
-    return n.join(kids, ["page_id", "pre"], "left").select("page_id", "pre", "tag", "cls", "elem_id", "role", tokens.alias("tokens"))
+    return large(n.join(kids, ["page_id", "pre"], "left").select("page_id", "pre", "tag", "cls", "elem_id", "role", tokens.alias("tokens")))
 
 
 def fingerprints(pages: DataFrame, recipes: DataFrame, most: int = 10) -> DataFrame:
     """(page_id, print): what the first ``most`` hits of each recipe's item selector (page_id, item) have in common on its page."""
-    read = pages.join(recipes.select("page_id", "item"), "page_id")
+    read = large(pages).join(recipes.select("page_id", "item"), "page_id")
     hits = read.select("page_id", F.explode(F.slice(hit_places(F.col("html"), F.col("item")), 1, most)).alias("pre"))
     told = features(nodes(pages.join(recipes, "page_id", "left_semi"), *PRINT_COLUMNS)).join(hits, ["page_id", "pre"])
     return told.groupBy("page_id").agg(F.reduce(F.collect_list("tokens"), F.first("tokens"), lambda a, b: F.array_intersect(a, b)).alias("print"))
@@ -95,7 +95,7 @@ def settled(recipes: DataFrame, pages: DataFrame, prints: DataFrame, least_sibli
     them a poor match, which gives way to a recovered selector where there is one. A recovered selector must hit
     ``least_siblings`` nodes. Only pages that a stage leaves open are parsed for the next one.
     """
-    read = recipes.select("page_id", "item", "example").join(pages.select("page_id", "html"), "page_id")
+    read = recipes.select("page_id", "item", "example").join(large(pages.select("page_id", "html")), "page_id")
     exact = written(read.select("page_id", "item", "example", hit_texts(F.col("html"), F.col("item")).alias("texts")))
     wanted = match_form(F.coalesce("example", F.lit("")))
     poor = (wanted != "") & ~F.exists(F.slice("texts", 1, 50), lambda t: F.contains(t, F.col("wanted")))
@@ -132,10 +132,10 @@ def repaired_fields(pages: DataFrame, recipes: DataFrame, examples: DataFrame, r
     The first three items decide whether a field is good. For the others the item that holds an example, of the first
     five, is searched (the one with the most text where none does); several paths become a union.
     """
-    read = recipes.join(pages.select("page_id", "html"), "page_id")
+    read = recipes.join(large(pages.select("page_id", "html")), "page_id")
     found = read.select("page_id", F.explode(extract_items(F.col("html"), F.col("item"), F.to_json("fields"), F.lit(None).cast("string"))["items"]).alias("i"))
     cells = found.select("page_id", "i.ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("i")[f].alias("value")) for f in FIELDS])).alias("c")).select("page_id", "ord", "c.*")
-    bad = written(examples.join(selectors.already_good(cells, examples, "page_id").where("not good").select("page_id", "field"), ["page_id", "field"]))
+    bad = written(examples.join(selectors.already_good(large(cells), examples, "page_id").where("not good").select("page_id", "field"), ["page_id", "field"]))
     searched = pages.join(bad, "page_id", "left_semi")
     n = written(nodes(searched, *selectors.STACK_COLUMNS, "last"))
     firsts = read.join(bad, "page_id", "left_semi").select("page_id", "item", F.posexplode(F.slice(hit_places(F.col("html"), F.col("item")), 1, 5)).alias("k", "pre"))
@@ -162,5 +162,5 @@ def repairing_scan(recipes: DataFrame, pages: DataFrame, prints: DataFrame, fiel
     chosen = written(settled(recipes, pages, prints))
     open_recipes = recipes.select("page_id", "fields").join(chosen.where("selector is not null").select("page_id", F.col("selector").alias("item")), "page_id")
     updated = written(updated_recipes(recipes.select("page_id", "fields"), chosen, repaired_fields(pages, open_recipes, field_examples)))
-    read = updated.join(pages.select("page_id", "html"), "page_id")
+    read = updated.join(large(pages.select("page_id", "html")), "page_id")
     return read.select("page_id", F.explode(extract_items(F.col("html"), F.col("item"), F.to_json("fields"), F.lit(None).cast("string"))["items"]).alias("i")).select("page_id", "i.*"), updated

@@ -133,3 +133,21 @@ def test_scripts():
     got = documents.script_values(two)
     assert [g[0] for g in got] == ["window.__DATA__", "script[type=application/ld+json]", "var posts"]
     assert documents.script_values(None) == [] and documents.balanced("{ `}` /* } */ 'a\\'}' }x", 0) == "{ `}` /* } */ 'a\\'}' }" and documents.balanced("{", 0) is None
+
+
+def test_no_join_broadcasts_nodes(spark):
+    """Node relations and written tables count as small by their compressed sizes; joins with what is taken from them are sorted."""
+    from pyspark.sql import functions as F
+
+    from feedloom.sources.dom import shared
+    from feedloom.sources.written import written
+
+    pages = spark.createDataFrame([(k, LIST) for k in range(5)], "page_id long, html string")
+    for keep in (shared, written):
+        n = keep(nodes(pages, "pre", "path", "tag", "text"))
+        above = n.select("page_id", "pre", F.explode("path").alias("above"))
+        got = above.join(n.where("tag <> 'p'").select("page_id", F.col("pre").alias("above"), "text").distinct(), ["page_id", "above"])
+        assert got.count() == got.where("text is not null").count() > 0
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
