@@ -86,3 +86,27 @@ def test_requests(spark):
     assert [r.g for r in df.select(S.is_graphql(F.col("u"), F.col("c"), F.col("b")).alias("g")).collect()] == [True, True, False, False, True]
     urls = ["https://h/api/x", "https://h/posts", "https://h/compost", "https://h/api/login", "https://h/api/a.js"]
     assert column(spark, urls, S.is_api_like(F.col("x"))) == [True, True, False, False, False]
+
+
+def test_texts_are_parsed_once_in_small_pieces(spark):
+    """A UDF gets few rows at a time, and the score's filter parses no text again."""
+    import pandas as pd
+
+    from feedloom.functions.udf import PIECE, arrow_udf
+    from feedloom.sources import documents as D
+
+    @arrow_udf("int")
+    def rows(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x), dtype="int32")
+
+    @arrow_udf("int")
+    def both(x: pd.Series, y: pd.Series) -> pd.Series:
+        return (x + y).astype("int32") + 0 * len(x)
+
+    got = spark.range(0, 1_000, 1, 1).select("id", rows(F.col("id")).alias("n"), both(F.col("id"), F.col("id")).alias("s")).collect()
+    assert [(g.id, g.s) for g in got] == [(k, 2 * k) for k in range(1_000)] and {g.n for g in got} == {PIECE}
+    body = '{"data":{"posts":[{"title":"a","url":"/a"},{"title":"b","url":"/b"}]}}'
+    replies = spark.createDataFrame([("s", "f", body), ("t", "f", None), ("u", "f", "{")], "site string, field string, body string")
+    kept = D.replayed_queries(replies.select("site", "field"), "site", replies)
+    assert [(r.site, r.path, r.n_items) for r in kept.collect()] == [("s", "data.posts", 2)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
