@@ -9,6 +9,7 @@ documents.entry_captures(), so a capture has the same form wherever it comes fro
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
@@ -37,6 +38,29 @@ def _text(path: str, like: str) -> str:
         return f.read().decode("utf-8", "replace")
 
 
+class Lines(InputPartition):
+    """What one task reads: the lines of a file that begin within a range of its bytes."""
+
+    def __init__(self, file: str, low: int, high: int) -> None:
+        super().__init__((file, low, high))
+        self.file, self.low, self.high = file, low, high
+
+
+def _ranges(path: str, size: int) -> list[Lines]:
+    return [Lines(f.path, at, at + size) for f in _files(path) for at in range(0, f.size, size)]
+
+
+def _lines(part: Lines, like: str) -> Iterator[str]:
+    with _opened(like)[0].open_input_file(part.file) as raw:
+        f, at = io.BufferedReader(raw, 1 << 20), max(part.low - 1, 0)
+        f.seek(at)
+        if part.low:  # the line that the byte before belongs to is another task's
+            at += len(f.readline())
+        while at < part.high and (line := f.readline()):
+            at += len(line)
+            yield line.decode("utf-8", "replace").rstrip("\r\n")
+
+
 class HarParts(InputPartition):
     """What one task reads: (file, which of how many parts of it)."""
 
@@ -50,7 +74,8 @@ class HarFiles(DataSource):
 
     Options: path; split_mb (64): small files share a task up to that size, a larger one is dealt to several, each of which decodes and keeps its own run of
     entries and only skips over the text of the others; push_filters (false): equality and IN filters on file choose the files
-    before any is read, for which the session must allow spark.sql.python.filterPushdown.enabled.
+    before any is read, for which the session must allow spark.sql.python.filterPushdown.enabled. named_lines (false): each line of
+    the files is a name, a tab and a HAR document without line breaks; the name stands as file, and files are dealt by ranges of lines.
     """
 
     @classmethod
@@ -62,14 +87,16 @@ class HarFiles(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         kind = FilteredHarReader if self.options.get("push_filters") == "true" else HarReader
-        return kind(self.options["path"], float(self.options.get("split_mb", 64)))
+        return kind(self.options["path"], float(self.options.get("split_mb", 64)), self.options.get("named_lines") == "true")
 
 
 class HarReader(DataSourceReader):
-    def __init__(self, path: str, split_mb: float) -> None:
-        self.path, self.split, self.wanted = path, max(1, int(split_mb * 2**20)), None
+    def __init__(self, path: str, split_mb: float, named: bool = False) -> None:
+        self.path, self.split, self.named, self.wanted = path, max(1, int(split_mb * 2**20)), named, None
 
-    def partitions(self) -> list[HarParts]:
+    def partitions(self) -> list[HarParts] | list[Lines]:
+        if self.named:
+            return _ranges(self.path, self.split)
         out, held = [], 0
         for f in _files(self.path):
             if self.wanted is not None and f.path not in self.wanted:
@@ -86,12 +113,17 @@ class HarReader(DataSourceReader):
                 held = f.size
         return out
 
-    def read(self, partition: HarParts) -> Iterator[tuple]:
-        for piece in partition.pieces:
-            yield from self.entries(*piece)
+    def read(self, partition: HarParts | Lines) -> Iterator[tuple]:
+        if isinstance(partition, Lines):
+            for line in _lines(partition, self.path):
+                name, _, text = line.partition("\t")
+                if self.wanted is None or name in self.wanted:
+                    yield from self.entries(name, text, 0, 1)
+            return
+        for file, part, parts in partition.pieces:
+            yield from self.entries(file, _text(file, self.path), part, parts)
 
-    def entries(self, file: str, part: int, parts: int) -> Iterator[tuple]:
-        text = _text(file, self.path)
+    def entries(self, file: str, text: str, part: int, parts: int) -> Iterator[tuple]:
         start = ENTRIES.search(text)
         if not start:
             if part == 0:
@@ -134,7 +166,8 @@ class PagedFiles(DataSource):
     max_pages, max_items, has_more, total_pages, next_cursor); responses (a folder); page_path, where in it a page is
     (``{config}/{page}.json``), for page numbers, offsets, or cursors (the first page of a cursor is ``start`` or ``first``);
     per_task (64 configs). A page's path may be a folder with one file; a page_path without {page} names a config's JSON
-    lines of page and body.
+    lines of page and body. In place of configs and responses, lines may name a folder of JSON lines that are each a config with its
+    ``pages`` (an object of page and body); tasks read ranges of them (split_mb, 64), so the driver sees no config.
     """
 
     @classmethod
@@ -161,14 +194,23 @@ def member(data: object, path: str | None) -> object:
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.folder, self.where = options["responses"].rstrip("/"), options.get("page_path", "{config}/{page}.json")
-        self.configs, self.each = options["configs"], int(options.get("per_task", 64))
-
-    def partitions(self) -> list[Configs]:
+        self.joined, self.split = options.get("lines"), max(1, int(float(options.get("split_mb", 64)) * 2**20))
+        if not self.joined:
+            self.folder, self.where = options["responses"].rstrip("/"), options.get("page_path", "{config}/{page}.json")
+            self.configs, self.each = options["configs"], int(options.get("per_task", 64))
+
+    def partitions(self) -> list[Configs] | list[Lines]:
+        if self.joined:
+            return _ranges(self.joined, self.split)
         rows = [json.loads(line) for f in _files(self.configs) for line in _text(f.path, self.configs).splitlines() if line.strip()]
         return [Configs(rows[k : k + self.each]) for k in range(0, len(rows), self.each)]
 
-    def read(self, part: Configs) -> Iterator[tuple]:
+    def read(self, part: Configs | Lines) -> Iterator[tuple]:
+        if isinstance(part, Lines):
+            for line in _lines(part, self.joined):
+                c = json.loads(line)
+                yield from self.items(c, c.get("pages") or {})
+            return
         for c in part.configs:
             yield from self.items(c, {} if "{page}" in self.where else self.lines(c["config_id"]))
 
@@ -180,7 +222,7 @@ class PagedReader(DataSourceReader):
         """The answer for a page, None where there is none or it is no JSON."""
         if not re.fullmatch(r"[\w\-]+", str(page)):
             return None
-        found = [] if kept else _files(f"{self.folder}/{self.where.format(config=config, page=page)}")
+        found = [] if kept or self.joined else _files(f"{self.folder}/{self.where.format(config=config, page=page)}")
         try:
             return json.loads(kept.get(str(page), "") if kept else _text(found[0].path, self.folder) if found else "")
         except ValueError:

@@ -59,3 +59,24 @@ def test_paged_files(spark, tmp_path):
     assert got == {"short": 5, "offset": 6, "cursor": 2, "more": 4, "total": 4, "most": 6, "climb": 1, "one": 2}
     assert {r["config_id"] for r in read.where("error = 'no items'").collect()} == {"broken", "absent"}
     assert read.rdd.getNumPartitions() == 4
+
+
+def test_lines_of_many_documents(spark, tmp_path):
+    """Many HAR documents or paged answers to a file: each line is read once, however the ranges of the tasks fall."""
+    spark.dataSource.register(HarFiles)
+    spark.dataSource.register(PagedFiles)
+    flat = lambda n: json.dumps(json.loads(har(n)))
+    (tmp_path / "hars").mkdir()
+    (tmp_path / "hars" / "one.txt").write_text("".join(f"é{k}\t{flat(k % 4)}\n" for k in range(40)) + f"last\t{flat(2)}")
+    (tmp_path / "hars" / "two.txt").write_text("broken\t{\n")
+    (tmp_path / "hars" / "none.txt").write_text("")
+    want = sorted((f"é{k}", i) for k in range(40) for i in range(k % 4)) + [("last", 0), ("last", 1)]
+    (tmp_path / "pages").mkdir()
+    pages = [{"config_id": f"c{k}", "item_path": "d", "start": 0, "per_page": 2, "max_pages": 9, "pages": {str(p): json.dumps({"d": [{"i": 2 * p}, {"i": 2 * p + 1}][: k - 2 * p]}) for p in range(4)} if k else {}} for k in range(7)]
+    (tmp_path / "pages" / "x.json").write_text("".join(json.dumps(p) + "\n" for p in pages))
+    for split in ("64", "0.0005"):
+        got = spark.read.format("har_files").option("path", str(tmp_path / "hars")).option("named_lines", True).option("split_mb", split).load().collect()
+        assert sorted((r["file"], r["entry"]) for r in got if r["error"] is None) == sorted(want) and [r["file"] for r in got if r["error"]] == ["broken"]
+        rows = spark.read.format("paged_files").option("lines", str(tmp_path / "pages")).option("split_mb", split).load().collect()
+        assert [r["config_id"] for r in rows if r["error"]] == ["c0"]
+        assert sorted((r["config_id"], json.loads(r["raw"])["i"]) for r in rows if not r["error"]) == [(f"c{k}", i) for k in range(7) for i in range(k)]
