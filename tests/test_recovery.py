@@ -79,3 +79,16 @@ def test_similar_pairs_against_brute_force(spark, least):
     assert sorted((r["k"], str(r["needle"])) for r in got.collect()) == want and want
     pairs = sum(p == q for p, _, _ in rows for q, _ in examples)
     assert selectors.candidate_pairs(texts, "text", needles, ["page_id"], least).count() < 0.6 * pairs  # the rest never reaches difflib
+
+
+def test_texts_are_compared_once(spark):
+    """What is left of a recovered selector's plan after the comparison is one UDF, that which counts hits."""
+    from feedloom.operators import selectors
+    from feedloom.sources.dom import nodes
+
+    html = "<ul>" + "".join(f"<li class='x'><b>Text number {k}</b></li>" for k in range(4)) + "</ul>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    examples = spark.createDataFrame([(1, "text number 2"), (1, "TEXT number 2")], "page_id long, needle string")
+    got = selectors.recovered_selectors(pages, nodes(pages, *selectors.STACK_COLUMNS), examples, least=0.999)
+    assert [(r.selector, r.sibling_count) for r in got.collect()] == [("//ul/li[contains(@class,'x')]/b", 4)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
