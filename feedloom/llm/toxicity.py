@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, checkpoint, parts, table
+from .common import MOST_BROADCAST, checkpoint, materialise, parts, table
 
 WORDS = re.compile(r"\w+")
 #: Words of the insult lexicon voter.
@@ -71,7 +72,7 @@ class Features(dict):
     def of(self, text: str | None) -> tuple[list[int], int]:
         """The features in the text, and the voters that fire on it as bits."""
         runs = (text or "").split()
-        seen = Counter(chain.from_iterable(map(self.__getitem__, runs)))
+        seen = Counter(chain.from_iterable(filter(None, map(self.__getitem__, runs))))
         n = max(1, len(runs))
         shouting, hits = seen.pop(SHOUT, 0) / n, [seen.pop(SHOUT - 1 - k, 0) for k in range(TIERS)]
         masked, you = seen.pop(HIDDEN, 0), seen.pop(YOU, 0)
@@ -97,6 +98,7 @@ def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
+        of_run = lru_cache(300_000)(lambda run: tuple(stems(run)))
 
         def out() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["feature", "clean", "toxic"])
@@ -105,7 +107,7 @@ def mined_features(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
 
         for b in parts(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for s in set(chain.from_iterable(map(stems, set((text or "").split())))):
+                for s in set(chain.from_iterable(map(of_run, set((text or "").split())))):
                     counts.setdefault(s, [0, 0])[toxic] += 1
                 if len(counts) > 200_000:
                     yield out()
@@ -208,13 +210,19 @@ class Scorer:
         seen, pattern = self.features.of(text)
         return [*seen, *(self.names + k for k in range(VOTERS) if pattern >> k & 1)], pattern
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = np.array([self.weights[self.columns_of(t)[0]].sum() + self.bias for t in texts])
+    def scores_of(self, columns: list[list[int]]) -> np.ndarray:
+        z = np.array([self.weights[c].sum() + self.bias for c in columns])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.scores_of([self.columns_of(t)[0] for t in texts])
+
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = 20_000, least_ratio: float = 15.0) -> Scorer:
-    """The classifier, learned from the labels of training rows and the votes on all documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_training: int = 20_000, least_ratio: float = 15.0) -> tuple[Scorer, DataFrame]:
+    """The classifier, learned from the labels of training rows and the votes on all documents; and (id, held_out, columns) of every row.
+
+    Texts are read once for the lexicons and once for the votes; their active columns are written, and the fit and the scores
+    read those.
 
     1. Lexicons are mined from all training labels: words and word beginnings that lean to toxic rows. Their number is that
        of the features which reach the likelihood ratio; it grows with the labels.
@@ -238,14 +246,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     voters = spark.sparkContext.broadcast(Scorer(Features(names, tier), len(names), np.zeros(len(names) + VOTERS), 0.0))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for b in parts(batches):
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[voters.value.features.of(text)[1], -1 if toxic is None else toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([k[0] for k in counts], [k[1] for k in counts], [*counts.values()])], ["pattern", "label", "n"])
-
-    known = with_labels(docs, labelled, labelled.count(), id_col, "left").select(F.col(text_col).alias("text"), "toxic")
-    rows = known.mapInArrow(vote, "pattern long, label long, n long").groupBy("pattern", "label").agg(F.sum("n").alias("n")).collect()
+            got = [voters.value.columns_of(t) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([p for _, p in got], pa.int64())], ["id", "held_out", "draw", "toxic", "columns", "pattern"])
+
+    known = with_labels(docs, labelled, labelled.count(), id_col, "left")
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1_000_000))
+    known = known.select(F.col(id_col).cast("long").alias("id"), (~train_row(id_col)).alias("held_out"), draw.alias("draw"), "toxic", F.col(text_col).alias("text"))
+    voted = materialise(known.mapInArrow(vote, "id long, held_out boolean, draw long, toxic int, columns array<int>, pattern long"))
+    rows = voted.groupBy("pattern", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count("*").alias("n")).collect()
     patterns = np.array(sorted({r.pattern for r in rows}), np.int64)
     place, counts, by_label = {p: k for k, p in enumerate(patterns.tolist())}, np.zeros(len(patterns)), np.zeros((len(patterns), 2))
     for r in rows:
@@ -256,16 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = LabelModel(patterns, counts, by_label) if len(patterns) else None
 
     total = int(counts.sum() + by_label.sum())
-    sample = docs.where(train_row(id_col) & (F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, max_training / max(1, 0.75 * total))))))
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            got = [voters.value.columns_of(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.list_(pa.int32())), pa.array([p for _, p in got], pa.int64())], ["columns", "pattern"])
-
-    rows = sample.select(F.col(text_col).alias("text")).mapInArrow(train, "columns array<int>, pattern long").collect() if model else []
+    sample = voted.where(~F.col("held_out") & (F.col("draw") < max(1, int(1e6 * min(1.0, max_training / max(1, 0.75 * total))))))
+    rows = sample.select("columns", "pattern").collect() if model else []
     weights, bias = logistic([(r.columns, model.posterior.get(r.pattern, model.prior)) for r in rows], len(names) + VOTERS)
-    return Scorer(Features(names, tier), len(names), weights, bias)
+    return Scorer(Features(names, tier), len(names), weights, bias), voted.select("id", "held_out", "columns")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **more) -> DataFrame:
@@ -275,15 +278,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     empty texts have no features and get the score of the bias and the voters for clean. Repeated rows are scored each;
     extra columns are not read; an empty table gives no rows.
     """
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **more))
+    scorer, voted = fit(docs, labels, id_col, text_col, **more)
+    scorer = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            p = scorer.value.scores(b.column(2).to_pylist())
+            p = scorer.value.scores_of(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
-    every = docs.select(F.col(id_col).cast("long").alias("id"), (~train_row(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return every.mapInArrow(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return voted.mapInArrow(score, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **more) -> DataFrame:
@@ -292,7 +295,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Every row is judged by its own text where it stands, so nothing is joined or shuffled, and repeated and null ids matter
     to no other row.
     """
-    scorer, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **more)), docs.columns.index(text_col)
+    scorer, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **more)[0]), docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):

@@ -347,3 +347,13 @@ def test_contaminated(spark):
         kept = decontam.drop_contaminated(docs, bench, shard_items=shard)
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(40), 102, 103, 106}
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_texts_vote_once(spark, monkeypatch):
+    """Each text is turned into features once for its votes; the fit and the scores read what was written."""
+    docs = spark.createDataFrame([(k, f"you idiot {k}" if k % 3 == 0 else f"a fine day {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    scorer, voted = toxicity.fit(docs, labels)
+    rows = {r.id: r for r in voted.collect()}
+    assert set(rows) == set(range(60))
+    assert all(sorted(rows[r.doc_id].columns) == sorted(scorer.columns_of(r.text)[0]) for r in docs.collect())
