@@ -30,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a five-word similarity of 0.8 or more, one row stays (operator 5's module, by MinHash keys and leaders)."""
+    """Of texts linked by a five-word similarity of 0.8 or more, one row stays (operator 5's SimHash links within 3 bits, and MinHash keys beside them)."""
     return keep_one_of_each(docs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import MOST_BROADCAST, act_on_rows, checkpoint, connected_component
 BITS, RADIUS = 64, 3
 #: Buckets of more distinct fingerprints than this are searched by neighbourhoods instead of by comparing members.
 BUCKET = 96
+#: Buckets of more sets than this are searched by the shingles in which their sets differ from a pivot.
+CROWD = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -31,9 +34,13 @@ def hashed_shingles(text: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - k + 1)
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, block: int = 1 << 15) -> int:
-    """64-bit SimHash of the UTF-8 text as a signed integer; long texts are summed in blocks of bounded memory."""
-    hashes = hashed_shingles(text, shingle)
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the UTF-8 text as a signed integer."""
+    return folded(hashed_shingles(text, shingle))
+
+
+def folded(hashes: np.ndarray, block: int = 1 << 15) -> int:
+    """The SimHash of hashed shingles; long texts are summed in blocks of bounded memory."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -140,17 +147,18 @@ def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
 
 
 def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, text, same, size, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, the set's size and MinHash keys."""
+    """(id, text, same, size, fp, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, the set's size, SimHash and MinHash keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            sets = [np.unique(hashed_shingles(t, shingle)) for t in b.column(2).to_pylist()]
+            every = [hashed_shingles(t, shingle) for t in b.column(2).to_pylist()]
+            sets, fps = [np.unique(x) for x in every], pa.array([folded(x) for x in every], pa.int64())
             equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
             sizes, keys = pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, sizes, keys], ["id", "text", "same", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, sizes, fps, keys], ["id", "text", "same", "size", "fp", "keys"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text"), F.col(text_col).cast("binary").alias("words"))
-    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, keys array<long>"))
+    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, fp long, keys array<long>"))
 
 
 def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2, block: int = 64) -> DataFrame:
@@ -230,17 +238,155 @@ def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", te
         open_, taken = salted_join(open_.drop("n"), more, ["band", "key"], "n"), taken + 1
 
 
+def shared_sets(docs: DataFrame, sets: DataFrame, text_col: str, shingle: int, bits: int = 24) -> DataFrame:
+    """(same, set) for the sets (same, text) that a comparison needs, hashed anew from their texts.
+
+    A table of 2^bits bits, in words of 64, tells the texts that may be needed; it is all that is broadcast, so what
+    the driver holds doesn't grow with the sets.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            found = [np.unique(hashed_shingles(t, shingle)).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["same", "set"])
+
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    word, bit = F.shiftright("place", 6), F.expr("shiftleft(1L, cast(place & 63 as int))")
+    told = sets.select(place(F.col("text")).alias("place")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("told"))
+    texts = docs.select(F.col(text_col).cast("binary").alias("words"), place(text_key(F.col(text_col))).alias("place")).withColumn("word", word)
+    found = texts.join(F.broadcast(checkpoint(told)), "word").where(F.col("told").bitwiseAND(bit) != 0).select("words")
+    return materialise(found.mapInArrow(hashed, "same binary, set binary").join(sets.select("same"), "same", "left_semi").dropDuplicates(["same"]))
+
+
+def side_by_side(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(one, other, one_set, other_set) for distinct pairs (one, other) of sets; one may stand in any number of them."""
+    pairs = checkpoint(pairs)
+    times = checkpoint(pairs.groupBy("one").agg(F.count("*").alias("n_pairs")))
+    own = checkpoint(held.withColumnsRenamed({"same": "one", "set": "one_set"}).join(times, "one"))
+    half = pairs.join(held.withColumnsRenamed({"same": "other", "set": "other_set"}), "other")
+    return salted_join(half, own, ["one"], "n_pairs").select("one", "other", "one_set", "other_set")
+
+
+def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (one, other) of sets that are similar."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            ok = [similar(*(np.frombuffer(x, np.uint64) for x in pair), similarity) for pair in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["one", "other"]).filter(pa.array(ok, pa.bool_()))
+
+    return checkpoint(side_by_side(pairs.distinct(), held).mapInArrow(judge, "one binary, other binary"))
+
+
+def told_apart(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(one, other, near, size, pivot_size, tokens) for distinct pairs of a pivot and a set: whether they are similar, and the shingles that one of them lacks."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            sets = [[np.frombuffer(x, np.uint64) for x in pair] for pair in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            near, tokens = [similar(p, x, similarity) for p, x in sets], [np.setxor1d(p, x, assume_unique=True).view(np.int64) for p, x in sets]
+            sizes = [pa.array([len(pair[k]) for pair in sets], pa.int64()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_()), *sizes, pa.array(tokens, pa.list_(pa.int64()))], ["one", "other", "near", "size", "pivot_size", "tokens"])
+
+    return materialise(side_by_side(pairs, held).mapInArrow(differ, "one binary, other binary, near boolean, size long, pivot_size long, tokens array<long>"))
+
+
+def pivots(crowds: DataFrame) -> DataFrame:
+    """(one, other): each set of the crowds (bucket, same, fp) with the pivot of its bucket, the set whose SimHash is nearest to the majority of each bit."""
+    bit = lambda k: F.lit(signed(1 << k))
+    ones = [F.count_if(F.col("fp").bitwiseAND(bit(k)) != 0) for k in range(BITS)]
+    major = reduce(lambda a, b: a.bitwiseOR(b), [F.when(x * 2 > F.count("*"), bit(k)).otherwise(F.lit(0).cast("long")) for k, x in enumerate(ones)])
+    majority = checkpoint(crowds.groupBy("bucket").agg(major.alias("major"), F.count("*").alias("n")))
+    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
+    chosen = salted_join(crowds, majority, ["bucket"], "n").groupBy("bucket").agg(F.min(F.struct(off.alias("off"), "same")).alias("pivot"), F.count("*").alias("n"))
+    chosen = checkpoint(chosen.select("bucket", F.col("pivot.same").alias("one"), "n"))
+    return salted_join(crowds, chosen, ["bucket"], "n").where("one <> same").select("one", F.col("same").alias("other")).distinct()
+
+
+def copy_links(docs: DataFrame, sketches: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, depth: int = 3) -> DataFrame:
+    """Edges (src, dst) between similar sets of shingles (by their 128-bit hashes) that connect all similar sets which met.
+
+    Sets meet in two ways. Operator 5's step: their SimHash fingerprints are within 3 bits (``links``, exact). As at a
+    similarity of 0.8 fingerprints differ in about 10 bits, sets also meet under a common MinHash key in ``sketches``. Every edge
+    is verified on the whole sets.
+
+    A bucket of up to ``crowd`` sets compares all its pairs. A larger one has a pivot p, and each set is compared with
+    it; D(x) is the number of shingles that one of p and x lacks. Sets similar to p are inner ones, connected by it, the others are
+    outer ones. x and y are similar if they differ in at most r(|x| + |y|) shingles, r = (1 - s) / (1 + s), and they
+    differ in D(x) + D(y) less twice the differences from p that they share. Of these they share, if x is an outer set,
+
+        more than (D(y) + r(|p| - |y|)) / 2,  and at least (D(x) - r(1 + 1/s)|x|) / 2.
+
+    Sets that share o of them share one of the first D - o + 1 in any order; rare ones come first. So y is found by x under one
+    of its rarest differences, about half of them, which in near copies are its own words and nobody else's. No pair of inner sets
+    is formed, and the rest grows with the sets unless many make the same rare changes. Those are a crowd of
+    their own with a pivot that made them, too; after ``depth`` such steps all pairs that share a difference are compared.
+    """
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")
+    sets = sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min("size").alias("size"), F.min_by("fp", rank).alias("fp"), F.min_by("keys", rank).alias("keys"))
+    sets = materialise(sets.select("same", "rank.text", "size", "fp", "keys"))
+    ratio = (1 - similarity) / (1 + similarity)
+
+    # operator 5's step: equal fingerprints, and those within 3 bits
+    fps = checkpoint(sets.groupBy("fp").agg(F.min("same").alias("one"), F.count("*").alias("n")))
+    equal = salted_join(sets.select("fp", "same"), fps.where("n > 1"), ["fp"], "n").where("one <> same").select("one", F.col("same").alias("other"))
+    ends = fps.select("fp", "one")
+    within = links(ends.select("fp")).join(ends.withColumnRenamed("fp", "src"), "src").join(ends.select(F.col("fp").alias("dst"), F.col("one").alias("other")), "dst")
+    found = [checkpoint(equal.union(within.select(F.least("one", "other"), F.greatest("one", "other"))))]
+
+    keyed = sets.select("same", F.posexplode("keys").alias("band", "key")).select("same", F.xxhash64("band", "key").alias("bucket"))
+    sizes = checkpoint(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    met = checkpoint(salted_join(keyed, sizes, ["bucket"], "n").select("bucket", "same", "n"))
+    needed = checkpoint(met.select("same").union(found[0].select("one")).union(found[0].select("other")).distinct())
+    needed = checkpoint(sets.drop("keys").join(needed, "same"))
+    held, facts = shared_sets(docs, needed, text_col, shingle), needed.select("same", "size", "fp")
+
+    small = met.where(F.col("n") <= crowd).join(facts, "same").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("same", "size"))).alias("a"))
+    fits = f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size) - 1e-9"
+    pairs = f"flatten(transform(a, x -> transform(filter(a, y -> y.same > x.same and {fits}), y -> struct(x.same as one, y.same as other))))"
+    found.append(small.select(F.explode(F.expr(pairs)).alias("e")).select("e.one", "e.other"))
+
+    edges, crowds = [], checkpoint(met.where(F.col("n") > crowd).select("bucket", "same"))
+    for step in range(depth):
+        if crowds.isEmpty():
+            break
+        apart = told_apart(pivots(checkpoint(crowds.join(facts.select("same", "fp"), "same"))), held, similarity)
+        edges.append(apart.where("near").select("one", "other"))
+        tokens = apart.select("one", "other", F.explode("tokens").alias("token"))
+        often = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).where("n > 1"))
+        shared = salted_join(tokens, often, ["one", "token"], "n").groupBy("one", "other").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+        d = F.size("tokens")
+        least = F.greatest(F.lit(1), F.floor((d + ratio * (F.col("pivot_size") - F.col("size"))) / 2 + 1e-9) + 1)
+        least_outer = F.greatest(F.lit(1), F.ceil((d - ratio * (1 + 1 / similarity) * F.col("size")) / 2 - 1e-9))
+        first = lambda o: F.greatest(F.lit(0), d - o + 1 - (d - F.size("shared")))  # noqa: E731  # differences of its own come first
+        told = apart.join(shared, ["one", "other"]).select("one", F.col("other").alias("same"), "near", first(least).alias("short"), F.when(F.col("near"), first(least)).otherwise(F.greatest(first(least), first(least_outer))).alias("all"), "shared")
+        told = told.select("one", "same", "near", "short", F.posexplode(F.slice("shared", F.lit(1), F.col("all").cast("int"))).alias("k", "x"))
+        told = materialise(told.select("one", F.col("x.token").alias("token"), "same", "near", (F.col("k") < F.col("short")).alias("short")))
+        n = told.groupBy("one", "token").agg(F.count_if("near").alias("inner"), F.count_if(~F.col("near")).alias("outer"), F.count_if(~F.col("near") & F.col("short")).alias("short_outer"), F.count("*").alias("n"))
+        n = checkpoint(n.where("inner * outer > 0 or short_outer > 1").select("one", "token", (F.col("inner") > 0).alias("inner"), "n"))
+        # without inner sets, only outer ones that meet under a short prefix count
+        rows = salted_join(told, n, ["one", "token"], "n").where("inner or short").select("one", "token", F.xxhash64("one", "token").alias("bucket"), "same", "near", "short", "n")
+        rows = checkpoint(rows)
+        few = rows.where(F.col("n") <= crowd) if step + 1 < depth else rows
+        other = few.select("bucket", F.col("same").alias("other"), F.col("near").alias("other_near"), F.col("short").alias("other_short"))
+        joined = few.withColumnRenamed("same", "one_").join(other, "bucket").where("one_ <> other and not near and (other_near or (short and other_short and one_ < other))")
+        found.append(joined.select(F.least("one_", "other").alias("one"), F.greatest("one_", "other").alias("other")))
+        crowds = rows.where(F.col("n") > crowd).select("bucket", "same").distinct() if step + 1 < depth else rows.limit(0).select("bucket", "same")
+        crowds = checkpoint(crowds)
+    edges.append(similar_pairs(reduce(DataFrame.union, found), held, similarity))
+    return reduce(DataFrame.union, edges).select(F.col("one").alias("src"), F.col("other").alias("dst"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """docs with one row, that of the smallest id, for each group that links of near copies join; all columns stay.
 
     Rows of equal sets of shingles are one group, null and empty texts among them. Null ids come last; of rows with one id
-    and different texts, that with the smallest key of the text stays, of rows that repeat both, any one. With the bands
-    and rows given, a pair of similarity 0.8 meets with probability 0.99993. Members of a bucket are compared with all its
-    leaders: no two rows stay that are similar and met, and chains of three that met are whole; a link between two members that lead in
-    no bucket they share may be missed. An empty table stays empty.
+    and different texts, that with the smallest key of the text stays, of rows that repeat both, any one. Sets meet by SimHash
+    within 3 bits and by MinHash; with the bands and rows given, a pair of similarity 0.8 meets with probability 0.99993. All
+    similar sets that met are in one group. An empty table stays empty.
     """
     sketches = row_sets(docs, id_col, text_col, shingle, bands, rows)
-    roots = connected_components(near_copies(docs, sketches, id_col, text_col, shingle, similarity))
+    roots = connected_components(copy_links(docs, sketches, text_col, shingle, similarity))
     keys = sketches.groupBy("same", "id", "text").agg(F.count("*").alias("times"))
     keys = checkpoint(keys.join(roots, keys["same"] == roots["node"], "left").select("id", "text", "times", F.coalesce("root", "same").alias("root")))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")

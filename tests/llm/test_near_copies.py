@@ -98,3 +98,54 @@ def test_one_bucket_of_chains(spark):
         got = simhash.near_copies(docs, sketches, rounds=rounds, block=block).collect()
         assert {(of[bytes(e.src)], of[bytes(e.dst)]) for e in got} == want and len(got) == len(want) >= 60
     assert any(a > b for a, b in want)  # links of a leader to a member before it, which led to another
+
+
+def crowd_of(n, seed, common=0.3):
+    """Edits of one text, most with words of their own, some with words or places that others have changed, too."""
+    r = random.Random(seed)
+    base, out = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(120)], []
+    for k in range(n):
+        t = list(base)
+        for at in r.sample(range(120), r.choice([0, 1, 1, 2, 3, 4, 5, 6, 9])):
+            t[at] = f"w{r.randrange(3)}" if r.random() < common else f"own{k}"
+        out.append((k, " ".join(t + ["more"] * r.choice([0, 0, 0, 1]) + [f"end{k % 7}x{j}" for j in range(r.choice([0, 0, 0, 6, 15]))])))
+    return out
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    """All texts in one bucket: the components are those of all similar pairs, however small a crowd and however few the steps."""
+    from pyspark.sql import functions as F
+
+    texts = crowd_of(150, 4)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sketches = simhash.row_sets(docs, "doc_id", "text", 5, 24, 5).withColumn("keys", F.array(F.lit(7).cast("long")))
+    of = {bytes(x.same): x.id for x in sketches.select("same", "id").orderBy(F.desc("id")).collect()}
+    sets = {k: shingles(t) for k, t in texts}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    def groups(edges):
+        root = {k: k for k in sets}
+        for a, b in edges:
+            a, b = root[a], root[b]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        return root
+
+    want = groups((a, b) for a in sets for b in sets if a < b and alike(a, b))
+    assert 20 < len({*want.values()}) < 140
+    for crowd, depth in ((4, 3), (16, 1), (1_000, 3)):
+        got = [(of[bytes(e.src)], of[bytes(e.dst)]) for e in simhash.copy_links(docs, sketches, crowd=crowd, depth=depth).collect()]
+        assert all(alike(a, b) for a, b in got)
+        same = [(a, b) for a in sets for b in sets if a < b and sets[a] == sets[b]]
+        assert groups(got + same) == want
+
+
+def test_simhash_step_meets_what_the_keys_do_not(spark):
+    """Operator 5's step is one of the stage's own: without a common MinHash key, near copies meet by their fingerprints."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(900)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:-1], "changed"]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sketches = simhash.row_sets(docs, "doc_id", "text", 5, 24, 5).withColumn("keys", F.array(F.col("id")))
+    assert simhash.copy_links(docs, sketches).count() == 1
