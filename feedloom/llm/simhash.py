@@ -303,6 +303,19 @@ def pivots(crowds: DataFrame) -> DataFrame:
     return salted_join(crowds, chosen, ["bucket"], "n").where("one <> same").select("one", F.col("same").alias("other")).distinct()
 
 
+def nearer_pivots(apart: DataFrame) -> DataFrame:
+    """(one, other) of told_apart() under better pivots: of a pivot's sets, itself included, the one nearest to what most of them hold."""
+    tokens = apart.select("one", "other", F.explode("tokens").alias("token"))
+    members = apart.groupBy("one").agg((F.count("*") + 1).alias("members"))
+    most = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).join(members, "one").where("2 * n > members").select("one", "token", "n"))
+    hits = salted_join(tokens, most, ["one", "token"], "n").groupBy("one", "other").agg(F.count("*").alias("hits"))
+    off = F.size("tokens") - 2 * F.coalesce("hits", F.lit(0))  # a pivot's own is 0
+    best = apart.join(hits, ["one", "other"], "left").groupBy("one").agg(F.min(F.struct(off.alias("off"), "other")).alias("b"), (F.count("*") + 1).alias("members"))
+    best = checkpoint(best.select("one", F.when(F.col("b.off") < 0, F.col("b.other")).otherwise(F.col("one")).alias("pivot"), "members"))
+    rows = salted_join(apart.select("one", "other"), best, ["one"], "members").select("pivot", "other").union(best.select("pivot", "one"))
+    return rows.where("pivot <> other").select(F.col("pivot").alias("one"), "other").distinct()
+
+
 def copy_links(docs: DataFrame, sketches: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, depth: int = 3) -> DataFrame:
     """Edges (src, dst) between similar sets of shingles (by their 128-bit hashes) that connect all similar sets which met.
 
@@ -350,7 +363,8 @@ def copy_links(docs: DataFrame, sketches: DataFrame, text_col: str = "text", shi
     for step in range(depth):
         if crowds.isEmpty():
             break
-        apart = told_apart(pivots(checkpoint(crowds.join(facts.select("same", "fp"), "same"))), held, similarity)
+        first_apart = told_apart(pivots(checkpoint(crowds.join(facts.select("same", "fp"), "same"))), held, similarity)
+        apart = told_apart(nearer_pivots(first_apart), held, similarity)
         edges.append(apart.where("near").select("one", "other"))
         tokens = apart.select("one", "other", F.explode("tokens").alias("token"))
         often = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).where("n > 1"))
