@@ -40,3 +40,10 @@ def test_only_nodes_in_use_leave_the_parser(spark):
     assert [r["pre"] for r in nodes(pages, "pre", tags=["article"]).collect()] == [1, 4, 7]
     assert [r["pre"] for r in nodes(pages, "pre", classed=True).collect()] == [1, 3, 4, 6, 7, 9]
     assert [(r["pre"], r["of"]["last"]) for r in nodes(pages, "pre", carry="of", within=True).collect()] == [(2, 3), (3, 3)]
+
+
+def test_similarity_from(spark):
+    texts = ["Order 12 & 5-LOW", "ORDRE  12 & 5-LOW", "no such thing", "", None, "order 12 &amp; 5-low"]
+    df = spark.createDataFrame([(a, b) for b in texts for a in texts], "a string, b string")
+    got = df.select(scalars.similarity("a", "b").alias("all"), scalars.similarity_from("a", "b", F.lit(0.75)).alias("some")).collect()
+    assert all(r["some"] == (r["all"] if r["all"] >= 0.75 else None) for r in got) and {r["some"] is None for r in got} == {True, False}
