@@ -47,3 +47,14 @@ def test_similarity_from(spark):
     df = spark.createDataFrame([(a, b) for b in texts for a in texts], "a string, b string")
     got = df.select(scalars.similarity("a", "b").alias("all"), scalars.similarity_from("a", "b", F.lit(0.75)).alias("some")).collect()
     assert all(r["some"] == (r["all"] if r["all"] >= 0.75 else None) for r in got) and {r["some"] is None for r in got} == {True, False}
+
+
+def test_already_good_compares_nothing_that_is_held(spark, monkeypatch):
+    items = spark.createDataFrame([(1, 0, "t", "Some Title"), (1, 1, "t", ""), (2, 0, "t", "Smoe Title"), (3, 0, "t", "other")], "page_id long, ord int, field string, value string")
+    examples = spark.createDataFrame([(k, "t", "some title") for k in (1, 2, 3, 4)], "page_id long, field string, needle string")
+    compared = []
+    monkeypatch.setattr(selectors, "similarity_from", lambda one, other, least: compared.append(one) or scalars.similarity_from(one, other, least))
+    got = {r["page_id"]: r["good"] for r in selectors.already_good(items, examples, "page_id").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+    held = items.where("page_id = 1 and ord = 0").select("value", F.lit("some title").alias("needle"))
+    assert held.select(compared[0].alias("one")).first()["one"] == ""
