@@ -137,13 +137,13 @@ def repaired_fields(pages: DataFrame, recipes: DataFrame, examples: DataFrame, r
     cells = found.select("page_id", "i.ord", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("i")[f].alias("value")) for f in FIELDS])).alias("c")).select("page_id", "ord", "c.*")
     bad = written(examples.join(selectors.already_good(large(cells), examples, "page_id").where("not good").select("page_id", "field"), ["page_id", "field"]))
     searched = pages.join(bad, "page_id", "left_semi")
-    n = written(nodes(searched, *selectors.STACK_COLUMNS, "last"))
+    n = nodes(searched, "pre", "last", "text")
     firsts = read.join(bad, "page_id", "left_semi").select("page_id", "item", F.posexplode(F.slice(hit_places(F.col("html"), F.col("item")), 1, 5)).alias("k", "pre"))
     placed = firsts.join(n.select("page_id", "pre", "last", "text"), ["page_id", "pre"])
     holds = placed.join(bad.groupBy("page_id").agg(F.collect_set(F.lower("needle")).alias("needles")), "page_id").withColumn("holds", F.exists("needles", lambda x: F.contains(F.lower("text"), x)))
     best = F.struct(~F.col("holds"), F.when(F.col("holds"), F.col("k")).otherwise(-F.length("text")), "k")
     items = holds.groupBy("page_id").agg(F.min_by(F.struct("item", "pre", "last"), best).alias("b")).select("page_id", "b.*")
-    paths = selectors.recovered_fields(searched, n, items, bad.select("page_id", "field", "needle"), least=ratio)
+    paths = selectors.recovered_fields(searched, items, bad.select("page_id", "field", "needle"), least=ratio)
     ranked = F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"])
     union = F.array_join(F.transform("paths", lambda p: F.concat(F.lit("("), p, F.lit(")"))), " | ")
     return paths.groupBy("page_id", "field").agg(ranked.alias("paths")).select("page_id", "field", F.when(F.size("paths") == 1, F.col("paths")[0]).otherwise(union).alias("path"))

@@ -58,3 +58,11 @@ def test_already_good_compares_nothing_that_is_held(spark, monkeypatch):
     assert got == {1: True, 2: True, 3: False, 4: False}
     held = items.where("page_id = 1 and ord = 0").select("value", F.lit("some title").alias("needle"))
     assert held.select(compared[0].alias("one")).first()["one"] == ""
+
+
+def test_recovered_fields_shuffle_no_page_of_nodes(spark):
+    pages = spark.createDataFrame([(1, CARDS)], "page_id long, html string")
+    items = spark.createDataFrame([(1, "//article", 1, 3)], "page_id long, item string, pre int, last int")
+    examples = spark.createDataFrame([(1, "title", "Title 1"), (1, "content", "note & TEXT 1"), (1, "author", "Title 2")], "page_id long, field string, needle string")
+    got = selectors.recovered_fields(pages, items, examples, least=0.999).collect()
+    assert sorted((r["field"], r["rank"], r["path"], r["hits"]) for r in got) == [("content", 1, ".//p[contains(@class,'note')]", 3), ("title", 1, ".//h2", 3)]
