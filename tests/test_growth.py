@@ -66,3 +66,12 @@ def test_recovered_fields_shuffle_no_page_of_nodes(spark):
     examples = spark.createDataFrame([(1, "title", "Title 1"), (1, "content", "note & TEXT 1"), (1, "author", "Title 2")], "page_id long, field string, needle string")
     got = selectors.recovered_fields(pages, items, examples, least=0.999).collect()
     assert sorted((r["field"], r["rank"], r["path"], r["hits"]) for r in got) == [("content", 1, ".//p[contains(@class,'note')]", 3), ("title", 1, ".//h2", 3)]
+
+
+def test_scrape_joins_responses_once(spark):
+    configs = spark.createDataFrame([(1, "u", "xpath", "//article", {"title": ".//h2"}, 9), (2, "v", "json_api", "", {"title": "title"}, 9)], "config_id long, url string, strategy string, item string, fields map<string,string>, max_items int")
+    responses = spark.createDataFrame([("u", 200, CARDS), ("v", 404, "[]")], "url string, status int, body string")
+    found, runs = api.scrape(configs, responses)
+    assert "SortMergeJoin [url" not in plan(found)
+    assert [r["title"] for r in found.orderBy("ord").collect()] == ["Title 1", "Title 2", "Title 3"]
+    assert {r["config_id"]: (r["item_count"], r["error"]) for r in runs.collect()} == {1: (3, None), 2: (0, "HTTP 404")}
