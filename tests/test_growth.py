@@ -68,6 +68,13 @@ def test_recovered_fields_shuffle_no_page_of_nodes(spark):
     assert sorted((r["field"], r["rank"], r["path"], r["hits"]) for r in got) == [("content", 1, ".//p[contains(@class,'note')]", 3), ("title", 1, ".//h2", 3)]
 
 
+def test_own_scripts_join_by_sorting(spark):
+    pages = spark.createDataFrame([(1, "https://a.example.com/d/x", "<script src='1.js'></script><script src='/2.js'></script><script src='https://b.example.com/3.js'></script>")], "page_id long, url string, html string")
+    got = spark.createDataFrame([("https://a.example.com/d/1.js", 404, "x"), ("https://a.example.com/2.js", 200, "y")], "url string, status int, body string")
+    found = documents.own_scripts(pages, "page_id", "url", responses=got)
+    assert "Broadcast" not in plan(found) and [(r["pos"], r["js"]) for r in found.collect()] == [(1, "y")]
+
+
 def test_scrape_joins_responses_once(spark):
     configs = spark.createDataFrame([(1, "u", "xpath", "//article", {"title": ".//h2"}, 9), (2, "v", "json_api", "", {"title": "title"}, 9)], "config_id long, url string, strategy string, item string, fields map<string,string>, max_items int")
     responses = spark.createDataFrame([("u", 200, CARDS), ("v", 404, "[]")], "url string, status int, body string")
