@@ -14,6 +14,8 @@ from .queries import CADENCES, query
 from .render import table
 
 FILES = 4
+#: Rows that a file of a micro-batch holds at least, where there are several; a task writes and reads each.
+FILE_ROWS = 250_000
 
 
 def _feed_events(spark: SparkSession, d: str) -> DataFrame:
@@ -31,19 +33,27 @@ def _accesses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, key: str, machine) -> DataFrame:
-    """rows through a stream, a file for each micro-batch, in order of time; two closing rows of key -1 let the watermark pass all timers."""
+    """rows through a stream, in ``FILES`` micro-batches in order of time; two more of key -1 let the watermark pass all timers.
+
+    Every micro-batch has as many files as any other, so that a trigger takes just one's; large ones have many.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     if low is None:
         rows.write.parquet(f"{folder}/in")
         return spark.createDataFrame([], machine(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).schema)
     place = F.least(F.floor((F.unix_micros("ts") - low) * FILES / (high - low + 1)), F.lit(FILES - 1))
+    counts = dict(rows.groupBy(place.cast("int")).count().collect())
+    files = max(1, min(counts.get(k, 0) for k in range(FILES)) // FILE_ROWS)
     for k in range(FILES):
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part = rows.where(place == k)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
     for k in range(2):
-        closing = spark.range(1).select(*[(F.lit(-1) if c == key else F.timestamp_micros(F.lit(high + (k + 1) * 10**14)) if c == "ts" else F.lit("refresh") if c == "kind" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+        closing = spark.range(0, files, 1, files).select(*[(F.lit(-1) if c == key else F.timestamp_micros(F.lit(high + (k + 1) * 10**14)) if c == "ts" else F.lit("refresh") if c == "kind" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
         closing.write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    if len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles()) != files * (FILES + 2):
+        raise RuntimeError("a micro-batch has fewer files than another")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     return M.run_to_table(spark, machine(source), folder).where(F.col(key) >= 0)
 
 

@@ -2,15 +2,14 @@
 
 refresh_machine() keeps a feed's streak, pending recommendation and due time; operators.items.refresh_machine_rows is its
 batch twin. trace_machine() keeps the last actions of a trace while it is used; operators.items.trace_sessions is its batch twin.
-State is read and written once for each key and micro-batch, and lives in the stream's checkpoint.
+A key has one state value, read and written once for each micro-batch (each call is a message to the JVM); states live in the stream's checkpoint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,15 +19,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 FEED_INPUT = ["feed_id", "event_id", "kind", "config_id", "ok", "item_count", "error", "llm_suggested", "cadence"]
 FEED_OUTPUT = "feed_id long, event_id long, at long, kind string, error string, streak int, triggered boolean, missed boolean"
 TRACE_OUTPUT = "trace_id long, session long, start long, end long, n long, n_kept int, oldest_kept long"
+FEED_ROW, TRACE_ROW = (Row(*[c.split()[0] for c in schema.split(", ")]) for schema in (FEED_OUTPUT, TRACE_OUTPUT))
 
 
-def _rows(rows: list[tuple], schema: str) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    for c in schema.split(", "):
-        name, kind = c.split()
-        if kind in ("int", "long"):
-            out[name] = out[name].astype("Int64")
-    return out
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """A key's rows of a micro-batch by time and event."""
+    return sorted(rows, key=lambda x: (x.us, x.event_id is None, x.event_id or 0))
 
 
 def _timed(events: DataFrame, columns: list[str], delay: str) -> DataFrame:
@@ -44,61 +40,43 @@ class FeedMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.streak = handle.getValueState("streak", "n int")
-        self.pending = handle.getValueState("pending", "us long")
-        self.due = handle.getValueState("due", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        streak = self.streak.get()[0] if self.streak.exists() else 0
-        since = self.pending.get()[0] if self.pending.exists() else None
-        due = was_due = self.due.get()[0] if self.due.exists() else None
-        log, out = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"]), []
-        for x in log.itertuples(index=False):
+        self.feed = handle.getValueState("feed", "streak int, pending long, due long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        streak, since, due = self.feed.get() or (0, None, None)
+        was_due = due
+        for x in _in_order(rows):
             if x.kind == "dismiss":
                 since = None
                 continue
-            if pd.isna(x.config_id):
-                out.append((key[0], x.event_id, x.us, "skipped", None, streak, False, False))
+            if x.config_id is None:
+                yield FEED_ROW(key[0], x.event_id, x.us, "skipped", None, streak, False, False)
                 continue
             now, missed = x.us // 1000, False
             if due is not None and now > due:  # before a timer could tell it
-                out.append((key[0], None, due * 1000, "due", None, None, None, None))
+                yield FEED_ROW(key[0], None, due * 1000, "due", None, None, None, None)
                 missed = now > due + self.grace_ms
             triggered = False
             if x.ok:
-                streak = 0 if x.item_count > 0 else streak + 1
+                streak = 0 if (x.item_count or 0) > 0 else streak + 1
                 triggered = bool(streak >= self.least and x.llm_suggested and since is None)
                 since = x.us if triggered else since
             seconds = L.CADENCE_SECONDS.get(x.cadence)
             due = now + seconds * 1000 if seconds else None
             error = None if x.ok else (x.error or "")[:500]
-            out.append((key[0], x.event_id, x.us, "ok" if x.ok else "failed", error, streak, triggered, missed))
-        self.streak.update((int(streak),))
-        if since is None:
-            self.pending.clear()
-        else:
-            self.pending.update((int(since),))
-        self._arm(was_due, due)
-        yield _rows(out, FEED_OUTPUT)
-
-    def _arm(self, old: int | None, new: int | None) -> None:
-        if old == new:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if new is None:
-            self.due.clear()
-        else:
-            self.due.update((int(new),))
-            self.handle.registerTimer(int(new))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.due.get()[0] if self.due.exists() else None
-        rows = []
-        if due == expiredTimerInfo.getExpiryTimeInMs():
-            self.due.clear()
-            rows = [(key[0], None, due * 1000, "due", None, None, None, None)]
-        yield _rows(rows, FEED_OUTPUT)
+            yield FEED_ROW(key[0], x.event_id, x.us, "ok" if x.ok else "failed", error, streak, triggered, missed)
+        self.feed.update((streak, since, due))
+        if was_due != due:
+            if was_due is not None:
+                self.handle.deleteTimer(was_due)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        streak, since, due = self.feed.get() or (0, None, None)
+        if due is not None and due == expiredTimerInfo.getExpiryTimeInMs():
+            self.feed.update((streak, since, None))
+            yield FEED_ROW(key[0], None, due * 1000, "due", None, None, None, None)
 
     def close(self) -> None:
         pass
@@ -114,7 +92,7 @@ def refresh_machine(events: DataFrame, grace_s: int = 300, least: int = 3, delay
     that is ``missed``. Unknown cadences and on_demand are never due. Events of a feed arrive in order over micro-batches.
     """
     timed = _timed(events, FEED_INPUT, delay)
-    out = timed.groupBy("feed_id").transformWithStateInPandas(statefulProcessor=FeedMachine(grace_s, least), outputStructType=FEED_OUTPUT, outputMode="Append", timeMode="EventTime")
+    out = timed.groupBy("feed_id").transformWithState(statefulProcessor=FeedMachine(grace_s, least), outputStructType=FEED_OUTPUT, outputMode="Append", timeMode="EventTime")
     return out.withColumn("at", F.timestamp_micros("at"))
 
 
@@ -129,35 +107,29 @@ class TraceMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("kept", "event_id long")
-        self.span = handle.getValueState("span", "session long, start long, end long, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        session, start, end, n = self.span.get() if self.span.exists() else (-1, None, None, 0)
-        kept = [x[0] for x in self.kept.get()] if self.kept.exists() else []
-        armed = self.expiry(end) if n else None
-        out = []
-        for x in pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"]).itertuples(index=False):
+        self.span = handle.getValueState("span", "session long, start long, end long, n long, kept array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        session, start, end, n, kept = self.span.get() or (-1, None, None, 0, [])
+        kept, armed = [*(kept or [])], self.expiry(end) if n else None
+        for x in _in_order(rows):
             if n and x.us // 1000 - end // 1000 > self.ttl_ms:
-                out.append((key[0], session, start, end, n, len(kept), kept[0]))
+                yield TRACE_ROW(key[0], session, start, end, n, len(kept), kept[0])
                 n, kept = 0, []
             if not n:
                 session, start = session + 1, x.us
             end, n = x.us, n + 1
             kept = [*kept, x.event_id][-self.most :]
-        self.kept.put([(None if pd.isna(e) else int(e),) for e in kept])
-        self.span.update((int(session), int(start), int(end), int(n)))
+        self.span.update((session, start, end, n, kept))
         if armed is not None:
             self.handle.deleteTimer(armed)
         self.handle.registerTimer(self.expiry(end))
-        yield _rows(out, TRACE_OUTPUT)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        session, start, end, n = self.span.get()
-        kept = [x[0] for x in self.kept.get()]
-        self.kept.clear()
-        self.span.update((session, start, end, 0))
-        yield _rows([(key[0], session, start, end, n, len(kept), kept[0])] if n else [], TRACE_OUTPUT)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        session, start, end, n, kept = self.span.get()
+        self.span.update((session, start, end, 0, []))
+        if n:
+            yield TRACE_ROW(key[0], session, start, end, n, len(kept), kept[0])
 
     def close(self) -> None:
         pass
@@ -169,7 +141,7 @@ def trace_machine(actions: DataFrame, ttl_s: int = 7_200, most: int = 60, delay:
     Each access renews the time to live; of longer traces the last ``most`` actions are kept. Timers run on event time.
     """
     timed = _timed(actions, ["trace_id", "event_id"], delay)
-    out = timed.groupBy("trace_id").transformWithStateInPandas(statefulProcessor=TraceMachine(ttl_s, most), outputStructType=TRACE_OUTPUT, outputMode="Append", timeMode="EventTime")
+    out = timed.groupBy("trace_id").transformWithState(statefulProcessor=TraceMachine(ttl_s, most), outputStructType=TRACE_OUTPUT, outputMode="Append", timeMode="EventTime")
     return out.withColumns({"start": F.timestamp_micros("start"), "end": F.timestamp_micros("end")})
 
 

@@ -82,3 +82,61 @@ def test_scrape_joins_responses_once(spark):
     assert "SortMergeJoin [url" not in plan(found)
     assert [r["title"] for r in found.orderBy("ord").collect()] == ["Title 1", "Title 2", "Title 3"]
     assert {r["config_id"]: (r["item_count"], r["error"]) for r in runs.collect()} == {1: (3, None), 2: (0, "HTTP 404")}
+
+
+class Value:
+    def __init__(self, value=None):
+        self.value, self.calls = value, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class Handle:
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, Value())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("kind", ["feed", "trace"])
+def test_a_key_reads_and_writes_one_state(kind):
+    """Rows of a micro-batch come as rows; ids beyond 2^53 stay exact beside a null one."""
+    big = 2**53 + 1
+    made = lambda **x: machines.Row(**x)
+    handle = Handle()
+    if kind == "feed":
+        machine = machines.FeedMachine(300, 3)
+        rows = [made(us=k, event_id=e, kind="refresh", config_id="c", ok=True, item_count=None, error=None, llm_suggested=True, cadence="1h") for k, e in ((2, None), (1, big))]
+    else:
+        machine = machines.TraceMachine(7_200, 1)
+        rows = [made(us=k, event_id=e) for k, e in ((2 * 10**10, None), (1, big))]
+    machine.init(handle)
+    out = [*machine.handleInputRows((1,), iter(rows), None)]
+    (state,) = handle.values.values()
+    assert state.calls == 2 and len(handle.timers) == 1
+    assert big in [r["event_id"] if kind == "feed" else r["oldest_kept"] for r in out]
+
+
+@pytest.mark.parametrize("rows_a_file", [10, 10**6])
+def test_micro_batches_of_several_files(spark, tmp_path, monkeypatch, rows_a_file):
+    monkeypatch.setattr(plans, "FILE_ROWS", rows_a_file, raising=False)
+    rows = pd.DataFrame({"user_id": [k % 7 for k in range(400)], "event_id": range(400), "ts": [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * k) for k in range(400)]})
+    spark.createDataFrame(rows).write.parquet(f"{tmp_path}/events.parquet")
+    want = plans.trace_evictions(spark, str(tmp_path)).collect()
+    seen, run = [], machines.run_to_table
+    monkeypatch.setattr(machines, "run_to_table", lambda spark, stream, folder: seen.append(len(spark.read.parquet(f"{folder}/in").inputFiles())) or run(spark, stream, folder))
+    assert sorted(map(str, plans.trace_evictions_stream(spark, str(tmp_path)).collect())) == sorted(map(str, want))
+    assert seen == [6 if rows_a_file > 100 else 60]
