@@ -146,8 +146,28 @@ def similar(one: np.ndarray, other: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (least + most - common) - 1e-9
 
 
+def parity_bits(hashes: np.ndarray, most: int = 1 << 14) -> bytes:
+    """For each bit the parity of the shingles that fall on it; at least two bits for a shingle, a power of two, and up to ``most``."""
+    bits = min(most, max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64)
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(one: bytes, other: bytes, both: int, similarity: float) -> bool:
+    """Whether sets of parity_bits() one and other, ``both`` shingles together, may be similar: never false for similar sets.
+
+    A shingle that only one of them has flips one bit, common ones flip none: no more bits differ than shingles. The
+    larger sketch is folded to the size of the smaller.
+    """
+    small, large = sorted((one, other), key=len)
+    x = int.from_bytes(small, "little")
+    for at in range(0, len(large), len(small)):
+        x ^= int.from_bytes(large[at : at + len(small)], "little")
+    return x.bit_count() <= (1 - similarity) / (1 + similarity) * both + 1e-6
+
+
 def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(id, text, same, size, fp, keys) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, the set's size, SimHash and MinHash keys."""
+    """(id, text, same, size, fp, keys, bits) for each row: its id, the key of its text, the 128-bit hash of its set of shingles, the set's size, SimHash, MinHash keys and parity bits."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -155,10 +175,11 @@ def row_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
             sets, fps = [np.unique(x) for x in every], pa.array([folded(x) for x in every], pa.int64())
             equal = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
             sizes, keys = pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x, bands, rows) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, sizes, fps, keys], ["id", "text", "same", "size", "fp", "keys"])
+            bits = pa.array([parity_bits(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), equal, sizes, fps, keys, bits], ["id", "text", "same", "size", "fp", "keys", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text"), F.col(text_col).cast("binary").alias("words"))
-    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, fp long, keys array<long>"))
+    return materialise(texts.mapInArrow(sketch, "id long, text binary, same binary, size long, fp long, keys array<long>, bits binary"))
 
 
 def near_copies(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 2, block: int = 64) -> DataFrame:
@@ -291,29 +312,92 @@ def told_apart(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFram
     return materialise(side_by_side(pairs, held).mapInArrow(differ, "one binary, other binary, near boolean, size long, pivot_size long, tokens array<long>"))
 
 
-def pivots(crowds: DataFrame) -> DataFrame:
-    """(one, other): each set of the crowds (bucket, same, fp) with the pivot of its bucket, the set whose SimHash is nearest to the majority of each bit."""
-    bit = lambda k: F.lit(signed(1 << k))
-    ones = [F.count_if(F.col("fp").bitwiseAND(bit(k)) != 0) for k in range(BITS)]
-    major = reduce(lambda a, b: a.bitwiseOR(b), [F.when(x * 2 > F.count("*"), bit(k)).otherwise(F.lit(0).cast("long")) for k, x in enumerate(ones)])
-    majority = checkpoint(crowds.groupBy("bucket").agg(major.alias("major"), F.count("*").alias("n")))
-    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("major")))
-    chosen = salted_join(crowds, majority, ["bucket"], "n").groupBy("bucket").agg(F.min(F.struct(off.alias("off"), "same")).alias("pivot"), F.count("*").alias("n"))
-    chosen = checkpoint(chosen.select("bucket", F.col("pivot.same").alias("one"), "n"))
-    return salted_join(crowds, chosen, ["bucket"], "n").where("one <> same").select("one", F.col("same").alias("other")).distinct()
+def candidates(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(one, other) of the pairs (one, other: structs of same, size and bits) that may be similar by their parity bits."""
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            ok = [may_be_similar(x, y, n, similarity) for x, y, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["one", "other"]).filter(pa.array(ok, pa.bool_()))
 
-def nearer_pivots(apart: DataFrame) -> DataFrame:
-    """(one, other) of told_apart() under better pivots: of a pivot's sets, itself included, the one nearest to what most of them hold."""
-    tokens = apart.select("one", "other", F.explode("tokens").alias("token"))
-    members = apart.groupBy("one").agg((F.count("*") + 1).alias("members"))
-    most = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).join(members, "one").where("2 * n > members").select("one", "token", "n"))
-    hits = salted_join(tokens, most, ["one", "token"], "n").groupBy("one", "other").agg(F.count("*").alias("hits"))
-    off = F.size("tokens") - 2 * F.coalesce("hits", F.lit(0))  # a pivot's own is 0
-    best = apart.join(hits, ["one", "other"], "left").groupBy("one").agg(F.min(F.struct(off.alias("off"), "other")).alias("b"), (F.count("*") + 1).alias("members"))
-    best = checkpoint(best.select("one", F.when(F.col("b.off") < 0, F.col("b.other")).otherwise(F.col("one")).alias("pivot"), "members"))
-    rows = salted_join(apart.select("one", "other"), best, ["one"], "members").select("pivot", "other").union(best.select("pivot", "one"))
-    return rows.where("pivot <> other").select(F.col("pivot").alias("one"), "other").distinct()
+    flat = pairs.select(F.col("one.same").alias("one"), F.col("other.same").alias("other"), F.col("one.bits").alias("one_bits"), F.col("other.bits").alias("other_bits"), (F.col("one.size") + F.col("other.size")).alias("both"))
+    return flat.mapInArrow(judge, "one binary, other binary")
+
+
+def pivots(crowds: DataFrame, settle: bool) -> DataFrame:
+    """(one, other): each set of the crowds (bucket, same) with the pivot of its bucket.
+
+    The more sets one meets in all its buckets, the less it differs from what they have in common; a bucket proposes its set that
+    meets most. To ``settle`` is to take, for a bucket, the set that most of its members take for the best of all that their buckets
+    propose, so that buckets of one crowd share a pivot, a member or not.
+    """
+    sizes = checkpoint(crowds.groupBy("bucket").agg(F.count("*").alias("n")))
+    rows = checkpoint(salted_join(crowds, sizes, ["bucket"], "n"))
+    met = rows.groupBy("same").agg(F.sum("n").alias("met"))
+    tops = checkpoint(rows.join(met, "same").groupBy("bucket").agg(F.max(F.struct("met", "same")).alias("pivot"), F.count("*").alias("n")))
+    chosen = salted_join(crowds, tops, ["bucket"], "n")
+    if settle:
+        best = checkpoint(chosen.groupBy("same").agg(F.max("pivot").alias("pivot")))
+        votes = crowds.join(best, "same").groupBy("bucket", "pivot").agg(F.count("*").alias("times"))
+        tops = checkpoint(votes.groupBy("bucket").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"), F.sum("times").alias("n")))
+        chosen = salted_join(crowds, tops, ["bucket"], "n")
+    return chosen.select(F.col("pivot.same").alias("one"), F.col("same").alias("other")).where("one <> other").distinct()
+
+
+def from_common(apart: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """told_apart() with the shingles in which each set differs from c, what most sets of its pivot (one) hold, and the ``pivot`` that takes its place.
+
+    That is the set p of least D(p) - r|p|, D and r as in copy_links(); ``near`` and ``pivot_size`` are told of it, and ``off`` is D(p).
+    """
+    ratio = (1 - similarity) / (1 + similarity)
+    members = apart.groupBy("one").agg((F.count("*") + 1).alias("members"), F.max("pivot_size").alias("pivot_size"))
+    tokens = apart.select("one", F.explode("tokens").alias("token")).groupBy("one", "token").agg(F.count("*").alias("n"))
+    most = tokens.join(members, "one").where("2 * n > members").groupBy("one").agg(F.collect_list("token").alias("most"))
+    most = checkpoint(members.join(most, "one", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>"))))
+    flipped = F.concat(F.array_except("tokens", "most"), F.array_except("most", "tokens")).alias("tokens")
+    sets = salted_join(apart.drop("pivot_size"), most, ["one"], "members").select("one", "other", "near", "size", flipped)
+    sets = materialise(sets.union(most.select("one", "one", F.lit(True), "pivot_size", "most")))
+    d = F.size("tokens")
+    best = F.struct((d - ratio * F.col("size")).alias("slack"), (F.col("one") != F.col("other")).alias("moved"), F.col("other").alias("pivot"), d.alias("off"), F.col("size").alias("pivot_size"))
+    best = sets.groupBy("one").agg(F.min(best).alias("p"), F.count("*").alias("members"))
+    best = checkpoint(best.select("one", "p.pivot", "p.off", "p.pivot_size", "members"))
+    told = checkpoint(salted_join(sets, best, ["one"], "members").where("other <> pivot").drop("members"))
+    moved = similar_pairs(told.where("pivot <> one").select(F.col("pivot").alias("one"), "other"), held, similarity)
+    told = told.join(moved.select(F.col("one").alias("pivot"), "other", F.lit(True).alias("now")), ["pivot", "other"], "left")
+    return checkpoint(told.withColumn("near", F.when(F.col("pivot") == F.col("one"), F.col("near")).otherwise(F.coalesce("now", F.lit(False)))).drop("now"))
+
+
+def meeting(apart: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, same, size, near, outer, e, cap, n): the sets of from_common() under the differences by which similar ones meet, n rows in a bucket.
+
+    The bounds are those of copy_links(). In a bucket, rows with ``outer`` are of outer sets x, the others of any sets y.
+    """
+    ratio = (1 - similarity) / (1 + similarity)
+    rows = apart.withColumn("e", F.size("tokens") - ratio * F.col("size"))
+    ends = rows.groupBy("one").agg(F.min(F.when(~F.col("near"), F.col("e"))).alias("lo"), F.max(F.greatest("size", "pivot_size")).alias("largest"), F.count("*").alias("members"))
+    rows = salted_join(rows, checkpoint(ends.where("lo is not null")), ["one"], "members").drop("members")
+    tokens = rows.select("one", "other", F.explode("tokens").alias("token"))
+    often = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = salted_join(tokens, often, ["one", "token"], "n").groupBy("one", "other").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+
+    e, many, width = F.col("e"), F.size("shared"), F.greatest(F.lit(4), ratio / 4 * F.col("pivot_size"))
+    of_outer = F.greatest(F.lit(1), F.ceil((F.col("lo") + e) / 2 - 1e-6))
+    of_any = F.greatest(F.lit(1), F.ceil((F.col("off") - ratio * F.col("pivot_size") + e) / 2 - 1e-6), F.ceil(e - ratio * F.least("largest", F.col("size") / similarity) - 1e-6))
+    first = lambda o: F.greatest(F.lit(0), many - o + 1).cast("int")  # noqa: E731  # differences of its own, which come first, aren't among the shared ones
+    told = rows.join(shared, ["one", "other"]).withColumn("short", first(of_outer))
+    told = told.withColumn("all", F.when(F.col("near"), F.col("short")).otherwise(F.greatest("short", first(of_any))))
+    told = told.select("one", F.col("other").alias("same"), "size", "near", "e", "lo", "short", width.alias("width"), many.alias("many"), F.posexplode(F.slice("shared", F.lit(1), F.col("all"))).alias("k", "x"))
+    told = told.withColumn("cap", 2 * (F.col("many") - F.col("k")) - e + 1e-6)
+    bin_ = lambda v: F.floor(v / F.col("width"))
+    least = F.when(F.col("near"), F.col("lo")).otherwise(F.greatest("lo", "e")) - 1e-6
+    spot = lambda b, outer: F.struct(b.alias("bin"), F.lit(outer).alias("outer"))
+    none = F.array().cast("array<struct<bin: bigint, outer: boolean>>")
+    as_x = F.when(F.col("near"), none).otherwise(F.array(spot(bin_(e), True)))
+    as_y = F.when((F.col("k") < F.col("short")) & (F.col("cap") >= least), F.transform(F.sequence(bin_(least), bin_(F.col("cap"))), lambda b: spot(b, False))).otherwise(none)
+    told = told.select("one", F.col("x.token").alias("token"), "same", "size", "near", "e", "cap", F.explode(F.concat(as_x, as_y)).alias("spot"))
+    told = materialise(told.select(F.xxhash64("one", "token", "spot.bin").alias("bucket"), "same", "size", "near", "spot.outer", "e", "cap"))
+    n = told.groupBy("bucket").agg(F.count_if("outer").alias("x"), F.count_if(~F.col("outer")).alias("y"), F.min("same").alias("least"), F.max("same").alias("most"), F.count("*").alias("n"))
+    return salted_join(told, checkpoint(n.where("x * y > 0 and least <> most").select("bucket", "n")), ["bucket"], "n")
 
 
 def copy_links(docs: DataFrame, sketches: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, depth: int = 3) -> DataFrame:
@@ -323,69 +407,63 @@ def copy_links(docs: DataFrame, sketches: DataFrame, text_col: str = "text", shi
     similarity of 0.8 fingerprints differ in about 10 bits, sets also meet under a common MinHash key in ``sketches``. Every edge
     is verified on the whole sets.
 
-    A bucket of up to ``crowd`` sets compares all its pairs. A larger one has a pivot p, and each set is compared with
-    it; D(x) is the number of shingles that one of p and x lacks. Sets similar to p are inner ones, connected by it, the others are
-    outer ones. x and y are similar if they differ in at most r(|x| + |y|) shingles, r = (1 - s) / (1 + s), and they
-    differ in D(x) + D(y) less twice the differences from p that they share. Of these they share, if x is an outer set,
-
-        more than (D(y) + r(|p| - |y|)) / 2,  and at least (D(x) - r(1 + 1/s)|x|) / 2.
-
-    Sets that share o of them share one of the first D - o + 1 in any order; rare ones come first. So y is found by x under one
-    of its rarest differences, about half of them, which in near copies are its own words and nobody else's. No pair of inner sets
-    is formed, and the rest grows with the sets unless many make the same rare changes. Those are a crowd of
-    their own with a pivot that made them, too; after ``depth`` such steps all pairs that share a difference are compared.
+    A bucket of up to ``crowd`` sets compares all its pairs, by parity bits first. A larger one has a pivot p, and each set is
+    compared with it. Sets similar to p are inner ones, connected by it, the others are outer ones. D(x) is the number of
+    shingles in which x differs from c, what most sets of the pivot hold. x and y are similar if they differ in at most
+    r(|x| + |y|) shingles, r = (1 - s) / (1 + s), and they differ in D(x) + D(y) less twice the differences from c that
+    they share. With e(x) = D(x) - r|x|, they share at least (e(x) + e(y)) / 2. p is the set of least e(p), and an outer
+    set differs from p in more than r(|p| + |x|), so e(x) + e(y) is more than 0 for an outer x and any y: they share a
+    difference. As y can't share more than D(y), they share at least e(x) - r|y|, too.
+
+    Sets that share o of them share one of the first D - o + 1 in any order; rare ones come first, and of the differences
+    from its k-th on, y shares no more than remain: e(x) <= cap(y) = 2(D - k) - e(y), where D counts those that any other set shares.
+    So x and y meet under one difference and an interval of e: x has one e, y all up to its cap. No pair of inner sets is
+    formed, and the rest grows with the sets unless many make the same rare changes. Those are a crowd of
+    their own with a pivot that made them, too; after ``depth`` such steps all pairs that meet are compared.
     """
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text")
-    sets = sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min("size").alias("size"), F.min_by("fp", rank).alias("fp"), F.min_by("keys", rank).alias("keys"))
-    sets = materialise(sets.select("same", "rank.text", "size", "fp", "keys"))
-    ratio = (1 - similarity) / (1 + similarity)
+    sets = sketches.groupBy("same").agg(F.min(rank).alias("rank"), F.min("size").alias("size"), F.min_by("fp", rank).alias("fp"), F.min_by("keys", rank).alias("keys"), F.min_by("bits", rank).alias("bits"))
+    sets = materialise(sets.select("same", "rank.text", "size", "fp", "keys", "bits"))
 
     # operator 5's step: equal fingerprints, and those within 3 bits
     fps = checkpoint(sets.groupBy("fp").agg(F.min("same").alias("one"), F.count("*").alias("n")))
     equal = salted_join(sets.select("fp", "same"), fps.where("n > 1"), ["fp"], "n").where("one <> same").select("one", F.col("same").alias("other"))
     ends = fps.select("fp", "one")
     within = links(ends.select("fp")).join(ends.withColumnRenamed("fp", "src"), "src").join(ends.select(F.col("fp").alias("dst"), F.col("one").alias("other")), "dst")
-    found = [checkpoint(equal.union(within.select(F.least("one", "other"), F.greatest("one", "other"))))]
+    alike = checkpoint(equal.union(within.select(F.least("one", "other"), F.greatest("one", "other"))))
 
     keyed = sets.select("same", F.posexplode("keys").alias("band", "key")).select("same", F.xxhash64("band", "key").alias("bucket"))
     sizes = checkpoint(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     met = checkpoint(salted_join(keyed, sizes, ["bucket"], "n").select("bucket", "same", "n"))
-    needed = checkpoint(met.select("same").union(found[0].select("one")).union(found[0].select("other")).distinct())
-    needed = checkpoint(sets.drop("keys").join(needed, "same"))
-    held, facts = shared_sets(docs, needed, text_col, shingle), needed.select("same", "size", "fp")
-
-    small = met.where(F.col("n") <= crowd).join(facts, "same").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("same", "size"))).alias("a"))
+    any_ = met.select("same").union(alike.select("one")).union(alike.select("other")).distinct()
+    sets = materialise(sets.select("same", "text", "size", "bits").join(any_, "same"))  # those that meet no other set have no links
+
+    # pairs that are compared as they are
+    facts = sets.select("same", F.struct("same", "size", "bits").alias("fact"))
+    fact = lambda name: facts.select(F.col("same").alias(name), F.col("fact").alias(f"{name}_fact"))
+    alike = alike.join(fact("one"), "one").join(fact("other"), "other").select(F.col("one_fact").alias("one"), F.col("other_fact").alias("other"))
+    found = [candidates(alike, similarity)]
+    small = met.where(F.col("n") <= crowd).join(facts, "same").groupBy("bucket").agg(F.sort_array(F.collect_list("fact")).alias("a"))
     fits = f"least(x.size, y.size) >= {similarity} * greatest(x.size, y.size) - 1e-9"
-    pairs = f"flatten(transform(a, x -> transform(filter(a, y -> y.same > x.same and {fits}), y -> struct(x.same as one, y.same as other))))"
-    found.append(small.select(F.explode(F.expr(pairs)).alias("e")).select("e.one", "e.other"))
+    pairs = f"flatten(transform(a, x -> transform(filter(a, y -> y.same > x.same and {fits}), y -> struct(x as one, y as other))))"
+    found.append(candidates(small.select(F.explode(F.expr(pairs)).alias("e")).select("e.one", "e.other"), similarity))
+    found = [checkpoint(reduce(DataFrame.union, found).distinct())]
+    needed = found[0].select("one").union(found[0].select("other")).union(met.where(F.col("n") > crowd).select("same")).distinct().toDF("same")
+    held = shared_sets(docs, checkpoint(sets.select("same", "text").join(needed, "same")), text_col, shingle)
 
     edges, crowds = [], checkpoint(met.where(F.col("n") > crowd).select("bucket", "same"))
     for step in range(depth):
         if crowds.isEmpty():
             break
-        first_apart = told_apart(pivots(checkpoint(crowds.join(facts.select("same", "fp"), "same"))), held, similarity)
-        apart = told_apart(nearer_pivots(first_apart), held, similarity)
-        edges.append(apart.where("near").select("one", "other"))
-        tokens = apart.select("one", "other", F.explode("tokens").alias("token"))
-        often = checkpoint(tokens.groupBy("one", "token").agg(F.count("*").alias("n")).where("n > 1"))
-        shared = salted_join(tokens, often, ["one", "token"], "n").groupBy("one", "other").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
-        d = F.size("tokens")
-        least = F.greatest(F.lit(1), F.floor((d + ratio * (F.col("pivot_size") - F.col("size"))) / 2 + 1e-9) + 1)
-        least_outer = F.greatest(F.lit(1), F.ceil((d - ratio * (1 + 1 / similarity) * F.col("size")) / 2 - 1e-9))
-        first = lambda o: F.greatest(F.lit(0), d - o + 1 - (d - F.size("shared")))  # noqa: E731  # differences of its own come first
-        told = apart.join(shared, ["one", "other"]).select("one", F.col("other").alias("same"), "near", first(least).alias("short"), F.when(F.col("near"), first(least)).otherwise(F.greatest(first(least), first(least_outer))).alias("all"), "shared")
-        told = told.select("one", "same", "near", "short", F.posexplode(F.slice("shared", F.lit(1), F.col("all").cast("int"))).alias("k", "x"))
-        told = materialise(told.select("one", F.col("x.token").alias("token"), "same", "near", (F.col("k") < F.col("short")).alias("short")))
-        n = told.groupBy("one", "token").agg(F.count_if("near").alias("inner"), F.count_if(~F.col("near")).alias("outer"), F.count_if(~F.col("near") & F.col("short")).alias("short_outer"), F.count("*").alias("n"))
-        n = checkpoint(n.where("inner * outer > 0 or short_outer > 1").select("one", "token", (F.col("inner") > 0).alias("inner"), "n"))
-        # without inner sets, only outer ones that meet under a short prefix count
-        rows = salted_join(told, n, ["one", "token"], "n").where("inner or short").select("one", "token", F.xxhash64("one", "token").alias("bucket"), "same", "near", "short", "n")
-        rows = checkpoint(rows)
-        few = rows.where(F.col("n") <= crowd) if step + 1 < depth else rows
-        other = few.select("bucket", F.col("same").alias("other"), F.col("near").alias("other_near"), F.col("short").alias("other_short"))
-        joined = few.withColumnRenamed("same", "one_").join(other, "bucket").where("one_ <> other and not near and (other_near or (short and other_short and one_ < other))")
-        found.append(joined.select(F.least("one_", "other").alias("one"), F.greatest("one_", "other").alias("other")))
-        crowds = rows.where(F.col("n") > crowd).select("bucket", "same").distinct() if step + 1 < depth else rows.limit(0).select("bucket", "same")
+        apart = from_common(told_apart(pivots(crowds, settle=step == 0), held, similarity), held, similarity)
+        edges.append(apart.where("near").select(F.col("pivot").alias("one"), "other"))
+        rows = checkpoint(meeting(apart, similarity))
+        few = rows.where(F.col("n") <= 2 * crowd) if step + 1 < depth else rows
+        x, y = (few.where(F.col("outer") == at).select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in ("same", "size", "near", "e", "cap")]) for name, at in (("x", True), ("y", False)))
+        order = "near_y or struct(e_x, same_x) > struct(e_y, same_y)"  # of two outer sets one is x
+        met_at = x.join(y, "bucket").where(f"same_x <> same_y and e_x <= cap_y and e_y <= cap_x and ({order})").where(f"least(size_x, size_y) >= {similarity} * greatest(size_x, size_y) - 1e-9")
+        found.append(met_at.select(F.least("same_x", "same_y").alias("one"), F.greatest("same_x", "same_y").alias("other")))
+        crowds = rows.where(F.col("n") > 2 * crowd).select("bucket", "same").distinct() if step + 1 < depth else rows.limit(0).select("bucket", "same")
         crowds = checkpoint(crowds)
     edges.append(similar_pairs(reduce(DataFrame.union, found), held, similarity))
     return reduce(DataFrame.union, edges).select(F.col("one").alias("src"), F.col("other").alias("dst"))

@@ -149,3 +149,42 @@ def test_simhash_step_meets_what_the_keys_do_not(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     sketches = simhash.row_sets(docs, "doc_id", "text", 5, 24, 5).withColumn("keys", F.array(F.col("id")))
     assert simhash.copy_links(docs, sketches).count() == 1
+
+
+def test_parity_bits_rule_out_no_similar_pair():
+    import numpy as np
+
+    r, ruled_out = np.random.default_rng(2), 0
+    for n in (1, 3, 40, 129, 400, 9_000):
+        for gone in (0, n // 20, n // 9, n // 5, n // 2):
+            x = np.unique(r.integers(0, 1 << 63, n + gone, np.uint64))
+            a, b = x[: len(x) - gone], x[gone:]
+            for p, q in ((a, b), (b, a), (a, x), (x, b)):
+                may = simhash.may_be_similar(simhash.parity_bits(p), simhash.parity_bits(q), len(p) + len(q), 0.8)
+                assert may or not simhash.similar(p, q, 0.8)
+                ruled_out += not may
+    assert ruled_out >= 10
+    assert simhash.may_be_similar(simhash.parity_bits(x[:0]), simhash.parity_bits(x[:0]), 0, 0.8)
+
+
+def test_pairs_of_a_crowd_grow_with_its_sets(spark, monkeypatch):
+    """Copies of one text with edits of their own, under their real keys: few pairs for each set are compared, over all buckets."""
+    r = random.Random(6)
+    base, texts = ["".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(150)], []
+    for k in range(160):
+        t = list(base)
+        for at in r.sample(range(5, 145), min(k, 1 + k % 9)):
+            t[at] = f"own{k}x{at}"
+        texts.append((k, " ".join(t)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    compared, whole = [], simhash.side_by_side
+
+    def counted(pairs, held):
+        compared.append(pairs.count())
+        return whole(pairs, held)
+
+    monkeypatch.setattr(simhash, "side_by_side", counted)
+    got = simhash.copy_links(docs, simhash.row_sets(docs, "doc_id", "text", 5, 24, 5)).collect()
+    assert len(got) >= 60
+    # 160 sets and their pivot once, and the pairs of small buckets that may be similar
+    assert sum(compared) < 4 * len(texts), compared
