@@ -1,6 +1,7 @@
 """No item, candidate or example of a page is left out, however many there are."""
 
 from feedloom import api
+from feedloom.operators import selectors
 
 
 def test_scrape_reads_all_items(spark):
@@ -19,3 +20,14 @@ def test_scrape_reads_all_items(spark):
     want = {0: 120, 1: 120, 2: 5_010, 3: 120, 9: 7}
     assert {r["config_id"]: r["item_count"] for r in runs.collect()} == want
     assert {(r["config_id"], r["ord"]) for r in found.collect()} == {(c, i) for c, n in want.items() for i in range(n)}
+
+
+def test_recovered_fields_try_all_candidates_and_items(spark):
+    """Nine elements hold the example and 25 items the last one's path: no candidate and no item is left out."""
+    first = "<article>" + "".join(f"<p class='c{k}'>same text</p>" for k in range(9)) + "</article>"
+    html = "<main>" + first + "".join(f"<article><p class='c8'>text {k}</p></article>" for k in range(24)) + "</main>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    items = spark.createDataFrame([(1, "//article", 1, 10)], "page_id long, item string, pre int, last int")
+    examples = spark.createDataFrame([(1, "title", "same text")], "page_id long, field string, needle string")
+    got = selectors.recovered_fields(pages, items, examples, least=0.999).collect()
+    assert [(r["path"], r["hits"]) for r in got] == [(".//p[contains(@class,'c8')]", 25)]
