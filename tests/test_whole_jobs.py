@@ -1,7 +1,10 @@
 """No item, candidate or example of a page is left out, however many there are."""
 
+import datetime as dt
+
 from feedloom import api
 from feedloom.operators import selectors
+from feedloom.plans import more
 
 
 def test_scrape_reads_all_items(spark):
@@ -31,3 +34,11 @@ def test_recovered_fields_try_all_candidates_and_items(spark):
     examples = spark.createDataFrame([(1, "title", "same text")], "page_id long, field string, needle string")
     got = selectors.recovered_fields(pages, items, examples, least=0.999).collect()
     assert [(r["path"], r["hits"]) for r in got] == [(".//p[contains(@class,'c8')]", 25)]
+
+
+def test_example_rows_hold_their_links(spark, tmp_path):
+    orders = [(k, 1, "O", 10.0 + k, dt.datetime(2024, 1, 1), "5-LOW") for k in (1, 2, 5, 10, 11)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    (got,) = more.multi_row_anchor(spark, str(tmp_path)).collect()
+    # three fields, and three or two blocks: (0.3 + 0.09 + 0.2 + 0.3 + 0.06 + 0.1) / 2, rounded
+    assert got["item_count"] == 5 and got["n_families"] == 2 and got["confidence"] == 0.53
