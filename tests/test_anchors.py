@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from feedloom.operators import anchors, candidates
+from feedloom.operators import anchors, candidates, selectors
 from feedloom.plans.queries import QUERIES
 from feedloom.sources.dom import nodes
 
@@ -39,7 +39,15 @@ def test_example_anchors_as_over_nodes(spark, pages):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() >= 3
 
 
-ANCHORED = ["multi_row_anchor"]
+def test_reanchor_and_rows(spark, pages):
+    needles = spark.createDataFrame([(0, "long  HEADLINE 2"), (0, " "), (1, "x"), (7, "headline 3")], "page_id long, needle string")
+    assert sorted(map(tuple, selectors.reanchor(pages, needles).collect())) == [(0, 1, "//li[contains(@class,'post')]"), (7, 1, "//li[contains(@class,'post')]")]
+    rows = spark.createDataFrame([(0, 4, "title", "headline 2"), (0, 4, "link", "/2"), (0, 4, "author", "absent"), (1, 0, "title", "x")], "page_id long, row int, field string, needle string")
+    (got,) = selectors.row_anchors(pages, rows).collect()
+    assert (got["row"], got["selector"], got["item_count"], got["n_fields"], got["confidence"], got["fields"]) == (4, "//li[contains(@class,'post')]", 4, 2, 0.52, {"title": ".//a", "link": ".//a/@href"})
+
+
+ANCHORED = ["multi_row_anchor", "reanchored"]
 
 
 @pytest.mark.parametrize("name", ANCHORED)
