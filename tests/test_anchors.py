@@ -39,6 +39,11 @@ def test_example_anchors_as_over_nodes(spark, pages):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() >= 3
 
 
+def test_fields_of_the_first_item(pages):
+    got = {r["page_id"]: r for r in selectors.derived_fields(pages).collect()}
+    assert (got[0]["title"], got[0]["link"], got[0]["timestamp"], got[0]["guessed_title"]) == (".//a", ".//a/@href", ".//b", "descendant::a") and 1 not in got
+
+
 def test_reanchor_and_rows(spark, pages):
     needles = spark.createDataFrame([(0, "long  HEADLINE 2"), (0, " "), (1, "x"), (7, "headline 3")], "page_id long, needle string")
     assert sorted(map(tuple, selectors.reanchor(pages, needles).collect())) == [(0, 1, "//li[contains(@class,'post')]"), (7, 1, "//li[contains(@class,'post')]")]
@@ -47,7 +52,7 @@ def test_reanchor_and_rows(spark, pages):
     assert (got["row"], got["selector"], got["item_count"], got["n_fields"], got["confidence"], got["fields"]) == (4, "//li[contains(@class,'post')]", 4, 2, 0.52, {"title": ".//a", "link": ".//a/@href"})
 
 
-ANCHORED = ["multi_row_anchor", "reanchored", "date_anchor_items"]
+ANCHORED = ["multi_row_anchor", "reanchored", "date_anchor_items", "derived_fields"]
 
 
 @pytest.mark.parametrize("name", ANCHORED)
