@@ -52,7 +52,7 @@ def test_reanchor_and_rows(spark, pages):
     assert (got["row"], got["selector"], got["item_count"], got["n_fields"], got["confidence"], got["fields"]) == (4, "//li[contains(@class,'post')]", 4, 2, 0.52, {"title": ".//a", "link": ".//a/@href"})
 
 
-ANCHORED = ["multi_row_anchor", "reanchored", "date_anchor_items", "derived_fields"]
+ANCHORED = ["multi_row_anchor", "reanchored", "date_anchor_items", "derived_fields", "lca_anchor"]
 
 
 @pytest.mark.parametrize("name", ANCHORED)
