@@ -3,7 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from feedloom import api
 from feedloom.operators import anchors, candidates, selectors
 from feedloom.plans.queries import QUERIES
 from feedloom.sources.dom import nodes
@@ -61,3 +63,13 @@ def test_no_node_is_shuffled_kept_or_broadcast(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "InMemoryTableScan" not in plan and plan.count("MapInArrow") == 1
     assert plan.count("Exchange hashpartitioning") <= (5 if name == "multi_row_anchor" else 3)
+
+
+def test_discover_keeps_no_text_of_nodes(spark, pages):
+    """All kinds read the pages as they were written once; nodes are kept for blocks only, and none is broadcast."""
+    found = api.discover(pages.withColumn("url", F.lit("https://x.example.com/")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "own_text" not in plan and "Broadcast" not in plan
+    dates = {(r["page_id"], r["selector"], r["item_count"]) for r in found.where("kind = 'date_anchor'").collect()}
+    assert dates == {(r["page_id"], r["selector"], r["item_count"]) for r in anchors.date_anchors(pages).collect()} and dates
+    assert (0, "//li[contains(@class,'post')]") in {(r["page_id"], r["selector"]) for r in found.where("kind = 'xpath'").collect()}
